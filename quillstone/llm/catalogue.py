@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, urls
+from . import chat, decontam, urls
 
 
 def queries() -> dict:
-    return {"op1_chat_format": chat.op1_chat_format, "op10_url_filters": urls.op10_url_filters}
+    return {"op1_chat_format": chat.op1_chat_format, "op8_decontamination": decontam.op8_decontamination, "op10_url_filters": urls.op10_url_filters}
 
 
 def oracle_sql() -> dict:
-    return {"op1_chat_format": chat.OP1_SQL, "op10_url_filters": urls.OP10_SQL}
+    return {"op1_chat_format": chat.OP1_SQL, "op8_decontamination": decontam.OP8_SQL, "op10_url_filters": urls.OP10_SQL}
