@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, urls
+from . import chat, decontam, quality, toxicity, urls
 
 
 def queries() -> dict:
-    return {"op1_chat_format": chat.op1_chat_format, "op8_decontamination": decontam.op8_decontamination, "op10_url_filters": urls.op10_url_filters}
+    return {"op1_chat_format": chat.op1_chat_format, "op4_toxicity": toxicity.op4_toxicity, "op8_decontamination": decontam.op8_decontamination, "op9_quality_rules": quality.op9_quality_rules, "op10_url_filters": urls.op10_url_filters}
 
 
 def oracle_sql() -> dict:

@@ -15,11 +15,6 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def shingles_of(words: str, k: int) -> Column:
-    """The distinct k-word shingles of an array column, as strings; empty with fewer words."""
-    return F.expr(f"array_distinct(transform(filter(sequence(1, greatest(size({words}), 1)), i -> i <= size({words}) - {k - 1}), i -> array_join(slice({words}, i, {k}), ' ')))")
-
-
 def _hashes(k: int) -> str:
     """SQL: a 64-bit hash for each window of k words of ``_w``, from one hash for each word; repeated windows stay."""
     parts = ", ".join(f"get(_wh, i + {j})" for j in range(k))
@@ -34,16 +29,16 @@ def item_sketches(items: DataFrame, id_col: str, text_col: str, k: int, threshol
     depends on n alone; _part is n's power of two and has its own cut-off, the largest hash that its sketches keep.
     """
     worded = items.select(F.col(id_col).alias("_item"), words_of(F.col(text_col)).alias("_w")).where(F.size("_w") >= k)
-    sized = worded.select("_item", shingles_of("_w", k).alias("_shingles"), F.array_sort(F.array_distinct(F.expr(_hashes(k)))).alias("_hs"))
+    sized = worded.select("_item", F.array_sort(F.array_distinct(F.expr(_hashes(k)))).alias("_shingles"))
     sized = sized.withColumn("_n", F.size("_shingles")).withColumn("_m", F.col("_n") - F.ceil(F.lit(threshold) * F.col("_n") - 1e-9) + 1)
-    return sized.select("_item", "_n", "_shingles", F.floor(F.log2("_n")).cast("int").alias("_part"), F.explode(F.expr("slice(_hs, 1, cast(_m as int))")).alias("_hash"))
+    return sized.select("_item", "_n", "_shingles", F.floor(F.log2("_n")).cast("int").alias("_part"), F.explode(F.expr("slice(_shingles, 1, cast(_m as int))")).alias("_hash"))
 
 
 def find_contained(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_id_col="item_id", item_text_col="text", k: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row (id, item id, n_shingles, n_shared, containment) for each document and item with containment >= threshold.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased, shingles are sets of k words.
-    containment = shared shingles / the item's shingles, counted on the shingles themselves. Items with fewer than k
+    containment = shared shingles / the item's shingles, counted over all of them, each known by a 64-bit hash. Items with fewer than k
     words have no shingles and match nothing; so do null and empty texts. Repeated rows of a document or an item
     give one row for each pair of ids (the largest containment). Extra columns are ignored.
 
@@ -61,16 +56,16 @@ def find_contained(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col=
     small = sum(r["n"] for r in parts) <= BROADCAST_ROWS
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_t")).where(F.length("_t") >= 2 * k - 1)
     worded = rows.select("_doc", words_of(F.col("_t")).alias("_w")).where(F.size("_w") >= k + least - 1)
-    hashed = worded.select("_doc", "_w", F.expr(f"filter({_hashes(k)}, h -> h <= {cut}L)") if cut < 2**63 - 1 else F.expr(_hashes(k))).toDF("_doc", "_w", "_hs")
-    shared = lambda: F.size(F.array_intersect("_shingles", shingles_of("_w", k)))
+    hashed = worded.select("_doc", F.expr(_hashes(k)).alias("_hs"))
+    below = hashed.select("_doc", "_hs", F.array_distinct(F.filter("_hs", lambda h: h <= F.lit(cut))).alias("_low"))
+    shared = F.size(F.array_intersect("_shingles", "_hs"))
     if small:
-        probe = hashed.select("_doc", "_w", F.explode("_hs").alias("_hash"))
-        pairs = probe.join(F.broadcast(sketches), "_hash").select("_doc", "_item", "_n", shared().alias("_shared"))
+        # array_intersect runs within the stage's generated code, so no wide row outlives its match
+        pairs = below.select("_doc", "_hs", F.explode("_low").alias("_hash")).join(F.broadcast(sketches), "_hash").select("_doc", "_item", "_n", shared.alias("_shared"))
     else:
-        probe = hashed.select("_doc", F.explode(F.array_distinct("_hs")).alias("_hash"))
-        found = probe.join(sketches.select("_hash", "_item"), "_hash").select("_doc", "_item").distinct()
+        found = below.select("_doc", F.explode("_low").alias("_hash")).join(sketches.select("_hash", "_item"), "_hash").select("_doc", "_item").distinct()
         whole = sketches.select("_item", "_n", "_shingles").dropDuplicates(["_item", "_shingles"])
-        pairs = found.join(whole, "_item").join(worded, "_doc").select("_doc", "_item", "_n", shared().alias("_shared"))
+        pairs = found.join(whole, "_item").join(hashed, "_doc").select("_doc", "_item", "_n", shared.alias("_shared"))
     best = pairs.where(F.col("_shared") >= F.ceil(F.lit(threshold) * F.col("_n") - 1e-9)).groupBy("_doc", "_item").agg(
         F.max(F.struct((F.col("_shared") / F.col("_n")).alias("c"), "_n", "_shared")).alias("b")
     )
