@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -84,16 +85,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(sample, "_id").select("_id", "_y", "_text")
 
 
-def gathered(sample: DataFrame, features) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, bucket, value and label of the sample's features, made on the executors and in the order of ids."""
+def fitted(sample: DataFrame, features, fit):
+    """What ``fit(row, bucket, value, y)`` makes of the sample's features, rows in the order of ids.
+
+    ``features(text)`` gives buckets and values, or None for ones. Features are made in parallel and meet in one task,
+    which the sample's bound keeps small; the driver gets the model alone.
+    """
 
     def extract(batches):
         for pdf in batches:
             got = [features(x or "") for x in pdf["_text"]]
-            yield pd.DataFrame({"_id": pdf["_id"], "_y": pdf["_y"], "b": [a.astype("<u4").tobytes() for a, _ in got], "v": [v.astype("<f4").tobytes() for _, v in got]})
-
-    out = sample.mapInPandas(extract, "_id long, _y int, b binary, v binary").toPandas().sort_values(["_id", "b"], kind="stable")
-    bucket = [np.frombuffer(x, "<u4") for x in out["b"]]
-    row = np.repeat(np.arange(len(out)), [len(x) for x in bucket])
-    join = lambda xs, kind: np.concatenate([np.empty(0, kind), *xs])
-    return row, join(bucket, "<u4").astype(np.int64), join([np.frombuffer(x, "<f4") for x in out["v"]], "<f4"), out["_y"].to_numpy(np.int64)
+            yield pd.DataFrame({"_id": pdf["_id"], "_y": pdf["_y"], "b": [a.astype("<u4").tobytes() for a, _ in got], "v": [None if v is None else v.astype("<f4").tobytes() for _, v in got]})
+
+    def learn(batches):
+        rows = pd.concat([pd.DataFrame({"_id": [], "_y": [], "b": [], "v": []}), *batches]).sort_values(["_id", "b"], kind="stable")
+        bucket = [np.frombuffer(x, "<u4") for x in rows["b"]]
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in bucket])
+        col = np.concatenate([np.empty(0, "<u4"), *bucket])
+        ones = rows["v"].isna().any() or not len(rows)
+        value = np.ones(len(col), np.float32) if ones else np.concatenate([np.frombuffer(x, "<f4") for x in rows["v"]])
+        yield pd.DataFrame({"model": [pickle.dumps(fit(row, col, value, rows["_y"].to_numpy(np.int64)))]})
+
+    made = sample.mapInPandas(extract, "_id long, _y int, b binary, v binary").repartition(1).mapInPandas(learn, "model binary")
+    return pickle.loads(made.first()[0])

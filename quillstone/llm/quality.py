@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .linear import Model, char_grams, codes, fit_logistic, gathered, labelled_sample, sigmoid, sliced
+from .linear import Model, char_grams, codes, fit_logistic, fitted, labelled_sample, sigmoid, sliced
 from .common import table
 
 BITS, LOW, HIGH, FEATURES = 18, 1, 3, 6000
@@ -113,10 +113,15 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, featur
     fit them, the others fit slope and shift (Platt's calibration, classes weighted alike). Without rows of both classes
     every text has probability 1.
     """
-    kind = Features()
-    row, col, value, y = gathered(labelled_sample(docs, labels, label, per_class, id_col, text_col), kind.sparse)
+    sample = labelled_sample(docs, labels, label, per_class, id_col, text_col)
+    bucket, weight, bias, slope, shift = fitted(sample, lambda text: Features().sparse(text), lambda row, col, value, y: fit(row, col, value, y, features))
+    return QualityModel(Model(bucket, weight, bias, BITS), slope, shift)
+
+
+def fit(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray, float, float, float]:
+    """Chosen buckets, weights, bias, slope and shift from the frequencies (value) of buckets (col) in texts (row)."""
     if not (0 < y.sum() < len(y)):
-        return QualityModel(Model(np.empty(0, np.int64), np.empty(0), 0.0, BITS), 0.0, 60.0)
+        return np.empty(0, np.int64), np.empty(0), 0.0, 0.0, 60.0
     size, n = 1 << BITS, [max(1, (y == k).sum()) for k in (0, 1)]
     one = [np.bincount(col[(y == k)[row]], weights=value[(y == k)[row]], minlength=size) / n[k] for k in (0, 1)]
     two = [np.bincount(col[(y == k)[row]], weights=value[(y == k)[row]] ** 2, minlength=size) / n[k] for k in (0, 1)]
@@ -135,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, featur
     rest = ~fits if (~fits).any() else fits
     z = (np.bincount(row, weights=value * w[col], minlength=len(y)) + b)[rest]
     slope, shift = fit_logistic(np.arange(len(z)), np.zeros(len(z), int), z, y[rest], 1, l2=1e-3)
-    return QualityModel(Model(chosen, w, b, BITS), float(slope[0]), shift)
+    return chosen, w, b, float(slope[0]), shift
 
 
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, probability double"

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .linear import Model, char_grams, codes, fit_logistic, gathered, labelled_sample, sigmoid, sliced
+from .linear import Model, char_grams, codes, fit_logistic, fitted, labelled_sample, sigmoid, sliced
 from .common import table
 
 BITS, LOW, HIGH = 20, 3, 6
@@ -35,9 +35,14 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, featur
     Learns from at most ``per_class`` labelled rows of each class (see labelled_sample). Without rows of both
     classes every text scores 0.5 at zero weights, below it only by the bias: score 0.
     """
-    row, col, _, y = gathered(labelled_sample(docs, labels, label, per_class, id_col, text_col), lambda t: (b := present(t), np.ones(len(b))))
+    sample = labelled_sample(docs, labels, label, per_class, id_col, text_col)
+    return Model(*fitted(sample, lambda text: (present(text), None), lambda row, col, _, y: fit(row, col, y, features)), BITS)
+
+
+def fit(row: np.ndarray, col: np.ndarray, y: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Chosen buckets, their weights and the bias, from which texts (row) hold which buckets (col)."""
     if not (0 < y.sum() < len(y)):
-        return Model(np.empty(0, np.int64), np.empty(0), -60.0, BITS)
+        return np.empty(0, np.int64), np.empty(0), -60.0
     size = 1 << BITS
     of = [np.bincount(col[(y == k)[row]], minlength=size) for k in (0, 1)]
     n = [(y == k).sum() for k in (0, 1)]
@@ -54,7 +59,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, featur
     keep = at[col] >= 0
     row, col = row[keep], at[col[keep]]
     w, b = fit_logistic(row, col, ratio[chosen][col], y, len(chosen), l2=1e-3, steps=150, rate=0.02)
-    return Model(chosen, w * ratio[chosen], b, BITS)
+    return chosen, w * ratio[chosen], b
 
 
 def score_column(model: Model, text: Column) -> Column:
