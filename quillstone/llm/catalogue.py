@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, jaccard, quality, toxicity, urls
+from . import chat, decontam, html, jaccard, quality, tokens, toxicity, urls
 
 
 def queries() -> dict:
-    return {"op1_chat_format": chat.op1_chat_format, "op4_toxicity": toxicity.op4_toxicity, "op6_jaccard_join": jaccard.op6_jaccard_join, "op8_decontamination": decontam.op8_decontamination, "op9_quality_rules": quality.op9_quality_rules, "op10_url_filters": urls.op10_url_filters}
+    return {"op1_chat_format": chat.op1_chat_format, "op3_html_extraction": html.op3_html_extraction, "op4_toxicity": toxicity.op4_toxicity, "op6_jaccard_join": jaccard.op6_jaccard_join, "op7_token_output": tokens.op7_token_output, "op8_decontamination": decontam.op8_decontamination, "op9_quality_rules": quality.op9_quality_rules, "op10_url_filters": urls.op10_url_filters}
 
 
 def oracle_sql() -> dict:
