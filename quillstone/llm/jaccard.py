@@ -76,11 +76,15 @@ def level_of(size: int) -> int:
 
 
 def segment_keys(h: np.ndarray, level: int) -> np.ndarray:
-    """A key for each occupied fragment of 2**level, made of its number and its whole content."""
+    """A key for each occupied fragment of 2**level, made of its number and its whole content.
+
+    In one order for all sets: segments of more shingles, which fewer unlike sets share, first; then by key.
+    """
     place = h >> np.uint64(64 - level) if level else np.zeros(len(h), np.uint64)
     start = np.concatenate(([0], np.flatnonzero(place[1:] != place[:-1]) + 1))
     content = np.add.reduceat(mixed(h * _MIX[1]), start)
-    return mixed(content + mixed(place[start] * _MIX[2] + np.uint64(level + 1)))
+    keys = mixed(content + mixed(place[start] * _MIX[2] + np.uint64(level + 1)))
+    return keys[np.lexsort((keys, -np.diff(start, append=len(h))))]
 
 
 def join_keys(h: np.ndarray) -> np.ndarray:
@@ -88,7 +92,7 @@ def join_keys(h: np.ndarray) -> np.ndarray:
 
     A pair meets at the level of the larger set. A set stands there as the larger one (at most 2s/9 differences) and
     at the levels of sets up to 1.25 s as the smaller one. Sets that share all but d of their segments share one of
-    the d + 1 smallest keys of each. A set that occupies too few fragments for that emits single shingles as well.
+    the d + 1 first keys of each. A set that occupies too few fragments for that emits single shingles as well.
     """
     s, out, short = len(h), [], False
     top = 100 * s // NEED
@@ -97,7 +101,7 @@ def join_keys(h: np.ndarray) -> np.ndarray:
         differ = (100 - NEED) * (s + max(s, largest)) // (100 + NEED)
         keys = segment_keys(h, level)
         short |= len(keys) <= differ
-        out.append(np.sort(keys)[: differ + 1])
+        out.append(keys[: differ + 1])
     if short:
         out.append(mixed(h * _MIX[3])[np.argsort(h)][: (100 - NEED) * (s + top) // (100 + NEED) + 1])
     return np.unique(np.concatenate(out))
