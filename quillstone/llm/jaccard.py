@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -32,8 +32,13 @@ FRAGMENTS = 4
 HEAVY_COPIES, HEAVY_SHARE = 1000, 1e-4
 #: Hash buckets that say which documents can take part; bounds what is broadcast.
 BUCKETS = 1 << 17
+#: Shingles in at least this share of the documents, and this many, are common: at most (mean set size) / COMMON_SHARE of them.
+COMMON_SHARE, COMMON_DOCS = 1e-3, 30
+#: Shingles counted at once by a task.
+COUNTED = 4_000_000
 #: Rounds that hold each group against one hub before all remaining pairs are made.
 HUB_ROUNDS = 2
+BITS = ["b0", "b1", "b2", "b3"]
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -75,19 +80,19 @@ def level_of(size: int) -> int:
     return max(0, int(np.ceil(np.log2(max(1.0, SPREAD * size)))))
 
 
-def segment_keys(h: np.ndarray, level: int) -> np.ndarray:
+def segment_keys(h: np.ndarray, level: int, rare: np.ndarray) -> np.ndarray:
     """A key for each occupied fragment of 2**level, made of its number and its whole content.
 
-    In one order for all sets: segments of more shingles, which fewer unlike sets share, first; then by key.
+    In one order for all sets: segments of more rare shingles, which fewer unlike sets share, first; then by key.
     """
     place = h >> np.uint64(64 - level) if level else np.zeros(len(h), np.uint64)
     start = np.concatenate(([0], np.flatnonzero(place[1:] != place[:-1]) + 1))
     content = np.add.reduceat(mixed(h * _MIX[1]), start)
     keys = mixed(content + mixed(place[start] * _MIX[2] + np.uint64(level + 1)))
-    return keys[np.lexsort((keys, -np.diff(start, append=len(h))))]
+    return keys[np.lexsort((keys, -np.add.reduceat(rare, start)))]
 
 
-def join_keys(h: np.ndarray) -> np.ndarray:
+def join_keys(h: np.ndarray, common: np.ndarray) -> np.ndarray:
     """Keys of which any two linked sets share one.
 
     A pair meets at the level of the larger set. A set stands there as the larger one (at most 2s/9 differences) and
@@ -95,11 +100,16 @@ def join_keys(h: np.ndarray) -> np.ndarray:
     the d + 1 first keys of each. A set that occupies too few fragments for that emits single shingles as well.
     """
     s, out, short = len(h), [], False
+    rare = np.ones(s, np.int64)
+    if len(common):
+        at = np.searchsorted(common, h)
+        at[at == len(common)] = 0
+        rare -= common[at] == h
     top = 100 * s // NEED
     for level in range(level_of(s), level_of(top) + 1):
         largest = top if level_of(top) == level else min(top, int(2**level / SPREAD) + 1)
         differ = (100 - NEED) * (s + max(s, largest)) // (100 + NEED)
-        keys = segment_keys(h, level)
+        keys = segment_keys(h, level, rare)
         short |= len(keys) <= differ
         out.append(keys[: differ + 1])
     if short:
@@ -107,8 +117,41 @@ def join_keys(h: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
+def common_shingles(docs: DataFrame, text_col: str) -> np.ndarray:
+    """Sorted hashes of the shingles that many documents hold; they only order the segments, so any list gives the same links.
+
+    Every task counts all its documents' sets, up to COUNTED shingles at once, and keeps those that are frequent
+    there; a shingle that is frequent in all is so somewhere. The sums of these counts decide. COMMON_SHARE bounds the list.
+    """
+
+    def count(batches):
+        shingler, held, n, seen = Shingler(), [], 0, 0
+
+        def frequent():
+            h, often = np.unique(np.concatenate([np.empty(0, np.uint64), *held]), return_counts=True)
+            keep = often >= max(3, COMMON_SHARE / 2 * seen)
+            return pd.DataFrame({"h": h[keep].view(np.int64), "often": often[keep].astype(np.int64)})
+
+        for pdf in batches:
+            for text in pdf["text"]:
+                held.append(shingler(text))
+                n, seen = n + len(held[-1]), seen + 1
+                if n >= COUNTED:
+                    yield frequent()
+                    held, n, seen = [], 0, 0
+        yield frequent()
+
+    least = max(COMMON_DOCS, COMMON_SHARE * docs.count())
+    often = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "h long, often long").groupBy("h").agg(F.sum("often").alias("n")).where(F.col("n") >= least)
+    return np.sort(np.array([r[0] for r in often.select("h").collect()], np.int64).view(np.uint64))
+
+
 def sets_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, n, c (a 64-bit key of the whole set), keys."""
+    """doc, n, c (a 64-bit key of the whole set), b0..b3 (256 parities), keys.
+
+    The parities of how many hashes begin with each byte: as many of two sets' parities differ at most as shingles do.
+    """
+    common = common_shingles(docs, text_col)
 
     def make(batches):
         shingler = Shingler()
@@ -117,10 +160,12 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for doc, text in zip(pdf["doc"], pdf["text"], strict=True):
                 h = shingler(text)
                 c = int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
-                rows.append((doc, len(h), c, join_keys(h).view(np.int64) if len(h) else np.empty(0, np.int64)))
-            yield pd.DataFrame(rows, columns=["doc", "n", "c", "keys"]).astype({"doc": "Int64"})
+                bits = np.packbits(np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=256) & 1).view(np.int64).tolist()
+                rows.append((doc, len(h), c, *bits, join_keys(h, common).view(np.int64) if len(h) else np.empty(0, np.int64)))
+            yield pd.DataFrame(rows, columns=["doc", "n", "c", *BITS, "keys"]).astype({"doc": "Int64"})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInPandas(make, "doc long, n long, c long, keys array<long>")
+    schema = "doc long, n long, c long, b0 long, b1 long, b2 long, b3 long, keys array<long>"
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInPandas(make, schema)
 
 
 def segments_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -185,6 +230,13 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         before = now
 
 
+def _may_link() -> Column:
+    """What linked classes (c) and (hc) fulfil: sizes within the similarity, and no more parities apart than shingles may be."""
+    apart = sum(F.bit_count(F.col(x).bitwiseXOR(F.col("h" + x))) for x in BITS)
+    sizes = 100 * F.least("n", "hn") >= NEED * F.greatest("n", "hn")
+    return sizes & ((100 + NEED) * apart <= (100 - NEED) * (F.col("n") + F.col("hn")))
+
+
 @dataclass
 class Join:
     """What the join has found: ``sets`` (doc, n, c), ``classes`` (c, n, rep, copies), ``links`` (a, b) between classes and ``roots`` (node, root)."""
@@ -197,36 +249,38 @@ class Join:
 
 def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Join:
     sets = stored(sets_of(docs, id_col, text_col), "sets")
-    classes = stored(sets.where("n > 0 AND doc IS NOT NULL").groupBy("c", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "classes")
+    classes = stored(sets.where("n > 0 AND doc IS NOT NULL").groupBy("c", "n", *BITS).agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "classes")
     total = classes.agg(F.sum("copies")).first()[0] or 0
     heavy = classes.where(F.col("copies") >= max(HEAVY_COPIES, HEAVY_SHARE * total)).select("c", F.col("rep").alias("_rep"))
     lean = sets.where("n > 0 AND doc IS NOT NULL").join(F.broadcast(heavy), "c", "left").where("_rep IS NULL OR doc = _rep")
     keyed = lean.select(F.explode("keys").alias("key"), "c")
     own = W.partitionBy("key")
     shared = keyed.withColumn("_lo", F.min("c").over(own)).withColumn("_hi", F.max("c").over(own)).where("_lo <> _hi").select("key", "c").distinct()
-    groups = stored(shared.join(classes.select("c", "n", "rep"), "c"), "groups")
+    groups = stored(shared.join(classes.select("c", "n", "rep", *BITS), "c"), "groups")
     members = groups.select("c", "rep").distinct()
     segments = stored(segments_of(docs, members, id_col, text_col), "segments")
     links = roots = tried = None
     for turn in range(HUB_ROUNDS + 1):
-        at = groups.select("key", "c", "n")
+        at = groups.select("key", "c", "n", *BITS)
         if roots is not None:
-            at = at.join(roots, at["c"] == roots["node"], "left").select("key", "c", "n", F.coalesce("root", "c").alias("root"))
+            at = at.join(roots, at["c"] == roots["node"], "left").select("key", "c", "n", *BITS, F.coalesce("root", "c").alias("root"))
         else:
             at = at.withColumn("root", F.col("c"))
         # groups whose classes are not all in one component yet
         split = at.groupBy("key").agg(
-            F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.min(F.struct(F.xxhash64("c", F.lit(turn)).alias("x"), "c", "n", "root")).alias("hub")
+            F.min("root").alias("_lo"), F.max("root").alias("_hi"),
+            F.min(F.struct(F.xxhash64("c", F.lit(turn)).alias("x"), "root", F.col("c").alias("hc"), F.col("n").alias("hn"), *[F.col(x).alias("h" + x) for x in BITS])).alias("hub"),
         ).where("_lo <> _hi")
         open_ = at.join(split.select("key", "hub"), "key")
         if turn < HUB_ROUNDS:
-            pairs = open_.where("root <> hub.root").select(F.col("hub.c").alias("p"), F.col("hub.n").alias("np"), F.col("c").alias("q"), F.col("n").alias("nq"))
-        else:  # exact for the rest: every pair of different components within a group
-            other = open_.select("key", F.col("c").alias("q"), F.col("n").alias("nq"), F.col("root").alias("_r"))
-            pairs = open_.select("key", F.col("c").alias("p"), F.col("n").alias("np"), "root").join(other, "key").where("root < _r").select("p", "np", "q", "nq")
-        pairs = pairs.where(100 * F.least("np", "nq") >= NEED * F.greatest("np", "nq")).select(
-            F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"),
-            F.when(F.col("p") < F.col("q"), F.col("np")).otherwise(F.col("nq")).alias("na"), F.when(F.col("p") < F.col("q"), F.col("nq")).otherwise(F.col("np")).alias("nb"),
+            both = open_.select("c", "n", *BITS, "root", F.col("hub.root").alias("hroot"), "hub.hc", "hub.hn", *[f"hub.h{x}" for x in BITS])
+        else:  # exact for the rest: pairs of different components within a group
+            other = open_.select("key", F.col("c").alias("hc"), F.col("n").alias("hn"), *[F.col(x).alias("h" + x) for x in BITS], F.col("root").alias("hroot"))
+            both = open_.drop("hub").join(other, (open_["key"] == other["key"]) & (F.col("root") < F.col("hroot")) & _may_link())
+        first = F.col("c") < F.col("hc")
+        pairs = both.where((F.col("root") != F.col("hroot")) & _may_link()).select(
+            F.least("c", "hc").alias("a"), F.greatest("c", "hc").alias("b"),
+            F.when(first, F.col("n")).otherwise(F.col("hn")).alias("na"), F.when(first, F.col("hn")).otherwise(F.col("n")).alias("nb"),
         ).distinct()
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
