@@ -256,29 +256,31 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = lean.select(F.explode("keys").alias("key"), "c")
     own = W.partitionBy("key")
     shared = keyed.withColumn("_lo", F.min("c").over(own)).withColumn("_hi", F.max("c").over(own)).where("_lo <> _hi").select("key", "c").distinct()
-    groups = stored(shared.join(classes.select("c", "n", "rep", *BITS), "c"), "groups")
-    members = groups.select("c", "rep").distinct()
+    groups = stored(shared, "groups")
+    traits = classes.select("c", "n", *BITS)
+    members = groups.select("c").distinct().join(classes.select("c", "rep"), "c")
     segments = stored(segments_of(docs, members, id_col, text_col), "segments")
     links = roots = tried = None
     for turn in range(HUB_ROUNDS + 1):
-        at = groups.select("key", "c", "n", *BITS)
-        if roots is not None:
-            at = at.join(roots, at["c"] == roots["node"], "left").select("key", "c", "n", *BITS, F.coalesce("root", "c").alias("root"))
-        else:
-            at = at.withColumn("root", F.col("c"))
-        # groups whose classes are not all in one component yet
-        split = at.groupBy("key").agg(
-            F.min("root").alias("_lo"), F.max("root").alias("_hi"),
-            F.min(F.struct(F.xxhash64("c", F.lit(turn)).alias("x"), "root", F.col("c").alias("hc"), F.col("n").alias("hn"), *[F.col(x).alias("h" + x) for x in BITS])).alias("hub"),
-        ).where("_lo <> _hi")
-        open_ = at.join(split.select("key", "hub"), "key")
+        root_of = lambda rows, c, name: (
+            rows.withColumn(name, F.col(c)) if roots is None
+            else rows.join(roots.select(F.col("node").alias(c), F.col("root").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
+        )
+        at = root_of(groups, "c", "root")
+        # groups whose classes are not all in one component yet, with the hub of this turn
+        other = F.lit(0x1F3D5B79A2C4E608 * (turn + 1) % 2**63)
+        split = at.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.min(F.col("c").bitwiseXOR(other)).alias("_h"))
+        split = split.where("_lo <> _hi").select("key", F.col("_h").bitwiseXOR(other).alias("hc"))
+        hub_traits = traits.select(*[F.col(x).alias("h" + x) for x in traits.columns])
         if turn < HUB_ROUNDS:
-            both = open_.select("c", "n", *BITS, "root", F.col("hub.root").alias("hroot"), "hub.hc", "hub.hn", *[f"hub.h{x}" for x in BITS])
+            met = at.join(split, "key").where("c <> hc").select("c", "hc", "root").distinct()
+            both = root_of(met, "hc", "hroot").where("root <> hroot").join(traits, "c").join(hub_traits, "hc").where(_may_link())
         else:  # exact for the rest: pairs of different components within a group
-            other = open_.select("key", F.col("c").alias("hc"), F.col("n").alias("hn"), *[F.col(x).alias("h" + x) for x in BITS], F.col("root").alias("hroot"))
-            both = open_.drop("hub").join(other, (open_["key"] == other["key"]) & (F.col("root") < F.col("hroot")) & _may_link())
+            left = at.join(split.select("key"), "key", "left_semi").join(traits, "c")
+            right = left.select("key", F.col("root").alias("hroot"), *[F.col(x).alias("h" + x) for x in traits.columns])
+            both = left.join(right, (left["key"] == right["key"]) & (F.col("root") < F.col("hroot")) & _may_link())
         first = F.col("c") < F.col("hc")
-        pairs = both.where((F.col("root") != F.col("hroot")) & _may_link()).select(
+        pairs = both.select(
             F.least("c", "hc").alias("a"), F.greatest("c", "hc").alias("b"),
             F.when(first, F.col("n")).otherwise(F.col("hn")).alias("na"), F.when(first, F.col("hn")).otherwise(F.col("n")).alias("nb"),
         ).distinct()
