@@ -85,26 +85,45 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(sample, "_id").select("_id", "_y", "_text")
 
 
-def fitted(sample: DataFrame, features, fit):
-    """What ``fit(row, bucket, value, y)`` makes of the sample's features, rows in the order of ids.
+def fitted(sample: DataFrame, features, choose, fit):
+    """What ``fit(row, column, value, y, chosen)`` makes of the sample's features, rows in the order of ids.
 
-    ``features(text)`` gives buckets and values, or None for ones. Features are made in parallel and meet in one task,
-    which the sample's bound keeps small; the driver gets the model alone.
+    ``features(text)`` gives distinct buckets and their values, or None for ones. ``choose(buckets, values, y)`` names the
+    buckets to keep, from lists by row; only these are laid out as a matrix (column: place in chosen). Features are made in
+    parallel and meet in one task, which the sample's bound keeps small; the driver gets the model alone.
     """
 
     def extract(batches):
         for pdf in batches:
-            got = [features(x or "") for x in pdf["_text"]]
-            yield pd.DataFrame({"_id": pdf["_id"], "_y": pdf["_y"], "b": [a.astype("<u4").tobytes() for a, _ in got], "v": [None if v is None else v.astype("<f4").tobytes() for _, v in got]})
+            for at in range(0, len(pdf), 500):
+                own = pdf.iloc[at : at + 500]
+                got = [features(x or "") for x in own["_text"]]
+                yield pd.DataFrame({"_id": own["_id"], "_y": own["_y"], "b": [a.astype("<u4").tobytes() for a, _ in got], "v": [None if v is None else v.astype("<f4").tobytes() for _, v in got]})
 
     def learn(batches):
-        rows = pd.concat([pd.DataFrame({"_id": [], "_y": [], "b": [], "v": []}), *batches]).sort_values(["_id", "b"], kind="stable")
-        bucket = [np.frombuffer(x, "<u4") for x in rows["b"]]
-        row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in bucket])
-        col = np.concatenate([np.empty(0, "<u4"), *bucket])
-        ones = rows["v"].isna().any() or not len(rows)
-        value = np.ones(len(col), np.float32) if ones else np.concatenate([np.frombuffer(x, "<f4") for x in rows["v"]])
-        yield pd.DataFrame({"model": [pickle.dumps(fit(row, col, value, rows["_y"].to_numpy(np.int64)))]})
+        rows = [r for pdf in batches for r in pdf.itertuples(index=False, name=None)]
+        rows.sort(key=lambda r: (r[0], r[2]))
+        y = np.array([r[1] for r in rows], np.int64)
+        buckets = [np.frombuffer(r[2], "<u4") for r in rows]
+        values = [np.ones(len(b), np.float32) if r[3] is None else np.frombuffer(r[3], "<f4") for r, b in zip(rows, buckets, strict=True)]
+        chosen = np.sort(choose(buckets, values, y))
+        at = np.full(int(max((b.max() for b in buckets if len(b)), default=0)) + 1, -1)
+        at[chosen] = np.arange(len(chosen))
+        kept = [at[b] >= 0 for b in buckets]
+        row = np.repeat(np.arange(len(rows)), [int(k.sum()) for k in kept])
+        col = np.concatenate([np.empty(0, np.int64), *(at[b[k]] for b, k in zip(buckets, kept, strict=True))])
+        value = np.concatenate([np.empty(0, np.float32), *(v[k] for v, k in zip(values, kept, strict=True))])
+        yield pd.DataFrame({"model": [pickle.dumps(fit(row, col, value, y, chosen))]})
 
     made = sample.mapInPandas(extract, "_id long, _y int, b binary, v binary").repartition(1).mapInPandas(learn, "model binary")
     return pickle.loads(made.first()[0])
+
+
+def two_classes(y: np.ndarray) -> bool:
+    return bool(0 < y.sum() < len(y))
+
+
+def most(score: np.ndarray, n: int) -> np.ndarray:
+    """The n buckets of the largest positive scores."""
+    best = np.argsort(-score, kind="stable")[:n]
+    return best[score[best] > 0]

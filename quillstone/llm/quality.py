@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .linear import Model, char_grams, codes, fit_logistic, fitted, labelled_sample, sigmoid, sliced
+from .linear import Model, char_grams, codes, fit_logistic, fitted, labelled_sample, most, sigmoid, sliced, two_classes
 from .common import table
 
 BITS, LOW, HIGH, FEATURES = 18, 1, 3, 6000
@@ -114,24 +114,26 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, featur
     every text has probability 1.
     """
     sample = labelled_sample(docs, labels, label, per_class, id_col, text_col)
-    bucket, weight, bias, slope, shift = fitted(sample, lambda text: Features().sparse(text), lambda row, col, value, y: fit(row, col, value, y, features))
+    bucket, weight, bias, slope, shift = fitted(sample, lambda text: Features().sparse(text), lambda b, v, y: choose(b, v, y, features), fit)
     return QualityModel(Model(bucket, weight, bias, BITS), slope, shift)
 
 
-def fit(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray, float, float, float]:
-    """Chosen buckets, weights, bias, slope and shift from the frequencies (value) of buckets (col) in texts (row)."""
-    if not (0 < y.sum() < len(y)):
-        return np.empty(0, np.int64), np.empty(0), 0.0, 0.0, 60.0
-    size, n = 1 << BITS, [max(1, (y == k).sum()) for k in (0, 1)]
-    one = [np.bincount(col[(y == k)[row]], weights=value[(y == k)[row]], minlength=size) / n[k] for k in (0, 1)]
-    two = [np.bincount(col[(y == k)[row]], weights=value[(y == k)[row]] ** 2, minlength=size) / n[k] for k in (0, 1)]
+def choose(buckets: list, values: list, y: np.ndarray, features: int) -> np.ndarray:
+    """Buckets whose mean frequencies in the classes are most standard errors apart."""
+    if not two_classes(y):
+        return np.empty(0, np.int64)
+    one, two, n = np.zeros((2, 1 << BITS)), np.zeros((2, 1 << BITS)), [(y == k).sum() for k in (0, 1)]
+    for b, v, k in zip(buckets, values, y.tolist(), strict=True):
+        one[k][b] += v / n[k]
+        two[k][b] += v**2 / n[k]
     error = np.sqrt((two[0] - one[0] ** 2) / n[0] + (two[1] - one[1] ** 2) / n[1] + 1e-9)
-    apart = np.abs(one[1] - one[0]) / error
-    chosen = np.sort(np.argsort(-apart, kind="stable")[:features])
-    at = np.full(size, -1)
-    at[chosen] = np.arange(len(chosen))
-    keep = at[col] >= 0
-    row, col, value = row[keep], at[col[keep]], value[keep]
+    return most(np.abs(one[1] - one[0]) / error, features)
+
+
+def fit(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float, float]:
+    """Chosen buckets, weights, bias, slope and shift."""
+    if not two_classes(y):
+        return chosen, np.empty(0), 0.0, 0.0, 60.0
     fits = np.arange(len(y)) % 4 != 0
     if len(set(y[fits])) < 2 or len(set(y[~fits])) < 2:
         fits[:] = True

@@ -7,12 +7,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .linear import Model, char_grams, codes, fit_logistic, fitted, labelled_sample, sigmoid, sliced
+from .linear import Model, char_grams, codes, fit_logistic, fitted, labelled_sample, most, sigmoid, sliced, two_classes
 from .common import table
 
 BITS, LOW, HIGH = 20, 3, 6
 #: Labelled rows of each class that are learnt from at most, and n-gram buckets that are kept at most.
-PER_CLASS, FEATURES = 4000, 3000
+PER_CLASS, FEATURES = 3000, 3000
 #: The likelihood ratio statistic that a bucket needs to be kept.
 LEAST_G2 = 15.0
 
@@ -36,30 +36,31 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, featur
     classes every text scores 0.5 at zero weights, below it only by the bias: score 0.
     """
     sample = labelled_sample(docs, labels, label, per_class, id_col, text_col)
-    return Model(*fitted(sample, lambda text: (present(text), None), lambda row, col, _, y: fit(row, col, y, features)), BITS)
+    return Model(*fitted(sample, lambda text: (present(text), None), lambda b, v, y: choose(b, y, features), fit), BITS)
 
 
-def fit(row: np.ndarray, col: np.ndarray, y: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Chosen buckets, their weights and the bias, from which texts (row) hold which buckets (col)."""
-    if not (0 < y.sum() < len(y)):
-        return np.empty(0, np.int64), np.empty(0), -60.0
-    size = 1 << BITS
-    of = [np.bincount(col[(y == k)[row]], minlength=size) for k in (0, 1)]
+def choose(buckets: list, y: np.ndarray, features: int) -> np.ndarray:
+    """Buckets whose presence depends on the class by the likelihood ratio statistic."""
+    if not two_classes(y):
+        return np.empty(0, np.int64)
+    of = np.zeros((2, 1 << BITS))
+    for b, k in zip(buckets, y.tolist(), strict=True):
+        of[k][b] += 1
     n = [(y == k).sum() for k in (0, 1)]
-    rate = [(of[k] + 0.5) / (n[k] + 1) for k in (0, 1)]
-    ratio = np.log(rate[1] / rate[0])
-    both, share = of[0] + of[1], n[1] / (n[0] + n[1])
+    both = of[0] + of[1]
     term = lambda seen, due: np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(due, 1e-9)), 0)
-    often = 2 * sum(term(of[k], both * p) + term(n[k] - of[k], (len(y) - both) * p) for k, p in ((0, 1 - share), (1, share)))
-    often = np.where(often >= LEAST_G2, often, 0)
-    chosen = np.sort(np.argsort(-often, kind="stable")[:features])
-    chosen = chosen[often[chosen] > 0]
-    at = np.full(size, -1)
-    at[chosen] = np.arange(len(chosen))
-    keep = at[col] >= 0
-    row, col = row[keep], at[col[keep]]
-    w, b = fit_logistic(row, col, ratio[chosen][col], y, len(chosen), l2=1e-3, steps=150, rate=0.02)
-    return chosen, w * ratio[chosen], b
+    g2 = 2 * sum(term(of[k], both * n[k] / len(y)) + term(n[k] - of[k], (len(y) - both) * n[k] / len(y)) for k in (0, 1))
+    return most(np.where(g2 >= LEAST_G2, g2, 0), features)
+
+
+def fit(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Chosen buckets, their weights and the bias: a logistic regression on presence times the log-count ratio."""
+    if not two_classes(y):
+        return chosen, np.empty(0), -60.0
+    rate = [(np.bincount(col[(y == k)[row]], minlength=len(chosen)) + 0.5) / ((y == k).sum() + 1) for k in (0, 1)]
+    ratio = np.log(rate[1] / rate[0])
+    w, b = fit_logistic(row, col, ratio[col], y, len(chosen), l2=1e-3, steps=150, rate=0.02)
+    return chosen, w * ratio, b
 
 
 def score_column(model: Model, text: Column) -> Column:
