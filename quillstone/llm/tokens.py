@@ -9,9 +9,11 @@ state, so each can be decoded alone; numpy codes up to LANES blocks in step.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import sys
+import unicodedata
 import uuid
 import zlib
 
@@ -33,8 +35,17 @@ SYMBOLS = 2 + MAGNITUDES
 STEP, HALVE = 24, 64
 LOW_BITS, TOP = np.uint64(0xFFFFFFFF), np.uint64(1 << 48)
 
-#: Texts of these characters alone split at white space into parts that are encoded alike alone and together.
-PLAIN = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-įı-ɏ]|<\\|")
+#: Texts without these split at white space into parts that are encoded alike alone and together.
+NOT_PLAIN = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\u012f\u0131-\u024f]|<\\|")
+ASCII_PLAIN = bytes([9, 10, 11, 12, 13, *range(32, 127)])
+#: The characters of plain texts that are neither letters nor numbers nor white space.
+MARKS = "".join(c for c in map(chr, [*range(33, 127), *range(0xA1, 0x250)]) if unicodedata.category(c)[0] not in "LN")
+
+
+def plain(text: str) -> bool:
+    if text.isascii():
+        return "<|" not in text and not text.encode().translate(None, ASCII_PLAIN)
+    return not NOT_PLAIN.search(text)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -47,14 +58,18 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers in bytes.
 
     For word_bpe_49k each part between white space is encoded by itself, so a part is given to the tokenizer once and
-    then looked up. Texts with other characters than PLAIN allows (compositions, special white space or case rules,
+    then looked up. Texts that are not plain (compositions, special white space or case rules,
     control strings) go through the tokenizer whole.
     """
 
     def __init__(self, path: str, by_part: bool = True, keep: int = 1_500_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_part, self.keep, self.known = Tokenizer.from_file(path), by_part, keep, {}
+        words = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(words.values(), default=0) + 1, bool)  # ids that end a word
+        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
 
     @classmethod
     def of_worker(cls, path: str) -> Encoder:
@@ -70,10 +85,36 @@ class Encoder:
             out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + 2000], add_special_tokens=False)]
         return out
 
+    def _learn(self, parts: set[str]) -> None:
+        """Looks up new parts. A word of letters and the marks behind it are encoded apart, as the tokenizer parts them; words go
+        together, and the ids that end words part them."""
+        known, cores, words = self.known, {}, set()
+        for x in parts:
+            core = x.rstrip(MARKS)
+            if core.isalpha():
+                cores[x] = core
+                if core not in known:
+                    words.add(core)
+        marks = {x[len(c) :] for x, c in cores.items()}
+        rest = [*(m for m in marks if m and m not in known), *(x for x in parts if x not in cores)]
+        known.update(zip(rest, self._ids(rest), strict=True))
+        words = list(words)
+        for at in range(0, len(words), 500):
+            own = words[at : at + 500]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, "<u4")
+            stop = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stop) != len(own):
+                raise ValueError("the tokenizer has not made one word of each part")
+            data, stops = ids.tobytes(), stop.tolist()
+            known.update(zip(own, [data[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
+        for x, core in cores.items():
+            if x is not core and len(x) > len(core):
+                known[x] = known[core] + known[x[len(core) :]]
+
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.by_part or PLAIN.search(text):
+        if not self.by_part or not plain(text):
             return self._ids([text])[0]
         parts, known = text.lower().split(), self.known
         try:
@@ -81,8 +122,7 @@ class Encoder:
         except KeyError:
             if len(known) > self.keep:
                 known.clear()
-            missing = list(set(parts).difference(known))
-            known.update(zip(missing, self._ids(missing), strict=True))
+            self._learn(set(parts).difference(known))
             return b"".join(map(known.__getitem__, parts))
 
 
