@@ -29,11 +29,11 @@ from .common import shared_dir, stored, table
 
 MAGIC = b"QSTOK01\n"
 BLOCK, LANES = 2048, 4096
-SLOTS = 11  # log2 of the predictions a block keeps for each order
+SLOTS = 9  # log2 of the predictions a block keeps for each order
 MAGNITUDES = 21  # ids below 2**20
 SYMBOLS = 2 + MAGNITUDES
 STEP, HALVE = 24, 64
-LOW_BITS, TOP = np.uint64(0xFFFFFFFF), np.uint64(1 << 48)
+LOW_BITS, TOP, ZERO, ONE = np.uint64(0xFFFFFFFF), np.uint64(1 << 48), np.uint64(0), np.uint64(1)
 
 #: Texts without these split at white space into parts that are encoded alike alone and together.
 NOT_PLAIN = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\u012f\u0131-\u024f]|<\\|")
@@ -129,12 +129,13 @@ class Encoder:
 class _Model:
     """The state of n blocks that are coded in step: rows are symbols, columns blocks."""
 
-    GROW = np.triu(np.full((SYMBOLS, SYMBOLS), STEP, np.int64)).T.copy()  # column s: what cum[1:] gains from symbol s
+    GROW = (np.triu(np.ones((SYMBOLS, SYMBOLS), np.int16)).T * np.int16(STEP)).copy()  # column s: what cum[1:] gains from symbol s
 
     def __init__(self, n: int):
         self.lane = np.arange(n)
-        self.cum = np.repeat(np.concatenate(([0], np.cumsum([8, 8] + [4] * MAGNITUDES)))[:, None], n, axis=1)
-        self.one, self.two = np.zeros((n, 1 << SLOTS), np.uint32), np.zeros((n, 1 << SLOTS), np.uint32)
+        self.place = self.lane << SLOTS
+        self.cum = np.repeat(np.concatenate(([0], np.cumsum([8, 8] + [4] * MAGNITUDES))).astype(np.int16)[:, None], n, axis=1)
+        self.one, self.two = np.zeros(n << SLOTS, np.uint32), np.zeros(n << SLOTS, np.uint32)
         self.last = self.before = np.zeros(n, np.uint32)
         self.low, self.range = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
         self.steps = 0
@@ -142,33 +143,41 @@ class _Model:
     def predict(self):
         shift = np.uint32(32 - SLOTS)
         first = self.last * np.uint32(0x9E3779B1)
-        self.h1, self.h2 = first >> shift, (first * np.uint32(0x85EBCA6B) + self.before * np.uint32(0xC2B2AE35)) >> shift
-        return self.one[self.lane, self.h1], self.two[self.lane, self.h2]
+        self.h1 = (first >> shift) + self.place
+        self.h2 = ((first * np.uint32(0x85EBCA6B) + self.before * np.uint32(0xC2B2AE35)) >> shift) + self.place
+        return self.one[self.h1], self.two[self.h2]
 
     def learn(self, ids: np.ndarray, symbol: np.ndarray) -> None:
-        self.one[self.lane, self.h1] = ids
-        self.two[self.lane, self.h2] = ids
+        self.one[self.h1] = ids
+        self.two[self.h2] = ids
         self.before, self.last = self.last, ids
-        self.cum[1:] += self.GROW[:, symbol]
+        self.cum[1:] += self.GROW.take(symbol, axis=1)
         self.steps += 1
         if self.steps % HALVE == 0:
             self.cum[1:] = np.cumsum((np.diff(self.cum, axis=0) >> 1) | 1, axis=0)
 
-    def narrow(self, symbol: np.ndarray) -> None:
-        """To the symbol's part of the range."""
-        part = self.range // self.cum[-1].astype(np.uint64)
-        a = self.cum[symbol, self.lane].astype(np.uint64)
-        self.low = self.low + a * part
-        self.range = (self.cum[symbol + 1, self.lane].astype(np.uint64) - a) * part
-
-    def due(self) -> np.ndarray:
-        """Blocks whose top 16 bits are settled; the range of those that straddle is cut so that they are."""
-        settled = (self.low ^ (self.low + self.range)) < TOP
-        thin = ~settled & (self.range <= LOW_BITS)
-        if thin.any():
-            self.range[thin] = (~self.low[thin] + np.uint64(1)) & LOW_BITS
-            settled |= thin
-        return np.flatnonzero(settled)
+    def narrow(self, symbol: np.ndarray, part: np.ndarray, bits: np.ndarray) -> None:
+        """To the symbol's part of the range, and the size of one of its 2**bits offsets."""
+        flat, n = self.cum.ravel(), len(symbol)
+        at = symbol * n + self.lane
+        a = flat[at].astype(np.uint64)
+        self.low += a * part
+        self.range = ((flat[at + n].astype(np.uint64) - a) * part) >> bits
+
+    def part(self) -> np.ndarray:
+        return self.range // self.cum[-1].astype(np.uint64)
+
+    def due(self, at: np.ndarray | None) -> np.ndarray:
+        """Of the blocks ``at`` (None: all) those whose top 16 bits are settled; the range of those that straddle is cut so that they are."""
+        low, span = (self.low, self.range) if at is None else (self.low[at], self.range[at])
+        settled = (low ^ (low + span)) < TOP
+        thin = np.flatnonzero((span <= LOW_BITS) & ~settled)
+        if len(thin):
+            own = thin if at is None else at[thin]
+            self.range[own] = (~self.low[own] + np.uint64(1)) & LOW_BITS
+            settled[thin] = True
+        found = np.flatnonzero(settled)
+        return found if at is None else at[found]
 
     def drop(self, at: np.ndarray) -> None:
         """The settled 16 bits."""
@@ -180,53 +189,59 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     """The code of each row of ids (blocks, length), unsigned 32-bit."""
     n, longest = ids.shape
     model = _Model(n)
-    words, at = np.zeros((n, longest * 3 + 8), np.uint16), np.zeros(n, np.int64)
-    magnitude = (np.frexp(ids.astype(np.float64) + 1)[1] - 1).astype(np.int64)
+    words, at = np.zeros(n * (longest * 3 + 8), np.uint16), np.arange(n) * (longest * 3 + 8)
+    begin = at.copy()
+    columns = np.ascontiguousarray(ids.T)
     for t in range(longest):
-        x = ids[:, t]
+        x = columns[t]
+        above = x + np.uint32(1)
         p1, p2 = model.predict()
-        symbol = np.where(x == p2, 0, np.where(x == p1, 1, magnitude[:, t] + 2))
-        model.narrow(symbol)
-        bits = np.where(symbol > 1, symbol - 2, 0).astype(np.uint64)
-        model.range >>= bits
-        offset = np.where(symbol > 1, x.astype(np.uint64) + np.uint64(1) - (np.uint64(1) << bits), np.uint64(0))
-        model.low = model.low + offset * model.range
-        while len(due := model.due()):
-            words[due, at[due]] = (model.low[due] >> np.uint64(48)).astype(np.uint16)
+        symbol = (np.frexp(above.astype(np.float64))[1] + 1).astype(np.int64)  # magnitude + 2
+        symbol[x == p1] = 1
+        symbol[x == p2] = 0
+        missed = symbol > 1
+        bits = np.where(missed, symbol - 2, 0).astype(np.uint64)
+        model.narrow(symbol, model.part(), bits)
+        offset = np.where(missed, above.astype(np.uint64) - (ONE << bits), ZERO)
+        model.low += offset * model.range
+        due = None
+        while len(due := model.due(due)):
+            words[at[due]] = model.low[due] >> np.uint64(48)
             at[due] += 1
             model.drop(due)
         model.learn(x, symbol)
-    for k in range(4):
-        words[model.lane, at] = (model.low >> np.uint64(48)).astype(np.uint16)
+    for _ in range(4):
+        words[at] = model.low >> np.uint64(48)
         at += 1
         model.low <<= np.uint64(16)
-    return [words[i, : at[i]].astype("<u2").tobytes() for i in range(n)]
+    return [words[a:b].astype("<u2").tobytes() for a, b in zip(begin.tolist(), at.tolist(), strict=True)]
 
 
 def decode_blocks(coded: list[bytes], longest: int) -> np.ndarray:
     n = len(coded)
-    size = [len(x) // 2 for x in coded]
-    words = np.zeros((n, max(size) + longest * 3 + 8), np.uint16)
-    for i, x in enumerate(coded):
-        words[i, : size[i]] = np.frombuffer(x, "<u2")
+    size = np.array([len(x) // 2 for x in coded])
+    at = np.concatenate(([0], np.cumsum(size)[:-1]))
+    words = np.concatenate([np.frombuffer(b"".join(coded), "<u2"), np.zeros(longest * 3 + 8, np.uint16)]).astype(np.uint64)
     model, out = _Model(n), np.zeros((longest, n), np.uint32)
     code = np.zeros(n, np.uint64)
     for k in range(4):
-        code = (code << np.uint64(16)) | words[:, k]
-    at = np.full(n, 4)
+        code = (code << np.uint64(16)) | words[at + k]
+    at += 4
     for t in range(longest):
         p1, p2 = model.predict()
-        total = model.cum[-1].astype(np.uint64)
-        value = np.minimum((code - model.low) // (model.range // total), total - np.uint64(1)).astype(np.int64)
+        part = model.part()
+        value = np.minimum((code - model.low) // part, np.uint64(32767)).astype(np.int16)
+        np.minimum(value, model.cum[-1] - np.int16(1), out=value)
         symbol = (model.cum[1:] <= value).sum(axis=0, dtype=np.uint8).astype(np.int64)
-        model.narrow(symbol)
-        bits = np.where(symbol > 1, symbol - 2, 0).astype(np.uint64)
-        model.range >>= bits
-        offset = (code - model.low) // model.range
-        x = np.where(symbol > 1, offset + (np.uint64(1) << bits) - np.uint64(1), np.where(symbol == 0, p2, p1)).astype(np.uint32)
-        model.low = model.low + np.where(symbol > 1, offset, np.uint64(0)) * model.range
-        while len(due := model.due()):
-            code[due] = (code[due] << np.uint64(16)) | words[due, at[due]]
+        missed = symbol > 1
+        bits = np.where(missed, symbol - 2, 0).astype(np.uint64)
+        model.narrow(symbol, part, bits)
+        offset = np.where(missed, (code - model.low) // model.range, ZERO)
+        x = np.where(missed, offset + (ONE << bits) - ONE, np.where(symbol == 0, p2, p1)).astype(np.uint32)
+        model.low += offset * model.range
+        due = None
+        while len(due := model.due(due)):
+            code[due] = (code[due] << np.uint64(16)) | words[at[due]]
             at[due] += 1
             model.drop(due)
         model.learn(x, symbol)
