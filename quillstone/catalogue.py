@@ -260,10 +260,10 @@ def triage_vectors(spark, d):
     return retrieval.classify(asked, _prototypes(spark, d), query_key="vec_id")
 
 
-@query(f"{_TRIAGE} SELECT vec_id, label, score, rank FROM b WHERE vec_id % 20 = 0")
+@query(f"{_TRIAGE} SELECT vec_id, label, score, rank FROM b")
 def triage_scores_ranked(spark, d):
     p = _prototypes(spark, d).select(F.col("ord").alias("label"), F.col("embedding").alias("_p"))
-    s = table(spark, d, "embeddings").where("vec_id % 20 = 0").select("vec_id", "embedding").crossJoin(p).select("vec_id", "label", F.round(vx.dot("embedding", "_p"), 6).alias("score"))
+    s = table(spark, d, "embeddings").select("vec_id", "embedding").crossJoin(p).select("vec_id", "label", F.round(vx.dot("embedding", "_p"), 6).alias("score"))
     return s.withColumn("rank", F.row_number().over(W.partitionBy("vec_id").orderBy(F.desc("score"), "label")).cast("long"))
 
 
@@ -368,8 +368,8 @@ def chunk_stats(spark, d):
 
 @query()
 def ask_workspace(spark, d):
-    """The workspace's answer passages for a question over its few documents."""
-    docs = table(spark, d, "documents").where("doc_id < 5").select("doc_id", F.lit("doc").alias("title"), F.col("text").alias("body"))
+    """The workspace's answer passages for a question. A workspace takes the first documents up to its limit of five."""
+    docs = table(spark, d, "documents").select("doc_id", F.lit("doc").alias("title"), F.col("text").alias("body"))
     space = engine.Workspace(spark, Config())
     space.ingest(docs)
     return space.ask(ASKED).select("key", "score", "rank", "heading")
@@ -431,10 +431,10 @@ def entity_aggregate(spark, d):
     return _merged(spark, d).select("entity", "type", "surface", "count", F.size("docs").cast("long").alias("docs"), F.size("chunk_keys").cast("long").alias("chunks"))
 
 
-@query(f"""WITH {_MERGED_SQL} SELECT CAST(doc_id AS VARCHAR) AS id, 'doc ' || doc_id AS label, 'DOC' AS type, CAST(3 + count(*) AS BIGINT) AS weight FROM t WHERE doc_id < 3 GROUP BY doc_id
+@query(f"""WITH {_MERGED_SQL} SELECT CAST(doc_id AS VARCHAR) AS id, 'doc ' || doc_id AS label, 'DOC' AS type, CAST(3 + count(*) AS BIGINT) AS weight FROM t GROUP BY doc_id
 UNION ALL SELECT entity, surface, type, CAST(1 + least(count, 8) AS BIGINT) FROM top""")
 def graph_nodes(spark, d):
-    docs = table(spark, d, "documents").select("doc_id").unionByName(rows(spark, "doc_id long, ord long, text string", _SAMPLES).select("doc_id")).where("doc_id < 3")
+    docs = table(spark, d, "documents").select("doc_id").unionByName(rows(spark, "doc_id long, ord long, text string", _SAMPLES).select("doc_id"))
     named = docs.groupBy("doc_id").agg(F.count("*").alias("chunks")).withColumn("name", F.concat(F.lit("doc "), F.col("doc_id").cast("string")))
     return graph.nodes(named, graph.top_entities(_merged(spark, d)))
 

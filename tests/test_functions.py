@@ -69,3 +69,11 @@ def test_fnv_softmax_and_verdict(spark):
     assert math.isclose(sum(p), 1) and math.isclose(p[1], 1 / (1 + math.exp(-1)))
     say = lambda e, c, t: one(spark, vx.verdict(F.lit(e), F.lit(c), F.lit(t)))
     assert [say(0.5, 0.1, "long enough one"), say(0.2, 0.6, "long enough one"), say(0.2, 0.5, "long enough one"), say(0.9, 0.0, "short")] == ["supported", "contradicted", "uncertain", "unverified"]
+
+
+def test_functions_by_name_in_sql(spark):
+    from quillstone.functions.registry import register
+
+    register(spark)
+    got = spark.sql("SELECT fnv1a('refund') h, dot(array(1D, 2D), array(3D, 4D)) d, split_claims('A is so. B is.') c, chunk_document('T', 'body') k").first()
+    assert got["h"] == 854262879 and got["d"] == 11.0 and [x["text"] for x in got["c"]] == ["A is so.", "B is."] and got["k"][0]["heading"] == "T"
