@@ -172,26 +172,36 @@ def segments_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
     """c, fragment, segment (packed sorted hashes) of the classes in ``wanted`` (c, rep), made from their texts again."""
 
     def make(batches):
-        shingler = Shingler()
+        shingler, seen = Shingler(), set()
         cuts = (np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64(2**64 // FRAGMENTS)).astype(np.uint64)
         for pdf in batches:
             rows = []
             for c, text in zip(pdf["c"], pdf["text"], strict=True):
+                if c in seen:
+                    continue
                 h = shingler(text)
                 if int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True) == c:
+                    seen.add(c)
                     rows += [(c, f, x.tobytes()) for f, x in enumerate(np.split(h, np.searchsorted(h, cuts))) if len(x)]
             yield pd.DataFrame(rows, columns=["c", "fragment", "segment"])
 
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    found = nearly(texts, "doc", wanted.select("rep")).join(wanted.select("c", F.col("rep").alias("doc")), "doc").select("c", "text")
+    return found.mapInPandas(make, "c long, fragment int, segment binary")
+
+
+def nearly(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose column's hash bucket one of ``wanted`` (one column) has: keeps most others out of a shuffle. Broadcasts BUCKETS rows at most."""
     bucket = lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).withColumn("_b", bucket("doc"))
-    # at most BUCKETS rows: keeps most texts that take no part out of the shuffle
-    some = texts.join(F.broadcast(wanted.select(bucket("rep").alias("_b")).distinct()), "_b", "left_semi").drop("_b")
-    found = some.join(wanted.select("c", F.col("rep").alias("doc")), "doc").select("c", "text")
-    return found.mapInPandas(make, "c long, fragment int, segment binary").dropDuplicates(["c", "fragment"])
+    some = F.broadcast(wanted.select(bucket(wanted.columns[0]).alias("_b")).distinct())
+    return rows.withColumn("_b", bucket(column)).join(some, "_b", "left_semi").drop("_b")
 
 
 def linked(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """The pairs (a, b, na, nb) whose sets reach the similarity: overlaps by fragment, summed per pair."""
+    """The pairs (a, b, na, nb) whose sets reach the similarity: overlaps by fragment, summed per pair.
+
+    A class may have a fragment's segment twice (repeated rows); the largest count of a fragment is its count.
+    """
 
     @F.pandas_udf("long")
     def overlap(one: pd.Series, two: pd.Series) -> pd.Series:
@@ -204,8 +214,9 @@ def linked(pairs: DataFrame, segments: DataFrame) -> DataFrame:
         return pd.Series([count(x, y) for x, y in zip(one, two, strict=True)], dtype="int64")
 
     side = lambda c, s: segments.select(F.col("c").alias(c), "fragment", F.col("segment").alias(s))
-    both = pairs.join(side("a", "sa"), "a").join(side("b", "sb"), ["b", "fragment"])
-    total = both.select("a", "b", "na", "nb", overlap("sa", "sb").alias("o")).groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
+    both = pairs.join(nearly(side("a", "sa"), "a", pairs.select("a")), "a").join(nearly(side("b", "sb"), "b", pairs.select("b")), ["b", "fragment"])
+    each = both.select("a", "b", "na", "nb", "fragment", overlap("sa", "sb").alias("o")).groupBy("a", "b", "na", "nb", "fragment").agg(F.max("o").alias("o"))
+    total = each.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
     return total.where(100 * F.col("o") >= NEED * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
