@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import stored, table
+from .common import give_back, stored, table
 
 K = 5
 #: Links need NEED * union <= 100 * intersection.
@@ -35,7 +35,7 @@ BUCKETS = 1 << 17
 #: Shingles in at least this share of the documents, and this many, are common: at most (mean set size) / COMMON_SHARE of them.
 COMMON_SHARE, COMMON_DOCS = 1e-3, 30
 #: Shingles counted at once by a task.
-COUNTED = 4_000_000
+COUNTED = 2_000_000
 #: Rounds that hold each group against one hub before all remaining pairs are made.
 HUB_ROUNDS = 2
 BITS = ["b0", "b1", "b2", "b3"]
@@ -52,7 +52,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """The sorted distinct shingle hashes of texts; keeps the hashes of words that it has seen."""
 
-    def __init__(self, k: int = K, keep: int = 500_000):
+    def __init__(self, k: int = K, keep: int = 200_000):
         self.k, self.keep, self.known = k, keep, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -140,6 +140,8 @@ def common_shingles(docs: DataFrame, text_col: str) -> np.ndarray:
                     yield frequent()
                     held, n, seen = [], 0, 0
         yield frequent()
+        held.clear()
+        give_back()
 
     least = max(COMMON_DOCS, COMMON_SHARE * docs.count())
     often = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "h long, often long").groupBy("h").agg(F.sum("often").alias("n")).where(F.col("n") >= least)
@@ -152,17 +154,22 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     The parities of how many hashes begin with each byte: as many of two sets' parities differ at most as shingles do.
     """
     common = common_shingles(docs, text_col)
+    framed = lambda rows: pd.DataFrame(rows, columns=["doc", "n", "c", *BITS, "keys"]).astype({"doc": "Int64"})
 
     def make(batches):
         shingler = Shingler()
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["doc"], pdf["text"], strict=True):
+                if len(rows) == 2000:
+                    yield framed(rows)
+                    rows = []
                 h = shingler(text)
                 c = int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
                 bits = np.packbits(np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=256) & 1).view(np.int64).tolist()
                 rows.append((doc, len(h), c, *bits, join_keys(h, common).view(np.int64) if len(h) else np.empty(0, np.int64)))
-            yield pd.DataFrame(rows, columns=["doc", "n", "c", *BITS, "keys"]).astype({"doc": "Int64"})
+            yield framed(rows)
+        give_back()
 
     schema = "doc long, n long, c long, b0 long, b1 long, b2 long, b3 long, keys array<long>"
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInPandas(make, schema)
@@ -184,6 +191,7 @@ def segments_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
                     seen.add(c)
                     rows += [(c, f, x.tobytes()) for f, x in enumerate(np.split(h, np.searchsorted(h, cuts))) if len(x)]
             yield pd.DataFrame(rows, columns=["c", "fragment", "segment"])
+        give_back()
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     found = nearly(texts, "doc", wanted.select("rep")).join(wanted.select("c", F.col("rep").alias("doc")), "doc").select("c", "text")

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 SLICE = 400_000  # characters hashed at once, so that a long text needs no more memory
 
 
@@ -99,6 +101,7 @@ def fitted(sample: DataFrame, features, choose, fit):
                 own = pdf.iloc[at : at + 500]
                 got = [features(x or "") for x in own["_text"]]
                 yield pd.DataFrame({"_id": own["_id"], "_y": own["_y"], "b": [a.astype("<u4").tobytes() for a, _ in got], "v": [None if v is None else v.astype("<f4").tobytes() for _, v in got]})
+        give_back()
 
     def learn(batches):
         rows = [r for pdf in batches for r in pdf.itertuples(index=False, name=None)]
@@ -114,6 +117,8 @@ def fitted(sample: DataFrame, features, choose, fit):
         col = np.concatenate([np.empty(0, np.int64), *(at[b[k]] for b, k in zip(buckets, kept, strict=True))])
         value = np.concatenate([np.empty(0, np.float32), *(v[k] for v, k in zip(values, kept, strict=True))])
         yield pd.DataFrame({"model": [pickle.dumps(fit(row, col, value, y, chosen))]})
+        del rows, buckets, values, kept, row, col, value
+        give_back()
 
     made = sample.mapInPandas(extract, "_id long, _y int, b binary, v binary").repartition(1).mapInPandas(learn, "model binary")
     return pickle.loads(made.first()[0])

@@ -62,7 +62,7 @@ class Encoder:
     control strings) go through the tokenizer whole.
     """
 
-    def __init__(self, path: str, by_part: bool = True, keep: int = 700_000):
+    def __init__(self, path: str, by_part: bool = True, keep: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
