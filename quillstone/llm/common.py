@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import sys
 import tempfile
 import uuid
 
@@ -41,8 +42,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def give_back() -> None:
-    """Returns memory that a task has freed to the system: Python workers live on, and executors count what they hold."""
+def give_back(encoders: bool = True) -> None:
+    """Returns memory that a task has freed to the system: Python workers live on, and executors count what they hold.
+
+    Encoders that earlier tasks have left in the worker go too, unless the caller's next tasks need them.
+    """
+    if encoders:
+        sys.__dict__.pop("_quillstone_encoders", None)
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

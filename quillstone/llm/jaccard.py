@@ -287,9 +287,12 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         )
         at = root_of(groups, "c", "root")
         # groups whose classes are not all in one component yet, with the hub of this turn
+        same = [F.count("*").alias("_n"), F.bit_xor("c").alias("_x"), F.bit_xor(F.xxhash64("c")).alias("_y")]
         other = F.lit(0x1F3D5B79A2C4E608 * (turn + 1) % 2**63)
-        split = at.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.min(F.col("c").bitwiseXOR(other)).alias("_h"))
-        split = split.where("_lo <> _hi").select("key", F.col("_h").bitwiseXOR(other).alias("hc"))
+        split = at.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.min(F.col("c").bitwiseXOR(other)).alias("_h"), *same)
+        split = split.where("_lo <> _hi")
+        # keys that stand for the same classes make the same pairs: one of them does
+        split = split.groupBy("_n", "_x", "_y").agg(F.min("key").alias("key"), F.min("_h").alias("_h")).select("key", F.col("_h").bitwiseXOR(other).alias("hc"))
         hub_traits = traits.select(*[F.col(x).alias("h" + x) for x in traits.columns])
         if turn < HUB_ROUNDS:
             met = at.join(split, "key").where("c <> hc").select("c", "hc", "root").distinct()

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .linear import Model, char_grams, codes, fit_logistic, fitted, labelled_sample, most, sigmoid, sliced, two_classes
-from .common import table
+from .common import give_back, table
 
 BITS, LOW, HIGH, FEATURES = 18, 1, 3, 6000
 #: Labelled rows of each class that are learnt from at most; every fourth of them calibrates.
@@ -153,6 +153,7 @@ def rated(model: QualityModel, text: Column) -> Column:
 
     @F.pandas_udf(SCHEMA)
     def rate(texts: pd.Series) -> pd.DataFrame:
+        give_back()
         weight, kind = model.linear.table(), Features()
         rows = []
         for x in texts:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .linear import Model, char_grams, codes, fit_logistic, fitted, labelled_sample, most, sigmoid, sliced, two_classes
-from .common import table
+from .common import give_back, table
 
 BITS, LOW, HIGH = 20, 3, 6
 #: Labelled rows of each class that are learnt from at most, and n-gram buckets that are kept at most.
@@ -68,6 +68,7 @@ def score_column(model: Model, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
+        give_back()
         weight = model.table()
         wanted = weight != 0
         return pd.Series([float(sigmoid(model.bias + weight[present(x or "", wanted)].sum(dtype=np.float64))) for x in texts])
