@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Lines in a window, and the window sums at which the main text surges (starts) and dives (ends).
-WINDOW, SURGE, DIVE = 3, 60, 1
+#: Lines in a window, and the window sums at which the main text surges (starts) and dives (ends), in characters outside links.
+WINDOW, SURGE, DIVE = 3, 60, 20
+#: A block of fewer characters ends no span, where nothing marks it as content.
+SHORT = 10
 #: Elements whose whole content is no text of the article.
 NO_TEXT = "script style noscript template head title svg math iframe object canvas select option datalist button textarea audio video map".split()
 ASIDE = "nav header footer aside form menu dialog".split()
@@ -23,6 +26,9 @@ ASIDE_WORDS = re.compile(
     r"navigation|contentinfo|complementary|alert)(?=$|[\s_-])",
     re.I,
 )
+#: Words in class or id that support a container's own text, and words of a short block that speak against it at a span's end.
+CONTENT_WORDS = re.compile(r"(?:^|[\s_-])(?:content|article|post|entry|story|body|text)(?=$|[\s_-])", re.I)
+SMALL_PRINT = re.compile(r"©|\(c\)|\bcopyright\b|\ball rights reserved\b|\bcookies?\b", re.I)
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that begin and end a block; others run on within a line.
 BLOCK = set(
@@ -30,6 +36,11 @@ BLOCK = set(
     "header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSED_BY_BLOCK = {"p"}
+#: Elements that hold a part of the page; others belong to the part that they stand in.
+BOX = set("html body div section article main center details dialog fieldset td th".split())
+HEADING = set("h1 h2 h3 h4 h5 h6".split())
+#: What stands between the links of a menu.
+BETWEEN_LINKS = " \t\r\f\xa0|/·•,;:<>»«›‹–-"
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
 )
@@ -52,42 +63,86 @@ def aside(name: str, attributes: str) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, bool]]:
-    """The page's text blocks in order, each with whether it stands inside article or main."""
-    out: list[tuple[str, bool]] = []
-    buffer: list[str] = []
-    stack: list[tuple[str, bool]] = []  # open elements that matter: name, whether its content is left out
-    skipped = inside = 0
+class Block(NamedTuple):
+    """A text block: its text, the characters outside links of each of its source lines, empty lines before it, the
+    container it stands in, its support (2 in article or main, 1 in a container named as content), whether it is a heading."""
+
+    text: str
+    sizes: list[int]
+    gap: int
+    box: int
+    support: int
+    heading: bool
+
+    @property
+    def size(self) -> int:
+        return sum(self.sizes)
+
+
+class Open(NamedTuple):
+    """An open element that matters: whether its content is left out, its container, that around it, whether it is named as content."""
+
+    name: str
+    off: bool
+    box: int
+    outer: int
+    content: bool
+
+
+def blocks_of(page: str) -> list[Block]:
+    """The page's text blocks in order. A block tag beside a text is on the text's line; every other one, and what
+    stands in a part that is left out, is an empty line."""
+    out: list[Block] = []
+    buffer: list[tuple[str, bool]] = []  # text, whether within a link
+    stack: list[Open] = []
+    skipped = inside = boxes = marks = 0  # marks: block tags, and lines left out, since the last text
+    link = False
 
     def flush():
-        text = BLANK.sub(" ", entities.unescape("".join(buffer))).strip()
-        buffer.clear()
+        nonlocal marks
+        raw = "".join(x for x, _ in buffer)
+        text = BLANK.sub(" ", entities.unescape(raw)).strip()
         if text:
-            out.append((text, inside > 0))
+            top = stack[-1] if stack else Open("", False, 0, 0, False)
+            heading = top.name in HEADING
+            plain = raw if heading else "".join("\n" * x.count("\n") if linked else x for x, linked in buffer)
+            sizes = [len(y.strip(BETWEEN_LINKS)) for x, y in zip(raw.split("\n"), plain.split("\n"), strict=True) if x.strip()]
+            box = top.outer if top.name in BOX else top.box
+            out.append(Block(text, sizes, max(0, marks - 2), box, 2 if inside else int(top.content), heading))
+            marks = 0
+        buffer.clear()
 
     at = 0
     while at < len(page):
         tag = MARKUP.search(page, at)
+        text = page[at : tag.start() if tag else len(page)]
         if not skipped:
-            buffer.append(page[at : tag.start() if tag else len(page)])
+            buffer.append((text, link))
+        elif text and not text.isspace():
+            marks += 1
         if not tag:
             break
         at = tag.end()
         name = (tag[2] or "").lower()
         if not name:
             continue
-        if name in BLOCK and not skipped:
-            flush()
+        if name in BLOCK:
+            if not skipped:
+                flush()
+            marks += 1
         if tag[1]:
-            if any(n == name for n, _ in stack):
+            if name == "a" or name in BLOCK:  # a link that is not closed ends with its block
+                link = False
+            if any(x.name == name for x in stack):
                 while stack:
-                    n, off = stack.pop()
-                    skipped -= off
-                    inside -= n in ("article", "main")
-                    if n == name:
+                    last = stack.pop()
+                    skipped -= last.off
+                    inside -= last.name in ("article", "main")
+                    if last.name == name:
                         break
             continue
         if name in NO_TEXT and name != "head":
+            marks += 1
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
             if tag[3].rstrip().endswith("/"):
                 continue
@@ -98,56 +153,111 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
             continue
         if name in VOID or tag[3].rstrip().endswith("/"):
             continue
+        if name == "a":
+            link = "href" in tag[3].lower()
         off = name == "head" or aside(name, tag[3])
         if name == "body":  # an unclosed head ends here
-            while stack and stack[-1][0] == "head":
-                skipped -= stack.pop()[1]
+            while stack and stack[-1].name == "head":
+                skipped -= stack.pop().off
         if off or name in BLOCK or name in ("article", "main", "section", "span"):
-            if name in CLOSED_BY_BLOCK and stack and stack[-1][0] == name:
-                skipped -= stack.pop()[1]
-            stack.append((name, off))
+            if name in CLOSED_BY_BLOCK and stack and stack[-1].name == name:
+                skipped -= stack.pop().off
+            outer, content = (stack[-1].box, stack[-1].content) if stack else (0, False)
+            if name in BOX:
+                boxes += 1
+                content = any(key.lower() in ("class", "id") and CONTENT_WORDS.search(a or b or c) for key, a, b, c in ATTRIBUTE.findall(tag[3]))
+            stack.append(Open(name, off, boxes if name in BOX else outer, outer, content))
             skipped += off
             inside += name in ("article", "main")
     flush()
     return out
 
 
-def main_span(lengths: list[int]) -> list[tuple[int, int]]:
-    """Ranges of lines between a surge, taken back to the first line of its run of text, and the next dive of the window sums."""
-    n = len(lengths)
-    sums = [sum(lengths[i : i + WINDOW]) for i in range(n)]
-    spans, start = [], None
-    for i in range(n):
-        if start is None and sums[i] >= SURGE and lengths[i]:
-            start = i
-            while start and lengths[start - 1] and (not spans or start > spans[-1][1]):
-                start -= 1
-        elif start is not None and sums[i] < DIVE:
-            spans.append((start, i))
-            start = None
-    if start is not None:
-        spans.append((start, n))
-    return spans
+def main_spans(blocks: list[Block], supported: bool = False) -> list[bool]:
+    """Which blocks have a line between a surge and the next dive of the window sums; where a block has support, any text surges."""
+    lines: list[tuple[int, int]] = []  # characters, block; -1: an empty line
+    for k, b in enumerate(blocks):
+        lines += [(0, -1)] * min(b.gap, WINDOW)  # more empty lines than a window change no sum
+        lines += [(n, k) for n in b.sizes]
+    kept, within, support = [False] * len(blocks), False, False
+    for i, (n, k) in enumerate(lines):
+        total = sum(x for x, _ in lines[i : i + WINDOW])
+        if k >= 0:
+            support = supported or blocks[k].support > 0
+        if within:
+            within = total >= (1 if support else DIVE)
+        else:
+            within = n > 0 and total >= (1 if support else SURGE)
+        if within and k >= 0:
+            kept[k] = True
+    return kept
+
+
+def bridged(blocks: list[Block], kept: list[bool]) -> None:
+    """Keeps text outside links between two kept blocks of one container, where it stands in that container itself."""
+    last = None
+    for k, b in enumerate(blocks):
+        if kept[k]:
+            if last is not None and blocks[last].box == b.box:
+                for j in range(last + 1, k):
+                    kept[j] = blocks[j].size > 0 and blocks[j].box == b.box
+            last = k
+
+
+def trimmed(blocks: list[Block], kept: list[bool]) -> None:
+    """Cuts the short blocks that the windows take in at the ends of a run; a heading that leads into a run belongs to it."""
+    k = 0
+    while k < len(blocks):
+        if not kept[k]:
+            k += 1
+            continue
+        end = k
+        while end < len(blocks) and kept[end]:
+            end += 1
+        main = max(blocks[k:end], key=lambda b: b.size)
+
+        def weak(b: Block) -> bool:
+            if b is main or b.support == 2:
+                return False
+            small_print = b.size < SURGE and SMALL_PRINT.search(b.text)
+            return bool(small_print) or not b.support and b.size < (SHORT if b.box == main.box else SURGE)
+
+        first, last = k, end - 1
+        while weak(blocks[first]) and not blocks[first].heading:
+            kept[first] = False
+            first += 1
+        while last > first and (weak(blocks[last]) or blocks[last].heading and not blocks[last].support and blocks[last] is not main):
+            kept[last] = False
+            last -= 1
+        if first == k and k and blocks[k - 1].heading and blocks[k].gap <= WINDOW:
+            kept[k - 1] = True
+        k = end
 
 
 def main_text(page: str | None) -> str:
     """The main text of a page: blocks joined by one newline; empty if there is none.
 
     Markup, scripts, styles, comments and parts marked as navigation, header, footer, sidebar, notice, advert, form or
-    reader comments become empty lines; what stands in article or main is the candidate where the page has such
-    an element with text. Over the lines that are left, the text between surge and dive points of the window sums is
-    kept; where no window surges (a very short article), all candidate lines are.
+    reader comments become empty lines. Over the lines, each weighed by its characters outside links, the text
+    between surge and dive points of the window sums is kept, so thin runs at the ends and between (menus, footers and
+    notices that nothing marks) go. Markup only supports this: in article, main and containers named as content any
+    text outside links surges, article and main alone are searched where they hold at least half of the text, and short
+    text between two kept blocks of its own container stays. Where no window surges (a very short
+    article), all text outside links is kept, and where all stands in links, all of it.
     """
     if not page:
         return ""
-    lines = lines_of(page)
-    if any(inside for _, inside in lines):
-        texts = [text if inside else "" for text, inside in lines]
+    blocks = blocks_of(page)
+    inside = [b for b in blocks if b.support == 2]
+    if inside and 2 * sum(b.size for b in inside) >= sum(b.size for b in blocks):
+        blocks = inside
+    kept = main_spans(blocks)
+    if any(kept):
+        trimmed(blocks, kept)
+        bridged(blocks, kept)
     else:
-        texts = [text for text, _ in lines]
-    spans = main_span([len(x) for x in texts])
-    kept = [x for a, b in spans for x in texts[a:b]] if spans else texts
-    return "\n".join(x for x in kept if x)
+        kept = main_spans(blocks, supported=True)
+    return "\n".join(b.text for b, keep in zip(blocks, kept, strict=True) if keep or not any(kept))
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> Column:

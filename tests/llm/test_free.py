@@ -223,6 +223,29 @@ def test_html_leaves_out_what_is_not_the_article():
     assert html.main_text("<p>" + "x" * 2_000_000 + "</p>") == "x" * 2_000_000
 
 
+def test_html_windows_cut_what_nothing_marks():
+    one = "The first paragraph of the story says at some length what has happened here."
+    two = "The second one, which is longer than a window's threshold too, tells the rest of it."
+    links = "".join(f'<li><a href="/{x}">{x} and more</a></li>' for x in ("Home", "News", "Sport", "Weather", "Travel"))
+    want = f"Title\n{one}\nYes.\nNo.\n{two}"
+    body = f"<h1>Title</h1><p>{one}</p><p>Yes.</p><ul><li>No.</li></ul><p>{two}</p>"
+    # menus and footers of links or of plain short lines, in containers of their own, as siblings and as source lines
+    assert html.main_text(f"<body><div><ul>{links}</ul></div><div>{body}</div><div><p>Contact us</p><p>Copyright 2024 Example Inc. All rights reserved.</p></div></body>") == want
+    assert html.main_text(f"<body>\n<div>\nHome<br>\nNews<br>\nAbout<br>\n</div>\n\n<div>\n{body}\n</div>\n\n<div>\nContact us today<br>\nImprint\n</div></body>") == want
+    assert html.main_text(f"<div>Home</div><div>News</div><h1>Title</h1><p>{one}</p><p>Yes.</p><p>No.</p><p>{two}</p><div>Contact</div><div>Imprint</div>") == want
+    assert html.main_text(f"<table><tr><td>Home</td><td>News</td></tr></table>{body}<table><tr><td>Imprint</td></tr></table>") == want
+    assert html.main_text(f"<ul>{links}</ul><div>{body}</div><div>We use cookies on this site. <a href='/ok'>Accept</a></div>") == want
+    # a notice and a link list between two parts of the text
+    assert html.main_text(f"<div><h1>Title</h1><p>{one}</p><p>Yes.</p><div><div>Advertisement</div></div><ul>{links}</ul><p>No.</p><p>{two}</p></div>") == want
+    # article and main support: an unmarked link list in them goes, short text stays; a teaser in article is not the page
+    assert html.main_text(f"<article>{body}<p>End.</p><ul>{links}</ul></article><p>{one}</p>") == want + "\nEnd."
+    assert html.main_text(f"<div>{body}</div><article>Next story</article>") == want + "\nNext story"
+    # paragraphs broken into source lines stay whole, as do pages of short lines only
+    assert html.main_text("<p>" + one.replace(" ", "\n") + f"</p><p>{two}</p>") == f"{one}\n{two}"
+    assert html.main_text("<p>Roses are red<p>Violets are blue") == "Roses are red\nViolets are blue"
+    assert html.main_text(f"<ul>{links}</ul>").count("\n") == 4
+
+
 def brute_repeats(words):
     win = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
     often = collections.Counter(win)
