@@ -1,5 +1,5 @@
 """Best-fit packing: a configuration linear program over the length histogram, solved by multiplicative weights with
-knapsack dynamic-programming pricing, then rounded; the rest is placed by best fit."""
+knapsack dynamic-programming pricing, in whole sequences; the rest is placed by best fit."""
 
 from __future__ import annotations
 
@@ -17,22 +17,25 @@ from .common import give_back, stored, table
 from .tokens import Encoder, tokenizer_path
 
 CAPACITY = 4096
-#: Priced configurations at most, and the step of the weights.
-ROUNDS, RATE = 160, 0.08
-#: The share of the tokens that best fit places: lengths in about their first proportions, so that it wastes little.
-REST = 0.2
+#: Rounds of pricing at most (a guard, beyond what the share below takes), the step of the weights, how near to the best a round's
+#: configurations are, and how many that are not end it.
+ROUNDS, RATE, NEAR, TRIES = 20_000, 0.08, 0.005, 20
+#: The share of the tokens that best fit places, and the pieces at most: lengths in about their first proportions, so that it wastes little.
+REST, REST_PIECES = 0.2, 200_000
 LONG = 0.1
 #: Pieces of one length that are numbered in one task.
 NUMBERED = 100_000
 
 
-def price(worth: np.ndarray, lengths: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration of the largest worth within the capacity: index of length -> copies (knapsack dynamic program).
+def price(worth: np.ndarray, lengths: np.ndarray, most: np.ndarray, capacity: int) -> list[dict[int, int]]:
+    """Configurations of the largest worth within the capacity (index of length -> copies), by a knapsack dynamic program.
 
-    The program allows any number of copies, each step vectorised over the lengths; copies beyond ``most`` are cut.
+    The program allows any number of copies, each step vectorised over the lengths. Its choices are followed as far as
+    ``most`` copies of a length allow, and replaced by the next best where not. The first configuration is the best;
+    others follow from other first lengths, each of lengths that those before do not have and within NEAR of the best.
     """
     order = np.argsort(lengths)
-    size, gain = lengths[order], worth[order]
+    size, gain, allowed = lengths[order], worth[order], most[order].astype(np.int64)
     best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     upto = np.searchsorted(size, np.arange(capacity + 1), side="right")
     for c in range(int(size[0]), capacity + 1):
@@ -40,42 +43,62 @@ def price(worth: np.ndarray, lengths: np.ndarray, most: np.ndarray, capacity: in
         value = best[c - size[:k]] + gain[:k]
         j = int(value.argmax())
         best[c], took[c] = (value[j], j) if value[j] > best[c - 1] else (best[c - 1], -1)
-    out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        j = took[c]
-        if j < 0:
-            c -= 1
+    found: list[dict[int, int]] = []
+    failed = 0
+    value = best[capacity - size] + gain
+    for first in np.argsort(-value, kind="stable").tolist():
+        if found and (value[first] < (1 - NEAR) * best[capacity] or failed > TRIES):
+            break
+        if not allowed[first]:
             continue
-        at = int(order[j])
-        out[at] = out.get(at, 0) + 1
-        c -= int(size[j])
-    return {i: min(n, int(most[i])) for i, n in out.items()}
-
-
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int) -> list[tuple[dict[int, int], float]]:
-    """Fractional configurations (index of length -> copies) and how often to use each, from the covering program
-    min sum(x) such that every length is covered ``counts`` times: multiplicative weights on the lengths.
-
-    A length's weight falls as it gets covered. Each round prices a configuration and uses it as often as its scarcest
-    length allows of a share of what is left, so weights move evenly.
+        out: dict[int, int] = {}
+        c, j, total = capacity, first, 0.0
+        while True:
+            out[j] = out.get(j, 0) + 1
+            allowed[j] -= 1
+            c -= int(size[j])
+            total += gain[j]
+            while c > 0 and took[c] < 0:
+                c -= 1
+            k = upto[c]
+            if not k:
+                break
+            j = int(took[c])
+            if not allowed[j]:
+                j = int(np.where(allowed[:k] > 0, best[c - size[:k]] + gain[:k], -1.0).argmax())
+                if not allowed[j]:
+                    break
+        good = not found or total >= (1 - NEAR) * best[capacity]
+        for j, n in out.items():
+            allowed[j] = 0 if good else allowed[j] + n
+        if good:
+            found.append({int(order[j]): n for j, n in out.items()})
+        failed = 0 if good else failed + 1
+    return found
+
+
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int) -> list[tuple[dict[int, int], int]]:
+    """Configurations (index of length -> copies) and how often to use each, from the covering program
+    min sum(x) such that every length is covered ``counts`` times: multiplicative weights on the lengths, rounded as it goes.
+
+    A length's weight falls as it gets covered. Each round prices configurations of different lengths and uses each as
+    often as its scarcest length allows of a share of what is left, so weights move evenly. The rounds end when REST of
+    the tokens and REST_PIECES pieces at most are left.
     """
-    left, total = counts.astype(float), counts.astype(float)
+    left, total = counts.astype(np.int64), counts.astype(np.int64)
     out = []
     for _ in range(rounds):
-        live = np.flatnonzero(left >= 1)
-        if not len(live):
-            break
-        if (left * lengths).sum() <= REST * (total * lengths).sum():
+        live = np.flatnonzero(left)
+        if not len(live) or (left * lengths).sum() <= REST * (total * lengths).sum() and left.sum() <= REST_PIECES:
             break
         # worth of a piece: its tokens, less as its length gets covered, a little more if it is long and so hard to place
         weight = np.exp(RATE * 10 * (left[live] / total[live] - 1)) * lengths[live] * (1 + LONG * lengths[live] / capacity)
-        chosen = {int(live[i]): n for i, n in price(weight, lengths[live], np.minimum(left[live], capacity), capacity).items() if n}
-        times = max(1.0, np.floor(min(left[i] / n for i, n in chosen.items()) * max(RATE * 4, 1 / 3)))
-        times = min(times, min(np.floor(left[i] / n) for i, n in chosen.items()))
-        for i, n in chosen.items():
-            left[i] -= n * times
-        out.append((chosen, times))
+        for found in price(weight, lengths[live], np.minimum(left[live], capacity), capacity):
+            chosen = {int(live[i]): n for i, n in found.items()}
+            times = max(1, int(min(left[i] / n for i, n in chosen.items()) / 2))
+            for i, n in chosen.items():
+                left[i] -= n * times
+            out.append((chosen, times))
     return out
 
 
@@ -111,37 +134,18 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUN
     lengths = np.array(sorted(histogram), np.int64)
     counts = np.array([histogram[x] for x in lengths.tolist()], np.int64)
     left = counts.copy()
-    rounded = []
-    for chosen, x in solve(lengths, counts, capacity, rounds):
-        times = int(min([np.floor(x), *(left[i] // n for i, n in chosen.items())]))
-        if times > 0:
-            rounded.append((times, sorted(((int(lengths[i]), n) for i, n in chosen.items()), reverse=True)))
-            for i, n in chosen.items():
-                left[i] -= n * times
+    programmed = []
+    for chosen, times in solve(lengths, counts, capacity, rounds):
+        programmed.append((times, sorted(((int(lengths[i]), n) for i, n in chosen.items()), reverse=True)))
+        for i, n in chosen.items():
+            left[i] -= n * times
     rest = {int(x): int(n) for x, n in zip(lengths, left, strict=True) if n}
-    return kinds + rounded + _placed(rest, capacity)
+    return kinds + programmed + _placed(rest, capacity)
 
 
 def _placed(rest: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Best fit for what rounding leaves: first many alike at once, then one by one."""
+    """Best fit for what the program leaves, REST_PIECES at most; like sequences are one kind."""
     out: dict[tuple, int] = {}
-    # lengths that are left in masses fill sequences of their own kind with the best partner until few remain
-    size = sum(rest.values())
-    while size > 200_000:
-        length = max(rest)
-        kind, free, x = [], capacity, length
-        while x is not None:
-            n = min(free // x, rest[x])
-            kind.append((x, n))
-            free -= n * x
-            x = max((y for y in rest if y <= free and y != x and y not in {k for k, _ in kind}), default=None)
-        times = min(rest[x] // n for x, n in kind)
-        out[tuple(kind)] = out.get(tuple(kind), 0) + times
-        for x, n in kind:
-            rest[x] -= n * times
-            size -= n * times
-            if not rest[x]:
-                del rest[x]
     for _, added in best_fit(rest, [], capacity):
         kind = tuple((x, added.count(x)) for x in sorted(set(added), reverse=True))
         out[kind] = out.get(kind, 0) + 1

@@ -182,6 +182,21 @@ def test_plan_is_close_to_the_bound(seed):
     assert sum(n for n, _ in kinds) <= -(-sum(x * n for x, n in h.items()) // 4096) * 1.01 + 1
 
 
+@pytest.mark.parametrize("times", [1, 1000])
+def test_program_places_all_but_the_stated_rest(times):
+    r = random.Random(5)
+    h = collections.Counter(min(4095, int(r.lognormvariate(6.5, 1)) + 1) for _ in range(3000))
+    lengths = np.array(sorted(h))
+    counts = np.array([h[x] * times for x in lengths.tolist()])
+    left = counts.copy()
+    for chosen, n in packing.solve(lengths, counts, 4096, packing.ROUNDS):
+        for i, copies in chosen.items():
+            left[i] -= copies * n
+    assert (left >= 0).all() and left.sum() <= packing.REST_PIECES and (left * lengths).sum() <= packing.REST * (counts * lengths).sum()
+    kinds = packing.plan({int(x): int(n) for x, n in zip(lengths, counts, strict=True)})
+    assert sum(n for n, _ in kinds) <= -(-int((lengths * counts).sum()) // 4096) * 1.005 + 1
+
+
 def test_hot_lengths_are_numbered_in_salts(spark, monkeypatch):
     monkeypatch.setattr(packing, "NUMBERED", 10)
     df = spark.range(200).select(F.col("id").alias("doc_id"), F.lit(7).cast("long").alias("length"))
