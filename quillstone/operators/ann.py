@@ -7,6 +7,7 @@ import math
 import pickle
 import random
 from dataclasses import astuple
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..plans.config import AnnConfig
-from .retrieval import check_dims, knn, vector
+from .retrieval import check_dims, in_blocks, knn, vector
 
 GRAPHS = "part long, count long, graph binary"
 
@@ -141,19 +142,21 @@ def build_ann(vectors: DataFrame, dims: int, cfg: AnnConfig = AnnConfig(), per_g
 
 
 def ann_search(index: DataFrame, queries: DataFrame, k: int, query_key="query", vec_col="embedding", key_type: str = "long", ef: int | None = None, most_queries: int = 10_000) -> DataFrame:
-    """query, key, score, rank: each graph answers every query (a counted set), the k best are merged."""
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries: search them in parts")
-    asked = [(r[0], list(r[1])) for r in queries.select(query_key, vec_col).collect()]  # bounded by the check above
-
-    def run(batches):
-        for pdf in batches:
-            for data in pdf["graph"]:
-                graph = SmallWorld.from_bytes(data)
-                rows = [(q, key, s) for q, v in asked for s, key in graph.search(v, k, ef)]
-                yield pd.DataFrame(rows, columns=[query_key, "key", "score"])
-
-    hits = index.select("graph").mapInPandas(run, f"`{query_key}` {dict(queries.dtypes)[query_key]}, key {key_type}, score double")
+    """query, key, score, rank: each graph answers every query, in blocks of ``most_queries``, and the k best are merged."""
+
+    def searcher(asked: list):
+        def run(batches):
+            for pdf in batches:
+                for data in pdf["graph"]:
+                    graph = SmallWorld.from_bytes(data)
+                    rows = [(q, key, s) for q, v in asked for s, key in graph.search(v, k, ef)]
+                    yield pd.DataFrame(rows, columns=[query_key, "key", "score"])
+
+        return run
+
+    blocks = ([(r[0], list(r[1])) for r in x] for x in in_blocks(queries.select(query_key, vec_col), most_queries))
+    schema = f"`{query_key}` {dict(queries.dtypes)[query_key]}, key {key_type}, score double"
+    hits = reduce(DataFrame.unionByName, [index.select("graph").mapInPandas(searcher(x), schema) for x in blocks])
     rank = F.row_number().over(W.partitionBy(query_key).orderBy(F.desc("score"), "key")).cast("long")
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 

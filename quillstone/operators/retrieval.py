@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,31 +42,43 @@ def knn(vectors: DataFrame, query: Column, k: int, min_score: float | None = Non
     return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), key_col)).cast("long"))
 
 
+def in_blocks(queries: DataFrame, most: int) -> Iterator[list]:
+    """The rows in lists of ``most`` at most, fetched a partition at a time; one empty list if there are none."""
+    rows = queries.toLocalIterator()
+    block = list(islice(rows, most))
+    while True:
+        yield block
+        block = list(islice(rows, most))
+        if not block:
+            return
+
+
 def knn_many(queries: DataFrame, vectors: DataFrame, k: int, query_key="query", key_col="key", vec_col="embedding", most_queries: int = 10_000) -> DataFrame:
-    """For each of a counted set of queries the k best vectors: scored in blocks where the vectors lie, the k best kept there, then merged.
+    """For each query the k best vectors: scored in blocks where the vectors lie, the k best kept there, then merged.
 
-    The queries (at most ``most_queries``) go to every task as one matrix; each task hands on k rows for each query at most.
+    Blocks of ``most_queries`` go to every task as one matrix each; each task hands on k rows for each query at most.
     """
-    n = queries.limit(most_queries + 1).count()
-    if n > most_queries:
-        raise ValueError(f"more than {most_queries} queries: search them in parts")
-    got = queries.select(query_key, vec_col).collect()  # bounded by the check above
-    names, matrix = [r[0] for r in got], np.array([r[1] for r in got], np.float64).reshape(len(got), -1)
+    kind, asked = dict(vectors.dtypes)[key_col], dict(queries.dtypes)[query_key]
+    blocks = in_blocks(queries.select(query_key, vec_col), most_queries)
+    parts = [vectors.select(key_col, vec_col).mapInPandas(_scorer(x, k, query_key, key_col, vec_col), f"`{query_key}` {asked}, `{key_col}` {kind}, score double") for x in blocks]
+    rank = F.row_number().over(W.partitionBy(query_key).orderBy(F.desc("score"), key_col)).cast("long")
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _scorer(got: list, k: int, query_key: str, key_col: str, vec_col: str):
+    names, matrix = [r[0] for r in got], np.array([r[1] for r in got], np.float64)
 
     def run(batches):
         held = None
-        for pdf in batches:
+        for pdf in batches if names else ():
             s = np.round(np.stack(pdf[vec_col].to_numpy()).astype(np.float64) @ matrix.T, 6)
             keys = pdf[key_col].to_numpy()
-            part = pd.concat([_best(names[j], keys, s[:, j], k, query_key, key_col) for j in range(len(names))]) if names else None
+            part = pd.concat([_best(names[j], keys, s[:, j], k, query_key, key_col) for j in range(len(names))])
             held = part if held is None else pd.concat([held, part]).sort_values([query_key, "score", key_col], ascending=[True, False, True]).groupby(query_key).head(k)
         if held is not None:
             yield held
 
-    kind = dict(vectors.dtypes)[key_col]
-    part = vectors.select(key_col, vec_col).mapInPandas(run, f"`{query_key}` {dict(queries.dtypes)[query_key]}, `{key_col}` {kind}, score double")
-    rank = F.row_number().over(W.partitionBy(query_key).orderBy(F.desc("score"), key_col)).cast("long")
-    return part.withColumn("rank", rank).where(F.col("rank") <= k)
+    return run
 
 
 def _best(name, keys, scores, k: int, query_key: str, key_col: str):

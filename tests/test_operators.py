@@ -80,6 +80,16 @@ def test_knn_floor_candidates_and_dims(spark, vectors):
         retrieval.check_dims(vectors, 31).collect()
 
 
+def test_more_queries_than_a_block_are_searched_in_blocks(vectors):
+    asked = vectors.limit(7).select(F.col("key").alias("query"), "embedding").localCheckpoint()
+    rows = lambda df: sorted(map(tuple, df.select("query", "key", "score", "rank").collect()))
+    assert rows(retrieval.knn_many(asked, vectors, 5, most_queries=3)) == rows(retrieval.knn_many(asked, vectors, 5))
+    index = ann.build_ann(vectors, len(asked.first()["embedding"]), AnnConfig())
+    kind = dict(vectors.dtypes)["key"]
+    assert rows(ann.ann_search(index, asked, 5, key_type=kind, most_queries=3)) == rows(ann.ann_search(index, asked, 5, key_type=kind))
+    assert retrieval.knn_many(asked.where("false"), vectors, 5).count() == ann.ann_search(index, asked.where("false"), 5, key_type=kind).count() == 0
+
+
 def test_knn_many_equals_single_searches(vectors):
     asked = vectors.where("key % 500 = 0").select(F.col("key").alias("query"), "embedding")
     many = {(r["query"], r["rank"]): r["key"] for r in retrieval.knn_many(asked, vectors, 5).collect()}
