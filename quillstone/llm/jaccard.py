@@ -333,24 +333,55 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     segments grouped, each group held against a hub, components contracted, and only pairs of different components
     that are left made in full; texts of classes in such groups are read once more for their segments.
     """
-    j = join_classes(docs, id_col, text_col)
+    return _components(join_classes(docs, id_col, text_col)).select(F.col("doc").alias(id_col), "n_shingles", "component_id")
+
+
+def _components(j: Join) -> DataFrame:
+    """doc, n_shingles, c, component_id, root of each document row; c and root are null for an empty set."""
     if j.roots is None:
-        named = j.classes.select("c", F.col("rep").alias("component"))
+        named = j.classes.select("c", F.col("rep").alias("component"), F.col("c").alias("root"))
     else:
         own = j.classes.join(j.roots, j.classes["c"] == j.roots["node"], "left").select("c", "rep", F.coalesce("root", "c").alias("root"))
         least = own.groupBy("root").agg(F.min("rep").alias("component"))
-        named = own.join(least, "root").select("c", "component")
+        named = own.join(least, "root").select("c", "component", "root")
     return j.sets.select("doc", "n", F.when(F.col("n") > 0, F.col("c")).alias("c")).join(named, "c", "left").select(
-        F.col("doc").alias(id_col), F.col("n").alias("n_shingles"),
+        "doc", F.col("n").alias("n_shingles"), "c", "root",
         F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component_id"),
     )
 
 
+def keyed_by_set(docs: DataFrame, text_col: str) -> DataFrame:
+    """The rows with _c, the key of their text's set as in sets_of; null for an empty set."""
+
+    @F.pandas_udf("long")
+    def key(texts: pd.Series) -> pd.Series:
+        shingler = Shingler()
+        sets = (shingler(x) for x in texts)
+        return pd.Series([int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True) if len(h) else None for h in sets], dtype="Int64")
+
+    return docs.withColumn("_c", key(F.coalesce(text_col, F.lit(""))))
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns, whose id is their component's smallest; of repeated ids one row; rows with a null id stay."""
-    keep = jaccard_components(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    """The documents, all columns, that are their component's first by id; rows with a null id stay.
+
+    Of rows that share an id, those with equal or linked sets are one document, of which one row stays, and unlinked
+    ones are documents of their own. Only rows of ids with unlike sets have their sets made once more to tell which is which.
+    """
+    found = _components(join_classes(docs, id_col, text_col)).where("doc IS NOT NULL")
+    # a component's smallest id may also be that of a row elsewhere: the survivor is a pair of id and set
+    least = found.where("root IS NOT NULL AND doc = component_id").groupBy("root").agg(F.min(F.struct("doc", "c")).alias("_s")).select("_s.doc", "_s.c")
+    empty = found.where("root IS NULL").select("doc", "c").distinct()
+    keep = stored(least.unionByName(empty), "kept")
+    unlike = stored(found.groupBy("doc").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.count("*").alias("_n"), F.count("c").alias("_m")).where("_lo <> _hi OR _m > 0 AND _m < _n").select(F.col("doc").alias("_doc")), "unlike")
+    named = docs.where(F.col(id_col).isNotNull()).join(keep.select(F.col("doc").alias("_kept")).distinct(), F.col(id_col) == F.col("_kept"), "left_semi")
+    whole = named.join(unlike, F.col(id_col) == F.col("_doc"), "left_anti").dropDuplicates([id_col])
+    if not unlike.isEmpty():
+        rows = keyed_by_set(named.join(unlike, F.col(id_col) == F.col("_doc"), "left_semi"), text_col)
+        kept = keep.select(F.col("doc").alias("_kept"), F.col("c").alias("_set"))
+        own = rows.join(kept, (F.col(id_col) == F.col("_kept")) & F.col("_c").eqNullSafe(F.col("_set")), "left_semi")
+        whole = whole.unionByName(own.dropDuplicates([id_col, "_c"]).drop("_c"))
+    return whole.unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

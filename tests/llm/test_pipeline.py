@@ -21,6 +21,15 @@ def test_stages_take_effect_and_keep_columns(spark):
     assert p.run(spark, DATA).count() == packed.count()
 
 
+def test_rows_of_one_id_with_unlinked_texts_are_documents_of_their_own(spark):
+    from quillstone.llm import jaccard
+
+    near, other, third = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    docs = [(3, near), (5, near + " z"), (5, other), (5, other.upper()), (5, ""), (6, other + " z"), (7, third), (7, third)]
+    got = jaccard.one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r[0], r[1].lower()) for r in got) == sorted([(3, near), (5, other), (5, ""), (7, third)])
+
+
 def test_entry_lists_all_eleven():
     import __spark_entry__ as e
 
