@@ -258,7 +258,8 @@ def _may_link() -> Column:
 
 @dataclass
 class Join:
-    """What the join has found: ``sets`` (doc, n, c), ``classes`` (c, n, rep, copies), ``links`` (a, b) between classes and ``roots`` (node, root)."""
+    """What the join has found: ``sets`` (doc, n, c), ``classes`` (c, n, rep, copies), ``roots`` (node, root) and ``links``
+    (a, b) between classes: enough of them for the components, not all, as pairs of one component are not compared."""
 
     sets: DataFrame
     classes: DataFrame
