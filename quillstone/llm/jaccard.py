@@ -1,45 +1,46 @@
 """N-gram Jaccard join by vertical partitioning of the global n-gram order.
 
-The global order is that of 64-bit shingle hashes, cut into fragments (hash ranges). The part of a document's
-set in one fragment is a segment. Two sets x, y with |x & y| >= 0.8 |x | y| differ in at most (|x| + |y|) / 9 shingles,
-and a shingle in which they differ spoils one fragment. So, where more fragments are occupied than that, they share
-whole segments: candidates come from equal segments, and no link is lost. For the candidates the overlaps are
-counted fragment by fragment and summed per pair.
+The global order puts shingles of few documents first (by a count over all documents, then by hash), so a set's prefix,
+of which any linked set shares a shingle, holds what is rare: a line or passage that many documents share makes no large
+group. Shingles of one document alone meet nothing and are never shuffled. For the candidates the hash range is cut into fragments;
+overlaps are counted for each fragment apart and summed per pair.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import give_back, stored, table
 
 K = 5
 #: Links need NEED * union <= 100 * intersection.
 NEED = 80
-#: Fragments for a set of s shingles: the power of two in [SPREAD * s, 2 * SPREAD * s).
-SPREAD = 0.3
 #: Fragments in which overlaps are counted.
 FRAGMENTS = 4
-#: Classes with at least this many copies, and this share of the documents, are collapsed before the shuffle: 10,000 at most.
-HEAVY_COPIES, HEAVY_SHARE = 1000, 1e-4
 #: Hash buckets that say which documents can take part; bounds what is broadcast.
 BUCKETS = 1 << 17
-#: Shingles in at least this share of the documents, and this many, are common: at most (mean set size) / COMMON_SHARE of them.
-COMMON_SHARE, COMMON_DOCS = 1e-3, 30
-#: Shingles counted at once by a task.
-COUNTED = 2_000_000
+#: A chunk ends beyond this many shingles or documents: what a task holds at once.
+CHUNK, CHUNK_DOCS = 2_000_000, 20_000
+#: Characters for each range of the order that is counted by itself, and the most ranges (a power of two), so that a chunk's part of a range stays
+#: worth a row: beyond MOST_RANGES * RANGE_CHARS characters (256 GB) ranges grow with the input, and CHUNK should too.
+RANGE_CHARS, MOST_RANGES = 8_000_000, 1 << 15
+#: Bytes of text whose words are hashed at once.
+SLICE = 1 << 20
 #: Rounds that hold each group against one hub before all remaining pairs are made.
 HUB_ROUNDS = 2
 BITS = ["b0", "b1", "b2", "b3"]
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+_GAP = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_ODD = 0x9E3779B97F4A7C15
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -50,129 +51,236 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """The sorted distinct shingle hashes of texts; keeps the hashes of words that it has seen."""
+    """The sorted distinct 64-bit shingle hashes of texts.
 
-    def __init__(self, k: int = K, keep: int = 200_000):
-        self.k, self.keep, self.known = k, keep, {}
+    A word's hash is a polynomial of its bytes (A-Z lower-cased), from running sums over a slice of joined texts, so no
+    word is touched by itself; a shingle's mixes its words' hashes.
+    """
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        # bytes.lower() changes A-Z only and bytes.split() splits at \x20 and \x09-\x0D only
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.empty(0, np.uint64)
-        if len(self.known) > self.keep:
-            self.known.clear()
-        known = self.known
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    def __init__(self, k: int = K):
+        self.k = k
+        byte = mixed(np.arange(1, 257, dtype=np.uint64) * _MIX[2])
+        byte[65:91] = byte[97:123]
+        self.byte, self.n = byte, 0
+
+    def _powers(self, n: int) -> None:
+        if n > self.n:
+            back = np.uint64(pow(_ODD, -1, 1 << 64))
+            self.n = max(n, SLICE)
+            self.up, self.down = (np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(self.n - 1, x, np.uint64)))) for x in (np.uint64(_ODD), back))
+
+    def _slice(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Where the words of ``data`` start, and their hashes."""
+        code = np.frombuffer(data, np.uint8)
+        self._powers(len(code) + 1)
+        gap = np.concatenate(([True], _GAP[code], [True]))
+        edge = np.flatnonzero(gap[1:] != gap[:-1])
+        start, end = edge[::2], edge[1::2]
+        sums = np.zeros(len(code) + 1, np.uint64)
+        np.cumsum(self.byte[code] * self.up[: len(code)], out=sums[1:])
+        return start, mixed((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64) * _MIX[1])
+
+    def words(self, data: bytes) -> np.ndarray:
+        """The hashes of a text's words; a long text goes in pieces that end at white space."""
+        if len(data) <= SLICE:
+            return self._slice(data)[1]
+        out, at = [], 0
+        while at < len(data):
+            end = at + SLICE
+            while end < len(data) and not _GAP[data[end]]:
+                end += 1
+            out.append(self._slice(data[at:end])[1])
+            at = end
+        return np.concatenate(out)
+
+    def _set(self, words: np.ndarray) -> np.ndarray:
+        if not len(words):
+            return words
         if len(words) < self.k:  # the whole sequence is one shingle, unlike any longer one
-            return np.array([xxhash.xxh3_64_intdigest(b"%d " % len(words) + h.tobytes())], np.uint64)
+            return np.array([xxhash.xxh3_64_intdigest(b"%d " % len(words) + words.tobytes())], np.uint64)
         m = len(words) - self.k + 1
         out = np.zeros(m, np.uint64)
         for j in range(self.k):
-            out = mixed(out * _MIX[j % 5] + h[j : m + j])
+            out = mixed(out * _MIX[j % 5] + words[j : m + j])
         return np.unique(out)
 
+    def __call__(self, text: str | None) -> np.ndarray:
+        return self._set(self.words((text or "").encode("utf-8", "surrogatepass")))
 
-def level_of(size: int) -> int:
-    """log2 of the number of fragments for sets of this size."""
-    return max(0, int(np.ceil(np.log2(max(1.0, SPREAD * size)))))
+    def sets(self, texts: pa.Array):
+        """The sets of an Arrow array of texts, one by one."""
+        held: list[bytes] = []
+        size = 0
 
+        def flush():
+            if len(held) == 1:
+                yield self._set(self.words(held[0]))
+            elif held:
+                start, words = self._slice(b"\n".join(held))
+                ends = np.cumsum([len(x) + 1 for x in held])
+                cut = np.searchsorted(start, ends).tolist()
+                for a, b in zip([0, *cut], cut, strict=False):
+                    yield self._set(words[a:b])
+            held.clear()
 
-def segment_keys(h: np.ndarray, level: int, rare: np.ndarray) -> np.ndarray:
-    """A key for each occupied fragment of 2**level, made of its number and its whole content.
+        for x in texts.cast(pa.large_binary()):
+            data = x.as_buffer().to_pybytes() if x.is_valid else b""
+            if size + len(data) > SLICE // 4:
+                yield from flush()
+                size = 0
+            held.append(data)
+            size += len(data) + 1
+        yield from flush()
 
-    In one order for all sets: segments of more rare shingles, which fewer unlike sets share, first; then by key.
-    """
-    place = h >> np.uint64(64 - level) if level else np.zeros(len(h), np.uint64)
-    start = np.concatenate(([0], np.flatnonzero(place[1:] != place[:-1]) + 1))
-    content = np.add.reduceat(mixed(h * _MIX[1]), start)
-    keys = mixed(content + mixed(place[start] * _MIX[2] + np.uint64(level + 1)))
-    return keys[np.lexsort((keys, -np.add.reduceat(rare, start)))]
 
+def set_key(h: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
 
-def join_keys(h: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Keys of which any two linked sets share one.
 
-    A pair meets at the level of the larger set. A set stands there as the larger one (at most 2s/9 differences) and
-    at the levels of sets up to 1.25 s as the smaller one. Sets that share all but d of their segments share one of
-    the d + 1 first keys of each. A set that occupies too few fragments for that emits single shingles as well.
-    """
-    s, out, short = len(h), [], False
-    rare = np.ones(s, np.int64)
-    if len(common):
-        at = np.searchsorted(common, h)
-        at[at == len(common)] = 0
-        rare -= common[at] == h
-    top = 100 * s // NEED
-    for level in range(level_of(s), level_of(top) + 1):
-        largest = top if level_of(top) == level else min(top, int(2**level / SPREAD) + 1)
-        differ = (100 - NEED) * (s + max(s, largest)) // (100 + NEED)
-        keys = segment_keys(h, level, rare)
-        short |= len(keys) <= differ
-        out.append(keys[: differ + 1])
-    if short:
-        out.append(mixed(h * _MIX[3])[np.argsort(h)][: (100 - NEED) * (s + top) // (100 + NEED) + 1])
-    return np.unique(np.concatenate(out))
-
-
-def common_shingles(docs: DataFrame, text_col: str) -> np.ndarray:
-    """Sorted hashes of the shingles that many documents hold; they only order the segments, so any list gives the same links.
-
-    Every task counts all its documents' sets, up to COUNTED shingles at once, and keeps those that are frequent
-    there; a shingle that is frequent in all is so somewhere. The sums of these counts decide. COMMON_SHARE bounds the list.
-    """
+def packed(values: np.ndarray) -> bytes:
+    """Ascending unsigned numbers as the byte planes of their steps, compressed."""
+    step = np.diff(values.astype("<u8"), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+    return len(values).to_bytes(4, "little") + pa.compress(step.tobytes(), "zstd", asbytes=True)
 
-    def count(batches):
-        shingler, held, n, seen = Shingler(), [], 0, 0
 
-        def frequent():
-            h, often = np.unique(np.concatenate([np.empty(0, np.uint64), *held]), return_counts=True)
-            keep = often >= max(3, COMMON_SHARE / 2 * seen)
-            return pd.DataFrame({"h": h[keep].view(np.int64), "often": often[keep].astype(np.int64)})
+def unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    plane = np.frombuffer(pa.decompress(data[4:], 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(plane.T).view("<u8").ravel(), dtype=np.uint64)
 
-        for pdf in batches:
-            for text in pdf["text"]:
-                held.append(shingler(text))
-                n, seen = n + len(held[-1]), seen + 1
-                if n >= COUNTED:
-                    yield frequent()
-                    held, n, seen = [], 0, 0
-        yield frequent()
-        held.clear()
-        give_back()
 
-    least = max(COMMON_DOCS, COMMON_SHARE * docs.count())
-    often = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "h long, often long").groupBy("h").agg(F.sum("often").alias("n")).where(F.col("n") >= least)
-    return np.sort(np.array([r[0] for r in often.select("h").collect()], np.int64).view(np.uint64))
+def prefix(n: int) -> int:
+    """Of sets of n shingles in one order: the length of the prefix that shares a shingle with that of every linked set."""
+    return n + (-NEED * n // 100) + 1
 
 
-def sets_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, n, c (a 64-bit key of the whole set), b0..b3 (256 parities), keys.
+def keys_of(rank: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    """The join keys of a set of n shingles in the global order, from the ranks and places of those that more than one document has.
 
-    The parities of how many hashes begin with each byte: as many of two sets' parities differ at most as shingles do.
+    The order is (rank, place); before these stand the n - len(place) shingles of one document alone, which no other set has.
     """
-    common = common_shingles(docs, text_col)
-    framed = lambda rows: pd.DataFrame(rows, columns=["doc", "n", "c", *BITS, "keys"]).astype({"doc": "Int64"})
-
-    def make(batches):
-        shingler = Shingler()
-        for pdf in batches:
+    take = prefix(n) - (n - len(place))
+    if take <= 0 or not len(place):
+        return place[:0]
+    keys = place[np.lexsort((place, rank))[:take]]
+    return keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
+
+
+SCAN = "doc long, n long, c long, b0 long, b1 long, b2 long, b3 long, chunk long, range int, base int, data binary, often binary"
+
+
+def scanned(docs: DataFrame, id_col: str, text_col: str, bits: int, range_bits: int) -> DataFrame:
+    """All documents' sets, by chunks that a task reads in one go. Two kinds of rows: a document (doc, n, c, a 64-bit key of the whole set; b0..b3, 256 parities of
+    how many hashes begin with each byte; data: its places in the chunk's list) and, for each range, a part of the chunk's sorted
+    list of distinct shortened hashes (base: where the part begins; often: in how many different sets of the chunk)."""
+    schema = pa.schema([(x.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]]) for x in SCAN.split(", ")])
+
+    def frame(rows, names):
+        columns = dict(zip(names, zip(*rows, strict=True), strict=True)) if rows else {}
+        return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * len(rows)), f.type) for f in schema], schema=schema)
+
+    def run(batches):
+        import pyspark
+
+        shingler, part = Shingler(), pyspark.TaskContext.get().partitionId()
+        docs_of, sets, size, number = [], [], 0, 0
+
+        def close():
+            nonlocal docs_of, sets, size, number
+            chunk = (part << 32) + number
+            keys = [set_key(h) for h in sets]
+            first = np.zeros(len(sets), bool)
+            first[list({c: i for i, c in reversed(list(enumerate(keys)))}.values())] = True  # copies count once
+            lens = np.array([len(h) for h in sets], np.int64)
+            short = np.concatenate([np.empty(0, np.uint64), *sets]) >> np.uint64(64 - bits)
+            places, at = np.unique(short, return_inverse=True)
+            often = np.minimum(np.bincount(at[np.repeat(first, lens)], minlength=len(places)), 65535).astype("<u2")
+            ends = np.cumsum(lens)
             rows = []
-            for doc, text in zip(pdf["doc"], pdf["text"], strict=True):
+            for doc, h, c, a, b in zip(docs_of, sets, keys, (ends - lens).tolist(), ends.tolist(), strict=True):
+                parity = np.packbits(np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=256) & 1).view(np.int64).tolist()
+                rows.append((doc, len(h), c, *parity, chunk, packed(at[a:b])))
                 if len(rows) == 2000:
-                    yield framed(rows)
+                    yield frame(rows, ["doc", "n", "c", *BITS, "chunk", "data"])
                     rows = []
-                h = shingler(text)
-                c = int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
-                bits = np.packbits(np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=256) & 1).view(np.int64).tolist()
-                rows.append((doc, len(h), c, *bits, join_keys(h, common).view(np.int64) if len(h) else np.empty(0, np.int64)))
-            yield framed(rows)
+            yield frame(rows, ["doc", "n", "c", *BITS, "chunk", "data"])
+            edge = np.searchsorted(places, np.arange(1, 1 << range_bits, dtype=np.uint64) << np.uint64(bits - range_bits)).tolist()
+            rows = [(chunk, r, a, packed(places[a:b]), often[a:b].tobytes()) for r, (a, b) in enumerate(zip([0, *edge], [*edge, len(places)], strict=True)) if a < b]
+            yield frame(rows, ["chunk", "range", "base", "data", "often"])
+            docs_of, sets, size, number = [], [], 0, number + 1
+
+        for batch in batches:
+            for doc, h in zip(batch.column("doc").to_pylist(), shingler.sets(batch.column("text")), strict=True):
+                docs_of.append(doc)
+                sets.append(h)
+                size += len(h)
+                if size >= CHUNK or len(sets) >= CHUNK_DOCS:
+                    yield from close()
+        yield from close()
         give_back()
 
-    schema = "doc long, n long, c long, b0 long, b1 long, b2 long, b3 long, keys array<long>"
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInPandas(make, schema)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    return texts.mapInArrow(run, SCAN)
+
+
+def ranked(parts: DataFrame) -> DataFrame:
+    """For each part of a chunk's list: the shingles that more than one set has, as chunk, at (their numbers in the
+    chunk's list), places and ranks (by how many sets have them, four steps for each doubling)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        lists = [unpacked(x) for x in pdf["data"]]
+        places, own = np.unique(np.concatenate(lists), return_inverse=True)
+        often = np.zeros(len(places), np.int64)
+        np.add.at(often, own, np.concatenate([np.frombuffer(x, "<u2") for x in pdf["often"]]).astype(np.int64))
+        rank = np.minimum(4 * np.log2(np.maximum(often, 1)), 255).astype(np.uint8)
+        rows, at = [], 0
+        for chunk, base, x in zip(pdf["chunk"], pdf["base"], lists, strict=True):
+            n = own[at : at + len(x)]
+            shared = np.flatnonzero(often[n] > 1)
+            if len(shared):
+                rows.append((chunk, packed(shared + base), packed(x[shared]), rank[n[shared]].tobytes()))
+            at += len(x)
+        return pd.DataFrame(rows, columns=["chunk", "at", "places", "ranks"])
+
+    return parts.groupBy("range").applyInPandas(run, "chunk long, at binary, places binary, ranks binary")
+
+
+def sets_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc, n, c, b0..b3 (see scanned), keys (of any two linked sets' keys one at least is the same) and alone: how many
+    shingles, none in another document, stand before them in the order.
+
+    The texts are read once. The shortened hashes' counts are exact over all documents: each chunk sends its sorted list
+    in parts to the tasks that count a range, which send back what more than one set has. Two shingles may share a
+    shortened hash (about one in a thousand); they count as one in the order, which the links do not depend on.
+    """
+    chars = max(1, docs.agg(F.sum(F.length(text_col).cast("long"))).first()[0] or 0)
+    range_bits = min(max(4, math.ceil(math.log2(chars / RANGE_CHARS))), MOST_RANGES.bit_length() - 1)
+    scan = stored(scanned(docs, id_col, text_col, max(32, math.ceil(math.log2(chars)) + 7), range_bits), "scan")
+    back = ranked(scan.where("range IS NOT NULL").select("chunk", "range", "base", "data", "often"))
+    schema = "doc long, n long, c long, b0 long, b1 long, b2 long, b3 long, alone long, keys array<long>"
+
+    def run(own: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
+        at = np.concatenate([np.empty(0, np.uint64), *map(unpacked, shared["at"])])
+        places = np.concatenate([np.empty(0, np.uint64), *map(unpacked, shared["places"])])
+        ranks = np.concatenate([np.empty(0, np.uint8), *(np.frombuffer(x, np.uint8) for x in shared["ranks"])])
+        order = np.argsort(at)
+        at, places, ranks = at[order], places[order], ranks[order]
+        last = int(at[-1]) + 1 if len(at) else 0
+        where = np.full(last, -1, np.int32)
+        where[at] = np.arange(len(at))
+
+        def keys(data: bytes, n: int) -> tuple[int, np.ndarray]:
+            x = unpacked(data)
+            x = where[x[x < last]]
+            x = x[x >= 0]
+            return n - len(x), keys_of(ranks[x], places[x], n).view(np.int64)
+
+        out = own[["doc", "n", "c", *BITS]].copy()
+        out["alone"], out["keys"] = zip(*(keys(x, n) for x, n in zip(own["data"], own["n"], strict=True)), strict=True) if len(own) else ([], [])
+        return out.astype({"doc": "Int64"})
+
+    own = scan.where("range IS NULL").select("doc", "n", "c", *BITS, "chunk", "data")
+    return own.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInPandas(run, schema)
 
 
 def segments_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -187,9 +295,12 @@ def segments_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
                 if c in seen:
                     continue
                 h = shingler(text)
-                if int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True) == c:
+                if set_key(h) == c:
                     seen.add(c)
                     rows += [(c, f, x.tobytes()) for f, x in enumerate(np.split(h, np.searchsorted(h, cuts))) if len(x)]
+                    if len(rows) >= 4000:
+                        yield pd.DataFrame(rows, columns=["c", "fragment", "segment"])
+                        rows = []
             yield pd.DataFrame(rows, columns=["c", "fragment", "segment"])
         give_back()
 
@@ -205,6 +316,15 @@ def nearly(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     return rows.withColumn("_b", bucket(column)).join(some, "_b", "left_semi").drop("_b")
 
 
+def _common(x: bytes, y: bytes) -> int:
+    x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+    if not len(x) or not len(y):
+        return 0
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum())
+
+
 def linked(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """The pairs (a, b, na, nb) whose sets reach the similarity: overlaps by fragment, summed per pair.
 
@@ -213,19 +333,13 @@ def linked(pairs: DataFrame, segments: DataFrame) -> DataFrame:
 
     @F.pandas_udf("long")
     def overlap(one: pd.Series, two: pd.Series) -> pd.Series:
-        def count(x, y):
-            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            return int((y[at] == x).sum())
+        return pd.Series([_common(x, y) for x, y in zip(one, two, strict=True)], dtype="int64")
 
-        return pd.Series([count(x, y) for x, y in zip(one, two, strict=True)], dtype="int64")
-
-    side = lambda c, s: segments.select(F.col("c").alias(c), "fragment", F.col("segment").alias(s))
-    both = pairs.join(nearly(side("a", "sa"), "a", pairs.select("a")), "a").join(nearly(side("b", "sb"), "b", pairs.select("b")), ["b", "fragment"])
-    each = both.select("a", "b", "na", "nb", "fragment", overlap("sa", "sb").alias("o")).groupBy("a", "b", "na", "nb", "fragment").agg(F.max("o").alias("o"))
-    total = each.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
-    return total.where(100 * F.col("o") >= NEED * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
+    side = lambda c: nearly(segments, "c", pairs.select(c)).select(F.col("c").alias(c), "fragment", F.col("segment").alias("s" + c))
+    both = pairs.join(side("a"), "a").join(side("b"), ["b", "fragment"])
+    each = both.select(*pairs.columns, "fragment", overlap("sa", "sb").alias("o")).groupBy(*pairs.columns, "fragment").agg(F.max("o").alias("o"))
+    total = each.groupBy(*pairs.columns).agg(F.sum("o").alias("o"))
+    return total.where((100 + NEED) * F.col("o") >= NEED * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -249,11 +363,15 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         before = now
 
 
+def _may_meet() -> Column:
+    """What two linked sets fulfil at the first key that they share, before which i and hi of their shingles stand: what is left suffices."""
+    return (100 + NEED) * F.least(F.col("n") - F.col("i"), F.col("hn") - F.col("hi")) >= NEED * (F.col("n") + F.col("hn"))
+
+
 def _may_link() -> Column:
-    """What linked classes (c) and (hc) fulfil: sizes within the similarity, and no more parities apart than shingles may be."""
+    """What linked classes (c) and (hc) fulfil: no more parities apart than shingles may be."""
     apart = sum(F.bit_count(F.col(x).bitwiseXOR(F.col("h" + x))) for x in BITS)
-    sizes = 100 * F.least("n", "hn") >= NEED * F.greatest("n", "hn")
-    return sizes & ((100 + NEED) * apart <= (100 - NEED) * (F.col("n") + F.col("hn")))
+    return (100 + NEED) * apart <= (100 - NEED) * (F.col("n") + F.col("hn"))
 
 
 @dataclass
@@ -267,19 +385,32 @@ class Join:
     roots: DataFrame | None
 
 
-def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Join:
+def _groups(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """sets (doc, n, c); classes of equal sets (c, n, parities, rep, copies); groups (key, c, n, i): the classes of each key that several
+    have, with the number of their shingles that stand before it in the order; segments of the classes in groups."""
     sets = stored(sets_of(docs, id_col, text_col), "sets")
-    classes = stored(sets.where("n > 0 AND doc IS NOT NULL").groupBy("c", "n", *BITS).agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "classes")
-    total = classes.agg(F.sum("copies")).first()[0] or 0
-    heavy = classes.where(F.col("copies") >= max(HEAVY_COPIES, HEAVY_SHARE * total)).select("c", F.col("rep").alias("_rep"))
-    lean = sets.where("n > 0 AND doc IS NOT NULL").join(F.broadcast(heavy), "c", "left").where("_rep IS NULL OR doc = _rep")
-    keyed = lean.select(F.explode("keys").alias("key"), "c")
-    own = W.partitionBy("key")
-    shared = keyed.withColumn("_lo", F.min("c").over(own)).withColumn("_hi", F.max("c").over(own)).where("_lo <> _hi").select("key", "c").distinct()
-    groups = stored(shared, "groups")
-    traits = classes.select("c", "n", *BITS)
+    named = sets.where("n > 0 AND doc IS NOT NULL")
+    classes = stored(named.groupBy("c", "n", *BITS).agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "classes")
+    one = named.where(F.size("keys") > 0).groupBy("c", "n", "alone").agg(F.first("keys").alias("keys"))  # equal sets have equal keys
+    keyed = stored(one.select("c", "n", "alone", F.posexplode("keys").alias("at", "key")).select("key", "c", "n", (F.col("alone") + F.col("at")).alias("i")), "keys")
+    several = keyed.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo <> _hi").select("key")
+    groups = stored(keyed.join(several, "key", "left_semi"), "groups")
     members = groups.select("c").distinct().join(classes.select("c", "rep"), "c")
-    segments = stored(segments_of(docs, members, id_col, text_col), "segments")
+    return sets, classes, groups, stored(segments_of(docs, members, id_col, text_col), "segments")
+
+
+def _pairs(both: DataFrame) -> DataFrame:
+    """(a, b, na, nb), a < b, of rows of (c, n) and (hc, hn)."""
+    first = F.col("c") < F.col("hc")
+    return both.select(
+        F.least("c", "hc").alias("a"), F.greatest("c", "hc").alias("b"),
+        F.when(first, F.col("n")).otherwise(F.col("hn")).alias("na"), F.when(first, F.col("hn")).otherwise(F.col("n")).alias("nb"),
+    ).distinct()
+
+
+def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Join:
+    sets, classes, groups, segments = _groups(docs, id_col, text_col)
+    traits = classes.select("c", "n", *BITS)
     links = roots = tried = None
     for turn in range(HUB_ROUNDS + 1):
         root_of = lambda rows, c, name: (
@@ -287,26 +418,17 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             else rows.join(roots.select(F.col("node").alias(c), F.col("root").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
         )
         at = root_of(groups, "c", "root")
-        # groups whose classes are not all in one component yet, with the hub of this turn
-        same = [F.count("*").alias("_n"), F.bit_xor("c").alias("_x"), F.bit_xor(F.xxhash64("c")).alias("_y")]
-        other = F.lit(0x1F3D5B79A2C4E608 * (turn + 1) % 2**63)
-        split = at.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.min(F.col("c").bitwiseXOR(other)).alias("_h"), *same)
-        split = split.where("_lo <> _hi")
-        # keys that stand for the same classes make the same pairs: one of them does
-        split = split.groupBy("_n", "_x", "_y").agg(F.min("key").alias("key"), F.min("_h").alias("_h")).select("key", F.col("_h").bitwiseXOR(other).alias("hc"))
-        hub_traits = traits.select(*[F.col(x).alias("h" + x) for x in traits.columns])
+        # groups whose classes are not all in one component yet, with the hub of this turn: first that with the fewest rare shingles, then any
+        first = [F.col("i")] if turn == 0 else []
+        hub = F.min(F.struct(*first, F.col("c").bitwiseXOR(F.lit(0x1F3D5B79A2C4E608 * (turn + 1) % 2**63)).alias("_o"), F.col("c").alias("hc"), F.col("n").alias("hn"), F.col("i").alias("hi")))
+        split = at.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), hub.alias("_h")).where("_lo <> _hi").select("key", "_h.hc", "_h.hn", "_h.hi")
         if turn < HUB_ROUNDS:
-            met = at.join(split, "key").where("c <> hc").select("c", "hc", "root").distinct()
+            met = at.join(split, "key").where((F.col("c") != F.col("hc")) & _may_meet()).select("c", "hc", "root").distinct()
+            hub_traits = traits.select(*[F.col(x).alias("h" + x) for x in traits.columns])
             both = root_of(met, "hc", "hroot").where("root <> hroot").join(traits, "c").join(hub_traits, "hc").where(_may_link())
         else:  # exact for the rest: pairs of different components within a group
-            left = at.join(split.select("key"), "key", "left_semi").join(traits, "c")
-            right = left.select("key", F.col("root").alias("hroot"), *[F.col(x).alias("h" + x) for x in traits.columns])
-            both = left.join(right, (left["key"] == right["key"]) & (F.col("root") < F.col("hroot")) & _may_link())
-        first = F.col("c") < F.col("hc")
-        pairs = both.select(
-            F.least("c", "hc").alias("a"), F.greatest("c", "hc").alias("b"),
-            F.when(first, F.col("n")).otherwise(F.col("hn")).alias("na"), F.when(first, F.col("hn")).otherwise(F.col("n")).alias("nb"),
-        ).distinct()
+            both = _within(at.join(split.select("key"), "key", "left_semi"), traits)
+        pairs = _pairs(both)
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
@@ -316,11 +438,29 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             break
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = stored(linked(pairs, segments), "links")
-        links = new if links is None else links.unionByName(new)
-        roots = components(links, "stars")
+        if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            roots = components(links, "stars")
     return Join(sets, classes, links, roots)
 
 
+def _within(left: DataFrame, traits: DataFrame) -> DataFrame:
+    """Pairs of rows (key, c, n, i, root) of a group that have different roots and may link."""
+    left = left.join(traits.drop("n"), "c")
+    right = left.select("key", F.col("root").alias("hroot"), *[F.col(x).alias("h" + x) for x in ("c", "n", "i", *BITS)])
+    return left.join(right, (left["key"] == right["key"]) & (F.col("root") < F.col("hroot")) & _may_meet() & _may_link())
+
+
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links: (a, b), ids of one document each of two linked classes of equal sets, a < b, and (id, class): the class, by its smallest
+    document's id, of every document row; null for an empty set or a null id. The result grows with the links."""
+    sets, classes, groups, segments = _groups(docs, id_col, text_col)
+    links = linked(stored(_pairs(_within(groups.withColumn("root", F.col("c")), classes.select("c", "n", *BITS))), "pairs"), segments)
+    rep = lambda x: classes.select(F.col("c").alias(x), F.col("rep").alias("r" + x))
+    pairs = links.join(rep("a"), "a").join(rep("b"), "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+    return pairs, sets.join(classes.select("c", "rep"), "c", "left").select(F.col("doc").alias(id_col), F.when(F.col("doc").isNotNull(), F.col("rep")).alias("class"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (id, n_shingles, component_id) for each document row.
 
@@ -330,8 +470,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows with equal sets are one class and linked; repeated rows so share a component. A row with a null id links
     with nothing (null component). Extra columns are ignored.
 
-    Work: sets once from the texts (kept as keys in the shared folder), copies collapsed to classes, equal
-    segments grouped, each group held against a hub, components contracted, and only pairs of different components
+    Work: sets once from the texts, shingles counted, copies collapsed to classes, the keys of each set's prefix
+    grouped, each group held against a hub, components contracted, and only pairs of different components
     that are left made in full; texts of classes in such groups are read once more for their segments.
     """
     return _components(join_classes(docs, id_col, text_col)).select(F.col("doc").alias(id_col), "n_shingles", "component_id")
@@ -358,7 +498,7 @@ def keyed_by_set(docs: DataFrame, text_col: str) -> DataFrame:
     def key(texts: pd.Series) -> pd.Series:
         shingler = Shingler()
         sets = (shingler(x) for x in texts)
-        return pd.Series([int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True) if len(h) else None for h in sets], dtype="Int64")
+        return pd.Series([set_key(h) if len(h) else None for h in sets], dtype="Int64")
 
     return docs.withColumn("_c", key(F.coalesce(text_col, F.lit(""))))
 

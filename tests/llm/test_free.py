@@ -68,9 +68,8 @@ def test_jaccard_components_equal_brute_force(spark, seed):
 
 
 def test_join_keys_meet_for_every_linked_pair():
-    """Random sets of all sizes with as many differences as a link allows share a key."""
+    """Random sets of all sizes with as many differences as a link allows share a key, whatever the order's ranks."""
     rng = np.random.default_rng(3)
-    none = np.empty(0, np.uint64)
     for size in [*range(1, 60), 100, 333, 1000]:
         for _ in range(12):
             x = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2))
@@ -83,8 +82,40 @@ def test_join_keys_meet_for_every_linked_pair():
             both = len(np.intersect1d(x, y))
             if 100 * both < 80 * (len(x) + len(y) - both):
                 continue
-            common = np.sort(rng.choice(x, len(x) // 3, replace=False)) if size % 2 and len(x) > 3 else none
-            assert set(jaccard.join_keys(x, common).tolist()) & set(jaccard.join_keys(y, common).tolist()), size
+            seen, often = np.unique(np.concatenate([x, y, rng.choice(x, len(x) // 3), np.unique(rng.choice(y, len(y) // 4))]), return_counts=True)
+            keys = []
+            for h in (x, y):
+                n = often[np.searchsorted(seen, h)]
+                keys.append(set(jaccard.keys_of(n[n > 1], h[n > 1], len(h)).tolist()))
+            assert keys[0] & keys[1], size
+
+
+def test_shingles_of_slices_and_long_texts_are_those_of_the_words(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["", None, "A b", "one Two three four five six", " \n\t", "é a\x0bb c\x0cd É e f", "x" * 3000 + " a b c d e", "w " * 2000 + "z", *(t for _, t in corpus(1)[:80])]
+    whole = [jaccard.Shingler()(x) for x in texts]
+    assert [len(h) for h in whole] == [len(s) for s in sets_of(enumerate(texts)).values()]
+    monkeypatch.setattr(jaccard, "SLICE", 256)
+    small = jaccard.Shingler()
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(whole, small.sets(pa.array(texts)), strict=True))
+    assert all((a == small(x)).all() for a, x in zip(whole, texts, strict=True))
+
+
+def test_all_links_equal_brute_force(spark):
+    docs = corpus(3)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    pairs, classes = jaccard.similar_classes(df)
+    sets = sets_of(docs)
+    first = {}
+    for d in sorted(sets):
+        first.setdefault(sets[d], d)
+    got = {(r["doc_id"], r["class"]) for r in classes.collect()}
+    assert got == {(d, first[x] if x else None) for d, x in sets.items()}
+    reps = [(d, x) for x, d in first.items() if x]
+    due = {(a, b) for a, x in reps for b, y in reps if a < b and 100 * len(x & y) >= 80 * len(x | y)}
+    found = pairs.collect()
+    assert {(r["a"], r["b"]) for r in found} == due and len(found) == len(due) > 50
 
 
 def test_components_of_chains_and_empty(spark):
