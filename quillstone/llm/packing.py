@@ -1,11 +1,13 @@
 """Best-fit packing: a configuration linear program over the length histogram, solved by multiplicative weights with
-knapsack dynamic-programming pricing, in whole sequences; the rest is placed by best fit."""
+knapsack dynamic-programming pricing to a measured gap, then rounded; the rest is placed by best fit."""
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from bisect import bisect_left, insort
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -17,139 +19,196 @@ from .common import give_back, stored, table
 from .tokens import Encoder, tokenizer_path
 
 CAPACITY = 4096
-#: Rounds of pricing at most (a guard, beyond what the share below takes), the step of the weights, how near to the best a round's
-#: configurations are, and how many that are not end it.
-ROUNDS, RATE, NEAR, TRIES = 20_000, 0.08, 0.005, 20
-#: The share of the tokens that best fit places, and the pieces at most: lengths in about their first proportions, so that it wastes little.
-REST, REST_PIECES = 0.2, 200_000
-LONG = 0.1
+#: Rounds of pricing at most and the gap between value and bound that ends them; the first round's share of what a configuration's scarcest length
+#: needs, and the rounds in which this falls to a half; how fast weights fall, and by what power lengths may be ahead that are priced.
+ROUNDS, GAP, STEP, SLOW, RATE, WINDOW = 200, 0.05, 0.5, 10, 4.0, 1.0
+#: Lengths priced together, and how near to the best a round's configurations are.
+GROUP, NEAR = 24, 0.2
+#: The part of a sequence that configurations leave empty at most, where there are such; short pieces fill it by best fit.
+WASTE = 0.02
+#: The share of the tokens that best fit places: lengths in about their first proportions, so that it wastes little.
+REST = 0.2
 #: Pieces of one length that are numbered in one task.
 NUMBERED = 100_000
 
 
-def price(worth: np.ndarray, lengths: np.ndarray, most: np.ndarray, capacity: int) -> list[dict[int, int]]:
-    """Configurations of the largest worth within the capacity (index of length -> copies), by a knapsack dynamic program.
+class Plan(NamedTuple):
+    """Sequence kinds, the least number of sequences by the program's bound, and the share of the tokens (full pieces apart) that the program places."""
 
-    The program allows any number of copies, each step vectorised over the lengths. Its choices are followed as far as
-    ``most`` copies of a length allow, and replaced by the next best where not. The first configuration is the best;
-    others follow from other first lengths, each of lengths that those before do not have and within NEAR of the best.
-    """
+    kinds: list[tuple[int, list[tuple[int, int]]]]
+    bound: int
+    programmed: float
+
+
+def best_worth(worth: np.ndarray, lengths: np.ndarray, capacity: int) -> float:
+    """The largest worth of any configuration: the knapsack program over all lengths, any number of copies, each step over all lengths at once."""
     order = np.argsort(lengths)
-    size, gain, allowed = lengths[order], worth[order], most[order].astype(np.int64)
-    best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    size, gain = lengths[order], worth[order]
+    best = np.zeros(capacity + 1)
     upto = np.searchsorted(size, np.arange(capacity + 1), side="right")
     for c in range(int(size[0]), capacity + 1):
-        k = upto[c]
-        value = best[c - size[:k]] + gain[:k]
-        j = int(value.argmax())
-        best[c], took[c] = (value[j], j) if value[j] > best[c - 1] else (best[c - 1], -1)
-    found: list[dict[int, int]] = []
-    failed = 0
-    value = best[capacity - size] + gain
-    for first in np.argsort(-value, kind="stable").tolist():
-        if found and (value[first] < (1 - NEAR) * best[capacity] or failed > TRIES):
-            break
-        if not allowed[first]:
-            continue
-        out: dict[int, int] = {}
-        c, j, total = capacity, first, 0.0
-        while True:
-            out[j] = out.get(j, 0) + 1
-            allowed[j] -= 1
-            c -= int(size[j])
-            total += gain[j]
-            while c > 0 and took[c] < 0:
-                c -= 1
-            k = upto[c]
-            if not k:
-                break
-            j = int(took[c])
-            if not allowed[j]:
-                j = int(np.where(allowed[:k] > 0, best[c - size[:k]] + gain[:k], -1.0).argmax())
-                if not allowed[j]:
-                    break
-        good = not found or total >= (1 - NEAR) * best[capacity]
-        for j, n in out.items():
-            allowed[j] = 0 if good else allowed[j] + n
-        if good:
-            found.append({int(order[j]): n for j, n in out.items()})
-        failed = 0 if good else failed + 1
-    return found
-
-
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int) -> list[tuple[dict[int, int], int]]:
-    """Configurations (index of length -> copies) and how often to use each, from the covering program
-    min sum(x) such that every length is covered ``counts`` times: multiplicative weights on the lengths, rounded as it goes.
-
-    A length's weight falls as it gets covered. Each round prices configurations of different lengths and uses each as
-    often as its scarcest length allows of a share of what is left, so weights move evenly. The rounds end when REST of
-    the tokens and REST_PIECES pieces at most are left.
+        best[c] = max(best[c - 1], (best[c - size[: upto[c]]] + gain[: upto[c]]).max())
+    return float(best[capacity])
+
+
+def price(worth: np.ndarray, lengths: np.ndarray, most: np.ndarray, capacity: int) -> tuple[dict[int, int], float]:
+    """The configuration of the largest worth within the capacity (index of length -> copies, ``most`` at most), and its worth: a
+    knapsack dynamic program, whose items are 1, 2, 4, ... copies of a length."""
+    best, items = np.zeros(capacity + 1), []
+    for i, (length, gain, n) in enumerate(zip(lengths.tolist(), worth.tolist(), most.tolist(), strict=True)):
+        n, copies = min(n, capacity // length), 1
+        while n > 0:
+            copies = min(copies, n)
+            size = copies * length
+            found = best[: capacity + 1 - size] + copies * gain
+            better = found > best[size:]
+            best[size:][better] = found[better]
+            items.append((i, copies, size, better))
+            n -= copies
+            copies *= 2
+    out: dict[int, int] = {}
+    c = capacity
+    for i, copies, size, better in reversed(items):
+        if c >= size and better[c - size]:
+            out[i] = out.get(i, 0) + copies
+            c -= size
+    return out, float(best[capacity])
+
+
+def priced(worth: np.ndarray, lengths: np.ndarray, most: np.ndarray, capacity: int, rng: np.random.Generator) -> list[dict[int, int]]:
+    """Configurations of different lengths: the lengths are dealt into groups at random, each group is priced, and those nearly as good as the best are returned."""
+    order = rng.permutation(len(lengths))
+    found = []
+    for at in range(0, len(order), GROUP):
+        own = order[at : at + GROUP]
+        config, value = price(worth[own], lengths[own], most[own], capacity)
+        found.append(({int(own[i]): n for i, n in config.items()}, value))
+    least = (1 - NEAR) * max(value for _, value in found)
+    good = [config for config, value in found if value >= least]
+    return [x for x in good if sum(n * int(lengths[i]) for i, n in x.items()) >= (1 - WASTE) * capacity] or good
+
+
+def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, gap: float = GAP) -> tuple[list[tuple[dict[int, int], float]], float, float]:
+    """The covering program min sum(x), every length covered ``counts`` times, by multiplicative weights: configurations (index of length
+    -> copies) with their fractional uses, the program's value so scaled that all is covered, and a bound that no packing is below.
+
+    Each round prices configurations of different lengths, of those that lag, under the weights, uses each for a share (STEP, less in later
+    rounds) of its scarcest length's count, and lowers the weights of what is covered. Weights over the best worth of any configuration solve the dual
+    program, so what they are worth in all bounds the value from below. The rounds end when the two are ``gap`` apart, or after ``rounds``.
     """
-    left, total = counts.astype(np.int64), counts.astype(np.int64)
-    out = []
-    for _ in range(rounds):
-        live = np.flatnonzero(left)
-        if not len(live) or (left * lengths).sum() <= REST * (total * lengths).sum() and left.sum() <= REST_PIECES:
-            break
-        # worth of a piece: its tokens, less as its length gets covered, a little more if it is long and so hard to place
-        weight = np.exp(RATE * 10 * (left[live] / total[live] - 1)) * lengths[live] * (1 + LONG * lengths[live] / capacity)
-        for found in price(weight, lengths[live], np.minimum(left[live], capacity), capacity):
-            chosen = {int(live[i]): n for i, n in found.items()}
-            times = max(1, int(min(left[i] / n for i, n in chosen.items()) / 2))
-            for i, n in chosen.items():
-                left[i] -= n * times
-            out.append((chosen, times))
-    return out
+    rng = np.random.default_rng(0)
+    need, most = counts.astype(np.float64), np.minimum(counts, capacity)
+    covered, used, value, total = np.zeros(len(lengths)), [], np.inf, 0.0
+    bound = float(need @ lengths) / best_worth(lengths.astype(np.float64), lengths, capacity)  # at the weights of the beginning
+    for turn in range(rounds):
+        ahead = covered - covered.min()
+        weight = np.exp(-RATE * ahead) * lengths
+        lag = np.flatnonzero(ahead <= max(WINDOW / RATE, np.partition(ahead, min(GROUP, len(ahead)) - 1)[min(GROUP, len(ahead)) - 1]))
+        for chosen in priced(weight[lag], lengths[lag], most[lag], capacity, rng):
+            config = {int(lag[i]): n for i, n in chosen.items()}
+            x = STEP / (1 + turn / SLOW) * min(need[i] / n for i, n in config.items())
+            used.append((config, x))
+            total += x
+            for i, n in config.items():
+                covered[i] += n * x / need[i]
+        if covered.min() > 0:
+            value = total / covered.min()
+            if value <= (1 + gap) * bound:
+                break
+    weight = np.exp(-RATE * (covered - covered.min())) * lengths
+    return used, value, max(bound, float(need @ weight) / best_worth(weight, lengths, capacity))
 
 
-def best_fit(rest: dict[int, int], space: list[tuple[int, int]], capacity: int) -> list[tuple[int, list[int]]]:
-    """Places the rest (length -> count), longest first, into the fullest open sequence that holds it.
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int) -> tuple[list[tuple[dict[int, int], int]], float, float]:
+    """Configurations and how often to use each: the fractional program, rounded; its value and bound.
 
-    space: (free, sequence) of sequences begun; new ones get numbers below 0. Returns (sequence, lengths added).
+    Uses are scaled so that no length is covered too often and cut to whole ones; then configurations whose pieces are all there are
+    used once more, those with the largest parts cut off first; what is then left is priced again in whole uses. REST of the tokens stay.
     """
-    open_ = sorted(space)
-    added: dict[int, list[int]] = {}
-    fresh = 0
+    used, value, bound = fractional(lengths, counts, capacity, rounds)
+    left = counts.astype(np.int64)
+    covered = np.zeros(len(lengths))
+    for config, x in used:
+        for i, n in config.items():
+            covered[i] += n * x / counts[i]
+    out = []
+
+    def use(config: dict[int, int], times: int) -> None:
+        times = min(times, *(int(left[i]) // n for i, n in config.items()))
+        if times > 0:
+            out.append((config, times))
+            for i, n in config.items():
+                left[i] -= n * times
+
+    tokens, rng = int(counts @ lengths), np.random.default_rng(1)
+    scaled = [(config, x / max(covered.max(), 1e-9)) for config, x in used]
+    for config, x in scaled:
+        use(config, int(x))
+    for config, _ in sorted(scaled, key=lambda u: int(u[1]) - u[1]):
+        if int(left @ lengths) <= REST * tokens:
+            break
+        use(config, 1)
+    while int(left @ lengths) > REST * tokens:
+        live = np.flatnonzero(left)
+        weight = np.exp(RATE * (left[live] / counts[live] - 1)) * lengths[live]
+        for config in priced(weight, lengths[live], np.minimum(left[live], capacity), capacity, rng):
+            use({int(live[i]): n for i, n in config.items()}, max(1, int(min(left[live[i]] / n for i, n in config.items()) / 2)))
+    return out, value, bound
+
+
+def best_fit(rest: dict[int, int], capacity: int, opened: dict[tuple[tuple[int, int], ...], int]) -> dict[tuple[tuple[int, int], ...], int]:
+    """Places the rest (length -> count), longest first, each into the fullest sequence that holds it: kinds of sequences ((length,
+    copies), ...) and how many of each, those ``opened`` before among them. Like sequences are placed at once, so the work grows with the kinds, not the pieces."""
+    begun: dict[int, dict[tuple, int]] = {capacity: {}}  # free -> kind -> how many
+    for kind, n in opened.items():
+        begun.setdefault(capacity - sum(x * m for x, m in kind), {})[kind] = n
+    order = sorted(begun)[:-1]  # the free sizes of begun sequences, ascending
     for length in sorted(rest, reverse=True):
-        for _ in range(rest[length]):
-            k = bisect_left(open_, (length, -(1 << 62)))
-            if k < len(open_):
-                free, seq = open_.pop(k)
-            else:
-                fresh -= 1
-                free, seq = capacity, fresh
-            added.setdefault(seq, []).append(length)
-            if free > length:
-                insort(open_, (free - length, seq))
-    return list(added.items())
-
-
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[int, list[tuple[int, int]]]]:
+        n = rest[length]
+        while n:
+            k = bisect_left(order, length)
+            free = order[k] if k < len(order) else capacity
+            each = free // length
+            kind, there = next(iter(begun[free].items())) if k < len(order) else ((), n)
+            copies = each if n >= each else n
+            times = min(there, n // copies)
+            n -= times * copies
+            if k < len(order):
+                if there > times:
+                    begun[free][kind] = there - times
+                else:
+                    del begun[free][kind]
+                    if not begun[free]:
+                        del begun[free], order[k]
+            rest_of = free - copies * length
+            if rest_of not in begun:
+                begun[rest_of] = {}
+                insort(order, rest_of)
+            grown = (*kind, (length, copies))
+            begun[rest_of][grown] = begun[rest_of].get(grown, 0) + times
+    return {kind: n for kinds in begun.values() for kind, n in kinds.items()}
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Plan:
     """Sequence kinds (how many, [(length, copies), ...] in place order) that hold each length exactly as often as it occurs."""
     full = histogram.get(capacity, 0)
     histogram = {x: n for x, n in histogram.items() if x < capacity and n}
     kinds = [(full, [(capacity, 1)])] if full else []
     if not histogram:
-        return kinds
+        return Plan(kinds, full, 1.0)
     lengths = np.array(sorted(histogram), np.int64)
     counts = np.array([histogram[x] for x in lengths.tolist()], np.int64)
     left = counts.copy()
-    programmed = []
-    for chosen, times in solve(lengths, counts, capacity, rounds):
-        programmed.append((times, sorted(((int(lengths[i]), n) for i, n in chosen.items()), reverse=True)))
+    found, _, bound = solve(lengths, counts, capacity, rounds)
+    opened: dict[tuple, int] = {}
+    for chosen, times in found:
+        kind = tuple(sorted(((int(lengths[i]), n) for i, n in chosen.items()), reverse=True))
+        opened[kind] = opened.get(kind, 0) + times
         for i, n in chosen.items():
             left[i] -= n * times
     rest = {int(x): int(n) for x, n in zip(lengths, left, strict=True) if n}
-    return kinds + programmed + _placed(rest, capacity)
-
-
-def _placed(rest: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Best fit for what the program leaves, REST_PIECES at most; like sequences are one kind."""
-    out: dict[tuple, int] = {}
-    for _, added in best_fit(rest, [], capacity):
-        kind = tuple((x, added.count(x)) for x in sorted(set(added), reverse=True))
-        out[kind] = out.get(kind, 0) + 1
-    return [(n, list(kind)) for kind, n in out.items()]
+    kinds += [(n, list(kind)) for kind, n in best_fit(rest, capacity, opened).items()]
+    return Plan(kinds, full + math.ceil(bound - 1e-6), 1 - float(left @ lengths) / float(counts @ lengths))
 
 
 def slots(kinds: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, tuple]:
@@ -190,7 +249,7 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, rounds:
     slots in a lookup table of at most capacity**2 entries, in practice thousands.
     """
     histogram = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}
-    found = slots(plan(histogram, capacity, rounds))
+    found = slots(plan(histogram, capacity, rounds).kinds)
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, k: pd.Series) -> pd.DataFrame:
