@@ -1,10 +1,9 @@
 """Token ids and their binary output: an adaptive context-mixing range coder over independently reset, checksummed blocks.
 
-File format, little-endian: MAGIC; sections, each `B` + groups of blocks or `I` + the document index; see TokenWriter.
-Within a block each id is coded by one arithmetic step that mixes three predictions: that of the last two ids
-(order 2), that of the last id (order 1), and the adaptive frequencies of the ids' magnitudes (order 0), with the
-offset within a magnitude uniform. The predictors' shares adapt with their hits. All blocks start from the same
-state, so each can be decoded alone; numpy codes up to LANES blocks in step.
+File format, little-endian: MAGIC; sections, each `B` + a group of blocks or `I` + the document index; see TokenWriter.
+Each id is coded by one arithmetic step over mixed predictions: of the last two ids (order 2), of the last id (order 1) and
+of the group's id counts (order 0), with weights that adapt to what each order was worth; see _Model. All blocks of a group start from
+the same state, the group's alphabet, so each can be decoded alone; numpy codes up to LANES blocks in step.
 """
 
 from __future__ import annotations
@@ -27,13 +26,21 @@ from pyspark.sql import Window as W
 
 from .common import shared_dir, stored, table
 
-MAGIC = b"QSTOK01\n"
-BLOCK, LANES = 2048, 4096
-SLOTS = 9  # log2 of the predictions a block keeps for each order
-MAGNITUDES = 21  # ids below 2**20
-SYMBOLS = 2 + MAGNITUDES
-STEP, HALVE = 24, 64
-LOW_BITS, TOP, ZERO, ONE = np.uint64(0xFFFFFFFF), np.uint64(1 << 48), np.uint64(0), np.uint64(1)
+MAGIC = b"QSTOK02\n"
+#: Ids in a block and blocks in a group at most; in small groups blocks are shorter, down to SHORT, until there are FEW.
+BLOCK, LANES, SHORT, FEW = 8192, 768, 1024, 16
+#: log2 of the contexts that a block keeps of order 2 and of order 1, the symbols of each and the count at which a context's counts are halved.
+SLOTS, WAYS, FULL = (12, 11), 4, 250
+#: The mass that the contexts' symbols share, and how fast weights follow.
+MASS, RATE = 1 << 24, 1 / 24
+LOW_BITS, TOP, ONE = np.uint64(0xFFFFFFFF), np.uint64(1 << 48), np.uint64(1)
+_WAY = np.arange(WAYS, dtype=np.int16)[:, None]
+#: States of the contexts by the counts that they have seen (order 2: six, order 1: four; and whether order 2 has seen one symbol only), and the weights of
+#: orders 2, 1 and 0 with which each begins.
+_BUCKET2 = np.array([0, 1, 2, 3, 3, 4, 4, 4, 4] + [5] * 7)
+_BUCKET1 = np.array([0, 1, 1, 1, 2, 2, 2, 2, 2, 2, 2] + [3] * 5)
+_WEIGHTS = np.array([((0.3 + 0.06 * two + 0.1 * sure) if two else 0.01, (0.1 + 0.03 * one) if one else 0.01, 0) for two in range(6) for one in range(4) for sure in range(2)])
+_WEIGHTS[:, 2] = 1 - _WEIGHTS.sum(axis=1)
 
 #: Texts without these split at white space into parts that are encoded alike alone and together.
 NOT_PLAIN = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\u012f\u0131-\u024f]|<\\|")
@@ -127,45 +134,92 @@ class Encoder:
 
 
 class _Model:
-    """The state of n blocks that are coded in step: rows are symbols, columns blocks."""
+    """The state of n blocks that are coded in step.
 
-    GROW = (np.triu(np.ones((SYMBOLS, SYMBOLS), np.int16)).T * np.int16(STEP)).copy()  # column s: what cum[1:] gains from symbol s
+    Orders 2 and 1 keep, for each hashed context of a block, WAYS symbols with counts; order 0 are the group's counts, from which each
+    block starts. A symbol's mass is the sum of what the orders give it, each times its weight. The weights, one set for each
+    state of the contexts' counts, follow the share that each order had in the symbols seen. Only sums, products, quotients
+    and comparisons are used, so every machine decodes alike.
+    """
 
-    def __init__(self, n: int):
+    def __init__(self, n: int, cumulated: np.ndarray):
         self.lane = np.arange(n)
-        self.place = self.lane << SLOTS
-        self.cum = np.repeat(np.concatenate(([0], np.cumsum([8, 8] + [4] * MAGNITUDES))).astype(np.int16)[:, None], n, axis=1)
-        self.one, self.two = np.zeros(n << SLOTS, np.uint32), np.zeros(n << SLOTS, np.uint32)
+        kind = np.uint16 if len(cumulated) <= 1 << 16 else np.uint32
+        self.zero, self.zero_bits = cumulated, int(cumulated[-1]).bit_length() - 1
+        self.share = np.diff(cumulated)
+        self.rows = [np.zeros((n << bits, 2 * WAYS), kind) for bits in SLOTS]  # of order 2 and 1: symbols, then their counts
+        self.weight = np.repeat(_WEIGHTS[None], n, axis=0).reshape(-1, 3).astype(np.float32)
         self.last = self.before = np.zeros(n, np.uint32)
         self.low, self.range = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
-        self.steps = 0
-
-    def predict(self):
-        shift = np.uint32(32 - SLOTS)
-        first = self.last * np.uint32(0x9E3779B1)
-        self.h1 = (first >> shift) + self.place
-        self.h2 = ((first * np.uint32(0x85EBCA6B) + self.before * np.uint32(0xC2B2AE35)) >> shift) + self.place
-        return self.one[self.h1], self.two[self.h2]
-
-    def learn(self, ids: np.ndarray, symbol: np.ndarray) -> None:
-        self.one[self.h1] = ids
-        self.two[self.h2] = ids
-        self.before, self.last = self.last, ids
-        self.cum[1:] += self.GROW.take(symbol, axis=1)
-        self.steps += 1
-        if self.steps % HALVE == 0:
-            self.cum[1:] = np.cumsum((np.diff(self.cum, axis=0) >> 1) | 1, axis=0)
-
-    def narrow(self, symbol: np.ndarray, part: np.ndarray, bits: np.ndarray) -> None:
-        """To the symbol's part of the range, and the size of one of its 2**bits offsets."""
-        flat, n = self.cum.ravel(), len(symbol)
-        at = symbol * n + self.lane
-        a = flat[at].astype(np.uint64)
-        self.low += a * part
-        self.range = ((flat[at + n].astype(np.uint64) - a) * part) >> bits
-
-    def part(self) -> np.ndarray:
-        return self.range // self.cum[-1].astype(np.uint64)
+
+    def predict(self) -> None:
+        """Masses of the contexts' symbols (a symbol of both orders: with the first), what order 0 counts once, and the total."""
+        first = (self.last + np.uint32(1)) * np.uint32(0x9E3779B1)
+        second = (first ^ (first >> np.uint32(15))) * np.uint32(0x85EBCA6B) + (self.before + np.uint32(1)) * np.uint32(0xC2B2AE35)
+        self.at = [(h >> np.uint32(32 - bits)).astype(np.int64) + (self.lane << bits) for h, bits in zip((second, first), SLOTS, strict=True)]
+        two, one = (np.ascontiguousarray(rows.take(at, axis=0).T) for rows, at in zip(self.rows, self.at, strict=True))
+        self.symbol, self.count = np.concatenate((two[:WAYS], one[:WAYS])), (two[WAYS:], one[WAYS:])
+        n2, n1 = (c.sum(axis=0, dtype=np.int32) for c in self.count)
+        sure = self.count[0].max(axis=0) == n2
+        self.set = _BUCKET2.take(np.minimum(n2, 15)) * 8 + _BUCKET1.take(np.minimum(n1, 15)) * 2 + sure + self.lane * len(_WEIGHTS)
+        self.w = w = np.ascontiguousarray(self.weight.take(self.set, axis=0).T)
+        self.own = np.concatenate([(c * (x * np.float32(MASS) / np.maximum(n, 1).astype(np.float32))).astype(np.int32) for c, x, n in zip(self.count, w, (n2, n1), strict=False)])
+        self.mass = mass = self.own.copy()
+        for k in range(WAYS):
+            same = (self.symbol[k] == self.symbol[WAYS:]) & (self.own[k] > 0)
+            if same.any():
+                mass[k] += (mass[WAYS:] * same).sum(axis=0, dtype=np.int32)
+                mass[WAYS:] *= ~same
+        self.end = np.cumsum(mass, axis=0, dtype=np.int32)
+        self.unit = (w[2] * np.float32(MASS >> self.zero_bits)).astype(np.int64) + 1
+        self.total = self.end[-1] + (self.unit << self.zero_bits)
+
+    def learn(self, x: np.ndarray) -> None:
+        """Of the symbols just placed: the weights' shares, then the counts."""
+        hit = self.hit
+        gave = self.own * hit
+        part = np.stack((gave[:WAYS].sum(axis=0, dtype=np.int32), gave[WAYS:].sum(axis=0, dtype=np.int32), self.unit * self.share.take(x))).astype(np.float32)
+        part /= part[0] + part[1] + part[2]
+        part -= self.w
+        part *= np.float32(RATE)
+        part += self.w
+        self.weight[self.set] = part.T
+        x = x.astype(self.symbol.dtype)
+        for k, (rows, at) in enumerate(zip(self.rows, self.at, strict=True)):
+            count = self.count[k].astype(np.int16)
+            met = hit[k * WAYS : (k + 1) * WAYS] & (count > 0)
+            # the symbol's own place, or that of the smallest count
+            place = np.where(met, _WAY - np.int16(8), (count << 3) + _WAY).min(axis=0)
+            found = place < 0
+            place = (place & 7).astype(np.int64)
+            old = count[place, self.lane]
+            flat, to = rows.reshape(-1), at * (2 * WAYS) + place
+            flat[to] = x
+            flat[to + WAYS] = np.where(found, old + 1, 1)
+            if len(full := np.flatnonzero(found & (old >= FULL))):
+                rows[at[full], WAYS:] >>= 1
+        self.before, self.last = self.last, x.astype(np.uint32)
+
+    def narrow(self, begin: np.ndarray, size: np.ndarray) -> None:
+        part = self.range // self.total.astype(np.uint64)
+        self.low += begin.astype(np.uint64) * part
+        self.range = size.astype(np.uint64) * part
+
+    def place_of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the mass of each symbol begins, and its size: with the contexts' symbols, or behind them by order 0."""
+        self.hit = self.symbol == x.astype(self.symbol.dtype)
+        own = self.hit & (self.mass > 0)
+        mass = (self.mass * own).sum(axis=0, dtype=np.int32)
+        among = mass > 0
+        begin = np.where(among, (self.end * own).sum(axis=0, dtype=np.int32) - mass, self.end[-1] + self.unit * self.zero.take(x))
+        return begin, np.where(among, mass, self.unit * self.share.take(x))
+
+    def symbol_at(self, value: np.ndarray) -> np.ndarray:
+        j = (self.end <= value).sum(axis=0)
+        among = j < 2 * WAYS
+        rest = np.maximum(value - self.end[-1], 0) // self.unit
+        behind = np.searchsorted(self.zero, rest, side="right") - 1
+        return np.where(among, self.symbol[np.minimum(j, 2 * WAYS - 1), self.lane], np.minimum(behind, len(self.share) - 1)).astype(np.int64)
 
     def due(self, at: np.ndarray | None) -> np.ndarray:
         """Of the blocks ``at`` (None: all) those whose top 16 bits are settled; the range of those that straddle is cut so that they are."""
@@ -185,31 +239,32 @@ class _Model:
         self.range[at] <<= np.uint64(16)
 
 
-def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """The code of each row of ids (blocks, length), unsigned 32-bit."""
-    n, longest = ids.shape
-    model = _Model(n)
+def alphabet_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that occur, ascending, and their order-0 counts as running sums to a power of two, one at least for each."""
+    found, often = np.unique(ids, return_counts=True)
+    total = 1 << max(17, len(found).bit_length() + 2)
+    share = 1 + often * (total - len(found)) // max(1, often.sum())
+    if len(found):
+        share[often.argmax()] += total - share.sum()
+    return found.astype(np.uint32), np.concatenate(([0], np.cumsum(share))).astype(np.int64)
+
+
+def encode_blocks(symbols: np.ndarray, cumulated: np.ndarray) -> list[bytes]:
+    """The code of each row of symbols (blocks, length), numbers in the alphabet."""
+    n, longest = symbols.shape
+    model = _Model(n, cumulated)
     words, at = np.zeros(n * (longest * 3 + 8), np.uint16), np.arange(n) * (longest * 3 + 8)
     begin = at.copy()
-    columns = np.ascontiguousarray(ids.T)
+    columns = np.ascontiguousarray(symbols.T).astype(np.int64)
     for t in range(longest):
-        x = columns[t]
-        above = x + np.uint32(1)
-        p1, p2 = model.predict()
-        symbol = (np.frexp(above.astype(np.float64))[1] + 1).astype(np.int64)  # magnitude + 2
-        symbol[x == p1] = 1
-        symbol[x == p2] = 0
-        missed = symbol > 1
-        bits = np.where(missed, symbol - 2, 0).astype(np.uint64)
-        model.narrow(symbol, model.part(), bits)
-        offset = np.where(missed, above.astype(np.uint64) - (ONE << bits), ZERO)
-        model.low += offset * model.range
+        model.predict()
+        model.narrow(*model.place_of(columns[t]))
         due = None
         while len(due := model.due(due)):
             words[at[due]] = model.low[due] >> np.uint64(48)
             at[due] += 1
             model.drop(due)
-        model.learn(x, symbol)
+        model.learn(columns[t])
     for _ in range(4):
         words[at] = model.low >> np.uint64(48)
         at += 1
@@ -217,44 +272,39 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     return [words[a:b].astype("<u2").tobytes() for a, b in zip(begin.tolist(), at.tolist(), strict=True)]
 
 
-def decode_blocks(coded: list[bytes], longest: int) -> np.ndarray:
+def decode_blocks(coded: list[bytes], longest: int, cumulated: np.ndarray) -> np.ndarray:
     n = len(coded)
     size = np.array([len(x) // 2 for x in coded])
     at = np.concatenate(([0], np.cumsum(size)[:-1]))
     words = np.concatenate([np.frombuffer(b"".join(coded), "<u2"), np.zeros(longest * 3 + 8, np.uint16)]).astype(np.uint64)
-    model, out = _Model(n), np.zeros((longest, n), np.uint32)
+    model, out = _Model(n, cumulated), np.zeros((longest, n), np.int64)
     code = np.zeros(n, np.uint64)
     for k in range(4):
         code = (code << np.uint64(16)) | words[at + k]
     at += 4
     for t in range(longest):
-        p1, p2 = model.predict()
-        part = model.part()
-        value = np.minimum((code - model.low) // part, np.uint64(32767)).astype(np.int16)
-        np.minimum(value, model.cum[-1] - np.int16(1), out=value)
-        symbol = (model.cum[1:] <= value).sum(axis=0, dtype=np.uint8).astype(np.int64)
-        missed = symbol > 1
-        bits = np.where(missed, symbol - 2, 0).astype(np.uint64)
-        model.narrow(symbol, part, bits)
-        offset = np.where(missed, (code - model.low) // model.range, ZERO)
-        x = np.where(missed, offset + (ONE << bits) - ONE, np.where(symbol == 0, p2, p1)).astype(np.uint32)
-        model.low += offset * model.range
+        model.predict()
+        total = model.total.astype(np.uint64)
+        value = np.minimum((code - model.low) // (model.range // total), total - ONE).astype(np.int64)
+        x = model.symbol_at(value)
+        model.narrow(*model.place_of(x))
         due = None
         while len(due := model.due(due)):
-            code[due] = (code[due] << np.uint64(16)) | words[at[due]]
+            code[due] = (code[due] << np.uint64(16)) | words[np.minimum(at[due], len(words) - 1)]
             at[due] += 1
             model.drop(due)
-        model.learn(x, symbol)
+        model.learn(x)
         out[t] = x
     return out.T
 
 
 class TokenWriter:
-    """Writes ids of documents, in the order given, to a stream; holds LANES blocks at most.
+    """Writes ids of documents, in the order given, to a stream; holds a group of LANES blocks at most.
 
-    A group: `B`, number of blocks, then for each block its ids, bytes of code and CRC-32 of both (3 unsigned 32-bit),
-    then the codes. The index, at the end: `I`, number of documents, their ids (signed 64-bit; 1 byte each before that
-    says whether it is null) and lengths (unsigned 64-bit), CRC-32 of that.
+    A group: `B`, number of blocks, length of a block, ids in the group (the last block is filled up with its last id), bytes of the alphabet,
+    CRC-32 of it (5 unsigned 32-bit), the alphabet (zlib: ids and their order-0 counts, unsigned 32-bit), then for each block bytes of code
+    and CRC-32 of its ids and code (2 unsigned 32-bit), then the codes. The index, at the end: `I`, number of documents, their ids
+    (signed 64-bit; 1 byte each before that says whether it is null) and lengths (unsigned 64-bit), CRC-32 of that.
     """
 
     def __init__(self, stream):
@@ -271,19 +321,20 @@ class TokenWriter:
     def _flush(self, last: bool) -> None:
         ids = np.frombuffer(b"".join(self.held), "<u4")
         while len(ids) >= BLOCK * LANES or last and len(ids):
-            take = ids[: BLOCK * LANES]
-            whole = len(take) // BLOCK * BLOCK
-            if whole:
-                self._group(take[:whole].reshape(-1, BLOCK))
-            if whole < len(take):  # the last block of a file is shorter
-                self._group(take[whole:].reshape(1, -1))
-            ids = ids[len(take) :]
+            self._group(ids[: BLOCK * LANES])
+            ids = ids[BLOCK * LANES :]
         self.held, self.n = [ids.tobytes()], len(ids)
 
     def _group(self, ids: np.ndarray) -> None:
-        coded = encode_blocks(ids)
-        head = [struct.pack("<III", ids.shape[1], len(x), zlib.crc32(x, zlib.crc32(row.tobytes()))) for x, row in zip(coded, ids, strict=True)]
-        self.stream.write(b"B" + struct.pack("<I", len(ids)) + b"".join(head) + b"".join(coded))
+        found, cumulated = alphabet_of(ids)
+        blocks = max(-(-len(ids) // BLOCK), min(FEW, -(-len(ids) // SHORT)))
+        longest = -(-len(ids) // blocks)
+        blocks = -(-len(ids) // longest)
+        rows = np.concatenate((ids, np.full(blocks * longest - len(ids), ids[-1], np.uint32))).astype("<u4").reshape(blocks, longest)
+        coded = encode_blocks(np.searchsorted(found, rows), cumulated)
+        table = zlib.compress(found.astype("<u4").tobytes() + np.diff(cumulated).astype("<u4").tobytes())
+        head = [struct.pack("<II", len(x), zlib.crc32(x, zlib.crc32(row.tobytes()))) for x, row in zip(coded, rows, strict=True)]
+        self.stream.write(b"B" + struct.pack("<IIIII", blocks, longest, len(ids), len(table), zlib.crc32(table)) + table + b"".join(head) + b"".join(coded))
 
     def close(self) -> None:
         self._flush(True)
@@ -297,14 +348,18 @@ def read_groups(stream):
         raise ValueError("not a token file")
     while kind := stream.read(1):
         if kind == b"B":
-            (n,) = struct.unpack("<I", stream.read(4))
-            heads = list(struct.iter_unpack("<III", stream.read(12 * n)))
-            coded = [stream.read(h[1]) for h in heads]
-            ids = decode_blocks(coded, heads[0][0])
+            n, longest, count, size, crc = struct.unpack("<IIIII", stream.read(20))
+            table = stream.read(size)
+            if zlib.crc32(table) != crc:
+                raise ValueError("an alphabet's checksum is wrong")
+            found, share = np.frombuffer(zlib.decompress(table), "<u4").reshape(2, -1)
+            heads = list(struct.iter_unpack("<II", stream.read(8 * n)))
+            coded = [stream.read(h[0]) for h in heads]
+            ids = found[decode_blocks(coded, longest, np.concatenate(([0], np.cumsum(share, dtype=np.int64))))].astype("<u4")
             for x, row, h in zip(coded, ids, heads, strict=True):
-                if zlib.crc32(x, zlib.crc32(row.tobytes())) != h[2]:
+                if zlib.crc32(x, zlib.crc32(row.tobytes())) != h[1]:
                     raise ValueError("a block's checksum is wrong")
-            yield "ids", ids.ravel()
+            yield "ids", ids.ravel()[:count]
         elif kind == b"I":
             n, crc = struct.unpack("<QI", stream.read(12))
             body = stream.read(17 * n)
@@ -366,8 +421,9 @@ def _index(stream) -> list:
     stream.read(len(MAGIC))
     while kind := stream.read(1):
         if kind == b"B":
-            (n,) = struct.unpack("<I", stream.read(4))
-            skip = sum(h[1] for h in struct.iter_unpack("<III", stream.read(12 * n)))
+            n, _, _, size, _ = struct.unpack("<IIIII", stream.read(20))
+            stream.read(size)
+            skip = sum(h[0] for h in struct.iter_unpack("<II", stream.read(8 * n)))
             while skip:
                 skip -= len(stream.read(min(skip, 1 << 22)))
         else:

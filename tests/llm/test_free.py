@@ -1,4 +1,5 @@
 import collections
+import os
 import random
 import zlib
 
@@ -145,8 +146,9 @@ def test_encoder_equals_the_tokenizer():
 def test_coder_round_trips_and_checks(tmp_path):
     rng = np.random.default_rng(0)
     for ids in (np.zeros((1, 1)), np.full((3, 50), 2**20 - 2), rng.integers(0, 2**20 - 1, (7, 300)), rng.zipf(1.3, (4, 500)) % 49408):
-        ids = ids.astype(np.uint32)
-        assert (tokens.decode_blocks(tokens.encode_blocks(ids), ids.shape[1]) == ids).all()
+        found, cumulated = tokens.alphabet_of(ids.astype(np.uint32))
+        symbols = np.searchsorted(found, ids)
+        assert (tokens.decode_blocks(tokens.encode_blocks(symbols, cumulated), ids.shape[1], cumulated) == symbols).all()
     with open(tmp_path / "x", "wb") as f:
         w = tokens.TokenWriter(f)
         docs = [(1, 5), (None, 0), (3, 7000), (4, 1)]
@@ -162,6 +164,33 @@ def test_coder_round_trips_and_checks(tmp_path):
         list(tokens.read_groups(open(tmp_path / "y", "rb")))
 
 
+def test_blocks_decode_alone():
+    rng = np.random.default_rng(2)
+    ids = (rng.zipf(1.2, (5, 700)) % 3000).astype(np.uint32)
+    found, cumulated = tokens.alphabet_of(ids)
+    symbols = np.searchsorted(found, ids)
+    coded = tokens.encode_blocks(symbols, cumulated)
+    assert all((tokens.decode_blocks([x], 700, cumulated)[0] == row).all() for x, row in zip(coded, symbols, strict=True))
+
+
+def test_the_coder_beats_order_0_and_zlib(tmp_path):
+    """Bits an id over real ids, alphabets, checksums and index included."""
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    encode = tokens.Encoder(tokens.tokenizer_path())
+    ids = np.frombuffer(b"".join(encode(x) + b"\2\0\0\0" for x in pq.read_table(path)["text"].to_pylist()), "<u4")
+    with open(tmp_path / "x", "wb") as f:
+        writer = tokens.TokenWriter(f)
+        writer.add(1, ids.tobytes())
+        writer.close()
+    often = np.unique(ids, return_counts=True)[1] / len(ids)
+    bits = 8 * os.path.getsize(tmp_path / "x") / len(ids)
+    assert bits < -(often * np.log2(often)).sum() and bits < 8 * len(zlib.compress(ids.astype("<u2").tobytes(), 9)) / len(ids)
+
+
 def test_token_files_round_trip(spark, tmp_path):
     docs = [(i, t) for i, t in enumerate(ODD)] + [(3, "again"), (None, "null id")]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("doc", F.lit("x"))
@@ -203,7 +232,8 @@ def test_pieces_are_whole_and_sequences_gapless(spark):
 def test_plan_is_close_to_the_bound(seed):
     r = random.Random(seed)
     h = collections.Counter(min(4096, int(r.lognormvariate(6.5, 1)) + 1) for _ in range(5000 * (seed + 1)))
-    kinds = packing.plan(dict(h))
+    kinds, bound, programmed = packing.plan(dict(h))
+    assert programmed >= 0.75 and bound <= sum(n for n, _ in kinds) <= 1.01 * bound + 1
     held = collections.Counter()
     for n, kind in kinds:
         assert sum(x * m for x, m in kind) <= 4096
@@ -220,14 +250,42 @@ def test_program_places_all_but_the_stated_rest(times):
     lengths = np.array(sorted(h))
     counts = np.array([h[x] * times for x in lengths.tolist()])
     left = counts.copy()
-    for chosen, n in packing.solve(lengths, counts, 4096, packing.ROUNDS):
+    found, value, bound = packing.solve(lengths, counts, 4096, packing.ROUNDS)
+    assert bound <= value <= (1 + packing.GAP) * bound
+    for chosen, n in found:
         for i, copies in chosen.items():
             left[i] -= copies * n
-    assert (left >= 0).all() and left.sum() <= packing.REST_PIECES and (left * lengths).sum() <= packing.REST * (counts * lengths).sum()
-    kinds = packing.plan({int(x): int(n) for x, n in zip(lengths, counts, strict=True)})
+    assert (left >= 0).all() and (left * lengths).sum() <= packing.REST * (counts * lengths).sum()
+    kinds = packing.plan({int(x): int(n) for x, n in zip(lengths, counts, strict=True)}).kinds
     assert sum(n for n, _ in kinds) <= -(-int((lengths * counts).sum()) // 4096) * 1.005 + 1
 
 
+def test_the_bound_knows_pieces_over_half():
+    """Pieces of which no two fit: the tokens ask for 60 sequences, the program for 100."""
+    found, value, bound = packing.solve(np.array([3, 60]), np.array([5, 100]), 100, 50)
+    kinds, least, _ = packing.plan({60: 100, 3: 5}, 100)
+    assert 95 < bound <= value and least <= 100 == sum(n for n, _ in kinds)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_best_fit_in_bulk_is_best_fit(seed):
+    r = random.Random(seed)
+    rest = {r.randrange(1, 60): r.randrange(1, 30) for _ in range(12)}
+    free = []
+    for x in sorted((x for x, n in rest.items() for _ in range(n)), reverse=True):
+        fits = [f for f in free if f >= x]
+        if fits:
+            free.remove(min(fits))
+        free.append((min(fits) if fits else 100) - x)
+    kinds = packing.best_fit(rest, 100, {})
+    assert sorted(f for kind, n in kinds.items() for f in [100 - sum(x * m for x, m in kind)] * n) == sorted(free)
+    held = collections.Counter()
+    for kind, n in kinds.items():
+        for x, m in kind:
+            held[x] += n * m
+    assert held == rest
+
+
 def test_hot_lengths_are_numbered_in_salts(spark, monkeypatch):
     monkeypatch.setattr(packing, "NUMBERED", 10)
     df = spark.range(200).select(F.col("id").alias("doc_id"), F.lit(7).cast("long").alias("length"))
