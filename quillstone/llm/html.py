@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from typing import NamedTuple
 
 import pandas as pd
@@ -41,11 +42,10 @@ BOX = set("html body div section article main center details dialog fieldset td
 HEADING = set("h1 h2 h3 h4 h5 h6".split())
 #: What stands between the links of a menu.
 BETWEEN_LINKS = " \t\r\f\xa0|/·•,;:<>»«›‹–-"
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
-)
+OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+ENDS = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-RAW = re.compile("|".join(rf"(?P<{x}></{x}\b[^>]*>)" for x in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select", "object")), re.I)
 BLANK = re.compile(r"\s+")
 
 
@@ -63,6 +63,63 @@ def aside(name: str, attributes: str) -> bool:
     return False
 
 
+class Markup(NamedTuple):
+    """A tag (name empty: a comment or declaration) between two places of the page."""
+
+    start: int
+    end: int
+    closing: bool
+    name: str
+    attributes: str
+
+
+class Scanner:
+    """Finds a page's markup from left to right. What no end was found for is kept, so that the work is in proportion to the page
+    whatever is left open in it."""
+
+    def __init__(self, page: str):
+        self.page, self.bare, self.dead, self.unclosed = page, len(page) + 1, set(), set()
+
+    def _end(self, at: int) -> int:
+        """Behind the first > outside quotes; -1 if there is none or a quote stays open."""
+        passed = []
+        while at < self.bare:
+            mark = ENDS.search(self.page, at)
+            if not mark:
+                self.bare = at
+                break
+            if mark[0] == ">":
+                return mark.end()
+            if mark.start() in self.dead:
+                break
+            passed.append(mark.start())
+            close = self.page.find(mark[0], mark.end())
+            if close < 0:
+                break
+            at = close + 1
+        self.dead.update(passed)
+        return -1
+
+    def next(self, at: int) -> Markup | None:
+        while (at := self.page.find("<", at)) >= 0:
+            if other := OTHER.match(self.page, at):
+                return Markup(at, other.end(), False, "", "")
+            if (tag := TAG.match(self.page, at)) and (end := self._end(tag.end())) >= 0:
+                return Markup(at, end, bool(tag[1]), tag[2].lower(), self.page[tag.end() : end - 1])
+            at += 1
+        return None
+
+    def close_of(self, name: str, at: int) -> int:
+        """Behind the next closing tag of this name; -1 if there is none."""
+        if name in self.unclosed:
+            return -1
+        close = re.compile(rf"</{re.escape(name)}\b", re.I).search(self.page, at)
+        end = self.page.find(">", close.end()) if close else -1
+        if end < 0:
+            self.unclosed.add(name)
+        return end + 1 if end >= 0 else -1
+
+
 class Block(NamedTuple):
     """A text block: its text, the characters outside links of each of its source lines, empty lines before it, the
     container it stands in, its support (2 in article or main, 1 in a container named as content), whether it is a heading."""
@@ -112,30 +169,30 @@ def blocks_of(page: str) -> list[Block]:
             marks = 0
         buffer.clear()
 
-    at = 0
+    at, scanner, opened = 0, Scanner(page), Counter()
     while at < len(page):
-        tag = MARKUP.search(page, at)
-        text = page[at : tag.start() if tag else len(page)]
+        tag = scanner.next(at)
+        text = page[at : tag.start if tag else len(page)]
         if not skipped:
             buffer.append((text, link))
         elif text and not text.isspace():
             marks += 1
         if not tag:
             break
-        at = tag.end()
-        name = (tag[2] or "").lower()
+        at, name = tag.end, tag.name
         if not name:
             continue
         if name in BLOCK:
             if not skipped:
                 flush()
             marks += 1
-        if tag[1]:
+        if tag.closing:
             if name == "a" or name in BLOCK:  # a link that is not closed ends with its block
                 link = False
-            if any(x.name == name for x in stack):
+            if opened[name]:
                 while stack:
                     last = stack.pop()
+                    opened[last.name] -= 1
                     skipped -= last.off
                     inside -= last.name in ("article", "main")
                     if last.name == name:
@@ -143,30 +200,32 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name in NO_TEXT and name != "head":
             marks += 1
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            if tag[3].rstrip().endswith("/"):
+            if tag.attributes.rstrip().endswith("/"):
                 continue
-            if end:
-                at = end.end()
+            if (end := scanner.close_of(name, at)) >= 0:
+                at = end
             elif name in ("script", "style"):
                 break
             continue
-        if name in VOID or tag[3].rstrip().endswith("/"):
+        if name in VOID or tag.attributes.rstrip().endswith("/"):
             continue
         if name == "a":
-            link = "href" in tag[3].lower()
-        off = name == "head" or aside(name, tag[3])
+            link = "href" in tag.attributes.lower()
+        off = name == "head" or aside(name, tag.attributes)
         if name == "body":  # an unclosed head ends here
             while stack and stack[-1].name == "head":
+                opened["head"] -= 1
                 skipped -= stack.pop().off
         if off or name in BLOCK or name in ("article", "main", "section", "span"):
             if name in CLOSED_BY_BLOCK and stack and stack[-1].name == name:
+                opened[name] -= 1
                 skipped -= stack.pop().off
             outer, content = (stack[-1].box, stack[-1].content) if stack else (0, False)
             if name in BOX:
                 boxes += 1
-                content = any(key.lower() in ("class", "id") and CONTENT_WORDS.search(a or b or c) for key, a, b, c in ATTRIBUTE.findall(tag[3]))
+                content = any(key.lower() in ("class", "id") and CONTENT_WORDS.search(a or b or c) for key, a, b, c in ATTRIBUTE.findall(tag.attributes))
             stack.append(Open(name, off, boxes if name in BOX else outer, outer, content))
+            opened[name] += 1
             skipped += off
             inside += name in ("article", "main")
     flush()

@@ -410,3 +410,46 @@ def test_held_out_accuracy(spark):
     assert q > 0.95
     t = toxicity.op4_toxicity(spark, d).join(labels, "doc_id").where("held_out").select(F.avg((F.col("predicted") == F.col("toxic")).cast("int"))).first()[0]
     assert t > 0.9
+
+
+@pytest.mark.parametrize("bad", ['<a title="x ', "<b ", "<svg>", "</svg <svg ", "<div></x>", "<p class='y\" ", "<!-- ", "<script "])
+def test_broken_markup_takes_time_in_proportion(bad):
+    import time
+
+    took = []
+    for size in (100_000, 800_000):
+        began = time.process_time()
+        html.main_text(bad * (size // len(bad)))
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0] + 0.5
+
+
+def brute_spans(blocks):
+    """The window rule in words: line by line, the sum over it and the next two; a surge opens a span, a dive closes it."""
+    lines = []
+    for k, b in enumerate(blocks):
+        lines += [(0, None)] * b.gap + [(n, k) for n in b.sizes]
+    kept, within = set(), False
+    for i, (n, k) in enumerate(lines):
+        window = sum(x for x, _ in lines[i : i + html.WINDOW])
+        owner = next((j for _, j in lines[i::-1] if j is not None), None)
+        low = owner is not None and blocks[owner].support > 0
+        within = window >= (1 if low else html.DIVE) if within else n > 0 and window >= (1 if low else html.SURGE)
+        if within and k is not None:
+            kept.add(k)
+    return [k in kept for k in range(len(blocks))]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_spans_equal_brute_force(seed):
+    r = random.Random(seed)
+    blocks = [html.Block("x", [r.choice([0, 3, 10, 25, 70, 200]) for _ in range(r.randrange(1, 4))], r.choice([0, 0, 1, 2, 5]), 0, r.choice([0, 0, 0, 1, 2]), False) for _ in range(60)]
+    assert html.main_spans(blocks) == brute_spans(blocks)
+
+
+def test_extraction_of_empty_tables_repeated_rows_and_clashing_names(spark):
+    rows = [(1, "u", "<p>One two three.</p>"), (1, "u", "<p>One two three.</p>"), (2, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit("x"))
+    got = df.withColumn("text", html.extract(df)).collect()
+    assert sorted((x["page_id"], x["text"]) for x in got) == [(1, "One two three."), (1, "One two three."), (2, "")]
+    assert df.where("false").withColumn("text", html.extract(df)).count() == 0
