@@ -56,6 +56,10 @@ def lexical_index(spark, d) -> lexical.LexicalIndex:
     return lexical.build_lexical_index(table(spark, d, "documents"), "doc_id", "doc_id", "text")
 
 
+def bm25(spark, d, asked: str, k: int) -> DataFrame:
+    return lexical.bm25_over(table(spark, d, "documents"), asked, k, "doc_id", "doc_id", "text")
+
+
 def first_vector(spark, d) -> DataFrame:
     """The vectors with that of vec_id 0 as _q."""
     all_ = table(spark, d, "embeddings")
@@ -101,19 +105,19 @@ SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FR
 
 @query(_bm25_sql(ASKED, 10))
 def bm25_topk(spark, d):
-    return lexical.bm25_search(lexical_index(spark, d), ASKED, 10).select(F.col("key").alias("doc_id"), "score", "rank")
+    return bm25(spark, d, ASKED, 10).select(F.col("key").alias("doc_id"), "score", "rank")
 
 
 @query(_bm25_sql(TWICE, 10))
 def bm25_dup_terms(spark, d):
-    return lexical.bm25_search(lexical_index(spark, d), TWICE, 10).select(F.col("key").alias("doc_id"), "score", "rank")
+    return bm25(spark, d, TWICE, 10).select(F.col("key").alias("doc_id"), "score", "rank")
 
 
 @query(f"""
 WITH b AS ({_bm25_sql(ASKED, 50)})
 SELECT vec_id, label, b.rank AS keyword_rank FROM embeddings LEFT JOIN b ON b.doc_id = vec_id""")
 def fuse_left_join(spark, d):
-    keyword = lexical.bm25_search(lexical_index(spark, d), ASKED, 50).withColumnRenamed("key", "vec_id")
+    keyword = bm25(spark, d, ASKED, 50).withColumnRenamed("key", "vec_id")
     return retrieval.annotate_keyword_rank(table(spark, d, "embeddings").select("vec_id", "label"), keyword, "vec_id")
 
 
@@ -123,7 +127,7 @@ v AS (SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], (SELECT embeddi
 n AS (SELECT doc_id, b.rank AS keyword_rank, v.score, row_number() OVER (ORDER BY coalesce(v.score, 0) DESC, b.rank) AS new_rank FROM b LEFT JOIN v ON vec_id = doc_id)
 SELECT doc_id, keyword_rank, score, new_rank, keyword_rank - new_rank AS delta FROM n""")
 def compare_delta(spark, d):
-    keyword = lexical.bm25_search(lexical_index(spark, d), ASKED, 10)
+    keyword = bm25(spark, d, ASKED, 10)
     vectors = first_vector(spark, d).withColumnRenamed("vec_id", "key")
     return retrieval.compare(keyword, retrieval.score_candidates(vectors, F.col("_q"), keyword)).select(F.col("key").alias("doc_id"), "keyword_rank", "score", "new_rank", "delta")
 

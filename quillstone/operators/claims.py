@@ -12,10 +12,10 @@ from ..functions.text import cites, col
 from ..functions.vectors import softmax, verdict
 
 # The rules for sentences with [n] marks.
-CITE = re.compile(r"\[(\d+)\]")
-SENTENCE = re.compile(r"[^.!?\n]+[.!?]?(?:\s*\[\d+\](?:\s*,\s*\[\d+\])*)*[.!?]?\s*")
-ONLY_CITES = re.compile(r"[\s,;.]*(?:\[\d+\][\s,;.]*)*")
-ENDED = re.compile(r"[.!?]\s*(?:\[\d+\])*\s*\Z")
+CITE = re.compile(r"\[([0-9]+)\]")
+SENTENCE = re.compile(r"[^.!?\n]+[.!?]?(?:\s*\[[0-9]+\](?:\s*,\s*\[[0-9]+\])*)*[.!?]?\s*")
+ONLY_CITES = re.compile(r"[\s,;.]*(?:\[[0-9]+\][\s,;.]*)*")
+ENDED = re.compile(r"[.!?]\s*(?:\[[0-9]+\])*\s*\Z")
 #: Stand-ins for sentence marks within code spans: private characters, put back afterwards.
 SHIELD = {".": "", "!": "", "?": ""}
 CLAIMS = "array<struct<claim_ord int, text string, cites array<int>, partial boolean>>"

@@ -32,10 +32,16 @@ class LexicalIndex:
         return cls(*[spark.read.parquet(f"{path}/{x}") for x in ("postings", "lengths", "frequencies", "stats")])
 
 
-def build_lexical_index(units: DataFrame, key_col="key", ord_col="ord", text_col="text") -> LexicalIndex:
-    """Of units with a key, an order that breaks ties and a text. Units without tokens count in n and avg_len."""
+def build_lexical_index(units: DataFrame, key_col="key", ord_col="ord", text_col="text", terms: DataFrame | None = None) -> LexicalIndex:
+    """Of units with a key, an order that breaks ties and a text. Units without tokens count in n and avg_len.
+
+    With terms (a column term), postings and frequencies are of these alone and others are dropped before the shuffle; lengths and
+    stats stay those of all units, so searches for them score the same.
+    """
     words = units.select(F.col(key_col).alias("key"), F.col(ord_col).cast("long").alias("ord"), tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
-    postings = words.select("key", F.explode("w").alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
+    held = words.select("key", F.explode("w").alias("term"))
+    held = held if terms is None else held.join(terms.select("term"), "term", "left_semi")
+    postings = held.groupBy("key", "term").agg(F.count("*").alias("tf"))
     lengths = words.select("key", "ord", F.size("w").cast("long").alias("len"))
     frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
     stats = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avg_len"))
@@ -67,3 +73,9 @@ def ranked(scores: DataFrame, k: int, digits: int = 6) -> DataFrame:
 
 def bm25_search(index: LexicalIndex, query: str, k: int = 10, k1: float = SearchConfig.k1, b: float = SearchConfig.b) -> DataFrame:
     return ranked(bm25_scores(index, query_terms(index.postings.sparkSession, query), k1, b), k)
+
+
+def bm25_over(units: DataFrame, query: str, k: int = 10, key_col="key", ord_col="ord", text_col="text") -> DataFrame:
+    """bm25_search where no index is stored: only the postings of the query's terms are grouped."""
+    terms = query_terms(units.sparkSession, query)
+    return ranked(bm25_scores(build_lexical_index(units, key_col, ord_col, text_col, terms), terms), k)

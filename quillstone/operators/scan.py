@@ -33,14 +33,14 @@ def default_quad(width: float, height: float, inset: float = 0.06) -> list[list[
 
 
 def warp(image: np.ndarray, quad, max_width: int = 1400) -> np.ndarray:
-    """The quad of an image (height, width, channels) as an upright page, bilinear; grey where the quad leaves the image."""
+    """The quad of an image (height, width, channels) as an upright page, bilinear, sampled at pixel centres; grey where the quad leaves the image."""
     q = np.array(quad, float)
     edge = lambda a, b: float(np.hypot(*(q[a] - q[b])))
     across, down = max(edge(0, 1), edge(3, 2)), max(edge(0, 3), edge(1, 2))
     width = max(1, int(round(min(max_width, across))))
     height = max(1, int(round(width * down / across))) if across else 1
     h = homography([[0, 0], [width, 0], [width, height], [0, height]], q)
-    gx, gy = np.meshgrid(np.arange(width), np.arange(height))
+    gx, gy = np.meshgrid(np.arange(width) + 0.5, np.arange(height) + 0.5)
     x, y = apply(h, gx, gy)
     x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
     inside = (x0 >= 0) & (y0 >= 0) & (x0 < image.shape[1] - 1) & (y0 < image.shape[0] - 1)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import posixpath
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,16 +62,25 @@ def _documents(parsed: DataFrame, stem: Column, **defaults: Column) -> DataFrame
     return rows.select(*DOCUMENT)
 
 
+def _file_in(root: str) -> Column:
+    """The path of the file read, below ``root``; names are decoded. The whole path where it does not hold the root (a glob)."""
+    bare = posixpath.normpath(re.sub(r"\A[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root)).strip("/") + "/"
+    whole = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
+    at = F.locate(bare, whole)
+    return F.when(at > 0, F.substring(whole, at + len(bare), F.length(whole))).otherwise(whole)
+
+
 def load_corpus(spark: SparkSession, *paths: str, suffix: str = "*.md") -> DataFrame:
-    """Documents of markdown trees: frontmatter, then defaults; id and title fall back to the file's stem. Later trees win equal paths."""
+    """Documents of markdown trees: frontmatter, then defaults; id and title fall back to the file's stem. Of files at
+    equal paths below their trees that of the later tree counts; equal names in different folders are different files."""
     raw = None
     for k, path in enumerate(paths):
         own = spark.read.text(path, wholetext=True, pathGlobFilter=suffix, recursiveFileLookup=True).select(
-            F.col("value"), F.regexp_extract(F.input_file_name(), r"([^/]+)\z", 1).alias("file"), F.lit(k).alias("_k")
+            F.col("value"), _file_in(path).alias("file"), F.lit(k).alias("_k")
         )
         raw = own if raw is None else raw.unionByName(own)
     chosen = raw.groupBy("file").agg(F.max_by("value", "_k").alias("value"))
-    return _documents(chosen.withColumn("_f", parse_frontmatter("value")), F.regexp_replace("file", r"(?i)\.(md|txt|markdown)\z", ""))
+    return _documents(chosen.withColumn("_f", parse_frontmatter("value")), F.regexp_replace(F.regexp_extract("file", r"([^/]+)\z", 1), r"(?i)\.(md|txt|markdown)\z", ""))
 
 
 def docs_from_files(files: DataFrame, name_col="name", text_col="text") -> DataFrame:

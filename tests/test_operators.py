@@ -55,6 +55,12 @@ def test_bm25(index):
     assert twice == pytest.approx(2 * once, abs=2e-6)
 
 
+def test_bm25_over_the_terms_alone_equals_the_whole_index(index, spark):
+    units = spark.createDataFrame([(0, "refund timelines for cards"), (1, "settlement schedule refund"), (2, "धनवापसी कैसे करें"), (3, "unrelated words here"), (4, None)], "key long, text string")
+    for asked in ("refund timelines refund", "zzz", "", "words settlement"):
+        assert lexical.bm25_over(units, asked, 10, "key", "key").collect() == lexical.bm25_search(index, asked, 10).collect()
+
+
 def test_postings_round_trip(index, spark, tmp_path):
     index.write(str(tmp_path))
     again = lexical.LexicalIndex.read(spark, str(tmp_path))
@@ -187,6 +193,10 @@ def test_claims(text, done, expected):
     assert got == expected
 
 
+def test_marks_are_ascii_digits():
+    assert [c for _, c, _ in claims.split_claims("One fact [1]. Another [\u0663].")] == [[1], []]
+
+
 def test_cited_passages_and_verification(spark):
     said = spark.createDataFrame([(1, 0, "a claim that is long", [2, 9]), (1, 1, "another long claim", [])], "id long, claim_ord int, text string, cites array<int>")
     passages = spark.createDataFrame([(1, 1, "H1", "t1"), (1, 2, "H2", "t2")], "id long, n int, heading string, text string")
@@ -225,3 +235,6 @@ def test_homography():
     flat = np.full((40, 60, 3), 100, np.uint8)
     out = scan.warp(flat, scan.default_quad(60, 40))
     assert out.shape == (35, 53, 3) and (out == 100).all()
+    slope = np.repeat(np.arange(0, 240, 4, dtype=np.uint8)[None, :, None], 40, axis=0)
+    part = scan.warp(slope, [[10, 10], [30, 10], [30, 30], [10, 30]])
+    assert part[:, :, 0].tolist() == [[4 * (10 + x) + 2 for x in range(20)]] * 20  # pixel centres: half a step up the slope

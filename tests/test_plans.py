@@ -87,6 +87,12 @@ def test_corpus_and_import(spark, tmp_path):
     (tmp_path / "b.md").write_text("No front")
     got = {r["doc_id"]: r["title"] for r in documents.load_corpus(spark, str(tmp_path)).collect()}
     assert got == {"a": "One", "b": "b"}
+    for tree, name, text in [("t1", "x/s p+1.md", "old"), ("t1", "y/s p+1.md", "other"), ("t2", "x/s p+1.md", "new")]:
+        path = tmp_path / "trees" / tree / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text)
+    both = documents.load_corpus(spark, str(tmp_path / "trees/t1"), f"file://{tmp_path}/trees/t2/").collect()
+    assert sorted((r["doc_id"], r["body"]) for r in both) == [("s p+1", "new"), ("s p+1", "other")]
     files = spark.createDataFrame([("Guides/Deep/a.md", "{% tag %}<p>" + "x" * 400 + "</p>"), ("b.md", "x" * 399)], "path string, text string")
     row = documents.import_tree(files).collect()
     assert [(r["doc_id"], r["category"]) for r in row] == [("ext-guides-deep-a", "Guides")]
