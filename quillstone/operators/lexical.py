@@ -32,16 +32,10 @@ class LexicalIndex:
         return cls(*[spark.read.parquet(f"{path}/{x}") for x in ("postings", "lengths", "frequencies", "stats")])
 
 
-def build_lexical_index(units: DataFrame, key_col="key", ord_col="ord", text_col="text", terms: DataFrame | None = None) -> LexicalIndex:
-    """Of units with a key, an order that breaks ties and a text. Units without tokens count in n and avg_len.
-
-    With terms (a column term), postings and frequencies are of these alone and others are dropped before the shuffle; lengths and
-    stats stay those of all units, so searches for them score the same.
-    """
+def build_lexical_index(units: DataFrame, key_col="key", ord_col="ord", text_col="text") -> LexicalIndex:
+    """Of units with a key, an order that breaks ties and a text. Units without tokens count in n and avg_len."""
     words = units.select(F.col(key_col).alias("key"), F.col(ord_col).cast("long").alias("ord"), tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
-    held = words.select("key", F.explode("w").alias("term"))
-    held = held if terms is None else held.join(terms.select("term"), "term", "left_semi")
-    postings = held.groupBy("key", "term").agg(F.count("*").alias("tf"))
+    postings = words.select("key", F.explode("w").alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
     lengths = words.select("key", "ord", F.size("w").cast("long").alias("len"))
     frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
     stats = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avg_len"))
@@ -75,7 +69,21 @@ def bm25_search(index: LexicalIndex, query: str, k: int = 10, k1: float = Search
     return ranked(bm25_scores(index, query_terms(index.postings.sparkSession, query), k1, b), k)
 
 
-def bm25_over(units: DataFrame, query: str, k: int = 10, key_col="key", ord_col="ord", text_col="text") -> DataFrame:
-    """bm25_search where no index is stored: only the postings of the query's terms are grouped."""
-    terms = query_terms(units.sparkSession, query)
-    return ranked(bm25_scores(build_lexical_index(units, key_col, ord_col, text_col, terms), terms), k)
+def bm25_over(
+    units: DataFrame, query: str, k: int = 10, key_col="key", ord_col="ord", text_col="text", k1: float = SearchConfig.k1, b: float = SearchConfig.b
+) -> DataFrame:
+    """bm25_search where no index is stored: one scan counts the units that hold each term of the query, one scores; nothing but the
+    counts and the k best of each task is shuffled. Only the query's own terms come to the driver."""
+    asked = [(r["term"], r["qtf"]) for r in query_terms(units.sparkSession, query).orderBy("term").collect()]
+    names = [t for t, _ in asked]
+    words = units.select(F.col(key_col).alias("key"), F.col(ord_col).cast("long").alias("ord"), tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
+    held = words.select("key", "ord", F.size("w").alias("len"), F.filter("w", lambda x: x.isin(names)).alias("w"))
+    dfs = [F.count_if(F.array_contains("w", t)).alias(f"_df{i}") for i, t in enumerate(names)]
+    stats = held.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *dfs)
+    score = F.lit(0.0)
+    for i, (term, qtf) in enumerate(asked):
+        df, tf = F.col(f"_df{i}"), F.size("w") - F.size(F.array_remove("w", term))
+        score = score + qtf * F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    # units without a term get null and go after the limit: a filter before it would make the tokens twice
+    scored = held.crossJoin(F.broadcast(stats)).select("key", "ord", F.when(F.size("w") > 0, score).alias("score"))
+    return ranked(scored, k).where("score IS NOT NULL")
