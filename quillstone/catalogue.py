@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 
 from .functions import text as tx
 from .functions import vectors as vx
-from .operators import ann, chunking, claims, entities, graph, lexical, retrieval
+from .operators import ann, chunking, claims, entities, graph, lexical, ordering, retrieval
 from .plans import engine, providers
 from .plans.config import AnnConfig, Config
 from .sources import documents as sources
@@ -184,6 +184,19 @@ def stride_sample(spark, d):
     return retrieval.stride_sample(table(spark, d, "documents").select("doc_id", "lang"), 20, ["doc_id"], ["lang"])
 
 
+@query("""WITH n AS (SELECT doc_id, source, row_number() OVER (ORDER BY source DESC, doc_id) - 1 AS i, count(*) OVER () AS n FROM documents)
+SELECT doc_id, source FROM n WHERE n <= 50 OR i IN (SELECT CAST(floor(j * n / 50) AS BIGINT) FROM range(50) t(j))""")
+def stride_sample_all(spark, d):
+    """50 documents at even strides of one order of the whole table."""
+    docs = table(spark, d, "documents").select("doc_id", "source").withColumn("_down", F.col("source"))
+    return retrieval.stride_sample(docs, 50, [F.desc("_down"), "doc_id"]).drop("_down")
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY source DESC, doc_id) - 1 AS place FROM documents")
+def doc_order(spark, d):
+    return ordering.numbered(table(spark, d, "documents").select("doc_id", "source"), [F.desc("source"), "doc_id"]).select("doc_id", "place")
+
+
 @query(r"""SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)\{%-?.*?-?%\}', ' ', 'g'), '(?s)\{\{.*?\}\}', ' ', 'g'),
   '</?[a-zA-Z][^>]*>', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), e' \n\t')) AS body_sha256 FROM pages""")
 def html_strip(spark, d):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.vectors import dot, dot_q8, norm, quantize
+from .ordering import numbered, numbered_within
 
 
 def vector(values) -> Column:
@@ -169,12 +170,17 @@ def rerank(results: DataFrame, query: str, scorer, candidates: int = 12, keep: i
 
 
 def stride_sample(rows: DataFrame, cap: int, order: list[str], by: list[str] | None = None) -> DataFrame:
-    """``cap`` rows at even strides, floor(i * n / cap), of each group with more; all of smaller ones."""
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    numbered = rows.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
-    # row i is taken if some j < cap has floor(j * n / cap) = i
-    j = F.ceil(F.col("_i") * cap / F.col("_n"))
-    return numbered.where((F.col("_n") <= cap) | ((j < cap) & (F.floor(j * F.col("_n") / cap) == F.col("_i")))).drop("_i", "_n")
+    """``cap`` rows at even strides, floor(i * n / cap), of each group with more; all of smaller ones. Without groups all rows are one.
+
+    Places come from ordering: a hot group, or the only one, is numbered by many tasks.
+    """
+    if by:
+        placed = numbered_within(rows, by, order, "_i", "_n")
+    else:
+        placed = numbered(rows, order, "_i").crossJoin(F.broadcast(rows.agg(F.count("*").alias("_n"))))
+    # row i is taken if some j < cap has floor(j * n / cap) = i: whole numbers only, products of a long and the cap
+    j = F.expr(f"(_i * {cap} + _n - 1) div _n")
+    return placed.where((F.col("_n") <= cap) | ((j < cap) & (F.expr(f"((_i * {cap} + _n - 1) div _n) * _n div {cap}") == F.col("_i")))).drop("_i", "_n")
 
 
 def last_n(rows: DataFrame, n: int, order: list, by: list[str] | None = None) -> DataFrame:

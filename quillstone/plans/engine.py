@@ -6,10 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.text import detect_locale
 from ..operators import chunking, claims, entities, graph, lexical, retrieval
+from ..operators.ordering import numbered
 from ..sources.store import content_hash, load_index, save_index, signature, to_embed
 from .config import Config
 from .providers import HashEmbedder
@@ -19,11 +19,12 @@ from .runner import Stage, run_pipeline
 def with_chunk_order(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """Chunks with chunk_ord, a long that orders them by (updated descending, doc_id, seq) and breaks all ties.
 
-    Documents are numbered, not chunks: ranges of documents are counted, and each chunk adds its seq.
+    Documents are numbered, not chunks, and in ranges: no task sees all of them. A null ``updated`` comes last; of rows that share a
+    doc_id the first counts.
     """
-    sized = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(F.col("updated"), F.lit("")).alias("_u"))
-    placed = sized.withColumn("_i", F.row_number().over(W.orderBy(F.desc("_u"), "doc_id")).cast("long"))
-    return chunks.join(placed.select("doc_id", "_i"), "doc_id").withColumn("chunk_ord", F.col("_i") * 1_000_000 + F.col("seq")).drop("_i")
+    sized = docs.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.max(F.coalesce(F.col("updated"), F.lit(""))).alias("_u"))
+    placed = numbered(sized, [F.desc("_u"), "doc_id"], "_i")
+    return chunks.join(placed.select("doc_id", "_i"), "doc_id").withColumn("chunk_ord", (F.col("_i") + 1) * 1_000_000 + F.col("seq")).drop("_i")
 
 
 @dataclass
