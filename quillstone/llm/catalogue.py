@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontam, html, jaccard, packing, quality, tokens, toxicity, urls, warc
+from . import chat, decontam, html, jaccard, mixing, packing, quality, tokens, toxicity, urls, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op8_decontamination": decontam.op8_decontamination,
         "op9_quality_rules": quality.op9_quality_rules,
         "op10_url_filters": urls.op10_url_filters,
+        "op13_mixing": mixing.op13_mixing,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict:
         "op5_warc": warc.OP5_SQL,
         "op8_decontamination": decontam.OP8_SQL,
         "op10_url_filters": urls.OP10_SQL,
+        "op13_mixing": mixing.OP13_SQL,
     }
