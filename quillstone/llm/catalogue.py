@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontam, html, jaccard, merkle, mixing, packing, quality, tokens, toxicity, urls, warc
+from . import chat, collocations, decontam, html, jaccard, merkle, mixing, packing, quality, tokens, toxicity, urls, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op8_decontamination": decontam.op8_decontamination,
         "op9_quality_rules": quality.op9_quality_rules,
         "op10_url_filters": urls.op10_url_filters,
+        "op11_phrase_collocations": collocations.op11_phrase_collocations,
         "op12_merkle_manifest": merkle.op12_merkle_manifest,
         "op13_mixing": mixing.op13_mixing,
         "pipeline": corpus_pipeline.run,
@@ -31,6 +32,8 @@ def oracle_sql() -> dict:
         "op5_warc": warc.OP5_SQL,
         "op8_decontamination": decontam.OP8_SQL,
         "op10_url_filters": urls.OP10_SQL,
+        "op11_phrase_collocations": collocations.op11_phrase_collocations,
         "op12_merkle_manifest": merkle.op12_merkle_manifest,
+        "op11_phrase_collocations": collocations.OP11_SQL,
         "op13_mixing": mixing.OP13_SQL,
     }
