@@ -32,8 +32,7 @@ def oracle_sql() -> dict:
         "op5_warc": warc.OP5_SQL,
         "op8_decontamination": decontam.OP8_SQL,
         "op10_url_filters": urls.OP10_SQL,
-        "op11_phrase_collocations": collocations.op11_phrase_collocations,
-        "op12_merkle_manifest": merkle.op12_merkle_manifest,
         "op11_phrase_collocations": collocations.OP11_SQL,
+        "op12_merkle_manifest": merkle.OP12_SQL,
         "op13_mixing": mixing.OP13_SQL,
     }

@@ -242,3 +242,41 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = [ascii_lower(F.col(f)) if f == "text" else F.col(f) for f in FIELDS]
     trie = build(manifest_leaves(docs, seen=F.when(tampered, leaf_of(*changed))))
     return proofs(trie).select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def _sql_field(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen(CAST({x} AS VARCHAR)) || ':' || {x} END"
+
+
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: crc32 bit by bit, as DuckDB has none.
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: unicode(x)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda h, z: xor(h >> 1, 3988292384 * (h & 1)))), 4294967295)"
+_STEP = """SELECT f.r, f.tree, f.lvl + 1, f.idx // 8, sha256(string_agg(CASE WHEN n.idx = f.idx THEN f.h ELSE n.h END, '' ORDER BY n.idx)),
+    f.sib || coalesce(string_agg(CASE WHEN n.idx <> f.idx THEN n.h END, '' ORDER BY n.idx), '')
+  FROM {f} f JOIN n ON n.tree = f.tree AND n.lvl = f.lvl AND n.idx // 8 = f.idx // 8 JOIN tops ON tops.tree = f.tree AND f.lvl < tops.lvl
+  GROUP BY f.r, f.tree, f.lvl, f.idx, f.h, f.sib"""
+OP12_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS tree, sha256({" || ".join(map(_sql_field, FIELDS))}) AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {_CRC} % 3 = 0 THEN sha256({" || ".join(_sql_field(_LOWERED if f == "text" else f) for f in FIELDS)}) END AS seen
+  FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM d),
+t(tree, lvl, idx, h) AS (
+  SELECT tree, 0, idx, leaf FROM p
+  UNION ALL
+  SELECT tree, lvl + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS c FROM t) WHERE c > 1 GROUP BY tree, lvl, idx // 8),
+s AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place FROM (SELECT * FROM t QUALIFY lvl = max(lvl) OVER (PARTITION BY tree))),
+u(tree, lvl, idx, h) AS (
+  SELECT 'top', 0, place, subroot FROM s
+  UNION ALL
+  SELECT tree, lvl + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)) FROM (SELECT *, count(*) OVER () AS c FROM u) WHERE c > 1 GROUP BY tree, lvl, idx // 8),
+n AS (SELECT * FROM t UNION ALL SELECT * FROM u),
+tops AS (SELECT tree, max(lvl) AS lvl FROM n GROUP BY tree),
+a(r, tree, lvl, idx, h, sib) AS (SELECT r, tree, 0, idx, coalesce(seen, leaf), '' FROM p UNION ALL {_STEP.format(f="a")}),
+b(r, tree, lvl, idx, h, sib) AS (
+  SELECT a.r, 'top', 0, s.place, a.h, a.sib FROM a JOIN tops USING (tree, lvl) JOIN s USING (tree)
+  UNION ALL {_STEP.format(f="b")}),
+e AS (SELECT b.* FROM b JOIN tops USING (tree, lvl))
+SELECT p.doc_id, p.leaf, s.subroot, u.h AS root, sha256(e.sib) AS proof_sha256, e.h AS folded_root, e.h = u.h AS verified
+FROM p JOIN e USING (r) JOIN s ON s.tree = p.tree JOIN u ON u.lvl = (SELECT max(lvl) FROM u)
+"""
