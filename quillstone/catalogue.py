@@ -10,10 +10,12 @@ from pyspark.sql import Window as W
 from .functions import text as tx
 from .functions import vectors as vx
 from .operators import ann, chunking, claims, entities, graph, lexical, ordering, retrieval
+from .operators.stored_index import StoredIndex
 from .plans import engine, providers
 from .plans.config import AnnConfig, Config
 from .sources import documents as sources
 from .sources import store
+from .sources.scratch import fresh_path
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -113,6 +115,49 @@ def bm25_dup_terms(spark, d):
     return bm25(spark, d, TWICE, 10).select(F.col("key").alias("doc_id"), "score", "rank")
 
 
+@query(_bm25_sql(TWICE, 10))
+def bm25_postings(spark, d):
+    """The same search as a join of an index's postings, frequencies and lengths with the query's terms."""
+    return lexical.bm25_search(lexical_index(spark, d), TWICE, 10).select(F.col("key").alias("doc_id"), "score", "rank")
+
+
+def _changes(spark, d) -> list[DataFrame]:
+    """Three batches that end at the documents, those with an id divisible by 7 deleted: the first has other texts, some ids come twice."""
+    docs = table(spark, d, "documents").select("doc_id", "text", F.lit(False).alias("deleted"))
+    old = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("older words of the "), "text")).otherwise(F.col("text")))
+    again = docs.where("doc_id % 3 = 0 OR doc_id % 5 = 0")
+    return [old, again, docs.where("doc_id % 7 = 0").withColumn("deleted", F.lit(True))]
+
+
+def stored_lexical_index(spark, d, batches: int) -> StoredIndex:
+    """The index of the first batches of _changes, built once for each session and folder."""
+    built = spark.__dict__.setdefault("_quillstone_indexes", {})
+    if (d, batches) not in built:
+        index = StoredIndex(spark, fresh_path(spark, "index"))
+        for number, batch in enumerate(_changes(spark, d)[:batches]):
+            index.apply(batch, number, "doc_id", "doc_id", "text", "deleted")
+        built[d, batches] = index
+    return built[d, batches]
+
+
+@query(_bm25_sql(ASKED, 10))
+def bm25_stored(spark, d):
+    """A search of a stored index that reads only blocks that can reach the k-th score; the index took two batches."""
+    return stored_lexical_index(spark, d, 2).search(ASKED, 10).select(F.col("key").alias("doc_id"), "score", "rank")
+
+
+@query(_bm25_sql(TWICE, 10).replace("FROM documents", "FROM documents WHERE doc_id % 7 <> 0"))
+def bm25_stored_changes(spark, d):
+    """The search after documents were added, changed, sent again and deleted."""
+    return stored_lexical_index(spark, d, 3).search(TWICE, 10).select(F.col("key").alias("doc_id"), "score", "rank")
+
+
+@query(f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents WHERE doc_id % 7 <> 0) GROUP BY term")
+def index_upserts(spark, d):
+    """Document frequencies of a stored index after upserts and deletes: sums of what its segments put in and took out."""
+    return stored_lexical_index(spark, d, 3).frequencies()
+
+
 @query(f"""
 WITH b AS ({_bm25_sql(ASKED, 50)})
 SELECT vec_id, label, b.rank AS keyword_rank FROM embeddings LEFT JOIN b ON b.doc_id = vec_id""")
