@@ -376,6 +376,12 @@ def ann_recall(spark, d):
     return exact.join(near.withColumn("_hit", F.lit(1)), ["query", "vec_id"], "left").agg(F.count("_hit").alias("hits"), F.count("*").alias("wanted"), (F.count("_hit") / F.count("*")).alias("recall"))
 
 
+@query("SELECT least(10, (SELECT count(*) FROM embeddings)) * count(*) AS wanted, true AS reached FROM embeddings WHERE vec_id % 20 = 0")
+def ann_recall_floor(spark, d):
+    """Whether the recall of ann_recall is at least 0.9."""
+    return ann_recall(spark, d).select("wanted", (F.col("recall") >= 0.9).alias("reached"))
+
+
 # Hashing
 
 
@@ -403,7 +409,19 @@ def hash_embed_sparse(spark, d):
     return grams.join(hashed, "gram").groupBy("doc_id", "bucket").agg(F.sum("weight").alias("weight"))
 
 
-@query()
+def _hashed_sql(source: str, key: str) -> str:
+    """Sparse unit vectors of the hash embedding, in single precision as they are kept."""
+    return f"""w AS (SELECT {key} AS id, {TOKENS} AS w FROM {source}),
+g AS (SELECT id, unnest(w) AS gram, 1.0::DOUBLE AS weight FROM w
+  UNION ALL SELECT id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1])), 0.5::DOUBLE FROM w WHERE len(w) > 1),
+h AS (SELECT gram, {_FNV.format('gram')} % 512 AS bucket FROM (SELECT DISTINCT gram FROM g)),
+b AS (SELECT id, bucket, sum(weight) AS x FROM g JOIN h USING (gram) GROUP BY id, bucket),
+v AS (SELECT id, bucket, CAST(x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS FLOAT)::DOUBLE AS x FROM b)"""
+
+
+@query(f"""WITH {_hashed_sql(f"(SELECT doc_id, text FROM documents UNION ALL SELECT -1, {_text(ASKED)})", "doc_id")},
+s AS (SELECT doc_id, round(coalesce(sum(v.x * q.x), 0), 6) AS score FROM documents LEFT JOIN v ON v.id = doc_id LEFT JOIN (SELECT * FROM v WHERE id = -1) q USING (bucket) GROUP BY doc_id)
+SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s ORDER BY score DESC, doc_id LIMIT 10""")
 def hash_embed_knn(spark, d):
     docs = providers.HashEmbedder().embed(table(spark, d, "documents").select("doc_id", "text"), "text")
     asked = providers.HashEmbedder().embed(spark.range(1).select(F.lit(ASKED).alias("q")), "q").select(F.col("embedding").alias("_q"))
@@ -418,12 +436,37 @@ def _chunked(spark, d) -> DataFrame:
     return chunking.chunk(docs)
 
 
-@query()
+# chunks in SQL, three folds: lines to headings and paragraphs, long paragraphs to pieces, pieces to chunks
+_SPACES = r"e' \n\t\r\f\x0b'"
+_FULL = "a.h <> '' AND length(a.h) + length(x.l) + 1 > 1100"
+_LONG = "CASE WHEN length(x.l) > 1100 THEN (length(x.l) - 1) // 1100 ELSE 0 END"
+_ENOUGH = "length(a.held) + length(x.t) > 1100 AND length(a.held) >= 240"
+_CHUNKS_SQL = rf"""lines AS (SELECT doc_id, 'Document ' || doc_id AS title, list_transform(list_append(string_split_regex(coalesce(text, ''), '\r?\n'), ''), lambda x: {{'b': []::STRUCT(k VARCHAR, t VARCHAR)[], 'run': '', 'l': x}}) AS e FROM documents),
+blocks AS (SELECT doc_id, title, list_reduce(list_prepend({{'b': []::STRUCT(k VARCHAR, t VARCHAR)[], 'run': '', 'l': ''}}, e), lambda a, x: {{
+  'b': CASE WHEN regexp_matches(x.l, '\A#{{1,4}}\s') OR trim(x.l, {_SPACES}) = '' THEN list_concat(a.b, CASE WHEN a.run <> '' THEN [{{'k': 'p', 't': a.run}}] ELSE [] END,
+    CASE WHEN regexp_matches(x.l, '\A#{{1,4}}\s+\S') THEN [{{'k': 'h', 't': trim(regexp_extract(x.l, '\A#{{1,4}}\s+(.*)', 1), {_SPACES})}}] ELSE [] END) ELSE a.b END,
+  'run': CASE WHEN regexp_matches(x.l, '\A#{{1,4}}\s') OR trim(x.l, {_SPACES}) = '' THEN '' WHEN a.run = '' THEN x.l ELSE a.run || chr(10) || x.l END, 'l': ''}}).b AS b FROM lines),
+pieces AS (SELECT doc_id, title, flatten(list_transform(b, lambda y: CASE WHEN y.k = 'h' OR length(y.t) <= 1100 THEN [y] ELSE list_transform(
+  list_reduce(list_prepend({{'o': []::VARCHAR[], 'h': '', 'l': ''}}, list_append(list_transform(string_split(y.t, chr(10)), lambda l: {{'o': []::VARCHAR[], 'h': '', 'l': l}}), {{'o': []::VARCHAR[], 'h': 'end', 'l': ''}})), lambda a, x: CASE
+    WHEN x.h = 'end' THEN {{'o': CASE WHEN a.h <> '' THEN list_append(a.o, a.h) ELSE a.o END, 'h': '', 'l': ''}}
+    ELSE {{'o': list_concat(a.o, CASE WHEN {_FULL} THEN [a.h] ELSE [] END, list_transform(range(0, {_LONG}), lambda k: substr(x.l, k * 1100 + 1, 1100))),
+      'h': CASE WHEN a.h <> '' AND NOT ({_FULL}) THEN a.h || chr(10) ELSE '' END || substr(x.l, ({_LONG}) * 1100 + 1), 'l': ''}} END).o,
+  lambda t: {{'k': 'p', 't': t}}) END)) AS p FROM blocks),
+folded AS (SELECT doc_id, list_reduce(list_prepend({{'o': []::STRUCT(h VARCHAR, t VARCHAR)[], 'held': '', 'head': title, 'k': '', 't': ''}},
+  list_transform(list_append(p, {{'k': 'h', 't': title}}), lambda y: {{'o': []::STRUCT(h VARCHAR, t VARCHAR)[], 'held': '', 'head': '', 'k': y.k, 't': y.t}})), lambda a, x: CASE
+    WHEN x.k = 'h' THEN {{'o': CASE WHEN trim(a.held, {_SPACES}) <> '' THEN list_append(a.o, {{'h': a.head, 't': trim(a.held, {_SPACES})}}) ELSE a.o END, 'held': '', 'head': x.t, 'k': '', 't': ''}}
+    WHEN {_ENOUGH} AND trim(a.held, {_SPACES}) <> '' THEN {{'o': list_append(a.o, {{'h': a.head, 't': trim(a.held, {_SPACES})}}), 'held': right(trim(a.held, {_SPACES}), 180) || chr(10) || chr(10) || chr(10) || x.t, 'head': a.head, 'k': '', 't': ''}}
+    ELSE {{'o': a.o, 'held': CASE WHEN a.held <> '' THEN a.held || chr(10) || chr(10) ELSE '' END || x.t, 'head': a.head, 'k': '', 't': ''}} END).o AS o FROM pieces),
+joined AS (SELECT doc_id, CASE WHEN len(o) > 1 AND length(o[-1].t) < 240 THEN list_append(o[:-3], {{'h': o[-2].h, 't': o[-2].t || chr(10) || chr(10) || o[-1].t}}) ELSE o END AS o FROM folded),
+chunks AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(generate_subscripts(o, 1) - 1 AS INTEGER) AS seq, unnest(o) AS c FROM joined)"""
+
+
+@query(f"WITH {_CHUNKS_SQL} SELECT doc_id || '#' || seq AS key, doc_id, seq, c.h AS heading, c.t AS text FROM chunks")
 def chunks(spark, d):
     return _chunked(spark, d)
 
 
-@query()
+@query(f"WITH {_CHUNKS_SQL} SELECT doc_id, count(*) AS chunks, max(length(c.t)) AS longest, CAST(sum(length(c.t)) AS BIGINT) AS chars FROM chunks GROUP BY doc_id")
 def chunk_stats(spark, d):
     return _chunked(spark, d).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.length("text")).cast("long").alias("longest"), F.sum(F.length("text")).alias("chars"))
 
@@ -471,10 +514,13 @@ def entity_patterns(spark, d):
 _SURFACES = [("& Co .",), ("rs ,",), ("₹4",), ("  hello ,  world !  ",), ("(Acme  Corp.)",), ("$5",), ("--",), ("Rs",), ("a b",), ("“Zürich” ",)]
 
 
-@query(rf"""WITH s AS (SELECT surface, {_CLEAN_SQL} AS s FROM (VALUES {', '.join(f'({_text(x[0])})' for x in _SURFACES)}) v(surface))
+@query(rf"""WITH v AS (SELECT substr(text, CAST(1 + doc_id % 40 AS BIGINT), CAST(4 + doc_id % 13 AS BIGINT)) AS surface FROM documents UNION ALL VALUES {', '.join(f'({_text(x[0])})' for x in _SURFACES)}),
+s AS (SELECT surface, {_CLEAN_SQL} AS s FROM v)
 SELECT surface, CASE WHEN length(regexp_replace(s, '[^\p{{L}}\p{{N}}]', '', 'g')) >= 3 OR regexp_matches(s, '[₹$]|\bRs\b') THEN s END AS clean FROM s""")
 def entity_sanitize(spark, d):
-    return rows(spark, "surface string", _SURFACES).select("surface", entities.sanitize("surface").alias("clean"))
+    """Cut-outs of the documents as surfaces, and hand-made ones."""
+    cut = table(spark, d, "documents").select(F.substring("text", (1 + F.col("doc_id") % 40).cast("int"), (4 + F.col("doc_id") % 13).cast("int")).alias("surface"))
+    return cut.unionByName(rows(spark, "surface string", _SURFACES)).select("surface", entities.sanitize("surface").alias("clean"))
 
 
 _MERGED_SQL = rf"""{_FOUND_SQL},
@@ -556,51 +602,114 @@ def runaway_cut(spark, d):
     return said.select("id", tx.truncate_runaway("text").alias("cut"))
 
 
-@query(rf"SELECT id, CAST(unnest(regexp_extract_all(text, '\[(\d+)\]', 1)) AS INTEGER) AS n, CAST(generate_subscripts(regexp_extract_all(text, '\[(\d+)\]', 1), 1) - 1 AS INTEGER) AS pos FROM (VALUES {', '.join(f'({i}::BIGINT, {_text(t)})' for i, t in _ANSWERS)}) v(id, text)")
-def cite_extract(spark, d):
-    return rows(spark, "id long, text string", _ANSWERS).select("id", F.posexplode(tx.cites("text")).alias("pos", "n"))
+def _answers(spark, d) -> DataFrame:
+    """id, conv_id, text: the assistant's turns as answers with a mark behind each sentence, some with a leading ``Answer:``, a repeated
+    sentence, marks alone or a code span; and the samples."""
+    turns = table(spark, d, "conversations").where("role = 'assistant'")
+    marked = F.replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"\.( |\n)", " [#].$1"), F.lit("#"), (F.col("conv_id") % 4 + 1).cast("string"))
+    c = F.col("conv_id")
+    text = F.concat(
+        F.when(c % 5 == 0, "Answer: ").otherwise(""), marked, F.when(c % 3 == 0, " Said again. Said again [2]. [3], [2]").otherwise(""), F.when(c % 2 == 0, " Use `a.b!c?d` now! And `open. End").otherwise("")
+    )
+    said = turns.select((c * 1000 + F.col("turn")).alias("id"), "conv_id", text.alias("text"))
+    return said.unionByName(rows(spark, "id long, text string", _ANSWERS).select("id", F.col("id").alias("conv_id"), "text"))
 
 
-@query()
+_ANSWERS_SQL = rf"""answers AS (
+  SELECT conv_id * 1000 + turn AS id, conv_id, (CASE WHEN conv_id % 5 = 0 THEN 'Answer: ' ELSE '' END) || replace(regexp_replace(coalesce(text, ''), '\.( |\n)', ' [#].\1', 'g'), '#', CAST(conv_id % 4 + 1 AS VARCHAR))
+    || (CASE WHEN conv_id % 3 = 0 THEN ' Said again. Said again [2]. [3], [2]' ELSE '' END) || (CASE WHEN conv_id % 2 = 0 THEN ' Use `a.b!c?d` now! And `open. End' ELSE '' END) AS text
+  FROM conversations WHERE role = 'assistant'
+  UNION ALL SELECT id, id, text FROM (VALUES {', '.join(f'({i}::BIGINT, {_text(t)})' for i, t in _ANSWERS)}) v(id, text))"""
+
+
+@query(rf"WITH {_ANSWERS_SQL} SELECT id, CAST(unnest(regexp_extract_all(text, '\[(\d+)\]', 1)) AS INTEGER) AS n, CAST(generate_subscripts(regexp_extract_all(text, '\[(\d+)\]', 1), 1) - 1 AS INTEGER) AS pos FROM answers")
+def cite_extract(spark, d):
+    return _answers(spark, d).select("id", F.posexplode(tx.cites("text")).alias("pos", "n"))
+
+
+# claims in SQL: code spans are shielded, sentences found, then folded: marks alone join the claim before, a repeated claim goes
+_BLANK = _SPACES
+_SHIELD = "".join(chr(x) for x in (0xE000, 0xE001, 0xE002))
+_SPANS = f"list_transform(string_split(s, '`'), lambda x, i: CASE WHEN i % 2 = 0 AND i < len(string_split(s, '`')) THEN translate(x, '.!?', '{_SHIELD}') ELSE x END)"
+_CLAIMS_SQL = rf"""{_ANSWERS_SQL},
+c0 AS (SELECT id, conv_id, trim(regexp_replace(text, '\A(?i:Answer:)\s*', ''), {_BLANK}) AS s FROM answers),
+c1 AS (SELECT id, conv_id, array_to_string({_SPANS}, '`') AS s FROM c0),
+c2 AS (SELECT *, regexp_extract_all(s, '[^.!?\n]+[.!?]?(?:\s*\[[0-9]+\](?:\s*,\s*\[[0-9]+\])*)*[.!?]?\s*') AS p FROM c1),
+c3 AS (SELECT id, conv_id, list_filter(list_transform(CASE WHEN len(p) = 0 THEN [s] ELSE p END, lambda x: trim(translate(x, '{_SHIELD}', '.!?'), {_BLANK})), lambda x: x <> '') AS p FROM c2),
+c4 AS (SELECT id, conv_id, list_transform(p, lambda x: [{{'t': x, 'c': regexp_extract_all(x, '\[([0-9]+)\]', 1)}}]) AS e FROM c3),
+c5 AS (SELECT id, conv_id, unnest(list_reduce(e, lambda a, x: CASE
+    WHEN regexp_full_match(x[1].t, '[\s,;.]*(?:\[[0-9]+\][\s,;.]*)*') THEN list_concat(a[:-2], [{{'t': a[-1].t || ' ' || x[1].t, 'c': list_concat(a[-1].c, x[1].c)}}])
+    WHEN trim(regexp_replace(a[-1].t, '\[[0-9]+\]', '', 'g'), {_BLANK}) = trim(regexp_replace(x[1].t, '\[[0-9]+\]', '', 'g'), {_BLANK}) THEN a
+    ELSE list_concat(a, x) END)) AS k, generate_subscripts(list_reduce(e, lambda a, x: CASE
+    WHEN regexp_full_match(x[1].t, '[\s,;.]*(?:\[[0-9]+\][\s,;.]*)*') THEN a
+    WHEN trim(regexp_replace(a[-1].t, '\[[0-9]+\]', '', 'g'), {_BLANK}) = trim(regexp_replace(x[1].t, '\[[0-9]+\]', '', 'g'), {_BLANK}) THEN a
+    ELSE list_concat(a, x) END), 1) - 1 AS claim_ord FROM c4 WHERE len(e) > 0),
+claims AS (SELECT id, conv_id, CAST(claim_ord AS INTEGER) AS claim_ord, k.t AS text, list_filter(k.c, lambda x, i: list_position(k.c, x) = i) AS cites FROM c5)"""
+
+
+@query(f"WITH {_CLAIMS_SQL} SELECT id, claim_ord, text, array_to_string(cites, ',') AS cites, false AS partial FROM claims")
 def claims_split(spark, d):
-    said = table(spark, d, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text").unionByName(rows(spark, "id long, text string", _ANSWERS))
-    return claims.claims_of(said, "id", "text")
+    return claims.claims_of(_answers(spark, d), "id", "text").withColumn("cites", F.array_join(F.col("cites").cast("array<string>"), ","))
 
 
 _LOGITS = [
     (1, 0, "The refund takes five days.", [0.1, 3.0, 0.2]), (1, 1, "It is never sent back.", [2.5, 0.1, 0.3]), (1, 2, "Perhaps it is so there.", [0.4, 0.5, 0.6]), (2, 0, "Too short", [0.0, 9.0, 0.0]),
 ]
-_VERDICT_SQL = f"""p AS (SELECT id, claim_ord, claim, list_transform(l, lambda x: exp(x - list_max(l))) AS e FROM (VALUES {', '.join(f"({i}::BIGINT, {o}, {_text(t)}, {v}::DOUBLE[])" for i, o, t, v in _LOGITS)}) v(id, claim_ord, claim, l)),
+_VERDICT_SQL = f"""{_CLAIMS_SQL},
+l AS (SELECT id, claim_ord, text AS claim, [length(text) % 5, length(text) % 7, length(text) % 3]::DOUBLE[] AS l FROM claims
+  UNION ALL SELECT * FROM (VALUES {', '.join(f"({i}::BIGINT, {o}, {_text(t)}, {v}::DOUBLE[])" for i, o, t, v in _LOGITS)}) v(id, claim_ord, claim, l)),
+p AS (SELECT id, claim_ord, claim, list_transform(l, lambda x: exp(x - list_max(l))) AS e FROM l),
 s AS (SELECT id, claim_ord, CASE WHEN length(claim) < 12 THEN 'unverified' WHEN e[2] / list_sum(e) >= 0.5 THEN 'supported' WHEN e[1] / list_sum(e) > 0.5 THEN 'contradicted' ELSE 'uncertain' END AS status,
   CASE WHEN length(claim) >= 12 THEN round(e[2] / list_sum(e), 6) END AS entailment FROM p)"""
 
 
-def _verified(spark) -> DataFrame:
-    return claims.verify_claims(rows(spark, "id long, claim_ord int, text string, logits array<double>", _LOGITS), logits_col="logits")
+def _verified(spark, d) -> DataFrame:
+    """The claims of the answers, judged by logits that stand in for a model's: the text's length modulo 5, 7 and 3."""
+    split = claims.claims_of(_answers(spark, d), "id", "text").select("id", "claim_ord", "text")
+    judged = split.withColumn("logits", F.array(*[(F.length("text") % m).cast("double") for m in (5, 7, 3)]))
+    return claims.verify_claims(judged.unionByName(rows(spark, "id long, claim_ord int, text string, logits array<double>", _LOGITS)), logits_col="logits")
 
 
 @query(f"WITH {_VERDICT_SQL} SELECT * FROM s")
 def claim_verdict(spark, d):
-    return _verified(spark).select("id", "claim_ord", "status", F.round("entailment", 6).alias("entailment"))
+    return _verified(spark, d).select("id", "claim_ord", "status", F.round("entailment", 6).alias("entailment"))
 
 
 @query(f"WITH {_VERDICT_SQL} SELECT id, count(*) FILTER (status = 'supported') AS supported, count(*) AS total FROM s GROUP BY id")
 def claim_summary(spark, d):
-    return claims.claim_summary(_verified(spark), ["id"])
+    return claims.claim_summary(_verified(spark, d), ["id"])
+
+
+def _passages(spark, d) -> DataFrame:
+    """id, n, title, heading, text: three documents for each answer, under its conversation's number."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("_d"), F.col("source").alias("title"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise(F.col("lang")).alias("heading"), F.left("text", F.lit(400)).alias("text"))
+    wanted = _answers(spark, d).select("id", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), (F.abs("conv_id") * 3 + n).alias("_d")) for n in (1, 2, 3)])).alias("w")).select("id", "w.*")
+    return wanted.join(docs, "_d").select("id", "n", "title", "heading", "text")
 
 
-_PASSAGES = [(-1, n, f"Title {n}", h, f"Text {n} of the first.") for n, h in ((1, "Title 1"), (2, "Head 2"))] + [(-2, 1, "T", "H", "Other text.")]
+_PASSAGES_SQL = """passages AS (SELECT a.id, n, source AS title, CASE WHEN doc_id % 2 = 0 THEN source ELSE lang END AS heading, left(d.text, 400) AS text
+  FROM answers a, (VALUES (1), (2), (3)) t(n) JOIN documents d ON d.doc_id = abs(a.conv_id) * 3 + n)"""
 
 
-@query(f"""WITH a AS (SELECT id, unnest(regexp_extract_all(text, '\\[(\\d+)\\]', 1))::INTEGER AS n, generate_subscripts(regexp_extract_all(text, '\\[(\\d+)\\]', 1), 1) AS i FROM (VALUES {', '.join(f'({i}::BIGINT, {_text(t)})' for i, t in _ANSWERS)}) v(id, text)),
-f AS (SELECT id, n, min(i) AS i FROM a GROUP BY id, n), p(id, n, title, heading) AS (VALUES {', '.join(f"({i}::BIGINT, {n}, {_text(t)}, {_text(h)})" for i, n, t, h, _ in _PASSAGES)})
-SELECT f.id, f.n, p.title, CASE WHEN p.heading <> p.title THEN p.heading END AS heading, row_number() OVER (PARTITION BY f.id ORDER BY i) AS place FROM f JOIN p ON p.id = f.id AND p.n = f.n""")
+@query(rf"""WITH {_ANSWERS_SQL}, {_PASSAGES_SQL},
+a AS (SELECT id, unnest(regexp_extract_all(text, '\[(\d+)\]', 1))::INTEGER AS n, generate_subscripts(regexp_extract_all(text, '\[(\d+)\]', 1), 1) AS i FROM answers),
+f AS (SELECT id, n, min(i) AS i FROM a GROUP BY id, n)
+SELECT f.id, f.n, p.title, CASE WHEN p.heading <> p.title THEN p.heading END AS heading, row_number() OVER (PARTITION BY f.id ORDER BY i) AS place FROM f JOIN passages p ON p.id = f.id AND p.n = f.n""")
 def cited_sources(spark, d):
-    passages = rows(spark, "id long, n int, title string, heading string, text string", _PASSAGES)
-    found = claims.cited_sources(rows(spark, "id long, text string", _ANSWERS), passages, "id", "text")
+    found = claims.cited_sources(_answers(spark, d), _passages(spark, d), "id", "text")
     return found.select("id", "n", "title", "heading", F.row_number().over(W.partitionBy("id").orderBy("pos")).cast("long").alias("place"))
 
 
+@query(f"""WITH {_CLAIMS_SQL}, {_PASSAGES_SQL},
+x AS (SELECT c.id, c.claim_ord, c.cites, p.n, p.heading || '. ' || p.text AS line, CASE WHEN len(c.cites) = 0 THEN p.n ELSE list_position(c.cites, CAST(p.n AS VARCHAR)) END AS place
+  FROM claims c JOIN passages p USING (id) WHERE len(c.cites) = 0 OR list_contains(c.cites, CAST(p.n AS VARCHAR)))
+SELECT id, claim_ord, left(coalesce(string_agg(line, chr(10) ORDER BY place), ''), 1600) AS premise FROM claims LEFT JOIN x USING (id, claim_ord) GROUP BY id, claim_ord""")
+def claim_premises(spark, d):
+    """What each claim is held against: the passages it cites, in the order of its marks, or all."""
+    split = claims.claims_of(_answers(spark, d), "id", "text")
+    return claims.cited_passages(split, _passages(spark, d), "id").select("id", "claim_ord", tx.premise("passages").alias("premise"))
+
+
 # Telemetry and storage
 
 
@@ -643,14 +752,37 @@ def incremental_equals_full(spark, d):
 _NUMBERS = [(0, 0.0), (1, 512.0), (2, 2048.0), (3, 150.0 * 1024), (4, 5.5 * 1024**3), (5, 0.4), (6, 1500.0), (7, None)]
 
 
-@query("""SELECT * FROM (VALUES (0, '—', '<1 ms'), (1, '512 B', '512 ms'), (2, '2.0 KB', '2.0 s'), (3, '150 KB', '153.6 s'), (4, '5.5 GB', '5905580.0 s'), (5, '0.4 B', '<1 ms'), (6, '1.5 KB', '1.5 s'), (7, '—', '—')) t(id, bytes, ms)""")
+def _tenth_sql(x: str) -> str:
+    """One decimal, halves up, of the number as it is written."""
+    return f"CAST(CAST(round(CAST({x} AS DECIMAL(30, 10)), 1) AS DECIMAL(30, 1)) AS VARCHAR)"
+
+
+def _unit_sql(x: str, power: int, unit: str) -> str:
+    y = f"({x} / {1024.0**power})"
+    return f"CASE WHEN {y} >= 100 THEN CAST(floor({y} + 0.5) AS BIGINT) || ' {unit}' ELSE {_tenth_sql(y)} || ' {unit}' END"
+
+
+@query(f"""WITH n AS (SELECT event_id AS id, value * power(10, event_id % 9) AS x FROM events UNION ALL SELECT * FROM (VALUES {', '.join(f'({-i - 1}, {"NULL" if x is None else f"{x}::DOUBLE"})' for i, x in _NUMBERS)}) v(id, x))
+SELECT id, CASE WHEN x IS NULL OR x <= 0 THEN '—' WHEN x >= {1024.0**3} THEN {_unit_sql("x", 3, "GB")} WHEN x >= {1024.0**2} THEN {_unit_sql("x", 2, "MB")} WHEN x >= 1024 THEN {_unit_sql("x", 1, "KB")} ELSE {_unit_sql("x", 0, "B")} END AS bytes,
+  CASE WHEN x IS NULL THEN '—' WHEN x < 1 THEN '<1 ms' WHEN x < 1000 THEN CAST(floor(x + 0.5) AS BIGINT) || ' ms' ELSE {_tenth_sql('x / 1000')} || ' s' END AS ms FROM n""")
 def format_numbers(spark, d):
-    return rows(spark, "id int, x double", _NUMBERS).select("id", tx.format_bytes("x").alias("bytes"), tx.format_ms("x").alias("ms"))
+    """Values of events over nine powers of ten, and edge values."""
+    scaled = table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("value") * F.pow(F.lit(10.0), F.col("event_id") % 9)).alias("x"))
+    edges = rows(spark, "id long, x double", [(-i - 1, x) for i, x in _NUMBERS])
+    return scaled.unionByName(edges).select("id", tx.format_bytes("x").alias("bytes"), tx.format_ms("x").alias("ms"))
+
+
+_DATES = [(-1, "2024-03-05"), (-2, "soon"), (-3, None), (-4, "")]
 
 
-@query("SELECT * FROM (VALUES (0, '5 Mar 2024'), (1, 'soon'), (2, '—'), (3, '—')) t(id, shown)")
+@query(f"""WITH t AS (SELECT event_id AS id, CASE WHEN event_id % 50 = 0 THEN event_type ELSE strftime(ts, '%Y-%m-%d') END AS x FROM events
+UNION ALL SELECT * FROM (VALUES {', '.join(f'({i}, {"NULL" if x is None else _text(x)})' for i, x in _DATES)}) v(id, x))
+SELECT id, CASE WHEN x IS NULL OR x = '' THEN '—' WHEN try_cast(x AS DATE) IS NULL THEN x ELSE strftime(try_cast(x AS DATE), '%-d %b %Y') END AS shown FROM t""")
 def format_dates(spark, d):
-    return rows(spark, "id int, x string", [(0, "2024-03-05"), (1, "soon"), (2, None), (3, "")]).select("id", tx.format_date("x").alias("shown"))
+    """Days of events, now and then a word in place of one, and edge values."""
+    shown = F.when(F.col("event_id") % 50 == 0, F.col("event_type")).otherwise(F.date_format("ts", "yyyy-MM-dd"))
+    days = table(spark, d, "events").select(F.col("event_id").alias("id"), shown.alias("x"))
+    return days.unionByName(rows(spark, "id long, x string", _DATES)).select("id", tx.format_date("x").alias("shown"))
 
 
 @query("SELECT vec_id, round(1 / (1 + exp(-(embedding[1]::DOUBLE))), 6) AS sigmoid, round(exp(embedding[1]::DOUBLE - list_max(embedding)) / list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE - list_max(embedding)))), 6) AS softmax FROM embeddings")
