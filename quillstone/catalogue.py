@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from .functions import registry
 from .functions import text as tx
 from .functions import vectors as vx
 from .operators import ann, chunking, claims, entities, graph, lexical, ordering, retrieval
@@ -16,6 +17,7 @@ from .plans.config import AnnConfig, Config
 from .sources import documents as sources
 from .sources import store
 from .sources.scratch import fresh_path
+from .streaming import barrier
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -471,6 +473,15 @@ def chunk_stats(spark, d):
     return _chunked(spark, d).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.length("text")).cast("long").alias("longest"), F.sum(F.length("text")).alias("chars"))
 
 
+@query(f"WITH {_CHUNKS_SQL} SELECT doc_id || '#' || seq AS key, doc_id, seq, c.h AS heading, c.t AS text FROM chunks")
+def chunks_lateral(spark, d):
+    """The chunks by the table function, in SQL."""
+    registry.register(spark)
+    return spark.sql(
+        "SELECT c.* FROM {docs} d, LATERAL chunk_document(d.doc_id, concat('Document ', d.doc_id), d.text) c", docs=table(spark, d, "documents")
+    )
+
+
 @query()
 def ask_workspace(spark, d):
     """The workspace's answer passages for a question. A workspace takes the first documents up to its limit of five."""
@@ -653,7 +664,7 @@ def claims_split(spark, d):
 
 
 _LOGITS = [
-    (1, 0, "The refund takes five days.", [0.1, 3.0, 0.2]), (1, 1, "It is never sent back.", [2.5, 0.1, 0.3]), (1, 2, "Perhaps it is so there.", [0.4, 0.5, 0.6]), (2, 0, "Too short", [0.0, 9.0, 0.0]),
+    (-11, 0, "The refund takes five days.", [0.1, 3.0, 0.2]), (-11, 1, "It is never sent back.", [2.5, 0.1, 0.3]), (-11, 2, "Perhaps it is so there.", [0.4, 0.5, 0.6]), (-12, 0, "Too short", [0.0, 9.0, 0.0]),
 ]
 _VERDICT_SQL = f"""{_CLAIMS_SQL},
 l AS (SELECT id, claim_ord, text AS claim, [length(text) % 5, length(text) % 7, length(text) % 3]::DOUBLE[] AS l FROM claims
@@ -680,6 +691,32 @@ def claim_summary(spark, d):
     return claims.claim_summary(_verified(spark, d), ["id"])
 
 
+@query(f"""WITH {_VERDICT_SQL} SELECT id AS answer_id, {", ".join(f"CAST(count(*) FILTER (status = '{x}') AS INTEGER) AS {x}" for x in barrier.STATUSES)}, CAST(count(*) AS INTEGER) AS total, true AS complete FROM s GROUP BY id""")
+def claim_barrier(spark, d):
+    """The verdicts of all answers as a stream of messages in no order: an answer's counts leave when its last verdict has come."""
+    mixed_up = F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.xxhash64("id", "claim_ord"), F.lit(300)))
+    messages = barrier.answer_messages(_verified(spark, d).select("id", "claim_ord", "status"), "id", mixed_up)
+    path = fresh_path(spark, "verdicts")
+    messages.repartition(8, F.xxhash64("answer_id", "claim_ord", "status")).write.parquet(path)
+    stream = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    out = barrier.verification_barrier(stream)
+    job = out.writeStream.format("parquet").option("checkpointLocation", f"{path}-state").option("path", f"{path}-counts").trigger(availableNow=True).start()
+    job.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}-counts")
+
+
+@query(f"WITH {_CLAIMS_SQL} SELECT id, claim_ord, text, array_to_string(cites, ',') AS cites, false AS partial FROM claims")
+def claims_partitioned(spark, d):
+    """The claims by the table function over answers that were cut in three pieces each, put together by partition."""
+    registry.register(spark)
+    cut = F.floor(F.length("text") / 3).cast("int")
+    piece = lambda k, a, n: F.struct(F.lit(k).alias("ord"), F.substring("text", a, n).alias("text"), F.lit(k == 2).alias("done"))
+    pieces = F.array(piece(0, F.lit(1), cut), piece(1, cut + 1, cut), piece(2, 2 * cut + 1, F.length("text")))
+    parts = _answers(spark, d).select(F.col("id").alias("answer_id"), F.explode(pieces).alias("p")).select("answer_id", "p.*")
+    found = spark.sql("SELECT * FROM answer_claims(TABLE({parts}) PARTITION BY answer_id ORDER BY ord)", parts=parts)
+    return found.select(F.col("answer_id").alias("id"), "claim_ord", "text", F.array_join(F.col("cites").cast("array<string>"), ",").alias("cites"), "partial")
+
+
 def _passages(spark, d) -> DataFrame:
     """id, n, title, heading, text: three documents for each answer, under its conversation's number."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("_d"), F.col("source").alias("title"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise(F.col("lang")).alias("heading"), F.left("text", F.lit(400)).alias("text"))
