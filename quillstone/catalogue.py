@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .functions import registry
+from .functions import maps, registry
 from .functions import text as tx
 from .functions import vectors as vx
 from .operators import ann, chunking, claims, entities, graph, lexical, ordering, retrieval
+from .operators import prototypes as protos
 from .operators.stored_index import StoredIndex
-from .plans import engine, providers
+from .plans import engine, providers, runner
 from .plans.config import AnnConfig, Config
 from .sources import documents as sources
-from .sources import store
+from .sources import importer, store
 from .sources.scratch import fresh_path
 from .streaming import barrier
 
@@ -384,6 +387,24 @@ def ann_recall_floor(spark, d):
     return ann_recall(spark, d).select("wanted", (F.col("recall") >= 0.9).alias("reached"))
 
 
+_EDITED = "FROM (SELECT * FROM embeddings WHERE vec_id % 5 <> 0 UNION ALL SELECT vec_id, embedding, 1 AS label FROM embeddings WHERE vec_id % 10 = 0)"
+
+
+@query(f"""WITH {_CENTROID.replace("FROM embeddings)", _EDITED + ")")},
+s AS (SELECT e.vec_id, c.label, round(list_dot_product(e.embedding::DOUBLE[], c.v) / c.n, 6) AS score FROM embeddings e, c WHERE c.label <> 2),
+b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS rank FROM s)
+SELECT vec_id, CASE WHEN score >= 0.28 THEN 'route' || label ELSE 'unclear' END AS route, score AS confidence, score >= 0.28 AND label = 3 AS gate FROM b WHERE rank = 1""")
+def prototype_edits(spark, d):
+    """Triage after edits: each fifth exemplar taken out, some of these put into route 1, the gate moved from route 0 to 3, route 2 stale."""
+    name = lambda c: F.concat(F.lit("route"), c.cast("string"))
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding", "label", name(F.col("label")).alias("route"))
+    before = protos.exemplar_sums(vectors)
+    sums = protos.edited(before, added=vectors.where("vec_id % 10 = 0").withColumn("route", F.lit("route1")), removed=vectors.where("vec_id % 5 = 0"))
+    routes = vectors.select("route", F.col("route").alias("label"), (F.col("label") == 3).alias("gate"), F.col("label").alias("ord")).distinct()
+    live = protos.mark_stale(protos.prototypes(routes, sums), rows(spark, "route string", [("route2",)]))
+    return retrieval.classify(vectors.select("vec_id", "embedding"), live, query_key="vec_id")
+
+
 # Hashing
 
 
@@ -583,6 +604,28 @@ def entity_chunks(spark, d):
     return graph.chunks_for_entity(found, all_.withColumn("chunk_ord", F.col("key")), "DATE:2024-05-06").select(F.col("key").alias("ord"))
 
 
+def _capitals(texts: list[str]) -> list[tuple]:
+    """Stands in for a token classifier: capitalised words are names, those of a length divisible by five with too little certainty."""
+    out = []
+    for text in texts:
+        words = [w for w in re.split(r"[ \t\n\r\f\x0b]+", text) if w]
+        up = ["A" <= w[0] <= "Z" for w in words]
+        rows_ = [[0.0, 0.9 if len(w) % 5 == 0 else 4.0, 0.0] if a and not b else [0.0, 0.0, 0.9 if len(w) % 5 == 0 else 4.0] if a else [4.0, 0.0, 0.0] for w, a, b in zip(words, up, [False, *up], strict=False)]
+        out.append((["[CLS]", *words, "[SEP]", "never"], [[9.0, 0.0, 0.0], *rows_, [9.0, 0.0, 0.0], [0.0, 9.0, 0.0]], [1] * (len(words) + 2) + [0]))
+    return out
+
+
+@query(r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n\r\f\x0b]+'), lambda x: x <> '') AS w FROM documents),
+m AS (SELECT doc_id, array_to_string(list_transform(w, lambda x: CASE WHEN x[1] = '[' THEN '' WHEN regexp_matches(x, '\A[A-Z]') AND length(x) % 5 <> 0 THEN x ELSE '-' END), ' ') AS t FROM w),
+e AS (SELECT doc_id, unnest(regexp_extract_all(t, '(?:\A| )([A-Z][^ ]*(?: [A-Z][^ ]*)*)', 1)) AS surface FROM m)
+SELECT doc_id, count(*) AS entities, CAST(sum(length(surface)) AS BIGINT) AS chars FROM e WHERE length(surface) > 1 GROUP BY doc_id""")
+def token_tags(spark, d):
+    """Entities of a stub token classifier, decoded from its logits, beside none of the patterns'."""
+    classifier = entities.token_classifier(_capitals, ["O", "B-NAME", "I-NAME"], ["doc_id"])
+    found = entities.extract_entities(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], classifier=classifier)
+    return found.where("type = 'NAME'").groupBy("doc_id").agg(F.count("*").alias("entities"), F.sum(F.length("surface")).alias("chars"))
+
+
 # Conversations, answers and claims
 
 
@@ -765,6 +808,53 @@ def telemetry_avg(spark, d):
     return retrieval.last_n(table(spark, d, "events").select("event_id", "event_type", "value"), 60, ["event_id"], ["event_type"]).groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"))
 
 
+@query("""WITH k AS (SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY ALL)
+SELECT event_type, '{' || string_agg('"' || k || '":' || n, ',' ORDER BY k) || '}' AS counts FROM k GROUP BY event_type""")
+def props_counters(spark, d):
+    """How often each k stands in the JSON of an event type, as a map."""
+    key = F.variant_get(F.try_parse_json("props"), "$.k", "string")
+    return maps.counters(table(spark, d, "events"), ["event_type"], key).select("event_type", F.to_json("counts").alias("counts"))
+
+
+@query("""SELECT event_id, '{"a":[1,{"x":2,"y":"z"}],"k":' || json_extract_string(props, '$.k') || '}' AS canonical, event_id % 3 <> 0 AS same FROM events""")
+def props_same(spark, d):
+    """JSON values compared whatever the order of their keys and their blanks."""
+    k = F.variant_get(F.try_parse_json("props"), "$.k", "string")
+    one = F.concat(F.lit('{ "k" : '), k, F.lit(', "a": [1, {"y": "z", "x": 2}]}'))
+    two = F.concat(F.lit('{"a":[1,{"x":2,"y":"z"}],"k":'), k, F.when(F.col("event_id") % 3 == 0, ',"more":null}').otherwise("}"))
+    return table(spark, d, "events").select("event_id", maps.canonical_json(one).alias("canonical"), maps.same_json(one, two).alias("same"))
+
+
+@query("""SELECT event_type, CAST(greatest(max(value), 1) AS DOUBLE) AS top FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS i FROM events) WHERE i <= 60 GROUP BY event_type""")
+def telemetry_scale(spark, d):
+    """The largest of the last 60 values of each type, at least 1: the scale of a spark line."""
+    return retrieval.last_n(table(spark, d, "events").select("event_id", "event_type", "value"), 60, ["event_id"], ["event_type"]).groupBy("event_type").agg(F.greatest(F.max("value"), F.lit(1.0)).alias("top"))
+
+
+@query("SELECT * FROM (SELECT 0 AS place, 'read' AS stage, 'ok' AS status, count(*) AS rows FROM documents UNION ALL SELECT 1, 'long', 'ok', count(*) FILTER (length(text) >= 400) FROM documents UNION ALL SELECT 2, 'rerank', 'skipped', NULL)")
+def stage_rows(spark, d):
+    """Rows that the stages of a run have passed on, counted as they went by."""
+    stages = [
+        runner.Stage("read", "Read", lambda c: {"docs": table(spark, d, "documents").select("doc_id", "text")}),
+        runner.Stage("long", "Long ones", lambda c: {"docs": c["docs"].where(F.length("text") >= sources.STUB)}),
+        runner.Stage("rerank", "Rerank", lambda c: {}, when=lambda c: False),
+    ]
+    ctx = runner.run_pipeline(stages, {}, observe=True)
+    ctx["docs"].write.format("noop").mode("overwrite").save()
+    return runner.figures_frame(spark, ctx["trace"]).select("place", "stage", "status", "rows")
+
+
+@query(r"""WITH f AS (SELECT source || '/Doc ' || doc_id || '.md' AS path, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(text, e' \n\t\r\f\x0b'), '(?s)\{%-?.*?-?%\}', ' ', 'g'), '(?s)\{\{.*?\}\}', ' ', 'g'),
+  '</?[a-zA-Z][^>]*>', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), e' \n\t\r\f\x0b') AS body, source FROM documents)
+SELECT left(regexp_replace(lower('ext-' || path[:-4]), '[^a-z0-9]+', '-', 'g'), 80) AS doc_id, path AS title, source AS category, sha256(body) AS body_sha256 FROM f WHERE length(body) >= 400""")
+def import_round_trip(spark, d):
+    """Documents imported as files, written by the sink and read again as a corpus."""
+    files = table(spark, d, "documents").select(F.concat("source", F.lit("/Doc "), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text")
+    path = fresh_path(spark, "imported")
+    importer.save_documents(sources.import_tree(files), path)
+    return sources.load_corpus(spark, path).select("doc_id", "title", "category", F.sha2("body", 256).alias("body_sha256"))
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'new' ELSE source END AS source FROM documents UNION ALL SELECT -doc_id - 1, 'added' FROM documents WHERE doc_id < 3")
 def upsert_latest(spark, d):
     old = table(spark, d, "documents").select("doc_id", "source", F.lit(1).alias("version"))

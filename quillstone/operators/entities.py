@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,3 +114,37 @@ def decode_tags(tokens: list[str], labels: list[str], probs: list[float], mask:
             kind, held = tagged, [token]
     close()
     return out
+
+
+def decode_logits(tokens: list[str], logits: list, mask: list[int], labels: list[str], min_score: float = 0.6) -> list[tuple[str, str]]:
+    """decode_tags of the best label of each row of logits and its softmax."""
+    if not len(tokens):
+        return []
+    z = np.asarray([np.asarray(r, float) for r in logits])
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    best = z.argmax(axis=1)
+    p = e[np.arange(len(z)), best] / e.sum(axis=1)
+    return decode_tags(list(tokens), [labels[b] for b in best], p.tolist(), list(mask), min_score)
+
+
+def tagged_entities(rows: DataFrame, key_cols: list[str], labels: list[str], min_score: float = 0.6) -> DataFrame:
+    """key columns, type, surface, ord of rows that hold a classifier's arrays: tokens, logits (an array for each token), mask."""
+
+    @F.pandas_udf("array<struct<type string, surface string>>")
+    def decode(tokens: pd.Series, logits: pd.Series, mask: pd.Series) -> pd.Series:
+        found = [decode_logits(t, z, m, labels, min_score) if t is not None else [] for t, z, m in zip(tokens, logits, mask, strict=True)]
+        return pd.Series([[{"type": k, "surface": s} for k, s in x] for x in found])
+
+    each = rows.select(*key_cols, F.posexplode(decode("tokens", "logits", "mask")).alias("_i", "e"))
+    return each.select(*key_cols, "e.type", "e.surface", (F.lit(len(PATTERNS) * 1_000_000) + F.col("_i")).alias("ord"))
+
+
+def token_classifier(model: Callable, labels: list[str], key_cols: list[str], text_col: str = "text", min_score: float = 0.6) -> Callable[[DataFrame], DataFrame]:
+    """A classifier for extract_entities. ``model(texts) -> rows of (tokens, logits, mask)`` runs in Arrow batches; its entities come after
+    the patterns'."""
+
+    @F.pandas_udf("struct<tokens array<string>, logits array<array<double>>, mask array<int>>")
+    def infer(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(list(t), [list(map(float, r)) for r in z], list(map(int, m))) for t, z, m in model(texts.fillna("").tolist())], columns=["tokens", "logits", "mask"])
+
+    return lambda chunks: tagged_entities(chunks.select(*key_cols, infer(F.col(text_col)).alias("_m")).select(*key_cols, "_m.*"), key_cols, labels, min_score)

@@ -81,7 +81,7 @@ def retrieve(index: Index, query: str, qvec: list[float], want: int) -> DataFram
     return ranked.join(titles, "doc_id", "left").withColumn("title", F.coalesce("title", "doc_id")).withColumn("delta", F.col("keyword_rank") - F.col("sem_rank"))
 
 
-def ask(index: Index, query: str, scorer=None, on_stage=None) -> dict:
+def ask(index: Index, query: str, scorer=None, on_stage=None, observe: bool = False) -> dict:
     """Embeds, triages, retrieves and reranks a query. ctx: results (a frame), verdict, trace; a gated query stops before retrieval.
 
     The verdict is fetched first, as it decides whether the larger job is built at all.
@@ -109,7 +109,7 @@ def ask(index: Index, query: str, scorer=None, on_stage=None) -> dict:
         Stage("retrieve", "Retrieve", fetch),
         Stage("rerank", "Rerank", cross, optional=True, when=lambda c: scorer is not None),
     ]
-    return run_pipeline(stages, {"query": query}, on_stage)
+    return run_pipeline(stages, {"query": query}, on_stage, observe)
 
 
 def compare(index: Index, query: str) -> DataFrame:
