@@ -20,15 +20,27 @@ SHORT = 10
 #: Elements whose whole content is no text of the article.
 NO_TEXT = "script style noscript template head title svg math iframe object canvas select option datalist button textarea audio video map".split()
 ASIDE = "nav header footer aside form menu dialog".split()
-#: Words in class, id or role that mark such a part whatever its element.
-ASIDE_WORDS = re.compile(
-    r"(?:^|\s|(?<!no)(?<!has)(?<!with)[_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|sidebar|footer|header|masthead|cookie\w*|consent|notice|popup|modal|"
-    r"newsletter|subscribe|signup|login|comments?|disqus|replies|respond|related|recommended|share|sharing|social|widget|toolbar|pagination|pager|search|"
-    r"navigation|contentinfo|complementary|alert)(?=$|[\s_-])",
-    re.I,
+#: Parts of a class, id or role that mark such a part of the page (HARD), or may do so (SOFT): a share price is no share button.
+HARD = set(
+    "nav navbar navigation footer sidebar breadcrumb breadcrumbs cookie cookies consent popup modal newsletter subscribe signup login comments commentlist disqus replies respond "
+    "toolbar pagination pager contentinfo complementary".split()
 )
+SOFT = set("header banner menu masthead notice comment related recommended share sharing social widget search alert".split())
+AD = re.compile(r"ads?|advert\w*|sponsor\w*|promo\w*")
+#: Parts that only say where or how such a part stands, and parts that name the article.
+HELPERS = set(
+    "site page main global top bottom left right primary secondary list lists box block blocks wrapper wrap container inner outer section area slot bar buttons button links link icons "
+    "icon posts articles stories items item user users reader readers form panel unit sticky fixed mobile desktop".split()
+)
+CONTENT_PARTS = set("article post entry story content body text".split())
 #: Words in class or id that support a container's own text, and words of a short block that speak against it at a span's end.
 CONTENT_WORDS = re.compile(r"(?:^|[\s_-])(?:content|article|post|entry|story|body|text)(?=$|[\s_-])", re.I)
+#: A text that ends as sentences do; a notice about cookies; a heading over readers' comments.
+PROSE = re.compile(r"[.!?…:;][\"'”’»)\]]*\Z")
+NOTICE = re.compile(r"\b(?:we|this (?:web)?site|our (?:web)?sites?|our partners|by (?:continuing|using|clicking)|accept)\b.{0,120}\bcookies?\b|\bcookies?\b.{0,120}\b(?:accept|consent|agree)\b", re.I | re.S)
+REMARKS = re.compile(
+    r"(?:\d+\s+)?(?:reader |user |your |leave an? |post an? |add an? )?(?:comments?|replies|reply|responses?|kommentare?|commentaires?|comentarios?)(?:\s*\(\d+\)|\s+\d+)?\s*:?", re.I
+)
 SMALL_PRINT = re.compile(r"©|\(c\)|\bcopyright\b|\ball rights reserved\b|\bcookies?\b", re.I)
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that begin and end a block; others run on within a line.
@@ -49,18 +61,37 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(
 BLANK = re.compile(r"\s+")
 
 
-def aside(name: str, attributes: str) -> bool:
+def marked(value: str) -> int:
+    """2 if a class, id or role marks a part that is no text of the article, 1 if it may, 0 if not.
+
+    A token of known parts alone marks it (`site-header`), as does a hard one beside a name of the article (`post-comments`); any
+    other token with such a part (`share-price`, `article-header`) leaves it to the part's own text.
+    """
+    best = 0
+    for token in value.lower().split():
+        parts = [x for x in re.split(r"[-_]+", token) if x]
+        hard = any(x in HARD for x in parts)
+        if not hard and not any(x in SOFT or AD.fullmatch(x) for x in parts):
+            continue
+        others = [x for x in parts if not (x in HARD or x in SOFT or AD.fullmatch(x) or x in HELPERS or x.isdigit())]
+        best = max(best, 2 if not others or hard and all(x in CONTENT_PARTS for x in others) else 1)
+    return best
+
+
+def aside(name: str, attributes: str, inside: bool = False) -> int:
+    """marked of an element; the header of an article may hold its headline, so there it may be left out, but need not."""
     if name in ASIDE:
-        return True
+        return 1 if name == "header" and inside else 2
     if not attributes or name in ("html", "body", "main", "article"):
-        return False
+        return 0
+    best = 0
     for key, a, b, c in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), a or b or c
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-        if key in ("class", "id", "role") and ASIDE_WORDS.search(value):
-            return True
-    return False
+            return 2
+        if key in ("class", "id", "role"):
+            best = max(best, marked(value))
+    return best
 
 
 class Markup(NamedTuple):
@@ -122,7 +153,8 @@ class Scanner:
 
 class Block(NamedTuple):
     """A text block: its text, the characters outside links of each of its source lines, empty lines before it, the
-    container it stands in, its support (2 in article or main, 1 in a container named as content), whether it is a heading."""
+    container it stands in, its support (1 in a container named as content), whether it is a heading, its element, whether it
+    stands in article or main, and the parts around it that may be none of the article."""
 
     text: str
     sizes: list[int]
@@ -130,20 +162,29 @@ class Block(NamedTuple):
     box: int
     support: int
     heading: bool
+    tag: str = ""
+    inside: bool = False
+    parts: tuple[int, ...] = ()
 
     @property
     def size(self) -> int:
         return sum(self.sizes)
 
+    @property
+    def prose(self) -> bool:
+        return bool(PROSE.search(self.text))
+
 
 class Open(NamedTuple):
-    """An open element that matters: whether its content is left out, its container, that around it, whether it is named as content."""
+    """An open element that matters: whether its content is left out, its container, that around it, whether it is named as content,
+    the parts around its text that may be left out."""
 
     name: str
     off: bool
     box: int
     outer: int
     content: bool
+    parts: tuple[int, ...] = ()
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -152,7 +193,7 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     buffer: list[tuple[str, bool]] = []  # text, whether within a link
     stack: list[Open] = []
-    skipped = inside = boxes = marks = 0  # marks: block tags, and lines left out, since the last text
+    skipped = inside = boxes = doubtful = marks = 0  # marks: block tags, and lines left out, since the last text
     link = False
 
     def flush():
@@ -162,10 +203,12 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             top = stack[-1] if stack else Open("", False, 0, 0, False)
             heading = top.name in HEADING
-            plain = raw if heading else "".join("\n" * x.count("\n") if linked else x for x, linked in buffer)
+            # a paragraph that is one link is text, a menu's link is not
+            whole = top.name in ("p", "blockquote") and (inside or top.content) and len(text) >= SURGE and PROSE.search(text) and not any(x.strip() for x, linked in buffer if not linked)
+            plain = raw if heading or whole else "".join("\n" * x.count("\n") if linked else x for x, linked in buffer)
             sizes = [len(y.strip(BETWEEN_LINKS)) for x, y in zip(raw.split("\n"), plain.split("\n"), strict=True) if x.strip()]
             box = top.outer if top.name in BOX else top.box
-            out.append(Block(text, sizes, max(0, marks - 2), box, 2 if inside else int(top.content), heading))
+            out.append(Block(text, sizes, max(0, marks - 2), box, int(top.content), heading, top.name, inside > 0, top.parts))
             marks = 0
         buffer.clear()
 
@@ -211,20 +254,24 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name == "a":
             link = "href" in tag.attributes.lower()
-        off = name == "head" or aside(name, tag.attributes)
+        mark = aside(name, tag.attributes, inside > 0)
+        off = name == "head" or mark == 2
         if name == "body":  # an unclosed head ends here
             while stack and stack[-1].name == "head":
                 opened["head"] -= 1
                 skipped -= stack.pop().off
-        if off or name in BLOCK or name in ("article", "main", "section", "span"):
+        if off or mark or name in BLOCK or name in ("article", "main", "section", "span"):
             if name in CLOSED_BY_BLOCK and stack and stack[-1].name == name:
                 opened[name] -= 1
                 skipped -= stack.pop().off
-            outer, content = (stack[-1].box, stack[-1].content) if stack else (0, False)
+            outer, content, parts = (stack[-1].box, stack[-1].content, stack[-1].parts) if stack else (0, False, ())
+            if mark == 1:
+                doubtful += 1
+                parts += (doubtful,)
             if name in BOX:
                 boxes += 1
                 content = any(key.lower() in ("class", "id") and CONTENT_WORDS.search(a or b or c) for key, a, b, c in ATTRIBUTE.findall(tag.attributes))
-            stack.append(Open(name, off, boxes if name in BOX else outer, outer, content))
+            stack.append(Open(name, off, boxes if name in BOX else outer, outer, content, parts))
             opened[name] += 1
             skipped += off
             inside += name in ("article", "main")
@@ -252,19 +299,81 @@ def main_spans(blocks: list[Block], supported: bool = False) -> list[bool]:
     return kept
 
 
+def settled(blocks: list[Block]) -> list[Block]:
+    """The blocks without the parts that their class, id or element makes doubtful and their own text does not clear: parts with more
+    text in links than outside, and parts of less text than a surge that hold no heading."""
+    size, linked, headed = Counter(), Counter(), set()
+    for b in blocks:
+        for part in b.parts:
+            size[part] += b.size
+            linked[part] += max(0, len(b.text) - b.size)
+            if b.heading:
+                headed.add(part)
+    out = {part for part in size if linked[part] > size[part] or size[part] < SURGE and part not in headed}
+    return without(blocks, [any(part in out for part in b.parts) for b in blocks])
+
+
+def without(blocks: list[Block], gone: list[bool]) -> list[Block]:
+    """The blocks that stay; those that go become empty lines."""
+    out, gap = [], 0
+    for b, off in zip(blocks, gone, strict=True):
+        if off:
+            gap += b.gap + len(b.sizes)
+        else:
+            out.append(b._replace(gap=b.gap + gap))
+            gap = 0
+    return out
+
+
+def unmarked(blocks: list[Block]) -> list[Block]:
+    """The blocks without what nothing but its words marks: a heading over readers' comments with all that follows in its container up
+    to the next heading, and notices about cookies outside the container of most text."""
+    gone, ends, size, long = [False] * len(blocks), None, Counter(), False
+    for b in blocks:
+        size[b.box] += b.size
+    main = max(size, key=lambda box: size[box], default=0)
+    for k, b in enumerate(blocks):
+        if long and (b.heading or b.tag in ("div", "p", "dt")) and len(b.text) < SURGE and REMARKS.fullmatch(b.text):
+            ends = b.box
+        elif ends is not None and (b.box < ends or b.heading and b.box == ends):
+            ends = None
+        long = long or b.size >= SURGE
+        gone[k] = ends is not None or b.box != main and "ookie" in b.text and NOTICE.search(b.text) is not None
+    return without(blocks, gone)
+
+
 def bridged(blocks: list[Block], kept: list[bool]) -> None:
-    """Keeps text outside links between two kept blocks of one container, where it stands in that container itself."""
+    """Keeps text outside links, and paragraphs that are one link, between two kept blocks of one container, where it stands in that container itself."""
     last = None
     for k, b in enumerate(blocks):
         if kept[k]:
             if last is not None and blocks[last].box == b.box:
                 for j in range(last + 1, k):
-                    kept[j] = blocks[j].size > 0 and blocks[j].box == b.box
+                    x = blocks[j]
+                    kept[j] = x.box == b.box and (x.size > 0 or x.tag == "p" and x.prose and len(x.text) >= SURGE)
             last = k
 
 
+#: Elements of an article that are text however short they are.
+TEXTUAL = HEADING | set("p li blockquote dd dt pre figcaption caption address td th".split())
+
+
+def weak(b: Block, main: Block) -> bool:
+    """Whether a block at the end of a run speaks against being text: small print, or too short for its place. Sentences in the
+    container of the run's longest text are not too short; nor are, in article and main, the elements of texts."""
+    if b is main:
+        return False
+    small = b.size < SURGE and SMALL_PRINT.search(b.text)
+    if b.inside:  # a paragraph of the article may well speak of rights
+        return b.tag not in TEXTUAL and bool(small or not b.prose and b.size < SHORT) or bool(small) and b.box != main.box
+    if small:
+        return True
+    return not b.support and not (b.box == main.box and b.prose and b.tag in TEXTUAL) and b.size < (SHORT if b.box == main.box else SURGE)
+
+
 def trimmed(blocks: list[Block], kept: list[bool]) -> None:
-    """Cuts the short blocks that the windows take in at the ends of a run; a heading that leads into a run belongs to it."""
+    """Cuts the weak blocks that the windows take in at the ends of a run, and adds the strong ones that they leave beside it: texts of
+    the run's container within a window's lines. A heading that leads into a run belongs to it, one at its end does not."""
     k = 0
     while k < len(blocks):
         if not kept[k]:
@@ -274,22 +383,23 @@ def trimmed(blocks: list[Block], kept: list[bool]) -> None:
         while end < len(blocks) and kept[end]:
             end += 1
         main = max(blocks[k:end], key=lambda b: b.size)
-
-        def weak(b: Block) -> bool:
-            if b is main or b.support == 2:
-                return False
-            small_print = b.size < SURGE and SMALL_PRINT.search(b.text)
-            return bool(small_print) or not b.support and b.size < (SHORT if b.box == main.box else SURGE)
-
         first, last = k, end - 1
-        while weak(blocks[first]) and not blocks[first].heading:
+        while weak(blocks[first], main) and not blocks[first].heading:
             kept[first] = False
             first += 1
-        while last > first and (weak(blocks[last]) or blocks[last].heading and not blocks[last].support and blocks[last] is not main):
+        while last > first and (weak(blocks[last], main) or blocks[last].heading and not blocks[last].support and not blocks[last].inside and blocks[last] is not main):
             kept[last] = False
             last -= 1
-        if first == k and k and blocks[k - 1].heading and blocks[k].gap <= WINDOW:
-            kept[k - 1] = True
+
+        def strong(b: Block) -> bool:
+            return b.size > 0 and b.box == main.box and b.tag in TEXTUAL and not b.heading and (b.prose or b.inside) and not weak(b, main)
+
+        while last == end - 1 and end < len(blocks) and not kept[end] and blocks[end].gap <= WINDOW and strong(blocks[end]):
+            kept[end] = True
+            last, end = end, end + 1
+        while first and not kept[first - 1] and blocks[first].gap <= WINDOW and (strong(blocks[first - 1]) or blocks[first - 1].heading):
+            first -= 1
+            kept[first] = True
         k = end
 
 
@@ -297,24 +407,30 @@ def main_text(page: str | None) -> str:
     """The main text of a page: blocks joined by one newline; empty if there is none.
 
     Markup, scripts, styles, comments and parts marked as navigation, header, footer, sidebar, notice, advert, form or
-    reader comments become empty lines. Over the lines, each weighed by its characters outside links, the text
-    between surge and dive points of the window sums is kept, so thin runs at the ends and between (menus, footers and
-    notices that nothing marks) go. Markup only supports this: in article, main and containers named as content any
-    text outside links surges, article and main alone are searched where they hold at least half of the text, and short
-    text between two kept blocks of its own container stays. Where no window surges (a very short
+    reader comments become empty lines; a part that is marked by half a name only (`share-price`), and the header of an article,
+    goes if its text is mostly links, or short and without a heading. Comments under a heading that says so and notices about
+    cookies go without a mark. Over the lines, each weighed by its characters outside links, the text between surge and dive points
+    of the window sums is kept, in article and main as elsewhere, so thin runs at the ends and between (menus, footers and notices
+    that nothing marks) go. Markup only supports this: in containers named as content any text outside links surges, article and
+    main alone are searched where they hold at least half of the text, and short text that ends as sentences do, or stands in an
+    element of texts in article and main, stays beside a run of its own container. Where no window surges (a very short
     article), all text outside links is kept, and where all stands in links, all of it.
     """
     if not page:
         return ""
-    blocks = blocks_of(page)
-    inside = [b for b in blocks if b.support == 2]
+    blocks = settled(blocks_of(page))
+    inside = [b for b in blocks if b.inside]
     if inside and 2 * sum(b.size for b in inside) >= sum(b.size for b in blocks):
         blocks = inside
+    else:
+        blocks = [b._replace(support=max(b.support, int(b.inside))) for b in blocks]
+    blocks = unmarked(blocks)
     kept = main_spans(blocks)
     if any(kept):
         trimmed(blocks, kept)
         bridged(blocks, kept)
     else:
+        blocks = unmarked(inside) or blocks
         kept = main_spans(blocks, supported=True)
     return "\n".join(b.text for b, keep in zip(blocks, kept, strict=True) if keep or not any(kept))
 
