@@ -798,6 +798,13 @@ def telemetry_last_n(spark, d):
     return retrieval.last_n(table(spark, d, "events").select("event_id", "event_type", "value"), 240, ["event_id"])
 
 
+@query("SELECT event_id, round(greatest(0, least(100, (value - 20) / 60 * 100)), 6) AS percent, lower(to_base(epoch_us(ts) // 1000, 36)) AS stamp FROM events")
+def score_bars(spark, d):
+    """Bars of a score within 0 to 100 percent, and times as base 36 stamps."""
+    ms = F.expr("datediff(ts, DATE '1970-01-01') * 86400000L + hour(ts) * 3600000L + minute(ts) * 60000L + CAST(floor(extract(SECOND FROM ts) * 1000) AS BIGINT)")
+    return table(spark, d, "events").select("event_id", F.round(tx.score_percent(F.col("value") - 20, 60.0), 6).alias("percent"), tx.base36(ms).alias("stamp"))
+
+
 @query("SELECT event_type, count(*) AS n, count(*) FILTER (value > 50) AS large FROM events GROUP BY event_type")
 def telemetry_counts(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("large"))

@@ -144,3 +144,14 @@ def chat_prompt(question: Column | str, passages: Column | str, history: Column
     turns = F.array_join(F.transform(col(history), lambda m: F.concat(F.when(m["role"] == "user", "User").otherwise("Assistant"), F.lit(": "), m["text"])), "\n")
     said = F.when(turns == "", "").otherwise(F.concat(F.lit("Conversation so far:\n"), turns, F.lit("\n")))
     return F.concat(F.lit(intro + "\n\n"), _numbered(passages, "title", None), F.lit("\n\n"), said, F.lit("\nUser: "), col(question), F.lit("\nAssistant:"))
+
+
+def score_percent(value: Column | str, top: Column | float = 1.0) -> Column:
+    """A score as a share of the top in percent, between 0 and 100."""
+    whole = top if isinstance(top, Column) else F.lit(float(top))
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), col(value).cast("double") / whole * 100))
+
+
+def base36(c: Column | str) -> Column:
+    """A whole number from 0 in digits and small letters, as in ids made of milliseconds."""
+    return F.lower(F.conv(col(c).cast("string"), 10, 36))

@@ -131,14 +131,27 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, cfg: Config = Config(), embedder=None, classifier=None):
         self.spark, self.cfg, self.embedder, self.classifier = spark, cfg, embedder or HashEmbedder(cfg.hash_dims), classifier
-        self.docs = self.chunks = self.vectors = self.entities = None
+        self.docs = self.chunks = self.vectors = self.entities = self.error = None
 
-    def ingest(self, docs: DataFrame) -> None:
-        """Adds documents (doc_id, title, body) up to the workspace's limit; long ones are sampled at even strides."""
+    def ingest(self, docs: DataFrame, name_col: str | None = None) -> int:
+        """Adds documents (doc_id, title, body) while there is room, in the order of their ids; long ones are sampled at even strides.
+
+        With a name column only .md, .txt, .markdown and .pdf names count, in any case. Documents that are there stay as they are, and
+        one of the same id is not taken again. Returns how many were added; ``error`` says why none was, and is None else.
+        """
         w = self.cfg.workspace
-        new = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "title", "body")
-        both = new if self.docs is None else self.docs.unionByName(new)
-        self.docs = both.orderBy("doc_id").limit(w.max_docs)
+        held = 0 if self.docs is None else self.docs.count()
+        files = docs.where(F.lower(name_col).rlike(r"\.(md|txt|markdown|pdf)$")) if name_col else docs
+        new = files.select(F.col("doc_id").cast("string").alias("doc_id"), "title", "body").dropDuplicates(["doc_id"])
+        if self.docs is not None:
+            new = new.join(self.docs.select("doc_id"), "doc_id", "left_anti")
+        # a workspace is a few documents: they are fixed here, so that later intakes can't change which they were
+        rows = new.orderBy("doc_id").limit(max(0, w.max_docs - held)).collect()
+        self.error = None if rows else f"Workspace is full ({w.max_docs} documents max)." if held >= w.max_docs else "No .md/.txt/.pdf files found."
+        if not rows:
+            return 0
+        taken = self.spark.createDataFrame(rows, "doc_id string, title string, body string")
+        self.docs = taken if self.docs is None else self.docs.unionByName(taken)
         placed = with_chunk_order(chunking.chunk(self.docs, self.cfg.chunk), self.docs.withColumn("updated", F.lit("")))
         self.chunks = retrieval.stride_sample(placed, w.max_chunks_per_doc, ["seq"], ["doc_id"])
         self.vectors = self.embedder.embed(self.chunks.withColumn("_t", F.concat_ws("\n", "heading", "text")), "_t").select("key", "embedding")
@@ -146,6 +159,7 @@ class Workspace:
         keys = ["key", "doc_id", "chunk_ord"]
         per_chunk = entities.aggregate_entities(entities.extract_entities(read, keys, classifier=self.classifier), keys)
         self.entities = entities.merge_entities(per_chunk)
+        return len(rows)
 
     def graph(self) -> tuple[DataFrame, DataFrame]:
         counts = self.chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"))

@@ -136,6 +136,20 @@ def lines_from_items(items: Column | str) -> Column:
     return F.aggregate(col(items), start, step, lambda acc: acc["text"])
 
 
+def pdf_documents(pages: DataFrame, name_col="name", page_col="page", items_col="items") -> DataFrame:
+    """name, text, pages of PDF files from their pages' items: lines_from_items of each page in order, joined by a blank line, at most
+    two newlines in a row, trimmed. A page without items is an empty one; a file's pages are gathered, not files."""
+    lines = pages.select(F.col(name_col).alias("name"), F.col(page_col).alias("_p"), F.coalesce(lines_from_items(items_col), F.lit("")).alias("_t"))
+    whole = lines.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("_p", "_t"))).alias("_all"), F.count("*").alias("pages"))
+    text = F.array_join(F.transform("_all", lambda x: x["_t"]), "\n\n")
+    return whole.select("name", trimmed(F.regexp_replace(text, r"\n{3,}", "\n\n")).alias("text"), "pages")
+
+
+def read_pdf_items(spark: SparkSession, path: str) -> DataFrame:
+    """Pages of PDF files as an extractor leaves them: JSON lines of name, page and items (str, x, y, width)."""
+    return spark.read.schema("name string, page int, items array<struct<str:string, x:double, y:double, width:double>>").json(path)
+
+
 def corpus_stats(docs: DataFrame, by: str, text_col="body") -> DataFrame:
     """by, docs, words."""
     return docs.groupBy(by).agg(F.count("*").alias("docs"), F.sum(word_count(F.coalesce(F.col(text_col), F.lit("")))).alias("words"))

@@ -147,3 +147,25 @@ def test_an_index_is_cleared_by_signature(spark, tmp_path):
     assert importer.clear_index(spark, path, "hash-8-1") == ["sig=hash-8-1"]
     assert store.load_index(spark, path, "hash-8-1") is None and store.load_index(spark, path, "hash-16-1").count() == 3
     assert importer.clear_index(spark, path) == ["sig=hash-16-1"] and importer.clear_index(spark, path) == []
+
+
+def test_a_workspace_takes_what_fits_and_evicts_nothing(spark):
+    from quillstone.plans.config import Config
+    from quillstone.plans.engine import Workspace
+
+    text = "Words of a document that is long enough to be a chunk of its own. " * 6
+    make = lambda names: spark.createDataFrame([(n, n, text) for n in names], "doc_id string, title string, body string")
+    space = Workspace(spark, Config())
+    assert space.ingest(make(["m.md", "n.exe", "o.PDF", "p.txt"]), "doc_id") == 3 and space.error is None
+    assert space.ingest(make(["a.exe"]), "doc_id") == 0 and space.error.startswith("No ")
+    assert space.ingest(make(["a.md", "m.md", "b.markdown", "c.txt"]), "doc_id") == 2
+    assert sorted(r[0] for r in space.docs.select("doc_id").collect()) == ["a.md", "b.markdown", "m.md", "o.PDF", "p.txt"]
+    assert space.ingest(make(["d.md"]), "doc_id") == 0 and "full" in space.error and space.chunks.select("doc_id").distinct().count() == 5
+
+
+def test_pdf_pages_are_joined_by_a_blank_line(spark, tmp_path):
+    path = tmp_path / "items.json"
+    page = lambda name, n, *words: '{"name": "%s", "page": %d, "items": [%s]}' % (name, n, ", ".join('{"str": "%s", "x": %d, "y": %d, "width": 5}' % w for w in words))
+    path.write_text("\n".join([page("f", 2, ("two", 0, 10)), page("f", 1, ("one", 0, 50), ("cell", 40, 50), ("next", 0, 20)), page("f", 3), page("f", 4, ("end", 0, 1)), page("g", 1)]))
+    got = {r["name"]: (r["text"], r["pages"]) for r in documents.pdf_documents(documents.read_pdf_items(spark, str(path))).collect()}
+    assert got == {"f": ("one | cell\nnext\n\ntwo\n\nend", 4), "g": ("", 1)}
