@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import ctypes
 import sys
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_dir, stored
+
+__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "give_back", "shared_dir", "stored", "table"]
+
 #: The word rule of the contracts, as a Java and an RE2 pattern.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -25,23 +27,6 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs and tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark, "_quillstone_shared", None) or tempfile.mkdtemp(prefix="quillstone-")
-        spark._quillstone_shared = base
-    return base.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to a fresh Parquet table in the shared folder and read again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def give_back(encoders: bool = True) -> None:
     """Returns memory that a task has freed to the system: Python workers live on, and executors count what they hold.
 

@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators.ordering import numbered
-from ..sources.scratch import stored
-from .common import ascii_lower, table
+from .common import ascii_lower, stored, table
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Children of a node, and how many levels of nodes one row of the trie holds: its leaves share all digits but the last LEVELS.

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators.ordering import numbered
-from ..sources.scratch import stored
-from .common import WORD, table
+from .common import WORD, stored, table
 
 #: Sources go to every task up to this count, beyond it they are joined by a salted shuffle.
 BROADCAST_SOURCES = 10_000

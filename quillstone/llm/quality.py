@@ -64,7 +64,7 @@ def repeated(words: list) -> int:
 
 
 class Features:
-    """Relative frequencies of hashed word unigrams and character n-grams; words in the upper half of the buckets."""
+    """Relative frequencies of hashed words, pairs of neighbouring words and character n-grams; words in the upper half of the buckets."""
 
     def __init__(self):
         self.known: dict = {}
@@ -83,8 +83,11 @@ class Features:
             self.known.clear()
         known = self.known
         for w in set(words).difference(known):
-            known[w] = zlib.crc32(w) >> (32 - BITS + 1)
-        yield np.fromiter(map(known.__getitem__, words), np.uint32, len(words)) | half, 1 / max(1, len(words))
+            known[w] = zlib.crc32(w)
+        word = np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
+        yield (word >> np.uint32(32 - BITS + 1)) | half, 1 / max(1, len(words))
+        pair = ((word[:-1] * np.uint32(0x01000193)) ^ word[1:]) * np.uint32(0x9E3779B1)
+        yield (pair >> np.uint32(32 - BITS + 1)) | half, 1 / max(1, len(words))
 
     def sparse(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         out = np.zeros(1 << BITS, np.float32)
@@ -126,7 +129,8 @@ def choose(buckets: list, values: list, y: np.ndarray, features: int) -> np.ndar
     for b, v, k in zip(buckets, values, y.tolist(), strict=True):
         one[k][b] += v / n[k]
         two[k][b] += v**2 / n[k]
-    error = np.sqrt((two[0] - one[0] ** 2) / n[0] + (two[1] - one[1] ** 2) / n[1] + 1e-9)
+    # rounding can bring the variance of a value that never changes below zero
+    error = np.sqrt(np.maximum(0, two[0] - one[0] ** 2) / n[0] + np.maximum(0, two[1] - one[1] ** 2) / n[1] + 1e-9)
     return most(np.abs(one[1] - one[0]) / error, features)
 
 
