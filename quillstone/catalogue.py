@@ -561,14 +561,17 @@ m AS (SELECT entity, type, count(*) AS count, list(DISTINCT doc_id ORDER BY doc_
 top AS (SELECT *, row_number() OVER (ORDER BY count DESC, first_ord, entity) AS place FROM m ORDER BY count DESC, first_ord, entity LIMIT 40)"""
 
 
-def _merged(spark, d) -> DataFrame:
-    per_chunk = entities.aggregate_entities(_found(spark, d).withColumn("key", F.col("chunk_ord")), ["doc_id", "key", "chunk_ord"])
-    return entities.merge_entities(per_chunk)
+def _per_chunk(spark, d) -> DataFrame:
+    return entities.aggregate_entities(_found(spark, d).withColumn("key", F.col("chunk_ord")), ["doc_id", "key", "chunk_ord"])
+
+
+def _top(spark, d) -> DataFrame:
+    return graph.top_entities(entities.count_entities(_per_chunk(spark, d)))
 
 
 @query(f"WITH {_MERGED_SQL} SELECT entity, type, surface, count, len(docs) AS docs, len(chunk_keys) AS chunks FROM m")
 def entity_aggregate(spark, d):
-    return _merged(spark, d).select("entity", "type", "surface", "count", F.size("docs").cast("long").alias("docs"), F.size("chunk_keys").cast("long").alias("chunks"))
+    return entities.count_entities(_per_chunk(spark, d)).select("entity", "type", "surface", "count", "docs", "chunks")
 
 
 @query(f"""WITH {_MERGED_SQL} SELECT CAST(doc_id AS VARCHAR) AS id, 'doc ' || doc_id AS label, 'DOC' AS type, CAST(3 + count(*) AS BIGINT) AS weight FROM t GROUP BY doc_id
@@ -576,12 +579,13 @@ UNION ALL SELECT entity, surface, type, CAST(1 + least(count, 8) AS BIGINT) FROM
 def graph_nodes(spark, d):
     docs = table(spark, d, "documents").select("doc_id").unionByName(rows(spark, "doc_id long, ord long, text string", _SAMPLES).select("doc_id"))
     named = docs.groupBy("doc_id").agg(F.count("*").alias("chunks")).withColumn("name", F.concat(F.lit("doc "), F.col("doc_id").cast("string")))
-    return graph.nodes(named, graph.top_entities(_merged(spark, d)))
+    return graph.nodes(named, _top(spark, d))
 
 
 @query(f"WITH {_MERGED_SQL} SELECT entity AS source, CAST(unnest(docs) AS VARCHAR) AS target, CAST(least(count, 6) AS BIGINT) AS weight, 'mention' AS kind FROM top")
 def graph_mentions(spark, d):
-    return graph.mention_links(graph.top_entities(_merged(spark, d)))
+    top = _top(spark, d)
+    return graph.mention_links(top, entities.members(_per_chunk(spark, d), top))
 
 
 _COOCCUR = "SELECT a.entity AS source, b.entity AS target, len(list_intersect(a.chunk_keys, b.chunk_keys)) AS weight, 'cooccur' AS kind FROM top a, top b WHERE a.place < b.place AND len(list_intersect(a.chunk_keys, b.chunk_keys)) > 0"
@@ -589,7 +593,8 @@ _COOCCUR = "SELECT a.entity AS source, b.entity AS target, len(list_intersect(a.
 
 @query(f"WITH {_MERGED_SQL} {_COOCCUR}")
 def graph_cooccur(spark, d):
-    return graph.cooccurrence_links(graph.top_entities(_merged(spark, d)))
+    top = _top(spark, d)
+    return graph.cooccurrence_links(top, entities.members(_per_chunk(spark, d), top))
 
 
 @query(f"WITH {_MERGED_SQL}, l AS ({_COOCCUR}) SELECT DISTINCT unnest([source, target]) AS id FROM l WHERE source = 'AMOUNT:$3 million' OR target = 'AMOUNT:$3 million'")
@@ -599,7 +604,7 @@ def graph_neighbours(spark, d):
 
 @query(f"WITH {_MERGED_SQL} SELECT ord FROM t WHERE ord IN (SELECT unnest(chunk_keys) FROM m WHERE entity = 'DATE:2024-05-06') ORDER BY ord LIMIT 4")
 def entity_chunks(spark, d):
-    found = _merged(spark, d)
+    found = _per_chunk(spark, d)
     all_ = table(spark, d, "documents").select(F.col("doc_id").alias("key")).unionByName(rows(spark, "doc_id long, ord long, text string", _SAMPLES).select(F.col("ord").alias("key")))
     return graph.chunks_for_entity(found, all_.withColumn("chunk_ord", F.col("key")), "DATE:2024-05-06").select(F.col("key").alias("ord"))
 

@@ -69,6 +69,21 @@ def merge_entities(per_chunk: DataFrame, chunk_col="key", doc_col="doc_id", orde
     )
 
 
+def count_entities(per_chunk: DataFrame, chunk_col="key", doc_col="doc_id", order_col="chunk_ord") -> DataFrame:
+    """merge_entities with the numbers of documents and chunks in place of their arrays: docs and chunks. No row grows with the table."""
+    first = F.struct(order_col, "ord")
+    return per_chunk.groupBy("entity", "type").agg(
+        F.min_by("surface", first).alias("surface"), F.sum("count").alias("count"), F.count_distinct(doc_col).alias("docs"), F.count_distinct(chunk_col).alias("chunks"), F.min(first).alias("first_ord")
+    )
+
+
+def members(per_chunk: DataFrame, top: DataFrame, chunk_col="key", doc_col="doc_id") -> DataFrame:
+    """entity, count, first_ord, doc, chunk: a row for each chunk that holds one of the given entities, a report's few."""
+    few = top.select("entity", "type", F.col("count").alias("_count"), F.col("first_ord").alias("_first"))
+    met = per_chunk.join(few, ["entity", "type"])
+    return met.select("entity", F.col("_count").alias("count"), F.col("_first").alias("first_ord"), F.col(doc_col).alias("doc"), F.col(chunk_col).alias("chunk")).distinct()
+
+
 def entities_per_doc(per_chunk: DataFrame, doc_col="doc_id") -> DataFrame:
     """How many entities a document's chunks hold, each chunk's distinct ones counted."""
     return per_chunk.groupBy(doc_col).agg(F.count("*").alias("entities"))

@@ -20,20 +20,21 @@ def nodes(docs: DataFrame, top: DataFrame) -> DataFrame:
     return of_docs.unionByName(of_entities)
 
 
-def mention_links(top: DataFrame) -> DataFrame:
-    """Entity to document; the weight is the entity's whole count, up to 6, on each of its links."""
-    return top.select(
-        F.col("entity").alias("source"), F.explode(F.col("docs").cast("array<string>")).alias("target"), F.least("count", F.lit(6)).cast("long").alias("weight"), F.lit("mention").alias("kind")
-    )
+def mention_links(top: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """Entity to document; the weight is the entity's whole count, up to 6, on each of its links. The documents come from ``members``
+    (entities.members), or from the arrays of a small table's entities."""
+    pairs = members.select("entity", "count", "doc").distinct() if members is not None else top.select("entity", "count", F.explode(F.col("docs")).alias("doc"))
+    return pairs.select(F.col("entity").alias("source"), F.col("doc").cast("string").alias("target"), F.least("count", F.lit(6)).cast("long").alias("weight"), F.lit("mention").alias("kind"))
 
 
-def cooccurrence_links(top: DataFrame) -> DataFrame:
+def cooccurrence_links(top: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """Pairs of the given entities, the higher placed first, with the number of chunks they share: an equi-join on the chunk.
 
     The entities are the limited top of a report, so a chunk has few."""
-    placed = top.select("entity", F.col("count").alias("_c"), "first_ord", F.explode("chunk_keys").alias("chunk"))
-    a = placed.select("chunk", F.col("entity").alias("source"), F.struct((-F.col("_c")).alias("c"), "first_ord", "entity").alias("_a"))
-    b = placed.select("chunk", F.col("entity").alias("target"), F.struct((-F.col("_c")).alias("c"), "first_ord", "entity").alias("_b"))
+    rows = members.select("entity", "count", "first_ord", "chunk").distinct() if members is not None else top.select("entity", "count", "first_ord", F.explode("chunk_keys").alias("chunk"))
+    place = F.struct((-F.col("count")).alias("c"), "first_ord", "entity")
+    a = rows.select("chunk", F.col("entity").alias("source"), place.alias("_a"))
+    b = rows.select("chunk", F.col("entity").alias("target"), place.alias("_b"))
     return a.join(b, "chunk").where("_a < _b").groupBy("source", "target").agg(F.count("*").alias("weight")).withColumn("kind", F.lit("cooccur"))
 
 
@@ -43,7 +44,9 @@ def build_graph(docs: DataFrame, entities: DataFrame, cfg: WorkspaceConfig = Wor
 
 
 def chunks_for_entity(entities: DataFrame, chunks: DataFrame, entity: str, most: int = 4) -> DataFrame:
-    keys = entities.where(F.col("entity") == entity).select(F.explode("chunk_keys").alias("key"))
+    """The first chunks that hold the entity; entities: a row for each chunk with its key, or one with an array of keys."""
+    own = entities.where(F.col("entity") == entity)
+    keys = own.select(F.explode("chunk_keys").alias("key")) if "chunk_keys" in entities.columns else own.select("key")
     return chunks.join(keys, "key", "left_semi").orderBy("chunk_ord").limit(most)
 
 
