@@ -7,7 +7,6 @@ import math
 import pickle
 import random
 from dataclasses import astuple
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..plans.config import AnnConfig
-from .retrieval import check_dims, in_blocks, knn, vector
+from .retrieval import check_dims, dealt, knn, vector
 
 GRAPHS = "part long, count long, graph binary"
 
@@ -142,23 +141,24 @@ def build_ann(vectors: DataFrame, dims: int, cfg: AnnConfig = AnnConfig(), per_g
 
 
 def ann_search(index: DataFrame, queries: DataFrame, k: int, query_key="query", vec_col="embedding", key_type: str = "long", ef: int | None = None, most_queries: int = 10_000) -> DataFrame:
-    """query, key, score, rank: each graph answers every query, in blocks of ``most_queries``, and the k best are merged."""
-
-    def searcher(asked: list):
-        def run(batches):
-            for pdf in batches:
-                for data in pdf["graph"]:
-                    graph = SmallWorld.from_bytes(data)
-                    rows = [(q, key, s) for q, v in asked for s, key in graph.search(v, k, ef)]
-                    yield pd.DataFrame(rows, columns=[query_key, "key", "score"])
-
-        return run
-
-    blocks = ([(r[0], list(r[1])) for r in x] for x in in_blocks(queries.select(query_key, vec_col), most_queries))
-    schema = f"`{query_key}` {dict(queries.dtypes)[query_key]}, key {key_type}, score double"
-    hits = reduce(DataFrame.unionByName, [index.select("graph").mapInPandas(searcher(x), schema) for x in blocks])
-    rank = F.row_number().over(W.partitionBy(query_key).orderBy(F.desc("score"), "key")).cast("long")
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k)
+    """query, key, score, rank: each graph answers every query, a block of ``most_queries`` at a time, and the k best are merged.
+
+    Blocks of queries are rows of a frame and meet the graphs in a shuffle; the driver sees neither."""
+    asked = dict(queries.dtypes)[query_key]
+    blocks, n = dealt(queries.select(F.col(query_key).alias("q"), F.col(vec_col).alias("x")), "q", most_queries, "_q")
+    parts = index.select("part", "graph").withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    each = blocks.crossJoin(F.broadcast(index.agg(F.collect_set("part").alias("_parts")))).select("q", "x", "_q", F.explode("_parts").alias("part"))
+
+    def run(own: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for data in own["graph"]:
+            graph = SmallWorld.from_bytes(data)
+            rows += [(q, key, s) for q, v in zip(said["q"], said["x"], strict=True) for s, key in graph.search(v, k, ef)]
+        return pd.DataFrame(rows, columns=["q", "key", "score"])
+
+    hits = parts.groupBy("part", "_q").cogroup(each.groupBy("part", "_q")).applyInPandas(run, f"q {asked}, key {key_type}, score double")
+    rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "key")).cast("long")
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k).withColumnRenamed("q", query_key)
 
 
 def insert_ann(index: DataFrame, vectors: DataFrame, key_col="key", vec_col="embedding") -> DataFrame:

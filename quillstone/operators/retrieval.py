@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-from itertools import islice
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -43,52 +40,62 @@ def knn(vectors: DataFrame, query: Column, k: int, min_score: float | None = Non
     return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), key_col)).cast("long"))
 
 
-def in_blocks(queries: DataFrame, most: int) -> Iterator[list]:
-    """The rows in lists of ``most`` at most, fetched a partition at a time; one empty list if there are none."""
-    rows = queries.toLocalIterator()
-    block = list(islice(rows, most))
-    while True:
-        yield block
-        block = list(islice(rows, most))
-        if not block:
-            return
+def dealt(rows: DataFrame, key_col: str, most: int, name: str) -> tuple[DataFrame, int]:
+    """rows with a block number by a hash of the key, and how many blocks of about ``most`` rows there are."""
+    n = max(1, -(-rows.count() // most))
+    return rows.withColumn(name, F.pmod(F.xxhash64(key_col), F.lit(n)).cast("int")), n
 
 
-def knn_many(queries: DataFrame, vectors: DataFrame, k: int, query_key="query", key_col="key", vec_col="embedding", most_queries: int = 10_000) -> DataFrame:
-    """For each query the k best vectors: scored in blocks where the vectors lie, the k best kept there, then merged.
+def knn_many(
+    queries: DataFrame, vectors: DataFrame, k: int, query_key="query", key_col="key", vec_col="embedding", most_queries: int = 50_000, most_vectors: int = 200_000
+) -> DataFrame:
+    """For each query the k best vectors: blocks of queries meet blocks of vectors, the k best of each are kept there, then merged.
 
-    Blocks of ``most_queries`` go to every task as one matrix each; each task hands on k rows for each query at most.
+    Nothing goes through the driver. A task holds one block of each at a time and scores it in slices; each hands on k rows for each
+    query at most. Ties fall by key; rows that share a key, of queries or vectors, are rows of their own.
     """
     kind, asked = dict(vectors.dtypes)[key_col], dict(queries.dtypes)[query_key]
-    blocks = in_blocks(queries.select(query_key, vec_col), most_queries)
-    parts = [vectors.select(key_col, vec_col).mapInPandas(_scorer(x, k, query_key, key_col, vec_col), f"`{query_key}` {asked}, `{key_col}` {kind}, score double") for x in blocks]
-    rank = F.row_number().over(W.partitionBy(query_key).orderBy(F.desc("score"), key_col)).cast("long")
-    return reduce(DataFrame.unionByName, parts).withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def _scorer(got: list, k: int, query_key: str, key_col: str, vec_col: str):
-    names, matrix = [r[0] for r in got], np.array([r[1] for r in got], np.float64)
-
-    def run(batches):
-        held = None
-        for pdf in batches if names else ():
-            s = np.round(np.stack(pdf[vec_col].to_numpy()).astype(np.float64) @ matrix.T, 6)
-            keys = pdf[key_col].to_numpy()
-            part = pd.concat([_best(names[j], keys, s[:, j], k, query_key, key_col) for j in range(len(names))])
-            held = part if held is None else pd.concat([held, part]).sort_values([query_key, "score", key_col], ascending=[True, False, True]).groupby(query_key).head(k)
-        if held is not None:
-            yield held
-
-    return run
-
-
-def _best(name, keys, scores, k: int, query_key: str, key_col: str):
-    if len(keys) > k:  # all that reach the k-th score, so that ties fall by key
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= least)
-        keys, scores = keys[at], scores[at]
-    out = pd.DataFrame({query_key: name, key_col: keys, "score": scores})
-    return out.sort_values(["score", key_col], ascending=[False, True]).head(k)
+    q, n_q = dealt(queries.select(F.col(query_key).alias("q"), F.col(vec_col).alias("x")), "q", most_queries, "_q")
+    v, n_v = dealt(vectors.select(F.col(key_col).alias("key"), F.col(vec_col).alias("x")), "key", most_vectors, "_v")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left, right = q.withColumn("_v", every(n_v)).groupBy("_q", "_v"), v.withColumn("_q", every(n_q)).groupBy("_q", "_v")
+    hits = left.cogroup(right).applyInArrow(lambda a, b: nearest(a, b, k), f"q {asked}, key {kind}, score double")
+    rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "key")).cast("long")
+    best = hits.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.select(F.col("q").alias(query_key), F.col("key").alias(key_col), "score", "rank")
+
+
+#: Scores that a task holds at once.
+SLICE = 1 << 22
+
+
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+
+
+def nearest(asked: pa.Table, stored: pa.Table, k: int) -> pa.Table:
+    """q, key, score of the k largest rounded dot products for each row of asked."""
+    if not len(asked) or not len(stored):
+        return pa.table({"q": asked["q"].slice(0, 0), "key": stored["key"].slice(0, 0), "score": pa.array([], pa.float64())})
+    stored = stored.sort_by("key")
+    a, b = matrix(asked["x"]), matrix(stored["x"])
+    rows, columns, scores = [], [], []
+    step = max(1, SLICE // len(b))
+    for at in range(0, len(a), step):
+        s = np.round(a[at : at + step] @ b.T, 6)
+        least = np.partition(s, len(b) - k, axis=1)[:, len(b) - k] if k < len(b) else None
+        for i in range(len(s)):
+            if least is None:
+                found = np.arange(len(b))
+            else:  # of those at the k-th score the ones with the smallest keys, which come first
+                above = np.flatnonzero(s[i] > least[i])
+                found = np.concatenate([above, np.flatnonzero(s[i] == least[i])[: k - len(above)]])
+            rows.append(np.full(len(found), at + i))
+            columns.append(found)
+            scores.append(s[i, found])
+    at, of = pa.array(np.concatenate(rows)), pa.array(np.concatenate(columns))
+    return pa.table({"q": asked["q"].take(at), "key": stored["key"].take(of), "score": pa.array(np.concatenate(scores))})
 
 
 def score_candidates(vectors: DataFrame, query: Column, candidates: DataFrame, key_col="key", vec_col="embedding") -> DataFrame:
