@@ -423,13 +423,8 @@ s AS (SELECT doc_id, gram, sum(weight) AS weight FROM g GROUP BY doc_id, gram),
 h AS (SELECT gram, {_FNV.format('gram')} % 512 AS bucket FROM (SELECT DISTINCT gram FROM s))
 SELECT doc_id, CAST(bucket AS BIGINT) AS bucket, sum(weight) AS weight FROM s JOIN h USING (gram) GROUP BY doc_id, bucket""")
 def hash_embed_sparse(spark, d):
-    """The unnormalised hash embedding in sparse rows; each distinct gram is hashed once, in the JVM."""
-    words = table(spark, d, "documents").select("doc_id", tx.tokenize("text").alias("w"))
-    one = words.select("doc_id", F.explode("w").alias("gram"), F.lit(1.0).alias("weight"))
-    pair = F.expr("transform(filter(sequence(1, greatest(size(w), 1)), i -> i < size(w)), i -> concat(w[i - 1], '_', w[i]))")
-    grams = one.unionByName(words.select("doc_id", F.explode(pair).alias("gram"), F.lit(0.5).alias("weight"))).groupBy("doc_id", "gram").agg(F.sum("weight").alias("weight"))
-    hashed = grams.select("gram").distinct().withColumn("bucket", vx.fnv1a("gram") % 512)
-    return grams.join(hashed, "gram").groupBy("doc_id", "bucket").agg(F.sum("weight").alias("weight"))
+    """The unnormalised hash embedding in sparse rows; nothing is shuffled, as a text's grams meet where it lies."""
+    return providers.HashEmbedder().sparse(table(spark, d, "documents"), "doc_id", "text")
 
 
 def _hashed_sql(source: str, key: str) -> str:

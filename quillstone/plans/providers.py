@@ -6,12 +6,11 @@ from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from ..functions.vectors import fnv1a
 
 
 class Embedder(Protocol):
@@ -24,18 +23,43 @@ class Embedder(Protocol):
     def embed(self, rows: DataFrame, text_col: str, out: str = "embedding") -> DataFrame: ...
 
 
-def hash_embedding(text: Column, dims: int = 512) -> Column:
-    """Words weigh 1 and pairs of neighbours 0.5 in the bucket of their FNV-1a hash; unit length, a text without words stays zero."""
-    words = tokenize(F.coalesce(text, F.lit("")))
-    one = F.transform(words, lambda w: F.struct((fnv1a(w) % dims).cast("int").alias("b"), F.lit(1.0).alias("v")))
-    after = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
-    first = F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))
-    two = F.zip_with(first, after, lambda a, b: F.struct((fnv1a(F.concat(a, F.lit("_"), b)) % dims).cast("int").alias("b"), F.lit(0.5).alias("v")))
-    return F.concat(one, two)
+FNV_START, FNV_PRIME, FNV_MASK = 2166136261, np.uint64(16777619), np.uint64(0xFFFFFFFF)
+
+
+def fnv_over(state: np.ndarray, word: np.ndarray, at: np.ndarray, size: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """The FNV-1a states after the characters of each state's word; a step takes one character of all words that are that long."""
+    order = np.argsort(-size[word], kind="stable")
+    state, first, left = state[order], at[word][order], size[word][order]
+    for j in range(int(left[0]) if len(left) else 0):
+        n = int(np.searchsorted(-left, -j, side="left"))  # longer than j
+        state[:n] = ((state[:n] ^ chars[first[:n] + j]) * FNV_PRIME) & FNV_MASK
+    out = np.empty_like(state)
+    out[order] = state
+    return out
+
+
+def hashed_weights(tokens: pa.ListArray, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row, bucket, weight of a sparse matrix: words weigh 1 and pairs of neighbours 0.5 in the bucket of their FNV-1a hash."""
+    size = np.asarray(tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+    coded = tokens.flatten().dictionary_encode()
+    words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    long = np.array([len(w) for w in words], np.int64)
+    at = np.concatenate([[0], np.cumsum(long)])[:-1].astype(np.int64)
+    one = fnv_over(np.full(len(words), FNV_START, np.uint64), np.arange(len(words)), at, long, chars)
+    row = np.repeat(np.arange(len(size)), size)
+    pair = np.flatnonzero(row[:-1] == row[1:])
+    begun = ((one[code[pair]] ^ np.uint64(ord("_"))) * FNV_PRIME) & FNV_MASK
+    two = fnv_over(begun, code[pair + 1], at, long, chars)
+    buckets = np.concatenate([one[code], two]) % np.uint64(dims)
+    cells = np.concatenate([row, row[pair]]) * dims + buckets.astype(np.int64)
+    cell, place = np.unique(cells, return_inverse=True)
+    weight = np.bincount(place, weights=np.repeat([1.0, 0.5], [len(code), len(pair)]), minlength=len(cell))
+    return cell // dims, cell % dims, weight
 
 
 class HashEmbedder:
-    """The lexical embedding, always there; numpy in Arrow batches, each distinct word of a batch hashed once."""
+    """The lexical embedding, always there; numpy over Arrow batches, each distinct word of a batch hashed once."""
 
     name = "lexical-hash"
 
@@ -46,31 +70,31 @@ class HashEmbedder:
         pass
 
     def embed(self, rows: DataFrame, text_col: str, out: str = "embedding") -> DataFrame:
+        """rows with an embedding of unit length; that of a text without words is zero."""
         dims = self.dims
 
-        @F.pandas_udf("array<float>")
-        def run(words: pd.Series) -> pd.Series:
-            known: dict = {}
+        @F.arrow_udf("array<float>")
+        def run(tokens: pa.Array) -> pa.Array:
+            row, bucket, weight = hashed_weights(tokens, dims)
+            norm = np.sqrt(np.bincount(row, weights=weight**2, minlength=len(tokens)))
+            dense = np.zeros((len(tokens), dims), np.float32)
+            dense[row, bucket] = weight / norm[row]
+            return pa.ListArray.from_arrays(np.arange(0, dense.size + 1, dims, dtype=np.int32), pa.array(dense.ravel()))
 
-            def bucket(text: str) -> int:
-                if text not in known:
-                    h = 2166136261
-                    for unit in text.encode("utf-16-le").decode("utf-16-le"):
-                        h = ((h ^ ord(unit)) * 16777619) & 0xFFFFFFFF
-                    known[text] = h % dims
-                return known[text]
+        return rows.withColumn(out, run(tokenize(F.coalesce(F.col(text_col), F.lit("")))))
 
-            def one(tokens):
-                v = np.zeros(dims, np.float32)
-                tokens = list(tokens)
-                np.add.at(v, [bucket(t) for t in tokens], 1.0)
-                np.add.at(v, [bucket(f"{a}_{b}") for a, b in zip(tokens, tokens[1:], strict=False)], 0.5)
-                n = float(np.sqrt((v.astype(np.float64) ** 2).sum()))
-                return (v / n if n else v).astype(np.float32)
+    def sparse(self, rows: DataFrame, key_col: str, text_col: str) -> DataFrame:
+        """key, bucket, weight of the embedding before it is brought to unit length; a text's buckets are added up where it lies."""
+        dims = self.dims
 
-            return words.map(one)
+        @F.arrow_udf("array<struct<bucket bigint, weight double>>")
+        def run(tokens: pa.Array) -> pa.Array:
+            row, bucket, weight = hashed_weights(tokens, dims)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(tokens)))]).astype(np.int32)
+            return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(bucket), pa.array(weight)], ["bucket", "weight"]))
 
-        return rows.withColumn(out, run(tokenize(F.coalesce(F.col(text_col), F.lit("")))))
+        words = tokenize(F.coalesce(F.col(text_col), F.lit("")))
+        return rows.select(key_col, F.explode(run(words)).alias("e")).select(key_col, "e.bucket", "e.weight")
 
 
 def resolve_embedder(chain: list) -> tuple[object, list[dict]]:
