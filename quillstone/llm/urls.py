@@ -43,7 +43,7 @@ def judge_urls(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_c
 
     Plan: distinct (host, path) -> explode to suffix x prefix expressions, no deeper than the deepest rule ->
     equi-join with the rules on 4 bytes of SHA-256 -> confirm the full digest at the rule's own length ->
-    best rule per (host, path) -> left join back. A rule is found under its path up to the last ``/``, so rules
+    best rule per (host, path) -> left join back of the rows that have a host; the others, one value however many, pass by. A rule is found under its path up to the last ``/``, so rules
     that end inside a segment work too. Only sides that the planner has measured are broadcast.
     """
     judged = urls.select(F.col(id_col).alias("_id"), host_of(F.col(url_col)).alias("_h"), path_of(F.col(url_col)).alias("_p"))
@@ -75,10 +75,9 @@ def judge_urls(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_c
             F.concat("_rh", "_rp").alias("rule"), F.col("_v").alias("verdict"),
         )).alias("_best")
     )
-    return judged.join(best, ["_h", "_p"], "left").select(
-        F.col("_id").alias(id_col), F.col("_h").alias("host"), F.col("_p").alias("path"),
-        F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"),
-    )
+    out = lambda rows, rule, verdict: rows.select(F.col("_id").alias(id_col), F.col("_h").alias("host"), F.col("_p").alias("path"), rule.alias("rule"), verdict.alias("verdict"))
+    hosted = out(judged.where("_h <> ''").join(best, ["_h", "_p"], "left"), F.col("_best.rule"), F.coalesce("_best.verdict", F.lit(default)))
+    return hosted.unionByName(out(judged.where("_h = ''"), F.lit(None).cast("string"), F.lit(default)))
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
