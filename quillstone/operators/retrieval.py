@@ -143,14 +143,24 @@ def compare(keyword: DataFrame, semantic: DataFrame, key_col="key") -> DataFrame
     return both.withColumn("new_rank", new).withColumn("delta", F.col("keyword_rank") - F.col("new_rank"))
 
 
+#: Prototypes that are sent to every task at most.
+FEW_PROTOTYPES = 10_000
+
+
 def classify(queries: DataFrame, prototypes: DataFrame, min_confidence: float = 0.28, query_key="query", vec_col="embedding", multilingual: bool = True) -> DataFrame:
     """Each query's nearest prototype (route, label, gate, ord, embedding): first route of the best score, `unclear` below the
     threshold; `unclear` never gates. Routes without a prototype take no part. With a model that is not multilingual, queries of
-    locale hi pass through and are never gated. Prototypes are a small table, each query meets all.
+    locale hi pass through and are never gated. Each query meets all prototypes: they are counted, and sent to every task while they
+    are few; of many the nearest are found in blocks.
     """
     live = prototypes.where(F.col(vec_col).isNotNull() & (F.size(vec_col) > 0)).select("route", "label", "gate", "ord", F.col(vec_col).alias("_p"))
-    scored = queries.crossJoin(live).withColumn("score", F.round(dot(vec_col, "_p"), 6))
-    best = scored.withColumn("_n", F.row_number().over(W.partitionBy(query_key).orderBy(F.desc("score"), "ord"))).where("_n = 1")
+    if live.count() <= FEW_PROTOTYPES:
+        scored = queries.crossJoin(F.broadcast(live)).withColumn("score", F.round(dot(vec_col, "_p"), 6))
+        best = scored.withColumn("_n", F.row_number().over(W.partitionBy(query_key).orderBy(F.desc("score"), "ord"))).where("_n = 1")
+    else:  # ord tells routes apart, as it does between equal scores
+        near = knn_many(queries, live.select("ord", F.col("_p").alias(vec_col)), 1, query_key, "ord", vec_col)
+        own = [query_key] + (["locale"] if "locale" in queries.columns else [])
+        best = near.join(live.drop("_p"), "ord").join(queries.select(*own), query_key)
     clear = F.col("score") >= min_confidence
     passing = F.lit(False) if multilingual or "locale" not in queries.columns else F.coalesce(F.col("locale") == "hi", F.lit(False))
     return best.select(

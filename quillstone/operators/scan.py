@@ -33,7 +33,8 @@ def default_quad(width: float, height: float, inset: float = 0.06) -> list[list[
 
 
 def warp(image: np.ndarray, quad, max_width: int = 1400) -> np.ndarray:
-    """The quad of an image (height, width, channels) as an upright page, bilinear, sampled at pixel centres; grey where the quad leaves the image."""
+    """The quad of an image (height, width, channels) as an upright page, bilinear, sampled at pixel centres; grey where the quad leaves
+    the image. Values between two bytes go to the nearer, halves to the even one."""
     q = np.array(quad, float)
     edge = lambda a, b: float(np.hypot(*(q[a] - q[b])))
     across, down = max(edge(0, 1), edge(3, 2)), max(edge(0, 3), edge(1, 2))
@@ -48,7 +49,7 @@ def warp(image: np.ndarray, quad, max_width: int = 1400) -> np.ndarray:
     fx, fy = (x - x0)[..., None], (y - y0)[..., None]
     img = image.astype(float)
     mix = (img[y0, x0] * (1 - fx) + img[y0, x0 + 1] * fx) * (1 - fy) + (img[y0 + 1, x0] * (1 - fx) + img[y0 + 1, x0 + 1] * fx) * fy
-    return np.where(inside[..., None], np.floor(mix + 0.5), GREY).astype(np.uint8)
+    return np.where(inside[..., None], np.rint(mix), GREY).astype(np.uint8)
 
 
 def homography_column(source: Column, target: Column) -> Column:

@@ -49,6 +49,17 @@ def test_stale_routes_take_no_part_and_gates_are_the_routes_own(spark):
     assert {x["route"]: x["gate"] for x in toggled.collect()} == {"a": True, "b": False}
 
 
+def test_many_prototypes_are_searched_in_blocks_with_the_same_result(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    unit = lambda: [float(x) for x in r.normal(size=6).astype(np.float32)]
+    live = spark.createDataFrame([(f"r{i}", f"R{i}", i % 2 == 0, i, unit()) for i in range(40)] + [("twin", "T", True, 99, [1.0] * 6), ("first", "F", True, 98, [1.0] * 6)], "route string, label string, gate boolean, ord int, embedding array<float>")
+    asked = spark.createDataFrame([(i, unit()) for i in range(50)] + [(99, [9.0] * 6)], "query int, embedding array<float>").withColumn("locale", F.when(F.col("query") % 7 == 0, "hi").otherwise("en"))
+    rows = lambda: sorted(map(tuple, retrieval.classify(asked, live, multilingual=False).collect()))
+    few = rows()
+    monkeypatch.setattr(retrieval, "FEW_PROTOTYPES", 10)
+    assert rows() == few and dict((x[0], x[1]) for x in few)[99] == "first"
+
+
 def brute_decode(tokens, logits, mask, labels, least=0.6):
     found, held, kind = [], [], None
     for t, z, m in zip(tokens, logits, mask, strict=True):
