@@ -357,6 +357,13 @@ def int8_topk(spark, d):
     return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "vec_id")).cast("long"))
 
 
+@query(f"WITH {_Q8} " + _TOP.format("SELECT * FROM t", 10))
+def int8_knn(spark, d):
+    """The same top by the operator that takes its query as numbers."""
+    asked = table(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()["embedding"]
+    return retrieval.knn_q8(retrieval.quantized(table(spark, d, "embeddings"), "vec_id"), retrieval.vector(asked), 10, "vec_id")
+
+
 @query(f"WITH {_Q8}, a AS ({_TOP.format('SELECT * FROM t', 10)}), b AS ({_TOP.format(f'SELECT vec_id, {_DOT} AS score FROM embeddings', 10)}) SELECT count(*) AS shared FROM a JOIN b USING (vec_id)")
 def int8_vs_float_overlap(spark, d):
     return int8_topk(spark, d).select("vec_id").join(knn_exact(spark, d).select("vec_id"), "vec_id").agg(F.count("*").alias("shared"))
@@ -790,6 +797,65 @@ def claim_premises(spark, d):
     return claims.cited_passages(split, _passages(spark, d), "id").select("id", "claim_ord", tx.premise("passages").alias("premise"))
 
 
+# Prompts and display
+
+
+_NUMBERED_SQL = "string_agg('[' || n || '] ' || title || ' — ' || heading || chr(10) || {}, chr(10) || chr(10) ORDER BY n)"
+_INTRO = "Answer from the passages."
+
+
+def _gathered(spark, d) -> DataFrame:
+    """id, conv_id, passages of the answers that have all three."""
+    own = _passages(spark, d).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "title", "heading", "text"))).alias("passages"))
+    return own.join(_answers(spark, d).select("id", "conv_id"), "id")
+
+
+@query(f"""WITH {_ANSWERS_SQL}, {_PASSAGES_SQL}
+SELECT id, sha256('{_INTRO}' || chr(10) || chr(10) || {_NUMBERED_SQL.format("left(text, 900)")} || chr(10) || chr(10) || 'Question: What of ' || id || '?' || chr(10) || 'Answer:') AS prompt_sha256
+FROM passages GROUP BY id""")
+def grounded_prompts(spark, d):
+    asked = F.concat(F.lit("What of "), F.col("id").cast("string"), F.lit("?"))
+    return _gathered(spark, d).select("id", F.sha2(tx.grounded_prompt(asked, "passages", _INTRO), 256).alias("prompt_sha256"))
+
+
+@query(f"""WITH {_ANSWERS_SQL}, {_PASSAGES_SQL},
+h AS (SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'User' ELSE 'Assistant' END || ': ' || text, chr(10) ORDER BY turn) AS said FROM conversations WHERE turn < 4 GROUP BY conv_id),
+p AS (SELECT id, {_NUMBERED_SQL.format("text")} AS shown FROM passages GROUP BY id)
+SELECT id, sha256('{_INTRO}' || chr(10) || chr(10) || shown || chr(10) || chr(10) || CASE WHEN said IS NULL THEN '' ELSE 'Conversation so far:' || chr(10) || said || chr(10) END || chr(10) || 'User: And then?' || chr(10) || 'Assistant:') AS prompt_sha256
+FROM p JOIN answers USING (id) LEFT JOIN h USING (conv_id)""")
+def chat_prompts(spark, d):
+    """Prompts over whole passages with the first four turns of the conversation."""
+    turns = table(spark, d, "conversations").where("turn < 4").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("said"))
+    joined = _gathered(spark, d).join(turns, "conv_id", "left").withColumn("said", F.coalesce("said", F.expr("CAST(array() AS array<struct<role: string, text: string>>)")))
+    return joined.select("id", F.sha2(tx.chat_prompt(F.lit("And then?"), "passages", "said", _INTRO), 256).alias("prompt_sha256"))
+
+
+@query(f"WITH {_ANSWERS_SQL} SELECT id, round(length(text) / 4.0 / ((250 + abs(id) % 1000) / 1000.0), 6) AS tokens_per_second, CASE WHEN length(text) > 40 THEN left(text, 39) || '…' ELSE text END AS label FROM answers")
+def answer_speed(spark, d):
+    """Estimated tokens per second of answers, with times made of their ids, and their labels."""
+    ms = 250 + F.abs("id") % 1000
+    return _answers(spark, d).select("id", F.round(claims.tokens_per_second("text", ms), 6).alias("tokens_per_second"), tx.clipped("text", 40).alias("label"))
+
+
+@query(r"""WITH b AS (SELECT doc_id, unnest(list_concat(string_split(text, chr(10)), ['## Head ' || doc_id, '#none', '- item', '* item', doc_id || '. item', '|a|b|'])) AS line FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(line, '\A#{1,4}\s') THEN 'heading' WHEN regexp_matches(line, '\A(?:[-*]|\d+\.)\s') THEN 'list' WHEN starts_with(line, '|') THEN 'table' ELSE 'para' END AS kind, count(*) AS n FROM b GROUP BY ALL""")
+def block_kinds(spark, d):
+    """Kinds of display blocks over the lines of all documents, with one of each kind added to each."""
+    name = F.col("doc_id").cast("string")
+    more = F.array(F.concat(F.lit("## Head "), name), F.lit("#none"), F.lit("- item"), F.lit("* item"), F.concat(name, F.lit(". item")), F.lit("|a|b|"))
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.concat(F.split("text", "\n"), more)).alias("line"))
+    return lines.groupBy("doc_id", tx.block_kind("line").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, 'Wrap-' || chr(10) || 'ped  and' || chr(9) || 'spaced' || chr(10) || 'on.' || chr(10) || 'Kept' || chr(10) || chr(10) || chr(10) || chr(10) || text AS t FROM documents),
+a AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '-\n([a-z])', '\1', 'g') AS t FROM t)
+SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(t, '([^\n.!?:])\n([a-z(₹0-9])', '\1 \2', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), e' \n\t\r\f\x0b')) AS clean_sha256 FROM a""")
+def ocr_normalised(spark, d):
+    """Texts as a page reader would leave them, joined over line ends."""
+    raw = F.concat(F.lit("Wrap-\nped  and\tspaced\non.\nKept\n\n\n\n"), F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(tx.normalize_ocr(raw), 256).alias("clean_sha256"))
+
+
 # Telemetry and storage
 
 
