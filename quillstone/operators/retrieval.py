@@ -52,7 +52,7 @@ def knn_many(
     """For each query the k best vectors: blocks of queries meet blocks of vectors, the k best of each are kept there, then merged.
 
     Nothing goes through the driver. A task holds one block of each at a time and scores it in slices; each hands on k rows for each
-    query at most. Ties fall by key; rows that share a key, of queries or vectors, are rows of their own.
+    query at most. Ties fall by key; queries that share a key are ranked together, vectors that do are rows of their own.
     """
     kind, asked = dict(vectors.dtypes)[key_col], dict(queries.dtypes)[query_key]
     q, n_q = dealt(queries.select(F.col(query_key).alias("q"), F.col(vec_col).alias("x")), "q", most_queries, "_q")

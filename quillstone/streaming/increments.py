@@ -42,7 +42,11 @@ def stream_claims(parts: DataFrame, id_col="answer_id", order_col="ord", text_co
 
 
 def append_postings(chunks: DataFrame, path: str, checkpoint: str, key_col="key", ord_col="ord", text_col="text"):
-    """A streaming query that appends each batch's postings and lengths; a batch written again replaces itself."""
+    """A streaming query that appends each batch's postings and lengths; a batch written again replaces itself.
+
+    For documents that are new each time: one that comes again in a later batch counts twice here, and is replaced by
+    stored_index.index_stream.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         index = build_lexical_index(batch, key_col, ord_col, text_col)

@@ -60,6 +60,18 @@ def test_many_prototypes_are_searched_in_blocks_with_the_same_result(spark, monk
     assert rows() == few and dict((x[0], x[1]) for x in few)[99] == "first"
 
 
+def test_ties_of_many_like_vectors_fall_by_key(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(300)] + [(1000 + i, [0.5, float(i % 3)]) for i in range(40)]
+    vectors = spark.createDataFrame(rows, "key long, embedding array<float>").repartition(5)
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 0.0])], "query long, embedding array<float>")
+    got = retrieval.knn_many(asked.where("embedding[0] = 1"), vectors, 4, most_vectors=50).orderBy("rank").collect()
+    assert [(r["key"], r["rank"]) for r in got] == [(0, 1), (1, 2), (2, 3), (3, 4)]
+    zero = retrieval.knn_many(asked.where("query = 2"), vectors, 3, most_vectors=50).orderBy("rank").collect()
+    assert [r["key"] for r in zero] == [0, 1, 2]
+    assert retrieval.knn_many(asked, vectors.where("key >= 1000 AND key < 1002"), 4).count() == 6
+    assert retrieval.knn_many(asked, vectors.where("false"), 4).count() == 0
+
+
 def brute_decode(tokens, logits, mask, labels, least=0.6):
     found, held, kind = [], [], None
     for t, z, m in zip(tokens, logits, mask, strict=True):

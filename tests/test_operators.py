@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from quillstone.operators import ann, chunking, claims, entities, graph, lexical, retrieval, scan
 from quillstone.operators.wordpiece import WordPiece
 from quillstone.plans.config import AnnConfig, ChunkConfig, WorkspaceConfig
+from quillstone.sources.scratch import stored
 
 CFG = ChunkConfig()
 
@@ -87,9 +88,9 @@ def test_knn_floor_candidates_and_dims(spark, vectors):
 
 
 def test_more_queries_than_a_block_are_searched_in_blocks(vectors):
-    asked = vectors.limit(7).select(F.col("key").alias("query"), "embedding").localCheckpoint()
+    asked = stored(vectors.limit(7).select(F.col("key").alias("query"), "embedding"), "asked")
     rows = lambda df: sorted(map(tuple, df.select("query", "key", "score", "rank").collect()))
-    assert rows(retrieval.knn_many(asked, vectors, 5, most_queries=3)) == rows(retrieval.knn_many(asked, vectors, 5))
+    assert rows(retrieval.knn_many(asked, vectors, 5, most_queries=3, most_vectors=11)) == rows(retrieval.knn_many(asked, vectors, 5))
     index = ann.build_ann(vectors, len(asked.first()["embedding"]), AnnConfig())
     kind = dict(vectors.dtypes)["key"]
     assert rows(ann.ann_search(index, asked, 5, key_type=kind, most_queries=3)) == rows(ann.ann_search(index, asked, 5, key_type=kind))
