@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.text import detect_locale
 from ..operators import chunking, claims, entities, graph, lexical, retrieval
 from ..operators.ordering import numbered
+from ..operators.stored_index import StoredIndex
+from ..sources.scratch import stored
 from ..sources.store import content_hash, load_index, save_index, signature, to_embed
 from .config import Config
 from .providers import HashEmbedder
@@ -31,21 +33,24 @@ def with_chunk_order(chunks: DataFrame, docs: DataFrame) -> DataFrame:
 class Index:
     docs: DataFrame
     chunks: DataFrame
-    lexical: lexical.LexicalIndex
+    lexical: lexical.LexicalIndex | StoredIndex
     vectors: DataFrame
     embedder: object
     config: Config
     prototypes: DataFrame | None = None
 
 
-def build_index(docs: DataFrame, cfg: Config = Config(), embedder=None, path: str | None = None) -> Index:
+def build_index(docs: DataFrame, cfg: Config = Config(), embedder=None, path: str | None = None, stored_lexical: bool = False) -> Index:
     """Chunks, lexical index and vectors of documents. With a path vectors are kept under the embedder's signature and only chunks
-    whose key or content is new are embedded."""
+    whose key or content is new are embedded; with ``stored_lexical`` the lexical index is kept there too, brought up to these documents."""
     embedder = embedder or HashEmbedder(cfg.hash_dims)
     spark = docs.sparkSession
     chunks = with_chunk_order(chunking.chunk(docs, cfg.chunk), docs).withColumn("content", content_hash("heading", "text"))
     text = chunks.withColumn("_t", F.concat_ws(" ", "heading", "text"))
     index = lexical.build_lexical_index(text, "key", "chunk_ord", "_t")
+    if path and stored_lexical:
+        index = StoredIndex(spark, f"{path}/lexical", "string")
+        apply_chunks(index, text, index.live_docs())
     need = chunks.withColumn("_t", F.concat_ws("\n", "heading", "text"))
     kept = load_index(spark, path, signature(embedder.name, embedder.dims)) if path else None
     fresh = embedder.embed(to_embed(need, kept), "_t").select("key", "content", "embedding")
@@ -58,6 +63,47 @@ def build_index(docs: DataFrame, cfg: Config = Config(), embedder=None, path: st
     return Index(docs, chunks, index, vectors, embedder, cfg)
 
 
+def apply_chunks(index: StoredIndex, text: DataFrame, before: DataFrame) -> None:
+    """Brings the stored index from the live rows ``before`` (key) to chunks with key, chunk_ord and _t."""
+    rows = text.select("key", "chunk_ord", "_t", F.lit(False).alias("_gone"))
+    gone = before.select("key").join(text.select("key"), "key", "left_anti").select("key", F.lit(0).cast("long").alias("chunk_ord"), F.lit(None).cast("string").alias("_t"), F.lit(True).alias("_gone"))
+    applied = index.state["applied"]
+    index.apply(rows.unionByName(gone), 0 if applied is None else applied + 1, "key", "chunk_ord", "_t", "_gone")
+
+
+def keyword_search(index: Index, query: str, k: int) -> DataFrame:
+    s = index.config.search
+    if isinstance(index.lexical, StoredIndex):
+        return index.lexical.search(query, k, s.k1, s.b)
+    return lexical.bm25_search(index.lexical, query, k, s.k1, s.b)
+
+
+def add_documents(index: Index, docs: DataFrame) -> Index:
+    """The index with more documents (doc_id, title, body), after all that it has, without building it anew.
+
+    Documents that it holds under the same id are replaced. Only the new chunks are embedded, and a stored lexical index gets one
+    segment; prototypes stay. The frames of the old index stay as they are.
+    """
+    docs = stored(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "title", "body"), "added")
+    own = docs.select("doc_id").distinct()
+    last = index.chunks.agg(F.max("chunk_ord")).first()[0] or 0
+    placed = with_chunk_order(chunking.chunk(docs, index.config.chunk), docs.withColumn("updated", F.lit("")))
+    fresh = placed.withColumn("chunk_ord", F.col("chunk_ord") + (last // 1_000_000 + 1) * 1_000_000).withColumn("content", content_hash("heading", "text"))
+    old = index.chunks.join(own, "doc_id", "left_anti")
+    chunks = stored(old.unionByName(fresh.select(*old.columns)), "chunks")
+    vectors = index.embedder.embed(fresh.withColumn("_t", F.concat_ws("\n", "heading", "text")), "_t").select("key", "content", "embedding")
+    kept = index.vectors.join(old.select("key"), "key", "left_semi").select("key", "content", "embedding")
+    more = docs.select(*[F.col(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in index.docs.dtypes])
+    text = lambda rows: rows.withColumn("_t", F.concat_ws(" ", "heading", "text"))
+    if isinstance(index.lexical, StoredIndex):
+        apply_chunks(index.lexical, text(fresh), index.chunks.join(own, "doc_id", "left_semi"))
+        words = index.lexical
+    else:
+        words = lexical.build_lexical_index(text(chunks), "key", "chunk_ord", "_t")
+    all_docs = index.docs.withColumn("doc_id", F.col("doc_id").cast("string")).join(own, "doc_id", "left_anti").select(*index.docs.columns)
+    return replace(index, docs=all_docs.unionByName(more), chunks=chunks, lexical=words, vectors=stored(kept.unionByName(vectors), "vectors"))
+
+
 def build_prototypes(routes: DataFrame, embedder) -> DataFrame:
     """route, label, gate, ord, embedding: the mean of each route's exemplar embeddings; routes without exemplars have none and go."""
     rows = routes.select("route", "label", "gate", "ord", F.explode("exemplars").alias("text"))
@@ -76,7 +122,7 @@ def retrieve(index: Index, query: str, qvec: list[float], want: int) -> DataFram
     hits = retrieval.knn(index.vectors, retrieval.vector(qvec), s.pulled, s.min_score).drop("rank")
     placed = hits.join(index.chunks.select("key", "doc_id", "heading", "text", "chunk_ord"), "key")
     capped = retrieval.per_doc_cap(placed, s.per_doc, want, "doc_id", "score", "chunk_ord")
-    ranked = retrieval.annotate_keyword_rank(capped, lexical.bm25_search(index.lexical, query, s.keyword_depth, s.k1, s.b))
+    ranked = retrieval.annotate_keyword_rank(capped, keyword_search(index, query, s.keyword_depth))
     titles = index.docs.select(F.col("doc_id").cast("string").alias("doc_id"), "title")
     return ranked.join(titles, "doc_id", "left").withColumn("title", F.coalesce("title", "doc_id")).withColumn("delta", F.col("keyword_rank") - F.col("sem_rank"))
 
@@ -115,7 +161,7 @@ def ask(index: Index, query: str, scorer=None, on_stage=None, observe: bool = Fa
 def compare(index: Index, query: str) -> DataFrame:
     """The keyword top with the ranks that semantic scores give it."""
     s = index.config.search
-    keyword = lexical.bm25_search(index.lexical, query, s.compare, s.k1, s.b)
+    keyword = keyword_search(index, query, s.compare)
     qvec = [float(x) for x in embed_query(index, query).first()["embedding"]]
     return retrieval.compare(keyword, retrieval.score_candidates(index.vectors, retrieval.vector(qvec), keyword))
 

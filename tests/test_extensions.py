@@ -192,3 +192,28 @@ def test_pdf_pages_are_joined_by_a_blank_line(spark, tmp_path):
     path.write_text("\n".join([page("f", 2, ("two", 0, 10)), page("f", 1, ("one", 0, 50), ("cell", 40, 50), ("next", 0, 20)), page("f", 3), page("f", 4, ("end", 0, 1)), page("g", 1)]))
     got = {r["name"]: (r["text"], r["pages"]) for r in documents.pdf_documents(documents.read_pdf_items(spark, str(path))).collect()}
     assert got == {"f": ("one | cell\nnext\n\ntwo\n\nend", 4), "g": ("", 1)}
+
+
+@pytest.mark.parametrize("kept", [False, True])
+def test_documents_are_added_to_every_index_without_a_rebuild(spark, tmp_path, kept):
+    from quillstone.plans import engine
+    from quillstone.plans.config import Config
+
+    make = lambda rows: spark.createDataFrame([(i, f"T {i}", f"{w} and more words of document {i}. " * 20, None) for i, w in rows], "doc_id string, title string, body string, updated string")
+    first = make([("a", "refunds"), ("b", "holidays"), ("c", "matters")])
+    where = {"path": str(tmp_path / "i"), "stored_lexical": True} if kept else {}
+    index = engine.build_index(first, Config(), **where)
+    more = engine.add_documents(index, make([("b", "parcels"), ("d", "refunds refunds")]))
+    whole = engine.build_index(make([("a", "refunds"), ("c", "matters"), ("b", "parcels"), ("d", "refunds refunds")]), Config())
+    rows = lambda ix, q: sorted((r["key"], r["score"]) for r in engine.keyword_search(ix, q, 20).collect())
+    for q in ("refunds", "holidays", "parcels words", "matters"):
+        assert rows(more, q) == rows(whole, q), q
+    assert store.same_keys(more.vectors, more.chunks) and more.docs.count() == 4
+    ends = more.chunks.groupBy("doc_id").agg(F.min("chunk_ord").alias("o")).orderBy("o").collect()
+    assert {r["doc_id"] for r in ends[:2]} == {"a", "c"} and {r["doc_id"] for r in ends[2:]} == {"b", "d"}
+    best = engine.ask(more, "parcels words of document")["results"].orderBy("sem_rank").first()
+    assert best["doc_id"] == "b" and engine.compare(more, "refunds").count() >= 2
+    if kept:
+        assert len(more.lexical.state["segments"]) == 2
+        again = engine.build_index(first, Config(), **where)
+        assert rows(again, "holidays") and not rows(again, "parcels")
