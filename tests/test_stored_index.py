@@ -17,7 +17,7 @@ def text(r):
     return " ".join(WORDS[min(int(r.expovariate(0.12)), 59)] for _ in range(r.choice([0, 3, 20, 20, 90])))
 
 
-def changes(seed, n=300, batches=4):
+def changes(seed, n=300, batches=3):
     """Batches of rows, and the documents that should be left."""
     r, live, out = random.Random(seed), {}, []
     for b in range(batches):
@@ -41,7 +41,7 @@ def changes(seed, n=300, batches=4):
     return out, live
 
 
-def equals_rebuild(spark, index, live, queries=("w0 w7 w7", "w3", "w40 w59 nothing", "nothing", "")):
+def equals_rebuild(spark, index, live, queries=("w0 w7 w7", "w40 w59 nothing", "")):
     docs = spark.createDataFrame([(k, k, t) for k, t in live.items()], "key long, ord long, text string")
     full = lexical.build_lexical_index(docs)
     assert sorted(map(tuple, index.frequencies().collect())) == sorted(map(tuple, full.frequencies.collect()))
@@ -49,7 +49,7 @@ def equals_rebuild(spark, index, live, queries=("w0 w7 w7", "w3", "w40 w59 nothi
     assert a["n"] == b["n"] and a["avg_len"] == pytest.approx(b["avg_len"])
     assert sorted(map(tuple, index.postings().select("key", "term", "tf").collect())) == sorted(map(tuple, full.postings.select("key", "term", "tf").collect()))
     for q in queries:
-        for k in (1, 10, 1000):
+        for k in (3, 1000):
             assert [tuple(r) for r in index.search(q, k).orderBy("rank").collect()] == [tuple(r) for r in lexical.bm25_search(full, q, k).orderBy("rank").collect()], (q, k)
 
 
