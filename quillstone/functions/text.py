@@ -93,12 +93,22 @@ def block_kind(c: Column | str) -> Column:
     )
 
 
+def tenth(c: Column | str) -> Column:
+    """A number from 0 with one decimal: rounded to ten decimals, then halves up, so 7.2499999999999 is 7.3. From 1e15 on as it is written."""
+    x = col(c).cast("double")
+    units = F.rint(x * 1e10)
+    past = units % 1e9  # exact, as remainders of doubles are
+    tenths = F.rint((units - past) / 1e9).cast("long") + F.when(past >= 5e8, 1).otherwise(0)
+    digits = F.concat(F.floor((tenths - tenths % 10) / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    return F.when(x < 1e15, digits).otherwise(F.format_string("%.1f", x))
+
+
 def format_bytes(c: Column | str) -> Column:
     n = col(c).cast("double")
     out = F.lit("—")
     for power, unit in enumerate(("B", "KB", "MB", "GB")):
         x = n / float(1024**power)
-        here = F.when(x >= 100, F.concat(F.floor(x + 0.5).cast("string"), F.lit(f" {unit}"))).otherwise(F.concat(F.format_string("%.1f", x), F.lit(f" {unit}")))
+        here = F.when(x >= 100, F.concat(F.floor(x + 0.5).cast("string"), F.lit(f" {unit}"))).otherwise(F.concat(tenth(x), F.lit(f" {unit}")))
         out = F.when(n >= float(1024**power) if power else n > 0, here).otherwise(out)
     return F.when(n.isNull() | F.isnan(n) | (n == float("inf")), "—").otherwise(out)
 
@@ -107,7 +117,7 @@ def format_ms(c: Column | str) -> Column:
     n = col(c).cast("double")
     return (
         F.when(n.isNull() | F.isnan(n) | (F.abs(n) == float("inf")), "—").when(n < 1, "<1 ms")
-        .when(n < 1000, F.concat(F.floor(n + 0.5).cast("string"), F.lit(" ms"))).otherwise(F.concat(F.format_string("%.1f", n / 1000), F.lit(" s")))
+        .when(n < 1000, F.concat(F.floor(n + 0.5).cast("string"), F.lit(" ms"))).otherwise(F.concat(tenth(n / 1000), F.lit(" s")))
     )
 
 

@@ -77,3 +77,10 @@ def test_functions_by_name_in_sql(spark):
     register(spark)
     got = spark.sql("SELECT fnv1a('refund') h, dot(array(1D, 2D), array(3D, 4D)) d, split_claims('A is so. B is.') c, chunk_document('T', 'body') k").first()
     assert got["h"] == 854262879 and got["d"] == 11.0 and [x["text"] for x in got["c"]] == ["A is so.", "B is."] and got["k"][0]["heading"] == "T"
+
+
+def test_one_decimal_is_rounded_from_ten(spark):
+    numbers = [7423.999999999999 / 1024, 16.95, 0.05, 0.04, 99.95, 1234567.85, 12.25, 1e6, 3e15]
+    got = [one(spark, tx.tenth(F.lit(x))) for x in numbers]
+    assert got == ["7.3", "17.0", "0.1", "0.0", "100.0", "1234567.9", "12.3", "1000000.0", "3000000000000000.0"]
+    assert one(spark, tx.format_bytes(F.lit(7423.999999999999))) == "7.3 KB" and one(spark, tx.format_ms(F.lit(7249.9999999999991))) == "7.3 s"
