@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.slices import in_slices, rows_of
 from ..functions.text import SPACE, col, trimmed
 
 # The patterns that define the entity types. Word borders are ASCII's.
@@ -147,24 +148,35 @@ def decode_logits(tokens: list[str], logits: list, mask: list[int], labels: list
     return decode_tags(list(tokens), [labels[b] for b in best], p.tolist(), list(mask), min_score)
 
 
+#: What a decoded row gives for each of its entities; words of the rows that are decoded at once.
+_FOUND, _WORDS = pa.struct([("type", pa.string()), ("surface", pa.string()), ("ord", pa.int64())]), 1 << 16
+
+
+def _entity_rows(rows: DataFrame, key_cols: list[str], work: Callable, by: str, most: int) -> DataFrame:
+    keys = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*key_cols).schema]
+    return rows.mapInArrow(in_slices(work, by, most=most), ", ".join([*keys, "type string, surface string, ord long"]))
+
+
+def _numbered(found: list[tuple[str, str]]) -> list[dict]:
+    return [{"type": k, "surface": s, "ord": len(PATTERNS) * 1_000_000 + i} for i, (k, s) in enumerate(found)]
+
+
 def tagged_entities(rows: DataFrame, key_cols: list[str], labels: list[str], min_score: float = 0.6) -> DataFrame:
     """key columns, type, surface, ord of rows that hold a classifier's arrays: tokens, logits (an array for each token), mask."""
 
-    @F.pandas_udf("array<struct<type string, surface string>>")
-    def decode(tokens: pd.Series, logits: pd.Series, mask: pd.Series) -> pd.Series:
-        found = [decode_logits(t, z, m, labels, min_score) if t is not None else [] for t, z, m in zip(tokens, logits, mask, strict=True)]
-        return pd.Series([[{"type": k, "surface": s} for k, s in x] for x in found])
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        each = zip(*[batch.column(c).to_pylist() for c in ("tokens", "logits", "mask")], strict=True)
+        return rows_of(batch, key_cols, [_numbered(decode_logits(t, z, m, labels, min_score)) if t is not None else [] for t, z, m in each], _FOUND)
 
-    each = rows.select(*key_cols, F.posexplode(decode("tokens", "logits", "mask")).alias("_i", "e"))
-    return each.select(*key_cols, "e.type", "e.surface", (F.lit(len(PATTERNS) * 1_000_000) + F.col("_i")).alias("ord"))
+    return _entity_rows(rows.select(*key_cols, "tokens", "logits", "mask"), key_cols, work, "tokens", _WORDS)
 
 
 def token_classifier(model: Callable, labels: list[str], key_cols: list[str], text_col: str = "text", min_score: float = 0.6) -> Callable[[DataFrame], DataFrame]:
-    """A classifier for extract_entities. ``model(texts) -> rows of (tokens, logits, mask)`` runs in Arrow batches; its entities come after
-    the patterns'."""
+    """A classifier for extract_entities. ``model(texts) -> rows of (tokens, logits, mask)`` runs on slices of Arrow batches, and its
+    logits are decoded where they are made: none are kept past their slice. Its entities come after the patterns'."""
 
-    @F.pandas_udf("struct<tokens array<string>, logits array<array<double>>, mask array<int>>")
-    def infer(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(list(t), [list(map(float, r)) for r in z], list(map(int, m))) for t, z, m in model(texts.fillna("").tolist())], columns=["tokens", "logits", "mask"])
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        tagged = model([x or "" for x in batch.column("_text").to_pylist()])
+        return rows_of(batch, key_cols, [_numbered(decode_logits(t, z, m, labels, min_score)) for t, z, m in tagged], _FOUND)
 
-    return lambda chunks: tagged_entities(chunks.select(*key_cols, infer(F.col(text_col)).alias("_m")).select(*key_cols, "_m.*"), key_cols, labels, min_score)
+    return lambda chunks: _entity_rows(chunks.select(*key_cols, F.col(text_col).alias("_text")), key_cols, work, "_text", 4 * _WORDS)
