@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.slices import in_slices, rows_of
 from ..functions.text import cites, col
 from ..functions.vectors import softmax, verdict
 
@@ -18,7 +20,9 @@ ONLY_CITES = re.compile(r"[\s,;.]*(?:\[[0-9]+\][\s,;.]*)*")
 ENDED = re.compile(r"[.!?]\s*(?:\[[0-9]+\])*\s*\Z")
 #: Stand-ins for sentence marks within code spans: private characters, put back afterwards.
 SHIELD = {".": "", "!": "", "?": ""}
-CLAIMS = "array<struct<claim_ord int, text string, cites array<int>, partial boolean>>"
+CLAIM = "claim_ord int, text string, cites array<int>, partial boolean"
+CLAIMS = f"array<struct<{CLAIM}>>"
+_CLAIM = pa.struct([("claim_ord", pa.int32()), ("text", pa.string()), ("cites", pa.list_(pa.int32())), ("partial", pa.bool_())])
 
 
 def split_claims(text: str | None, done: bool = True) -> list[tuple[str, list[int], bool]]:
@@ -48,11 +52,12 @@ def split_claims(text: str | None, done: bool = True) -> list[tuple[str, list[in
 def claims_of(answers: DataFrame, id_col: str, text_col: str, done: bool = True) -> DataFrame:
     """A row for each claim: id, claim_ord, text, cites, partial."""
 
-    @F.pandas_udf(CLAIMS)
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: [{"claim_ord": i, "text": t, "cites": c, "partial": p} for i, (t, c, p) in enumerate(split_claims(x, done))])
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [[{"claim_ord": i, "text": t, "cites": c, "partial": p} for i, (t, c, p) in enumerate(split_claims(x, done))] for x in batch.column("_text").to_pylist()]
+        return rows_of(batch, [id_col], found, _CLAIM)
 
-    return answers.select(id_col, F.explode(split(F.coalesce(F.col(text_col), F.lit(""))))).select(id_col, "col.*")
+    kind = answers.schema[id_col].dataType.simpleString()
+    return answers.select(id_col, F.col(text_col).alias("_text")).mapInArrow(in_slices(work, "_text"), f"`{id_col}` {kind}, {CLAIM}")
 
 
 def cited_passages(claims: DataFrame, passages: DataFrame, id_col: str) -> DataFrame:
