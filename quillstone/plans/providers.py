@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.slices import cuts, in_slices, sizes
 from ..functions.text import tokenize
 
 
@@ -58,8 +59,12 @@ def hashed_weights(tokens: pa.ListArray, dims: int) -> tuple[np.ndarray, np.ndar
     return cell // dims, cell % dims, weight
 
 
+#: Words that are hashed at once: the arrays made of them are several times their size.
+WORDS = 1 << 17
+
+
 class HashEmbedder:
-    """The lexical embedding, always there; numpy over Arrow batches, each distinct word of a batch hashed once."""
+    """The lexical embedding, always there; numpy over slices of Arrow batches, each distinct word of a slice hashed once."""
 
     name = "lexical-hash"
 
@@ -73,28 +78,30 @@ class HashEmbedder:
         """rows with an embedding of unit length; that of a text without words is zero."""
         dims = self.dims
 
-        @F.arrow_udf("array<float>")
-        def run(tokens: pa.Array) -> pa.Array:
+        def dense_rows(tokens: pa.Array) -> pa.Array:
             row, bucket, weight = hashed_weights(tokens, dims)
             norm = np.sqrt(np.bincount(row, weights=weight**2, minlength=len(tokens)))
             dense = np.zeros((len(tokens), dims), np.float32)
             dense[row, bucket] = weight / norm[row]
             return pa.ListArray.from_arrays(np.arange(0, dense.size + 1, dims, dtype=np.int32), pa.array(dense.ravel()))
 
+        @F.arrow_udf("array<float>")
+        def run(tokens: pa.Array) -> pa.Array:
+            parts = [dense_rows(tokens.slice(at, end - at)) for at, end in cuts(sizes(tokens), most=WORDS)]
+            return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float32()))
+
         return rows.withColumn(out, run(tokenize(F.coalesce(F.col(text_col), F.lit("")))))
 
     def sparse(self, rows: DataFrame, key_col: str, text_col: str) -> DataFrame:
         """key, bucket, weight of the embedding before it is brought to unit length; a text's buckets are added up where it lies."""
         dims = self.dims
 
-        @F.arrow_udf("array<struct<bucket bigint, weight double>>")
-        def run(tokens: pa.Array) -> pa.Array:
-            row, bucket, weight = hashed_weights(tokens, dims)
-            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(tokens)))]).astype(np.int32)
-            return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(bucket), pa.array(weight)], ["bucket", "weight"]))
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            row, bucket, weight = hashed_weights(batch.column("_w"), dims)
+            return pa.RecordBatch.from_arrays([batch.column("_k").take(pa.array(row)), pa.array(bucket), pa.array(weight)], names=[key_col, "bucket", "weight"])
 
-        words = tokenize(F.coalesce(F.col(text_col), F.lit("")))
-        return rows.select(key_col, F.explode(run(words)).alias("e")).select(key_col, "e.bucket", "e.weight")
+        words = rows.select(F.col(key_col).alias("_k"), tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("_w"))
+        return words.mapInArrow(in_slices(work, "_w", most=WORDS), f"`{key_col}` {words.schema['_k'].dataType.simpleString()}, bucket long, weight double")
 
 
 def resolve_embedder(chain: list) -> tuple[object, list[dict]]:
