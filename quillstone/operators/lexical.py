@@ -32,10 +32,32 @@ class LexicalIndex:
         return cls(*[spark.read.parquet(f"{path}/{x}") for x in ("postings", "lengths", "frequencies", "stats")])
 
 
+def with_term_counts(rows: DataFrame, words: str = "w") -> DataFrame:
+    """rows with terms and tfs, arrays of the distinct words in order and of how often each stands, in place of the array of words: they are
+    sorted and their runs counted in the row, so nothing is shuffled."""
+    sorted_ = rows.withColumn(words, F.array_sort(words))
+    first = lambda x, i: (i == 0) | (F.get(words, i - 1) != x)
+    at = F.filter(F.transform(words, lambda x, i: F.when(first(x, i), i)), lambda i: i.isNotNull())
+    runs = sorted_.withColumn("_at", at)
+    tfs = F.transform("_at", lambda i, j: (F.coalesce(F.get("_at", j + 1), F.size(words)) - i).cast("long"))
+    return runs.withColumn("terms", F.filter(words, first)).withColumn("tfs", tfs).drop(words, "_at")
+
+
+def _postings(words: DataFrame) -> DataFrame:
+    """key, term, tf. A row's terms are counted in the row; only the rows of keys that stand more than once are added up in a shuffle."""
+    each = lambda rows: with_term_counts(rows.select("key", "w")).select("key", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("key", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"))
+    again = words.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("_key"))
+    if again.isEmpty():
+        return each(words)
+    same = F.col("key").eqNullSafe(F.col("_key"))
+    added = each(words.join(again, same, "left_semi")).groupBy("key", "term").agg(F.sum("tf").alias("tf"))
+    return each(words.join(again, same, "left_anti")).unionByName(added)
+
+
 def build_lexical_index(units: DataFrame, key_col="key", ord_col="ord", text_col="text") -> LexicalIndex:
     """Of units with a key, an order that breaks ties and a text. Units without tokens count in n and avg_len."""
     words = units.select(F.col(key_col).alias("key"), F.col(ord_col).cast("long").alias("ord"), tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
-    postings = words.select("key", F.explode("w").alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
+    postings = _postings(words)
     lengths = words.select("key", "ord", F.size("w").cast("long").alias("len"))
     frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
     stats = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avg_len"))

@@ -125,3 +125,17 @@ def test_blocks_that_cannot_reach_the_best_are_not_read(spark, tmp_path, monkeyp
     assert index.read["ranges"] > 50 and index.read["scored"] <= 5
     plan = index.table("blocks").where(F.col("term").isin(["rare"])).select("range")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(term, [rare])]" in plan or "EqualTo(term,rare)" in plan
+
+
+def test_terms_are_counted_in_the_row_and_a_range_lies_in_one_file(spark, tmp_path):
+    words = spark.createDataFrame([(1, ["b", "a", "b", "c", "b"]), (2, []), (3, None)], "key long, w array<string>")
+    assert [tuple(r) for r in lexical.with_term_counts(words).orderBy("key").collect()] == [(1, ["a", "b", "c"], [1, 3, 1]), (2, [], []), (3, None, None)]
+    once = spark.createDataFrame([(i, i, "aa bb aa") for i in range(9)], "key long, ord long, text string")
+    built = lexical.build_lexical_index(once).postings
+    assert "Exchange" not in built._jdf.queryExecution().executedPlan().toString() and built.where("term = 'aa' AND tf = 2").count() == 9
+    twice = lexical.build_lexical_index(once.unionByName(once.where("key < 2").withColumn("text", F.lit("aa cc")))).postings
+    assert sorted(map(tuple, twice.where("key < 2").collect())) == [(k, t, n) for k in (0, 1) for t, n in (("aa", 3), ("bb", 1), ("cc", 1))] and twice.count() == 20
+    index = StoredIndex(spark, f"{tmp_path}/index")
+    index.apply(spark.range(20_000).selectExpr("id key", "id ord", "concat('aa w', id % 50) text"), 0)
+    files = index.table("blocks").select("range", F.input_file_name().alias("f")).distinct().groupBy("range").agg(F.count("*").alias("n"))
+    assert files.count() == 40 and files.where("n <> 1").isEmpty() and index.frequencies().where("term = 'aa'").first()["df"] == 20_000
