@@ -13,11 +13,11 @@ from ..functions.text import tokenize
 from ..plans.config import SearchConfig
 from ..sources.manifest import Manifest
 from ..sources.scratch import stored
-from .lexical import ranked
+from .lexical import ranked, with_term_counts
 from .ordering import numbered
 
-#: Documents of a range. A block has the postings of one term in one range.
-RANGE = 512
+#: Documents of a range. A block has the postings of one term in one range. Ranges that one task makes blocks of, about.
+RANGE, TOGETHER = 512, 16
 #: So few ranges are scored without a look at bounds; ranges that are scored first, to learn what the k-th score is at least; ranges
 #: that are named to the reader one by one.
 FEW, FIRST, NAMED = 64, 8, 1000
@@ -27,8 +27,8 @@ FEW, FIRST, NAMED = 64, 8, 1000
 class StoredIndex:
     """An index at ``path``: what the last state of its manifest names.
 
-    A segment has four tables. ``docs``: key, ord, len, range, content, terms. ``blocks``: term, range, n, most_tf, least_len and the
-    postings as arrays, sorted by term and range, so that a reader skips the pages of other terms. ``counts``: term, df, with
+    A segment has four tables. ``docs``: key, ord, len, range, content, terms, tfs. ``blocks``: term, range, n, most_tf, least_len and
+    the postings as arrays; a file has whole ranges, sorted by term and range, so that a reader skips the pages of other terms. ``counts``: term, df, with
     negative rows for documents that the segment takes out of older ones. ``gone``: seg, range, key of these.
     Ranges are made in the order of length: documents of a range are alike in length, which keeps the bounds of blocks low.
     The state: segments, n and length (live documents and their tokens), ranges, applied (the number of the last batch).
@@ -55,7 +55,7 @@ class StoredIndex:
     def schema(self, name: str) -> str:
         k = self.key_type
         return {
-            "docs": f"seg int, range long, key {k}, ord long, len long, content string, terms array<string>",
+            "docs": f"seg int, range long, key {k}, ord long, len long, content string, terms array<string>, tfs array<long>",
             "blocks": f"seg int, term string, range long, n long, most_tf long, least_len long, keys array<{k}>, ords array<long>, tfs array<long>, lens array<long>",
             "counts": "term string, df long",
             "gone": f"seg int, range long, key {k}",
@@ -99,26 +99,26 @@ class StoredIndex:
             return False
         seg = max(self.state["segments"], default=-1) + 1
         text = F.coalesce(F.col(text_col), F.lit(""))
+        dead = F.coalesce(F.col(deleted_col), F.lit(False)) if deleted_col else F.lit(False)
         rows = batch.select(
-            F.col(key_col).cast(self.key_type).alias("key"), F.col(ord_col).cast("long").alias("ord"), text.alias("text"), F.sha2(text, 256).alias("content"),
-            (F.coalesce(F.col(deleted_col), F.lit(False)) if deleted_col else F.lit(False)).alias("deleted"), (F.col(version_col) if version_col else F.lit(0)).alias("version"),
+            F.col(key_col).cast(self.key_type).alias("key"), F.col(ord_col).cast("long").alias("ord"), F.sha2(text, 256).alias("content"), tokenize(F.when(~dead, text).otherwise("")).alias("w"),
+            dead.alias("deleted"), (F.col(version_col) if version_col else F.lit(0)).alias("version"),
         ).where("key IS NOT NULL")
-        newest = F.max(F.struct("version", "deleted", "content", "ord", "text")).alias("_r")  # combined before the shuffle: no hot key
-        latest = rows.groupBy("key").agg(newest).select("key", "_r.ord", "_r.text", "_r.content", "_r.deleted")
-        old = self.live_docs().select("key", F.col("seg").alias("_seg"), F.col("range").alias("_range"), F.col("len").alias("_len"), F.col("ord").alias("_ord"), F.col("content").alias("_content"), F.col("terms").alias("_terms"))
+        # the batch is read once and written with its words counted; what follows shuffles short rows, and once the terms of those that go in
+        read = stored(with_term_counts(rows.withColumn("len", F.size("w").cast("long"))).withColumn("_row", F.monotonically_increasing_id()), "batch", compression="zstd")
+        newest = F.max(F.struct("version", "deleted", "content", "ord", "len", "_row")).alias("_r")  # combined before the shuffle: no hot key
+        latest = read.groupBy("key").agg(newest).select("key", "_r.ord", "_r.len", "_r.content", "_r.deleted", "_r._row")
+        old = self.live_docs().select("key", F.col("seg").alias("_seg"), F.col("range").alias("_range"), F.col("len").alias("_len"), F.col("ord").alias("_ord"), F.col("content").alias("_content"))
         same = F.coalesce((F.col("content") == F.col("_content")) & F.col("ord").eqNullSafe(F.col("_ord")) & ~F.col("deleted"), F.lit(False))
-        met = stored(latest.join(old, "key", "left").where(~same), "batch")
+        met = stored(latest.join(old, "key", "left").where(~same), "met")
         taken = met.where("_seg IS NOT NULL")
-        words = met.where("NOT deleted").select("key", "ord", "content", tokenize("text").alias("w"))
-        fresh = words.select("key", "ord", "content", "w", F.size("w").cast("long").alias("len"))
-        placed = numbered(fresh.select("key", "len"), ["len", "key"]).select("key", F.expr(f"place div {RANGE}").alias("range"))
-        ready = stored(fresh.join(placed, "key"), "ready")
-        docs = ready.select(F.lit(seg).alias("seg"), "range", "key", "ord", "len", "content", F.array_distinct("w").alias("terms"))
-        counted = ready.select("range", "key", "ord", "len", F.explode("w").alias("term")).groupBy("range", "key", "ord", "len", "term").agg(F.count("*").alias("tf"))
+        fresh = met.where("NOT deleted")
+        n, length = fresh.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+        placed = numbered(fresh.select("key", "len", "_row"), ["len", "key"]).select("_row", F.expr(f"place div {RANGE}").alias("range"))
+        docs = read.join(placed, "_row").select(F.lit(seg).alias("seg"), "range", "key", "ord", "len", "content", "terms", "tfs")
         out = taken.select(F.col("_seg").alias("seg"), F.col("_range").alias("range"), "key")
-        less = taken.select(F.explode("_terms").alias("term"), F.lit(-1).cast("long").alias("df"))
-        self._write(seg, docs, counted, less, out)
-        n, length = ready.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+        less = self.table("docs").join(out, ["seg", "range", "key"], "left_semi").select(F.explode("terms").alias("term"), F.lit(-1).cast("long").alias("df"))
+        self._write(seg, docs, -(-n // RANGE), less, out)
         gone, lost = taken.agg(F.count("*"), F.coalesce(F.sum("_len"), F.lit(0))).first()
         segments = self.state["segments"] + ([seg] if n or gone else [])
         counts = {"n": self.state["n"] + n - gone, "length": self.state["length"] + length - lost, "ranges": self.state["ranges"] + -(-n // RANGE)}
@@ -133,9 +133,8 @@ class StoredIndex:
         docs = self.live_docs()
         placed = stored(numbered(docs.select("seg", "range", "key", "len"), ["len", "key"]).select("seg", "range", "key", F.expr(f"place div {RANGE}").alias("_range")), "placed")
         old = ["seg", "range", "key"]
-        moved = docs.join(placed, old).select(F.lit(seg).alias("seg"), F.col("_range").alias("range"), "key", "ord", "len", "content", "terms")
-        counted = self.postings().join(placed, old).select(F.col("_range").alias("range"), "key", "ord", "len", "term", "tf")
-        self._write(seg, moved, counted, self.spark.createDataFrame([], self.schema("counts")), self.spark.createDataFrame([], self.schema("gone")))
+        moved = docs.join(placed, old).select(F.lit(seg).alias("seg"), F.col("_range").alias("range"), "key", "ord", "len", "content", "terms", "tfs")
+        self._write(seg, moved, -(-self.state["n"] // RANGE), self.spark.createDataFrame([], self.schema("counts")), self.spark.createDataFrame([], self.schema("gone")))
         self._commit(self.state | {"segments": [seg], "ranges": -(-self.state["n"] // RANGE)})
 
     def vacuum(self) -> list[str]:
@@ -147,15 +146,18 @@ class StoredIndex:
             self.manifest.delete(f"{self.path}/{x}")
         return left
 
-    def _write(self, seg: int, docs: DataFrame, counted: DataFrame, less: DataFrame, gone: DataFrame) -> None:
+    def _write(self, seg: int, docs: DataFrame, ranges: int, less: DataFrame, gone: DataFrame) -> None:
+        """A document's terms are shuffled once, as arrays, to the task of its range, which makes the blocks of its ranges: a file of them."""
         at = f"{self.path}/seg-{seg}"
+        docs.write.mode("overwrite").option("compression", "zstd").parquet(f"{at}/docs")
+        lying = self.spark.read.schema(self.schema("docs")).parquet(f"{at}/docs").select("range", "key", "ord", "len", "terms", "tfs").repartition(max(1, -(-ranges // TOGETHER)), "range")
+        counted = lying.select("range", "key", "ord", "len", F.explode(F.arrays_zip("terms", "tfs")).alias("t")).select("range", "key", "ord", "len", F.col("t.terms").alias("term"), F.col("t.tfs").alias("tf"))
         p = F.array_sort(F.collect_list(F.struct("ord", "key", "tf", "len")))
         blocks = counted.groupBy("term", "range").agg(F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("len").alias("least_len"), p.alias("_p"))
         flat = blocks.select(
             F.lit(seg).alias("seg"), "term", "range", "n", "most_tf", "least_len", F.col("_p.key").alias("keys"), F.col("_p.ord").alias("ords"), F.col("_p.tf").alias("tfs"), F.col("_p.len").alias("lens"),
         )
-        flat.repartitionByRange("term", "range").sortWithinPartitions("term", "range").write.mode("overwrite").parquet(f"{at}/blocks")
-        docs.write.mode("overwrite").parquet(f"{at}/docs")
+        flat.sortWithinPartitions("term", "range").write.mode("overwrite").option("compression", "zstd").parquet(f"{at}/blocks")
         written = self.spark.read.schema(self.schema("blocks")).parquet(f"{at}/blocks")
         df = written.select("term", F.col("n").alias("df")).unionByName(less).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
         df.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{at}/counts")

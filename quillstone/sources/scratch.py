@@ -25,8 +25,9 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to a fresh Parquet table in the shared folder and read again: cuts the lineage and survives lost executors."""
+def stored(df: DataFrame, name: str, **options) -> DataFrame:
+    """``df`` written to a fresh Parquet table in the shared folder and read again: cuts the lineage and survives lost executors. The
+    writer takes the options."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
