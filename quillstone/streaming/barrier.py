@@ -53,13 +53,15 @@ def verification_barrier(messages: DataFrame, wait_seconds: int = 600, delay: st
             kept = [] if left else sorted(held)
             state.update((total, kept, [held[o][1] for o in kept], [held[o][0] for o in kept], left, last))
             state.setTimeoutTimestamp(max(last // 1_000_000 + wait_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[id_col, *STATUSES, "total", "complete"])
+        # Spark hands results and states on by the number of result rows: a call without one gives a blank, so that states do not pile up
+        yield pd.DataFrame(out or [(key[0], *[None] * (len(STATUSES) + 2))], columns=[id_col, *STATUSES, "total", "complete"])
 
     kind = dict(messages.dtypes)[id_col]
     timed = messages.select(id_col, at_col, F.col("claim_ord").cast("int").alias("claim_ord"), "status", F.col("total").cast("int").alias("total")).withWatermark(at_col, delay)
-    return timed.groupBy(id_col).applyInPandasWithState(
+    said = timed.groupBy(id_col).applyInPandasWithState(
         run, f"{id_col} {kind}, {COUNTS}, total int, complete boolean", "total int, ords array<int>, says array<string>, times array<long>, left boolean, last long", "append", GroupStateTimeout.EventTimeTimeout
     )
+    return said.where("complete IS NOT NULL")
 
 
 def answer_messages(verdicts: DataFrame, id_col: str, at: Column) -> DataFrame:
