@@ -79,7 +79,8 @@ def load_corpus(spark: SparkSession, *paths: str, suffix: str = "*.md") -> DataF
             F.col("value"), _file_in(path).alias("file"), F.lit(k).alias("_k")
         )
         raw = own if raw is None else raw.unionByName(own)
-    chosen = raw.groupBy("file").agg(F.max_by("value", "_k").alias("value"))
+    # the files of one tree have a path each: nothing to choose, no text is shuffled
+    chosen = raw.groupBy("file").agg(F.max_by("value", "_k").alias("value")) if len(paths) > 1 else raw
     return _documents(chosen.withColumn("_f", parse_frontmatter("value")), F.regexp_replace(F.regexp_extract("file", r"([^/]+)\z", 1), r"(?i)\.(md|txt|markdown)\z", ""))
 
 

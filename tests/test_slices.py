@@ -4,8 +4,10 @@ import numpy as np
 import pyarrow as pa
 
 from quillstone.functions.slices import cuts, sizes
-from quillstone.operators import claims, entities
+from quillstone.operators import ann, claims, entities
 from quillstone.plans import providers
+from quillstone.plans.config import AnnConfig
+from quillstone.sources.documents import load_corpus
 
 
 def test_cuts_hold_rows_and_bytes_and_miss_nothing():
@@ -52,3 +54,18 @@ def test_texts_are_hashed_in_slices(spark, monkeypatch):
     assert sorted(zip(*[sparse[c].to_pylist() for c in ("id", "bucket", "weight")], strict=True)) == sorted(zip(row.tolist(), bucket.tolist(), weight.tolist(), strict=True))
     vectors = np.array(made["embedding"].to_pylist())
     assert vectors.shape == (3000, 512) and not vectors[9].any() and np.allclose(np.delete(np.linalg.norm(vectors, axis=1), 9), 1, atol=1e-6)
+
+
+def test_vectors_lie_in_graphs_of_a_bounded_size(spark):
+    vectors = spark.range(9000).selectExpr("id AS key", "array(cast(sin(id) AS float), cast(cos(id) AS float)) AS embedding")
+    graphs = ann.build_ann(vectors, 2, AnnConfig(m=4, ef_construction=8)).select("part", "count").collect()
+    assert len(graphs) == 2 and sum(g["count"] for g in graphs) == 9000
+
+
+def test_a_single_tree_is_read_without_a_shuffle(spark, tmp_path):
+    for name in ("a/x.md", "b/x.md"):
+        (tmp_path / name).parent.mkdir()
+        (tmp_path / name).write_text(f"text of {name}")
+    read = load_corpus(spark, str(tmp_path))
+    assert "Exchange" not in read._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["body"] for r in read.collect()) == ["text of a/x.md", "text of b/x.md"]
