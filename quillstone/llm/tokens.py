@@ -1,9 +1,9 @@
 """Token ids and their binary output: an adaptive context-mixing range coder over independently reset, checksummed blocks.
 
 File format, little-endian: MAGIC; sections, each `B` + a group of blocks or `I` + the document index; see TokenWriter.
-Each id is coded by one arithmetic step over mixed predictions: of the last two ids (order 2), of the last id (order 1) and
-of the group's id counts (order 0), with weights that adapt to what each order was worth; see _Model. All blocks of a group start from
-the same state, the group's alphabet, so each can be decoded alone; numpy codes up to LANES blocks in step.
+Each id is coded over mixed predictions: of the last two ids (order 2), of the last id (order 1) and of the group's id counts (order 0),
+with counts and weights that adapt to what was coded; see _Model. All blocks of a group start from the same state, the group's
+alphabet, so each can be decoded alone. A block is coded as up to STREAMS streams in step, which share its model.
 """
 
 from __future__ import annotations
@@ -19,29 +19,28 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.slices import cuts, sizes
 from .common import shared_dir, stored, table
 
-MAGIC = b"QSTOK02\n"
-#: Ids in a block and blocks in a group at most; in small groups blocks are shorter, down to SHORT, until there are FEW.
-BLOCK, LANES, SHORT, FEW = 8192, 768, 1024, 16
-#: log2 of the contexts that a block keeps of order 2 and of order 1, the symbols of each and the count at which a context's counts are halved.
-SLOTS, WAYS, FULL = (12, 11), 4, 250
-#: The mass that the contexts' symbols share, and how fast weights follow.
-MASS, RATE = 1 << 24, 1 / 24
-LOW_BITS, TOP, ONE = np.uint64(0xFFFFFFFF), np.uint64(1 << 48), np.uint64(1)
-_WAY = np.arange(WAYS, dtype=np.int16)[:, None]
-#: States of the contexts by the counts that they have seen (order 2: six, order 1: four; and whether order 2 has seen one symbol only), and the weights of
-#: orders 2, 1 and 0 with which each begins.
-_BUCKET2 = np.array([0, 1, 2, 3, 3, 4, 4, 4, 4] + [5] * 7)
-_BUCKET1 = np.array([0, 1, 1, 1, 2, 2, 2, 2, 2, 2, 2] + [3] * 5)
-_WEIGHTS = np.array([((0.3 + 0.06 * two + 0.1 * sure) if two else 0.01, (0.1 + 0.03 * one) if one else 0.01, 0) for two in range(6) for one in range(4) for sure in range(2)])
-_WEIGHTS[:, 2] = 1 - _WEIGHTS.sum(axis=1)
-
+MAGIC = b"QSTOK03\n"
+#: Ids in a block at most, so that the numbers of three symbols fit 63 bits, and streams of a block at most.
+BLOCK_BITS, STREAMS = 21, 2048
+BLOCK = 1 << BLOCK_BITS
+#: What a context's symbols and its escape have together.
+ALL_BITS = 16
+ALL = 1 << ALL_BITS
+#: How often a pair is seen before it is a context; kinds of contexts; steps of a round from whose symbols weights learn; what weights begin with; the largest.
+LEAST, KINDS, LEARN, PRIOR, MOST = 12, 64, 64, 0.4, 0.996
+LOW_BITS, LEAST_SPAN = np.uint64(0xFFFFFFFF), np.uint64(1 << 32)
+
+#: Rows and bytes of texts that are encoded together at most.
+SLICE = 4096, 8 << 20
 #: Texts without these split at white space into parts that are encoded alike alone and together.
 NOT_PLAIN = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\u012f\u0131-\u024f]|<\\|")
 ASCII_PLAIN = bytes([9, 10, 11, 12, 13, *range(32, 127)])
@@ -71,9 +70,14 @@ class Encoder:
 
     def __init__(self, path: str, by_part: bool = True, keep: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.by_part, self.keep, self.known = Tokenizer.from_file(path), by_part, keep, {}
+        # for words of lower-case letters, which its normalizer and its pattern would leave whole
+        self.of_words = Tokenizer.from_file(path) if by_part else None
+        if by_part:
+            self.of_words.normalizer = None
+            self.of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         words = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(words.values(), default=0) + 1, bool)  # ids that end a word
         self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
@@ -108,7 +112,7 @@ class Encoder:
         words = list(words)
         for at in range(0, len(words), 500):
             own = words[at : at + 500]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.of_words.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, "<u4")
             stop = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(stop) != len(own):
                 raise ValueError("the tokenizer has not made one word of each part")
@@ -132,111 +136,166 @@ class Encoder:
             self._learn(set(parts).difference(known))
             return b"".join(map(known.__getitem__, parts))
 
+    def each(self, texts: pa.Array) -> list[bytes]:
+        """The same of many texts: Arrow parts them, and a part that occurs often is looked up once."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        apart = pc.match_substring_regex(texts, NOT_PLAIN.pattern).to_numpy(zero_copy_only=False) if self.by_part else np.ones(len(texts), bool)
+        lists = pc.utf8_split_whitespace(pc.utf8_lower(texts.filter(pa.array(~apart))))
+        parts, known = lists.flatten().dictionary_encode(), self.known
+        words = parts.dictionary.to_pylist()
+        if new := {x for x in words if x not in known}:
+            if len(known) > self.keep:
+                known.clear()
+                new = set(words)
+            self._learn(new)
+        ids = [known[x] for x in words]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        part = parts.indices.to_numpy()
+        long = size[part]
+        end = np.concatenate(([0], np.cumsum(long)))
+        data = np.frombuffer(b"".join(ids), "<u4")[np.arange(end[-1]) + np.repeat((np.cumsum(size) - size)[part] - end[:-1], long)].tobytes()
+        offsets = lists.offsets.to_numpy()
+        stops = (end[offsets - offsets[0]] * 4).tolist()
+        plain = iter(zip(stops, stops[1:], strict=False))
+        return [self(text.as_py()) if whole else data[slice(*next(plain))] for text, whole in zip(texts, apart.tolist(), strict=True)]
 
-class _Model:
-    """The state of n blocks that are coded in step.
 
-    Orders 2 and 1 keep, for each hashed context of a block, WAYS symbols with counts; order 0 are the group's counts, from which each
-    block starts. A symbol's mass is the sum of what the orders give it, each times its weight. The weights, one set for each
-    state of the contexts' counts, follow the share that each order had in the symbols seen. Only sums, products, quotients
-    and comparisons are used, so every machine decodes alike.
+class _Model:
+    """What a block's coder predicts: mixed masses of orders 2, 1 and 0, with counts and weights that follow the ids coded so far.
+
+    A block is cut into streams that are coded in step. Its counts begin empty, with the group's order-0 counts, and are taken
+    anew after 1, 2, 4, 8... steps from all ids of all its streams. A symbol's mass after a context is what the context's counts
+    give it, times a weight, plus the mass by the next lower order, times the rest. The weights, one for each kind of
+    context (how often seen, how many symbols), follow the share that the order had in the symbols coded. What a context has not
+    seen is coded by an escape and the next lower order. Only integers and single sums, products and quotients of doubles are
+    used, so every machine decodes alike.
     """
 
-    def __init__(self, n: int, cumulated: np.ndarray):
-        self.lane = np.arange(n)
-        kind = np.uint16 if len(cumulated) <= 1 << 16 else np.uint32
-        self.zero, self.zero_bits = cumulated, int(cumulated[-1]).bit_length() - 1
+    def __init__(self, cumulated: np.ndarray):
+        self.zero, self.bits = cumulated, int(cumulated[-1]).bit_length() - 1
         self.share = np.diff(cumulated)
-        self.rows = [np.zeros((n << bits, 2 * WAYS), kind) for bits in SLOTS]  # of order 2 and 1: symbols, then their counts
-        self.weight = np.repeat(_WEIGHTS[None], n, axis=0).reshape(-1, 3).astype(np.float32)
-        self.last = self.before = np.zeros(n, np.uint32)
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
-
-    def predict(self) -> None:
-        """Masses of the contexts' symbols (a symbol of both orders: with the first), what order 0 counts once, and the total."""
-        first = (self.last + np.uint32(1)) * np.uint32(0x9E3779B1)
-        second = (first ^ (first >> np.uint32(15))) * np.uint32(0x85EBCA6B) + (self.before + np.uint32(1)) * np.uint32(0xC2B2AE35)
-        self.at = [(h >> np.uint32(32 - bits)).astype(np.int64) + (self.lane << bits) for h, bits in zip((second, first), SLOTS, strict=True)]
-        two, one = (np.ascontiguousarray(rows.take(at, axis=0).T) for rows, at in zip(self.rows, self.at, strict=True))
-        self.symbol, self.count = np.concatenate((two[:WAYS], one[:WAYS])), (two[WAYS:], one[WAYS:])
-        n2, n1 = (c.sum(axis=0, dtype=np.int32) for c in self.count)
-        sure = self.count[0].max(axis=0) == n2
-        self.set = _BUCKET2.take(np.minimum(n2, 15)) * 8 + _BUCKET1.take(np.minimum(n1, 15)) * 2 + sure + self.lane * len(_WEIGHTS)
-        self.w = w = np.ascontiguousarray(self.weight.take(self.set, axis=0).T)
-        self.own = np.concatenate([(c * (x * np.float32(MASS) / np.maximum(n, 1).astype(np.float32))).astype(np.int32) for c, x, n in zip(self.count, w, (n2, n1), strict=False)])
-        self.mass = mass = self.own.copy()
-        for k in range(WAYS):
-            same = (self.symbol[k] == self.symbol[WAYS:]) & (self.own[k] > 0)
-            if same.any():
-                mass[k] += (mass[WAYS:] * same).sum(axis=0, dtype=np.int32)
-                mass[WAYS:] *= ~same
-        self.end = np.cumsum(mass, axis=0, dtype=np.int32)
-        self.unit = (w[2] * np.float32(MASS >> self.zero_bits)).astype(np.int64) + 1
-        self.total = self.end[-1] + (self.unit << self.zero_bits)
-
-    def learn(self, x: np.ndarray) -> None:
-        """Of the symbols just placed: the weights' shares, then the counts."""
-        hit = self.hit
-        gave = self.own * hit
-        part = np.stack((gave[:WAYS].sum(axis=0, dtype=np.int32), gave[WAYS:].sum(axis=0, dtype=np.int32), self.unit * self.share.take(x))).astype(np.float32)
-        part /= part[0] + part[1] + part[2]
-        part -= self.w
-        part *= np.float32(RATE)
-        part += self.w
-        self.weight[self.set] = part.T
-        x = x.astype(self.symbol.dtype)
-        for k, (rows, at) in enumerate(zip(self.rows, self.at, strict=True)):
-            count = self.count[k].astype(np.int16)
-            met = hit[k * WAYS : (k + 1) * WAYS] & (count > 0)
-            # the symbol's own place, or that of the smallest count
-            place = np.where(met, _WAY - np.int16(8), (count << 3) + _WAY).min(axis=0)
-            found = place < 0
-            place = (place & 7).astype(np.int64)
-            old = count[place, self.lane]
-            flat, to = rows.reshape(-1), at * (2 * WAYS) + place
-            flat[to] = x
-            flat[to + WAYS] = np.where(found, old + 1, 1)
-            if len(full := np.flatnonzero(found & (old >= FULL))):
-                rows[at[full], WAYS:] >>= 1
-        self.before, self.last = self.last, x.astype(np.uint32)
-
-    def narrow(self, begin: np.ndarray, size: np.ndarray) -> None:
-        part = self.range // self.total.astype(np.uint64)
-        self.low += begin.astype(np.uint64) * part
-        self.range = size.astype(np.uint64) * part
-
-    def place_of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the mass of each symbol begins, and its size: with the contexts' symbols, or behind them by order 0."""
-        self.hit = self.symbol == x.astype(self.symbol.dtype)
-        own = self.hit & (self.mass > 0)
-        mass = (self.mass * own).sum(axis=0, dtype=np.int32)
-        among = mass > 0
-        begin = np.where(among, (self.end * own).sum(axis=0, dtype=np.int32) - mass, self.end[-1] + self.unit * self.zero.take(x))
-        return begin, np.where(among, mass, self.unit * self.share.take(x))
-
-    def symbol_at(self, value: np.ndarray) -> np.ndarray:
-        j = (self.end <= value).sum(axis=0)
-        among = j < 2 * WAYS
-        rest = np.maximum(value - self.end[-1], 0) // self.unit
-        behind = np.searchsorted(self.zero, rest, side="right") - 1
-        return np.where(among, self.symbol[np.minimum(j, 2 * WAYS - 1), self.lane], np.minimum(behind, len(self.share) - 1)).astype(np.int64)
-
-    def due(self, at: np.ndarray | None) -> np.ndarray:
-        """Of the blocks ``at`` (None: all) those whose top 16 bits are settled; the range of those that straddle is cut so that they are."""
-        low, span = (self.low, self.range) if at is None else (self.low[at], self.range[at])
-        settled = (low ^ (low + span)) < TOP
-        thin = np.flatnonzero((span <= LOW_BITS) & ~settled)
-        if len(thin):
-            own = thin if at is None else at[thin]
-            self.range[own] = (~self.low[own] + np.uint64(1)) & LOW_BITS
-            settled[thin] = True
-        found = np.flatnonzero(settled)
-        return found if at is None else at[found]
-
-    def drop(self, at: np.ndarray) -> None:
-        """The settled 16 bits."""
-        self.low[at] <<= np.uint64(16)
-        self.range[at] <<= np.uint64(16)
+        self.n = len(self.share)
+        self.part0 = self.share / float(cumulated[-1])
+        self.gain = [np.tile(np.array([0.5, 1.0]) * PRIOR, (KINDS, 1)) for _ in range(2)]  # of orders 1 and 2: shares and symbols seen
+
+    def count(self, seen: np.ndarray) -> None:
+        """Counts pairs and triples of the ids coded so far (steps, streams) and lays out the masses anew."""
+        pairs = seen[:-1] * self.n + seen[1:]
+        triples, often = _counted((pairs[:-1] * self.n + seen[2:]).ravel())
+        first = triples // self.n
+        head = _heads(first)
+        found = _counted(pairs.ravel())
+        self.lay_out(*found, np.repeat(np.searchsorted(found[0], first[head]), np.diff(np.append(head, len(first)))), triples - first * self.n, often)
+
+    def lay_out(self, pairs: np.ndarray, often: np.ndarray, first: np.ndarray, symbol: np.ndarray, often2: np.ndarray) -> np.ndarray:
+        """Of ascending pairs and triples (first: the place of the first two) and how often each was seen. Returns which triples are kept."""
+        n, self.pairs = self.n, pairs
+        context = pairs // n
+        self.symbol1 = pairs - context * n
+        total = np.bincount(context, often, n)
+        self.kind1 = _kind(total, np.bincount(context, minlength=n))
+        self.weight1 = (self.gain[0][:, 0] / self.gain[0][:, 1])[self.kind1]
+        self.part1 = (self.weight1 / np.maximum(total, 1))[context] * often
+        mixed = self.part1 + (1 - self.weight1)[context] * self.part0[self.symbol1]
+        self.table1 = _Table(mixed, context, n)
+        # contexts of order 2 are pairs; those seen seldom are left to order 1
+        head = _heads(first)
+        length = np.diff(np.append(head, len(first)))
+        total = np.add.reduceat(often2, head) if len(head) else np.zeros(0, np.int64)
+        enough = total >= LEAST
+        kept = np.repeat(enough, length)
+        first, symbol, often2, head, length, total = first[kept], symbol[kept], often2[kept], first[head[enough]], length[enough], total[enough]
+        rows = len(head)
+        self.row1 = np.full(len(pairs) + 1, rows)  # of a pair, the row of what follows it; the last row is empty
+        self.row1[head] = np.arange(rows)
+        row = np.repeat(np.arange(rows), length)
+        self.pair2 = np.searchsorted(pairs, self.symbol1[first] * n + symbol)  # of a triple, its last two
+        self.kind2 = _kind(np.append(total, 0), np.append(length, 0))
+        self.weight2 = (self.gain[1][:, 0] / self.gain[1][:, 1])[self.kind2]
+        self.part2 = (self.weight2[:-1] / total)[row] * often2
+        self.table2 = _Table(self.part2 + (1 - self.weight2)[row] * mixed[self.pair2], row, rows + 1)
+        self.symbol2 = symbol
+        return kept
+
+    def learn(self, row: np.ndarray, triple: np.ndarray, last: np.ndarray, pair: np.ndarray, x: np.ndarray) -> None:
+        """Of symbols coded: their contexts and the places of their triples and pairs (-1: none)."""
+        one, weight = np.append(self.part1, 0)[pair], self.weight1[last]
+        low = one + (1 - weight) * self.part0[x]
+        two, weight = np.append(self.part2, 0)[triple], self.weight2[row]
+        for gain, kind, share in ((self.gain[0], self.kind1[last], one / low), (self.gain[1], self.kind2[row], two / (two + (1 - weight) * low))):
+            gain *= 0.5
+            gain[:, 0] += np.bincount(kind, (share * ALL).astype(np.int64), KINDS) / ALL + PRIOR / 4
+            gain[:, 1] += np.bincount(kind, minlength=KINDS) + PRIOR / 2
+            np.minimum(gain[:, 0], gain[:, 1] * MOST, out=gain[:, 0])
+
+
+def _heads(keys: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.sort(keys)
+    head = _heads(keys)
+    return keys[head], np.diff(np.append(head, len(keys)))
+
+
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct keys, below 2 ** 42, and the place of each of at most BLOCK keys among them."""
+    keys = np.sort((keys << BLOCK_BITS) | np.arange(len(keys)))
+    at = keys & (BLOCK - 1)
+    keys >>= BLOCK_BITS
+    head = _heads(keys)
+    number = np.empty(len(keys), np.int32)
+    number[at] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(keys))))
+    return keys[head], number
+
+
+def _kind(total: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+    often = np.minimum(np.frexp(total.astype(np.float64))[1], KINDS // 4 - 1)
+    return often * 4 + (distinct > 1) + (distinct * 4 > total) + (distinct * 2 > total)
+
+
+class _Table:
+    """Of ALL each symbol's start and size, and what each row's symbols have together; an escape has the rest.
+
+    Rows are cut into cells, two or more for each symbol; of each the last symbol that starts in it or before is kept.
+    """
+
+    def __init__(self, mixed: np.ndarray, row: np.ndarray, rows: int):
+        size = (mixed * (ALL - 1)).astype(np.int64)
+        end, length = np.cumsum(size), np.bincount(row, minlength=rows)
+        base = np.concatenate(([0], end))[np.concatenate(([0], np.cumsum(length)))]
+        self.row, self.known = row, np.diff(base)
+        start = end - size - base[row]
+        bits = np.minimum(np.frexp(length.astype(np.float64))[1] + 1, ALL_BITS)
+        cells = 1 << bits
+        self.shift, self.cell = ALL_BITS - bits, np.cumsum(cells) - cells
+        self.upto = (np.cumsum(np.bincount(self.cell[row] + (start >> self.shift[row]), minlength=cells.sum())) - 1).astype(np.int32)
+        self.start, self.size = start.astype(np.int32), np.append(size, 0).astype(np.int32)  # no symbol (-1) has no size
+
+    def at(self, row: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """The symbol at a value, below the row's known, of each row."""
+        place = self.upto[self.cell[row] + (value >> self.shift[row])].astype(np.int64)
+        over = np.flatnonzero(self.start[place] > value)
+        for _ in range(16):
+            if not len(over):
+                return place
+            place[over] -= 1
+            over = over[self.start[place[over]] > value[over]]
+        place[over] = np.searchsorted(self.start + (self.row << ALL_BITS), (row[over] << ALL_BITS) + value[over], side="right") - 1
+        return place
+
+
+def streams_of(longest: int) -> tuple[int, int]:
+    """Streams of a block and the steps of each; the last is filled up."""
+    streams = max(1, min(STREAMS, longest // 512))
+    return streams, -(-longest // streams)
+
+
+def _rounds(steps: int):
+    """Steps between which the counts stay as they are."""
+    ends = [1 << k for k in range(steps.bit_length()) if 1 << k < steps]
+    return zip([0, *ends], [*ends, steps], strict=True)
 
 
 def alphabet_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -250,56 +309,158 @@ def alphabet_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode_blocks(symbols: np.ndarray, cumulated: np.ndarray) -> list[bytes]:
-    """The code of each row of symbols (blocks, length), numbers in the alphabet."""
-    n, longest = symbols.shape
-    model = _Model(n, cumulated)
-    words, at = np.zeros(n * (longest * 3 + 8), np.uint16), np.arange(n) * (longest * 3 + 8)
-    begin = at.copy()
-    columns = np.ascontiguousarray(symbols.T).astype(np.int64)
-    for t in range(longest):
-        model.predict()
-        model.narrow(*model.place_of(columns[t]))
-        due = None
-        while len(due := model.due(due)):
-            words[at[due]] = model.low[due] >> np.uint64(48)
-            at[due] += 1
-            model.drop(due)
-        model.learn(columns[t])
-    for _ in range(4):
-        words[at] = model.low >> np.uint64(48)
-        at += 1
-        model.low <<= np.uint64(16)
-    return [words[a:b].astype("<u2").tobytes() for a, b in zip(begin.tolist(), at.tolist(), strict=True)]
+    """The code of each row of symbols (blocks, length), numbers in the alphabet: bytes of each stream (unsigned 32-bit), then the streams."""
+    return [_encode(row, cumulated) for row in symbols]
+
+
+def _encode(ids: np.ndarray, cumulated: np.ndarray) -> bytes:
+    streams, steps = streams_of(len(ids))
+    x = np.ascontiguousarray(np.append(ids, np.full(streams * steps - len(ids), ids[-1])).astype(np.int64).reshape(streams, steps).T)
+    model, room = _Model(cumulated), 4 * steps + 2
+    at = np.arange(streams) * room
+    words, begin = np.zeros(streams * room, np.uint32), at.copy()
+    low, span = np.zeros(streams, np.uint64), np.full(streams, 1 << 48, np.uint64)
+
+    def narrow(own, start, size, bits):
+        part = span[own] >> bits
+        lows, spans = low[own] + start * part, size * part
+        while len(due := np.flatnonzero(spans < LEAST_SPAN)):
+            to = due if isinstance(own, slice) else own[due]
+            words[at[to]] = lows[due] >> 32  # with a carry to the word before, if any
+            at[to] += 1
+            lows[due] = (lows[due] & LOW_BITS) << 16
+            spans[due] <<= 16
+            if bits == ALL_BITS:
+                break  # one word is enough
+        low[own], span[own] = lows, spans
+
+    n = model.n
+    pairs, pair_at = _numbered((x[:-1] * n + x[1:]).ravel())
+    triples, triple_at = _numbered(pair_at[:-streams].astype(np.int64) * n + x[2:].ravel())
+    pair_at, triple_at = pair_at.reshape(-1, streams), triple_at.reshape(-1, streams)
+    first, symbol = triples // n, triples % n
+    often, often2 = np.zeros(len(pairs), np.int64), np.zeros(len(triples), np.int64)
+    for lo, hi in _rounds(steps):
+        if lo > 1:
+            # what the decoder counts of the ids coded so far
+            often += np.bincount(pair_at[max(0, lo // 2 - 1) : lo - 1].ravel(), minlength=len(pairs))
+            often2 += np.bincount(triple_at[max(0, lo // 2 - 2) : lo - 2].ravel(), minlength=len(triples))
+            seen, seen2 = np.flatnonzero(often), np.flatnonzero(often2)
+            pairs_now, triples_now = np.full(len(pairs), -1, np.int32), np.full(len(triples), -1, np.int32)
+            pairs_now[seen] = np.arange(len(seen))
+            kept = seen2[model.lay_out(pairs[seen], often[seen], pairs_now[first[seen2]], symbol[seen2], often2[seen2])]
+            triples_now[kept] = np.arange(len(kept))
+            one, two = model.table1, model.table2
+            start1, start2 = np.append(one.start, 0), np.append(two.start, 0)
+            row = model.row1[pairs_now[pair_at[lo - 2]]]
+            kept = []
+        for t in range(lo, hi):
+            now, own = x[t], slice(None)
+            if lo > 1:
+                last, pair, triple = x[t - 1], pairs_now[pair_at[t - 1]], triples_now[triple_at[t - 2]]
+                size, known = two.size[triple], two.known[row]
+                rest = size == 0
+                narrow(own, np.where(rest, known, start2[triple]).astype(np.uint64), np.where(rest, ALL - known, size).astype(np.uint64), ALL_BITS)
+                triple[rest] = -1
+                own = np.flatnonzero(rest)
+                context, place = last[own], pair[own]
+                size, known = one.size[place], one.known[context]
+                rest = size == 0
+                narrow(own, np.where(rest, known, start1[place]).astype(np.uint64), np.where(rest, ALL - known, size).astype(np.uint64), ALL_BITS)
+                own = own[rest]
+                pair[own] = -1
+                if t >= hi - LEARN:
+                    kept.append((row, triple, last, pair, now))
+                row = model.row1[pair]
+            if lo < 2 or len(own):
+                narrow(own, model.zero[now[own]].astype(np.uint64), model.share[now[own]].astype(np.uint64), model.bits)
+        if lo > 1:
+            model.learn(*map(np.concatenate, zip(*kept, strict=True)))
+    words[at] = (low + LOW_BITS) >> 32  # zeros behind it lie within the span
+    length = at + 1 - begin
+    flat = words[np.arange(length.sum()) + np.repeat(begin - np.cumsum(length) + length, length)]
+    while (carry := flat >> 16).any():
+        flat &= 0xFFFF
+        flat[:-1] += carry[1:]
+    return (length * 2).astype("<u4").tobytes() + flat.astype("<u2").tobytes()
 
 
 def decode_blocks(coded: list[bytes], longest: int, cumulated: np.ndarray) -> np.ndarray:
-    n = len(coded)
-    size = np.array([len(x) // 2 for x in coded])
-    at = np.concatenate(([0], np.cumsum(size)[:-1]))
-    words = np.concatenate([np.frombuffer(b"".join(coded), "<u2"), np.zeros(longest * 3 + 8, np.uint16)]).astype(np.uint64)
-    model, out = _Model(n, cumulated), np.zeros((longest, n), np.int64)
-    code = np.zeros(n, np.uint64)
-    for k in range(4):
-        code = (code << np.uint64(16)) | words[at + k]
-    at += 4
-    for t in range(longest):
-        model.predict()
-        total = model.total.astype(np.uint64)
-        value = np.minimum((code - model.low) // (model.range // total), total - ONE).astype(np.int64)
-        x = model.symbol_at(value)
-        model.narrow(*model.place_of(x))
-        due = None
-        while len(due := model.due(due)):
-            code[due] = (code[due] << np.uint64(16)) | words[np.minimum(at[due], len(words) - 1)]
-            at[due] += 1
-            model.drop(due)
-        model.learn(x)
-        out[t] = x
-    return out.T
+    return np.stack([_decode(x, longest, cumulated) for x in coded]) if coded else np.zeros((0, longest), np.int64)
+
+
+def _decode(coded: bytes, longest: int, cumulated: np.ndarray) -> np.ndarray:
+    streams, steps = streams_of(longest)
+    length = np.frombuffer(coded, "<u4", streams).astype(np.int64) // 2
+    if (len(coded) - 4 * streams) != 2 * length.sum():
+        raise ValueError("a block's length is wrong")
+    at = np.concatenate(([0], np.cumsum(length + 2)[:-1]))  # two zeros behind each stream
+    words = np.zeros(length.sum() + 2 * streams + 4 * steps + 8, np.uint64)
+    words[np.arange(length.sum()) + np.repeat(2 * np.arange(streams), length)] = np.frombuffer(coded, "<u2", offset=4 * streams)
+    model, x = _Model(cumulated), np.zeros((steps, streams), np.int64)
+    code, span = (words[at] << 32) | (words[at + 1] << 16) | words[at + 2], np.full(streams, 1 << 48, np.uint64)
+    at += 3
+
+    def value(codes, part, bits):
+        return np.minimum(codes // part, (1 << bits) - 1).astype(np.int64)
+
+    def narrow(own, codes, part, start, size, bits=ALL_BITS):
+        codes, spans = codes - start.astype(np.uint64) * part, size.astype(np.uint64) * part
+        while len(due := np.flatnonzero(spans < LEAST_SPAN)):
+            to = due if isinstance(own, slice) else own[due]
+            codes[due] = (codes[due] << 16) | words[at[to]]
+            at[to] += 1
+            spans[due] <<= 16
+            if bits == ALL_BITS:
+                break
+        code[own], span[own] = codes, spans
+
+    for lo, hi in _rounds(steps):
+        if lo > 1:
+            model.count(x[:lo])
+        if lo > 1:
+            row, last = model.row1[np.searchsorted(model.pairs, x[lo - 2] * model.n + x[lo - 1])], x[lo - 1]
+        kept = []
+        for t in range(lo, hi):
+            own, now = np.arange(streams), x[t]
+            if lo > 1:
+                pair, triple = np.full(streams, -1), np.full(streams, -1)
+                part = span >> ALL_BITS
+                v = value(code, part, ALL_BITS)
+                start = model.table2.known[row]
+                hit, size = v < start, ALL - start
+                own = np.flatnonzero(hit)
+                place = model.table2.at(row[own], v[own])
+                triple[own], pair[own], now[own] = place, model.pair2[place], model.symbol2[place]
+                start[own], size[own] = model.table2.start[place], model.table2.size[place]
+                narrow(slice(None), code, part, start, size)
+                own = np.flatnonzero(~hit)
+                codes, part, context = code[own], span[own] >> ALL_BITS, last[own]
+                v = value(codes, part, ALL_BITS)
+                start = model.table1.known[context]
+                escaped, size = v >= start, ALL - start
+                hit = np.flatnonzero(~escaped)
+                place = model.table1.at(context[hit], v[hit])
+                pair[own[hit]], now[own[hit]] = place, model.symbol1[place]
+                start[hit], size[hit] = model.table1.start[place], model.table1.size[place]
+                narrow(own, codes, part, start, size)
+                own = own[escaped]
+            if len(own):
+                codes, part = code[own], span[own] >> model.bits
+                place = np.searchsorted(model.zero, value(codes, part, model.bits), side="right") - 1
+                now[own] = place
+                narrow(own, codes, part, model.zero[place], model.share[place], model.bits)
+            if lo > 1:
+                if t >= hi - LEARN:
+                    kept.append((row, triple, last, pair, now))
+                row, last = model.row1[pair], now
+        if kept:
+            model.learn(*map(np.concatenate, zip(*kept, strict=True)))
+    return x.T.ravel()[:longest]
 
 
 class TokenWriter:
-    """Writes ids of documents, in the order given, to a stream; holds a group of LANES blocks at most.
+    """Writes ids of documents, in the order given, to a stream; holds a block at most.
 
     A group: `B`, number of blocks, length of a block, ids in the group (the last block is filled up with its last id), bytes of the alphabet,
     CRC-32 of it (5 unsigned 32-bit), the alphabet (zlib: ids and their order-0 counts, unsigned 32-bit), then for each block bytes of code
@@ -315,19 +476,19 @@ class TokenWriter:
         self.index.append((doc, len(ids) // 4))
         self.held.append(ids)
         self.n += len(ids) // 4
-        if self.n >= BLOCK * LANES:
+        if self.n >= BLOCK:
             self._flush(False)
 
     def _flush(self, last: bool) -> None:
         ids = np.frombuffer(b"".join(self.held), "<u4")
-        while len(ids) >= BLOCK * LANES or last and len(ids):
-            self._group(ids[: BLOCK * LANES])
-            ids = ids[BLOCK * LANES :]
+        while len(ids) >= BLOCK or last and len(ids):
+            self._group(ids[: BLOCK])
+            ids = ids[BLOCK :]
         self.held, self.n = [ids.tobytes()], len(ids)
 
     def _group(self, ids: np.ndarray) -> None:
         found, cumulated = alphabet_of(ids)
-        blocks = max(-(-len(ids) // BLOCK), min(FEW, -(-len(ids) // SHORT)))
+        blocks = -(-len(ids) // BLOCK)
         longest = -(-len(ids) // blocks)
         blocks = -(-len(ids) // longest)
         rows = np.concatenate((ids, np.full(blocks * longest - len(ids), ids[-1], np.uint32))).astype("<u4").reshape(blocks, longest)
@@ -387,11 +548,10 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int | None, id
         name, end, n, docs_seen = f"part-{part:06d}-{uuid.uuid4().hex}.qtok", b"" if end_id is None else struct.pack("<I", end_id), 0, 0
         with fs.open_output_stream(f"{root}/{name}") as stream:
             writer = TokenWriter(stream)
-            for batch in batches:
-                for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text"), strict=True):
-                    ids = encode(text.as_py()) + end
-                    writer.add(doc, ids)
-                    n, docs_seen = n + len(ids) // 4, docs_seen + 1
+            for batch in (b.slice(at, to - at) for b in batches for at, to in cuts(sizes(b.column("text")), *SLICE)):
+                for doc, ids in zip(batch.column("doc").to_pylist(), encode.each(batch.column("text")), strict=True):
+                    writer.add(doc, ids + end)
+                    n, docs_seen = n + (len(ids) + len(end)) // 4, docs_seen + 1
             writer.close()
         yield pa.RecordBatch.from_pydict({"file": [part], "name": [name], "n_ids": [n], "n_docs": [docs_seen]}, schema=pa.schema([("file", pa.int64()), ("name", pa.string()), ("n_ids", pa.int64()), ("n_docs", pa.int64())]))
 
