@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.slices import cuts, sizes
-from .common import shared_dir, stored, table
+from .common import give_back, shared_dir, stored, table
 
 MAGIC = b"QSTOK03\n"
 #: Ids in a block at most, so that the numbers of three symbols fit 63 bits, and streams of a block at most.
-BLOCK_BITS, STREAMS = 21, 2048
+BLOCK_BITS, STREAMS = 21, 4096
 BLOCK = 1 << BLOCK_BITS
 #: What a context's symbols and its escape have together.
 ALL_BITS = 16
@@ -40,7 +40,9 @@ LEAST, KINDS, LEARN, PRIOR, MOST = 12, 64, 64, 0.4, 0.996
 LOW_BITS, LEAST_SPAN = np.uint64(0xFFFFFFFF), np.uint64(1 << 32)
 
 #: Rows and bytes of texts that are encoded together at most.
-SLICE = 4096, 8 << 20
+SLICE = 4096, 4 << 20
+#: The pieces of a lower-case ASCII part, as the tokenizer's pattern cuts it.
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 #: Texts without these split at white space into parts that are encoded alike alone and together.
 NOT_PLAIN = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\u012f\u0131-\u024f]|<\\|")
 ASCII_PLAIN = bytes([9, 10, 11, 12, 13, *range(32, 127)])
@@ -73,11 +75,11 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.by_part, self.keep, self.known = Tokenizer.from_file(path), by_part, keep, {}
-        # for words of lower-case letters, which its normalizer and its pattern would leave whole
+        # for parts of plain lower-case texts, which its normalizer leaves as they are, and words of letters, which its pattern leaves whole
         self.of_words = Tokenizer.from_file(path) if by_part else None
         if by_part:
-            self.of_words.normalizer = None
-            self.of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.of_words.normalizer, self.pattern = None, self.tokenizer.pre_tokenizer
+            self.whole = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         words = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(words.values(), default=0) + 1, bool)  # ids that end a word
         self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
@@ -96,31 +98,40 @@ class Encoder:
             out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + 2000], add_special_tokens=False)]
         return out
 
-    def _learn(self, parts: set[str]) -> None:
-        """Looks up new parts. A word of letters and the marks behind it are encoded apart, as the tokenizer parts them; words go
-        together, and the ids that end words part them."""
-        known, cores, words = self.known, {}, set()
+    def _learn(self, parts: set[str], to: dict[str, bytes]) -> None:
+        """Looks up new parts. A word of letters and the marks behind it are encoded apart, as the tokenizer parts them; parts go
+        together, and the ids that end pieces part them."""
+        known, cores, words, rest = self.known, {}, set(), []
         for x in parts:
-            core = x.rstrip(MARKS)
-            if core.isalpha():
+            if x.isalpha():
+                words.add(x)
+            elif (core := x.rstrip(MARKS)).isalpha():
                 cores[x] = core
                 if core not in known:
                     words.add(core)
-        marks = {x[len(c) :] for x, c in cores.items()}
-        rest = [*(m for m in marks if m and m not in known), *(x for x in parts if x not in cores)]
-        known.update(zip(rest, self._ids(rest), strict=True))
-        words = list(words)
-        for at in range(0, len(words), 500):
-            own = words[at : at + 500]
-            ids = np.array(self.of_words.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, "<u4")
-            stop = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(stop) != len(own):
-                raise ValueError("the tokenizer has not made one word of each part")
-            data, stops = ids.tobytes(), stop.tolist()
-            known.update(zip(own, [data[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
+            else:
+                rest.append(x)
+        rest += [m for m in {x[len(c) :] for x, c in cores.items()}.difference(rest) if m not in known]
+        joined = [x for x in rest if x and x.isascii()]
+        self._learn_joined(joined, [len(PIECES.findall(x)) for x in joined], self.pattern, to)
+        rest = [x for x in rest if not x or not x.isascii()]
+        to.update(zip(rest, self._ids(rest), strict=True))
+        self._learn_joined(list(words), [1] * len(words), self.whole, to)
         for x, core in cores.items():
-            if x is not core and len(x) > len(core):
-                known[x] = known[core] + known[x[len(core) :]]
+            mark = x[len(core) :]
+            to[x] = (known[core] if core in known else to[core]) + (known[mark] if mark in known else to[mark])
+
+    def _learn_joined(self, parts: list[str], pieces: list[int], way, to: dict[str, bytes]) -> None:
+        """Parts that the tokenizer cuts into known numbers of pieces, encoded as one text: the ids that end pieces part them."""
+        self.of_words.pre_tokenizer = way
+        for at in range(0, len(parts), 500):
+            own, stop = parts[at : at + 500], np.cumsum(pieces[at : at + 500])
+            ids = np.array(self.of_words.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) != stop[-1]:
+                raise ValueError("the tokenizer has made other pieces of the parts")
+            data, stops = ids.tobytes(), ends[stop - 1].tolist()
+            to.update(zip(own, [data[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -133,7 +144,7 @@ class Encoder:
         except KeyError:
             if len(known) > self.keep:
                 known.clear()
-            self._learn(set(parts).difference(known))
+            self._learn(set(parts).difference(known), known)
             return b"".join(map(known.__getitem__, parts))
 
     def each(self, texts: pa.Array) -> list[bytes]:
@@ -142,13 +153,18 @@ class Encoder:
         apart = pc.match_substring_regex(texts, NOT_PLAIN.pattern).to_numpy(zero_copy_only=False) if self.by_part else np.ones(len(texts), bool)
         lists = pc.utf8_split_whitespace(pc.utf8_lower(texts.filter(pa.array(~apart))))
         parts, known = lists.flatten().dictionary_encode(), self.known
-        words = parts.dictionary.to_pylist()
-        if new := {x for x in words if x not in known}:
+        words = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(known.get, words))
+        if new := [k for k, x in enumerate(ids) if x is None]:
+            fresh: dict[str, bytes] = {}
+            self._learn({words[k] for k in new}, fresh)
+            for k in new:
+                ids[k] = fresh[words[k]]
             if len(known) > self.keep:
                 known.clear()
-                new = set(words)
-            self._learn(new)
-        ids = [known[x] for x in words]
+            # parts that these texts have once are mostly names and numbers that do not come again
+            often = np.bincount(parts.indices.to_numpy(), minlength=len(words))[new] > 1
+            known.update((words[k], ids[k]) for k, x in zip(new, often.tolist(), strict=True) if x)
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         part = parts.indices.to_numpy()
         long = size[part]
@@ -492,7 +508,13 @@ class TokenWriter:
         longest = -(-len(ids) // blocks)
         blocks = -(-len(ids) // longest)
         rows = np.concatenate((ids, np.full(blocks * longest - len(ids), ids[-1], np.uint32))).astype("<u4").reshape(blocks, longest)
-        coded = encode_blocks(np.searchsorted(found, rows), cumulated)
+        if found[-1] < 1 << 20:
+            number = np.zeros(int(found[-1]) + 1, np.int64)
+            number[found] = np.arange(len(found))
+            symbols = number[rows]
+        else:
+            symbols = np.searchsorted(found, rows)
+        coded = encode_blocks(symbols, cumulated)
         table = zlib.compress(found.astype("<u4").tobytes() + np.diff(cumulated).astype("<u4").tobytes())
         head = [struct.pack("<II", len(x), zlib.crc32(x, zlib.crc32(row.tobytes()))) for x, row in zip(coded, rows, strict=True)]
         self.stream.write(b"B" + struct.pack("<IIIII", blocks, longest, len(ids), len(table), zlib.crc32(table)) + table + b"".join(head) + b"".join(coded))
@@ -553,6 +575,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int | None, id
                     writer.add(doc, ids + end)
                     n, docs_seen = n + (len(ids) + len(end)) // 4, docs_seen + 1
             writer.close()
+        give_back(encoders=False)
         yield pa.RecordBatch.from_pydict({"file": [part], "name": [name], "n_ids": [n], "n_docs": [docs_seen]}, schema=pa.schema([("file", pa.int64()), ("name", pa.string()), ("n_ids", pa.int64()), ("n_docs", pa.int64())]))
 
     ordered = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).repartitionByRange(F.col("doc"), F.xxhash64("text")).sortWithinPartitions("doc", "text")
