@@ -10,9 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back
+from .common import give_back, stored
 
 SLICE = 400_000  # characters hashed at once, so that a long text needs no more memory
+UNIT = 1 << 32  # of the sums that buckets are chosen by
+PIECES = 256  # in which these sums are added up
+BLOCK = 1 << 22  # entries of a matrix that a step of the fit works on at once
 
 
 def codes(text: str) -> np.ndarray:
@@ -62,11 +65,12 @@ def fit_logistic(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndar
     """Adam on the mean log loss over a sparse matrix in coordinates, classes weighted alike."""
     w, b = np.zeros(n_cols), 0.0
     m, v, mb, vb = np.zeros(n_cols), np.zeros(n_cols), 0.0, 0.0
+    blocks = [slice(k, k + BLOCK) for k in range(0, max(1, len(row)), BLOCK)]
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     for t in range(1, steps + 1):
-        z = np.bincount(row, weights=value * w[col], minlength=len(y)) + b
+        z = sum(np.bincount(row[k], weights=value[k] * w[col[k]], minlength=len(y)) for k in blocks) + b
         g = (sigmoid(z) - y) * share
-        gw, gb = np.bincount(col, weights=value * g[row], minlength=n_cols) + l2 * w, g.sum()
+        gw, gb = sum(np.bincount(col[k], weights=value[k] * g[row[k]], minlength=n_cols) for k in blocks) + l2 * w, g.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw**2, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
@@ -87,45 +91,84 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(sample, "_id").select("_id", "_y", "_text")
 
 
-def fitted(sample: DataFrame, features, choose, fit):
+def fitted(sample: DataFrame, features, moments: int, bits: int, choose, fit):
     """What ``fit(row, column, value, y, chosen)`` makes of the sample's features, rows in the order of ids.
 
-    ``features(text)`` gives distinct buckets and their values, or None for ones. ``choose(buckets, values, y)`` names the
-    buckets to keep, from lists by row; only these are laid out as a matrix (column: place in chosen). Features are made in
-    parallel and meet in one task, which the sample's bound keeps small; the driver gets the model alone.
+    ``features(text)`` gives distinct buckets below 2**bits and their values, or None for ones. ``choose(sums, n)`` names the buckets
+    to keep, from the values' sums (in UNIT, and of their squares where ``moments`` is 2) by class, moment and bucket and from the
+    rows of each class. The sums are integers, so their order doesn't matter. Only chosen buckets are laid out as a matrix (column:
+    place in chosen) and meet in one task: at most a number for each row and chosen bucket, however long the texts are. The driver
+    gets the chosen buckets and the model.
     """
+    sample = stored(sample, "sample")
+
+    def count(batches):
+        sums, n = np.zeros((2, moments, 1 << bits), np.int64), np.zeros(2, np.int64)
+        for pdf in batches:
+            for y, x in zip(pdf["_y"].tolist(), pdf["_text"], strict=True):
+                at, value = features(x or "")
+                n[y] += 1
+                for m in range(moments):
+                    sums[y, m, at] += UNIT if value is None else np.rint(value.astype(np.float64) ** (m + 1) * UNIT).astype(np.int64)
+        parts = [(k, x.tobytes()) for k, x in enumerate(np.split(sums, PIECES, axis=2)) if x.any()]
+        yield pd.DataFrame([(-1, n.tobytes()), *parts], columns=["piece", "sums"])
+        give_back()
+
+    def add(pdf):
+        return pd.DataFrame({"piece": pdf["piece"][:1], "sums": [sum(np.frombuffer(x, np.int64) for x in pdf["sums"]).tobytes()]})
+
+    def pick(batches):
+        sums, n = np.zeros((2, moments, 1 << bits), np.int64), np.zeros(2, np.int64)
+        parts = np.split(sums, PIECES, axis=2)  # views
+        for pdf in batches:
+            for k, x in zip(pdf["piece"], pdf["sums"], strict=True):
+                whole = n if k < 0 else parts[k]
+                whole[...] = np.frombuffer(x, np.int64).reshape(whole.shape)
+        yield pd.DataFrame({"made": [np.sort(choose(sums, n)).astype("<u4").tobytes()]})
+
+    counted = sample.mapInPandas(count, "piece int, sums binary").groupBy("piece").applyInPandas(add, "piece int, sums binary")
+    chosen = np.frombuffer(in_one_task(counted, pick), "<u4").astype(np.int64)
 
     def extract(batches):
+        place = np.full(1 << bits, -1, np.int32)
+        place[chosen] = np.arange(len(chosen))
         for pdf in batches:
             for at in range(0, len(pdf), 500):
                 own = pdf.iloc[at : at + 500]
-                got = [features(x or "") for x in own["_text"]]
-                yield pd.DataFrame({"_id": own["_id"], "_y": own["_y"], "b": [a.astype("<u4").tobytes() for a, _ in got], "v": [None if v is None else v.astype("<f4").tobytes() for _, v in got]})
+                columns, values = [], []
+                for x in own["_text"]:
+                    b, v = features(x or "") if len(chosen) else (np.empty(0, np.int64), None)
+                    b = place[b]
+                    columns.append(b[b >= 0].astype("<u4").tobytes())
+                    values.append(None if v is None else v[b >= 0].astype("<f4").tobytes())
+                yield pd.DataFrame({"_id": own["_id"], "_y": own["_y"], "b": columns, "v": values})
         give_back()
 
     def learn(batches):
         rows = [r for pdf in batches for r in pdf.itertuples(index=False, name=None)]
         rows.sort(key=lambda r: (r[0], r[2]))
         y = np.array([r[1] for r in rows], np.int64)
-        buckets = [np.frombuffer(r[2], "<u4") for r in rows]
-        values = [np.ones(len(b), np.float32) if r[3] is None else np.frombuffer(r[3], "<f4") for r, b in zip(rows, buckets, strict=True)]
-        chosen = np.sort(choose(buckets, values, y))
-        at = np.full(int(max((b.max() for b in buckets if len(b)), default=0)) + 1, -1)
-        at[chosen] = np.arange(len(chosen))
-        kept = [at[b] >= 0 for b in buckets]
-        row = np.repeat(np.arange(len(rows)), [int(k.sum()) for k in kept])
-        col = np.concatenate([np.empty(0, np.int64), *(at[b[k]] for b, k in zip(buckets, kept, strict=True))])
-        value = np.concatenate([np.empty(0, np.float32), *(v[k] for v, k in zip(values, kept, strict=True))])
-        yield pd.DataFrame({"model": [pickle.dumps(fit(row, col, value, y, chosen))]})
-        del rows, buckets, values, kept, row, col, value
+        columns = [np.frombuffer(r[2], "<i4") for r in rows]
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(c) for c in columns])
+        col = np.concatenate([np.empty(0, np.int32), *columns])
+        value = np.concatenate([np.empty(0, np.float32), *(np.ones(len(c), np.float32) if r[3] is None else np.frombuffer(r[3], "<f4") for r, c in zip(rows, columns, strict=True))])
+        del rows, columns
+        yield pd.DataFrame({"made": [pickle.dumps(fit(row, col, value, y, chosen))]})
+        del row, col, value
         give_back()
 
-    made = sample.mapInPandas(extract, "_id long, _y int, b binary, v binary").repartition(1).mapInPandas(learn, "model binary")
-    return pickle.loads(made.first()[0])
+    return pickle.loads(in_one_task(sample.mapInPandas(extract, "_id long, _y int, b binary, v binary"), learn))
+
+
+def in_one_task(rows: DataFrame, work) -> bytes:
+    """The one value that ``work`` makes of all rows, which the caller keeps bounded."""
+    made = rows.repartition(1).mapInPandas(work, "made binary").first()
+    return bytes(made[0] if made else next(work(iter(())))["made"][0])  # without rows there may be no task
 
 
-def two_classes(y: np.ndarray) -> bool:
-    return bool(0 < y.sum() < len(y))
+def two_classes(n) -> bool:
+    """Whether each class has rows; n: how many."""
+    return bool(n[0] > 0 and n[1] > 0)
 
 
 def most(score: np.ndarray, n: int) -> np.ndarray:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .linear import Model, char_grams, codes, fit_logistic, fitted, labelled_sample, most, sigmoid, sliced, two_classes
+from .linear import UNIT, Model, char_grams, codes, fit_logistic, fitted, labelled_sample, most, sigmoid, sliced, two_classes
 from .common import give_back, table
 
 BITS, LOW, HIGH, FEATURES = 18, 1, 3, 6000
@@ -117,18 +117,15 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, featur
     every text has probability 1.
     """
     sample = labelled_sample(docs, labels, label, per_class, id_col, text_col)
-    bucket, weight, bias, slope, shift = fitted(sample, lambda text: Features().sparse(text), lambda b, v, y: choose(b, v, y, features), fit)
+    bucket, weight, bias, slope, shift = fitted(sample, lambda text: Features().sparse(text), 2, BITS, lambda sums, n: choose(sums / UNIT, n, features), fit)
     return QualityModel(Model(bucket, weight, bias, BITS), slope, shift)
 
 
-def choose(buckets: list, values: list, y: np.ndarray, features: int) -> np.ndarray:
-    """Buckets whose mean frequencies in the classes are most standard errors apart."""
-    if not two_classes(y):
+def choose(sums: np.ndarray, n: np.ndarray, features: int) -> np.ndarray:
+    """Buckets whose mean frequencies in the classes are most standard errors apart; sums: of frequencies and of their squares by class."""
+    if not two_classes(n):
         return np.empty(0, np.int64)
-    one, two, n = np.zeros((2, 1 << BITS)), np.zeros((2, 1 << BITS)), [(y == k).sum() for k in (0, 1)]
-    for b, v, k in zip(buckets, values, y.tolist(), strict=True):
-        one[k][b] += v / n[k]
-        two[k][b] += v**2 / n[k]
+    one, two = ([sums[k, m] / n[k] for k in (0, 1)] for m in (0, 1))
     # rounding can bring the variance of a value that never changes below zero
     error = np.sqrt(np.maximum(0, two[0] - one[0] ** 2) / n[0] + np.maximum(0, two[1] - one[1] ** 2) / n[1] + 1e-9)
     return most(np.abs(one[1] - one[0]) / error, features)
@@ -136,7 +133,7 @@ def choose(buckets: list, values: list, y: np.ndarray, features: int) -> np.ndar
 
 def fit(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float, float]:
     """Chosen buckets, weights, bias, slope and shift."""
-    if not two_classes(y):
+    if not two_classes(np.bincount(y, minlength=2)):
         return chosen, np.empty(0), 0.0, 0.0, 60.0
     fits = np.arange(len(y)) % 4 != 0
     if len(set(y[fits])) < 2 or len(set(y[~fits])) < 2:

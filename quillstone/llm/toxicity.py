@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .linear import Model, char_grams, codes, fit_logistic, fitted, labelled_sample, most, sigmoid, sliced, two_classes
+from .linear import UNIT, Model, char_grams, codes, fit_logistic, fitted, labelled_sample, most, sigmoid, sliced, two_classes
 from .common import give_back, table
 
 BITS, LOW, HIGH = 20, 3, 6
@@ -15,6 +15,8 @@ BITS, LOW, HIGH = 20, 3, 6
 PER_CLASS, FEATURES = 3000, 3000
 #: The likelihood ratio statistic that a bucket needs to be kept.
 LEAST_G2 = 15.0
+#: Buckets of a long text's pieces, where they repeat, that are held at once; twice as many as there are.
+HELD = 2 << BITS
 
 
 BLANK = dict.fromkeys(map(ord, "\t\n\x0b\x0c\r"), " ")
@@ -22,10 +24,14 @@ BLANK = dict.fromkeys(map(ord, "\t\n\x0b\x0c\r"), " ")
 
 def present(text: str, wanted: np.ndarray | None = None) -> np.ndarray:
     """The distinct buckets of a whole text's character n-grams, lower-cased; only ``wanted`` ones where given."""
-    found = []
+    found, held = [], 0
     for piece, _ in sliced(f" {text.lower()} ".translate(BLANK), HIGH):
         for h in char_grams(codes(piece), LOW, HIGH, BITS):
             found.append(np.unique(h if wanted is None else h[wanted[h]]))
+            held += len(found[-1])
+            if held > HELD:
+                found = [np.unique(np.concatenate(found))]
+                held = len(found[0])
     return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint32)
 
 
@@ -36,26 +42,22 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, featur
     classes every text scores 0.5 at zero weights, below it only by the bias: score 0.
     """
     sample = labelled_sample(docs, labels, label, per_class, id_col, text_col)
-    return Model(*fitted(sample, lambda text: (present(text), None), lambda b, v, y: choose(b, y, features), fit), BITS)
+    return Model(*fitted(sample, lambda text: (present(text), None), 1, BITS, lambda sums, n: choose(sums[:, 0] // UNIT, n, features), fit), BITS)
 
 
-def choose(buckets: list, y: np.ndarray, features: int) -> np.ndarray:
-    """Buckets whose presence depends on the class by the likelihood ratio statistic."""
-    if not two_classes(y):
+def choose(of: np.ndarray, n: np.ndarray, features: int) -> np.ndarray:
+    """Buckets whose presence depends on the class by the likelihood ratio statistic; of: texts that have a bucket, n: all texts, by class."""
+    if not two_classes(n):
         return np.empty(0, np.int64)
-    of = np.zeros((2, 1 << BITS))
-    for b, k in zip(buckets, y.tolist(), strict=True):
-        of[k][b] += 1
-    n = [(y == k).sum() for k in (0, 1)]
     both = of[0] + of[1]
     term = lambda seen, due: np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(due, 1e-9)), 0)
-    g2 = 2 * sum(term(of[k], both * n[k] / len(y)) + term(n[k] - of[k], (len(y) - both) * n[k] / len(y)) for k in (0, 1))
+    g2 = 2 * sum(term(of[k], both * n[k] / n.sum()) + term(n[k] - of[k], (n.sum() - both) * n[k] / n.sum()) for k in (0, 1))
     return most(np.where(g2 >= LEAST_G2, g2, 0), features)
 
 
 def fit(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Chosen buckets, their weights and the bias: a logistic regression on presence times the log-count ratio."""
-    if not two_classes(y):
+    if not two_classes(np.bincount(y, minlength=2)):
         return chosen, np.empty(0), -60.0
     rate = [(np.bincount(col[(y == k)[row]], minlength=len(chosen)) + 0.5) / ((y == k).sum() + 1) for k in (0, 1)]
     ratio = np.log(rate[1] / rate[0])
