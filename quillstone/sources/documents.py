@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, col, slug, strip_templates, trimmed, upload_locale, word_count
+from .trees import is_tree, tree_texts
 
 DOCUMENT = ["doc_id", "title", "category", "collection", "tags", "locale", "updated", "owner", "audience", "source", "body"]
 FENCE = r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n?"
@@ -72,12 +73,15 @@ def _file_in(root: str) -> Column:
 
 def load_corpus(spark: SparkSession, *paths: str, suffix: str = "*.md") -> DataFrame:
     """Documents of markdown trees: frontmatter, then defaults; id and title fall back to the file's stem. Of files at
-    equal paths below their trees that of the later tree counts; equal names in different folders are different files."""
+    equal paths below their trees that of the later tree counts; equal names in different folders are different files. Folders are
+    listed and read by the executors (see trees); globs, single files, other suffixes and stores that Arrow doesn't reach by Spark's reader."""
     raw = None
     for k, path in enumerate(paths):
-        own = spark.read.text(path, wholetext=True, pathGlobFilter=suffix, recursiveFileLookup=True).select(
-            F.col("value"), _file_in(path).alias("file"), F.lit(k).alias("_k")
-        )
+        if is_tree(path, suffix):
+            own = tree_texts(spark, path, suffix)
+        else:  # Spark's driver holds the names of all files
+            own = spark.read.text(path, wholetext=True, pathGlobFilter=suffix, recursiveFileLookup=True).select("value", _file_in(path).alias("file"))
+        own = own.withColumn("_k", F.lit(k))
         raw = own if raw is None else raw.unionByName(own)
     # the files of one tree have a path each: nothing to choose, no text is shuffled
     chosen = raw.groupBy("file").agg(F.max_by("value", "_k").alias("value")) if len(paths) > 1 else raw

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from .manifest import Manifest
+from .trees import opened
 
 NAME = "markdown_documents"
 FIELDS = ["doc_id", "title", "category", "collection", "tags", "locale", "updated", "owner", "audience"]
@@ -47,8 +48,7 @@ class MarkdownWriter(DataSourceWriter):
         self.path, self.overwrite, self.stamp = path, overwrite, uuid.uuid4().hex
 
     def _open(self):
-        fs, path = arrow_fs.FileSystem.from_uri(self.path if "://" in self.path else "file://" + self.path)
-        return fs, path.rstrip("/")
+        return opened(self.path)
 
     def write(self, iterator) -> WriterCommitMessage:
         fs, base = self._open()
